@@ -11,8 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fraudscope.functions.bands import with_bands
+from fraudscope.operators import quality as dq
+from fraudscope.operators import segments as seg
 from fraudscope.operators import thresholds as th
-from fraudscope.sources import transactions
+from fraudscope.sources import preview, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +28,58 @@ def _on_txn(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def _on_seg(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_txn(lambda df: fn(with_bands(df)))
+
+
 QUERIES: dict[str, Query] = {
+    # --- sources and views (SRC-1, 3, 4) ---
+    "scan_transactions": _on_txn(lambda df: df),
+    "preview": _on_txn(preview),
+    "segmented_view": _on_txn(with_bands),
+    # --- data quality (DQ-1..24) ---
+    "dq_missing_values": _on_txn(dq.missing_values),
+    "dq_merchant_missing": _on_txn(dq.merchant_missing),
+    "dq_duplicate_summary": _on_txn(dq.duplicate_summary),
+    "dq_duplicate_groups": _on_txn(dq.duplicate_groups),
+    "dq_invalid_amount_counts": _on_txn(dq.invalid_amount_counts),
+    "dq_invalid_amount_rows": _on_txn(dq.invalid_amount_rows),
+    "dq_amount_stats": _on_txn(dq.amount_stats),
+    "dq_top_amounts": _on_txn(dq.top_amounts),
+    "dq_origin_balance_mismatch_count": _on_txn(dq.origin_mismatch_count),
+    "dq_origin_balance_mismatch_rows": _on_txn(dq.origin_mismatch_rows),
+    "dq_dest_balance_mismatch_count": _on_txn(dq.dest_mismatch_count),
+    "dq_dest_balance_mismatch_rows": _on_txn(dq.dest_mismatch_rows),
+    "dq_negative_balances": _on_txn(dq.negative_balances),
+    "dq_fraud_distribution": _on_txn(dq.fraud_distribution),
+    "dq_type_by_label": _on_txn(dq.type_by_label),
+    "dq_fraud_rate_by_type": _on_txn(seg.fraud_rate_by_type),
+    "dq_amount_outliers": _on_txn(dq.amount_outliers),
+    "dq_flagged_rows": _on_txn(dq.flagged_rows),
+    "dq_flagged_stats": _on_txn(dq.flagged_stats),
+    "dq_flagged_by_type": _on_txn(dq.flagged_by_type),
+    "dq_unflagged_large_transfers": _on_txn(dq.unflagged_large_transfers),
+    "dq_unflagged_fraud_transfers": _on_txn(dq.unflagged_fraud_transfers),
+    "dq_zero_origin_balance": _on_txn(dq.zero_origin_balance),
+    "dq_zero_dest_balance": _on_txn(dq.zero_dest_balance),
+    "dq_report": _on_txn(dq.report),
+    # --- KPIs (KPI-1..4) ---
+    "kpi_by_type": _on_txn(seg.kpi_by_type),
+    "kpi_overall": _on_txn(seg.kpi_overall),
+    "kpi_executive_summary": _on_txn(seg.executive_summary),
+    "kpi_trend_by_step": _on_txn(seg.trend_by_step),
+    # --- segmentation (SEG-1..9) ---
+    "seg_by_type": _on_seg(seg.by_type),
+    "seg_by_amount_band": _on_seg(seg.by_amount_band),
+    "seg_by_origin_balance_band": _on_seg(seg.by_origin_balance_band),
+    "seg_by_zero_balance_flag": _on_seg(seg.by_zero_balance_flag),
+    "seg_type_amount": _on_seg(lambda df: seg.combined(df, ["type", "amount_band"])),
+    "seg_type_balance": _on_seg(lambda df: seg.combined(df, ["type", "origin_balance_band"])),
+    "seg_type_amount_balance": _on_seg(
+        lambda df: seg.combined(df, ["type", "amount_band", "origin_balance_band"])
+    ),
+    "seg_fraud_share": _on_seg(seg.fraud_share),
+    "seg_top_risk": _on_seg(seg.top_risk),
     # --- thresholds (TH-1..7) ---
     "th_base_totals": _on_txn(th.base_totals),
     "th_compare_ab": _on_txn(lambda df: th.compare(df, (th.RULE_A, th.RULE_B))),

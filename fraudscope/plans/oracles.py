@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fraudscope.plans.oracle_sql import COLS, money, q, rate
+from fraudscope.plans.oracle_sql import ALL_ASC, COLS, all_asc_except, money, q, rate
 from fraudscope.schema import RULE_NAMES_ANALYSIS, RULE_NAMES_DASHBOARD
 
 _TOTALS = f"""
@@ -85,3 +85,211 @@ SELECT {COLS},
 FROM tx"""
     ),
 }
+
+
+# ------------------------------------------------------------ sources ------
+
+ORACLES["scan_transactions"] = q(f"SELECT {COLS} FROM tx")
+ORACLES["preview"] = q(f"SELECT {COLS} FROM tx ORDER BY {ALL_ASC} LIMIT 10")
+ORACLES["segmented_view"] = q(f"SELECT * FROM seg", segmented=True)
+
+# -------------------------------------------------------- data quality -----
+
+_NOT_MERCHANT = "NOT (nameDest LIKE 'M%')"
+_ORIG_MISMATCH = "ROUND(oldbalanceOrg - amount, 2) <> ROUND(newbalanceOrig, 2)"
+_DEST_MISMATCH = f"{_NOT_MERCHANT} AND ROUND(oldbalanceDest + amount, 2) <> ROUND(newbalanceDest, 2)"
+
+
+def _cnt(cond: str) -> str:
+    return f"CAST(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+_COL_LIST = [c.strip() for c in COLS.split(",")]
+_MISSING = ",\n    ".join(f"{_cnt(c + ' IS NULL')} AS missing_{c}" for c in _COL_LIST)
+_NEG = ",\n    ".join(
+    f"{_cnt(c + ' < 0')} AS neg_{c}" for c in ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
+)
+_AVG = "ROUND(CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(CAST(COUNT(amount) AS DOUBLE), 0), 4)"
+_GROUPS = f"\ngroups AS (SELECT {COLS}, COUNT(*) AS duplicate_count FROM tx GROUP BY ALL)"
+_UNFLAGGED = "type = 'TRANSFER' AND amount > 200000 AND isFlaggedFraud = 0"
+
+ORACLES.update(
+    {
+        "dq_missing_values": q(f"SELECT\n    {_MISSING}\nFROM tx"),
+        "dq_merchant_missing": q(
+            f"""SELECT COUNT(*) AS merchant_rows,
+    {_cnt('oldbalanceDest IS NULL')} AS missing_oldbalanceDest,
+    {_cnt('newbalanceDest IS NULL')} AS missing_newbalanceDest
+FROM tx WHERE nameDest LIKE 'M%'"""
+        ),
+        "dq_duplicate_summary": q(
+            """SELECT CAST(COALESCE(SUM(duplicate_count), 0) AS BIGINT) AS total_rows,
+    COUNT(*) AS distinct_rows,
+    CAST(COALESCE(SUM(duplicate_count), 0) AS BIGINT) - COUNT(*) AS duplicate_rows
+FROM groups""",
+            _GROUPS,
+        ),
+        "dq_duplicate_groups": q(
+            f"SELECT * FROM groups WHERE duplicate_count > 1 ORDER BY duplicate_count DESC, {ALL_ASC}", _GROUPS
+        ),
+        "dq_invalid_amount_counts": q(
+            f"SELECT {_cnt('amount < 0')} AS negative_amounts, {_cnt('amount = 0')} AS zero_amounts FROM tx"
+        ),
+        "dq_invalid_amount_rows": q(f"SELECT {COLS} FROM tx WHERE amount <= 0 ORDER BY amount NULLS LAST"),
+        "dq_amount_stats": q(
+            f"SELECT MIN(amount) AS min_amount, MAX(amount) AS max_amount, {_AVG} AS avg_amount FROM tx"
+        ),
+        "dq_top_amounts": q(
+            f"SELECT {COLS} FROM tx ORDER BY amount DESC NULLS LAST, {all_asc_except('amount')} LIMIT 20"
+        ),
+        "dq_origin_balance_mismatch_count": q(
+            f"SELECT COUNT(*) AS inconsistent_origin_balance FROM tx WHERE {_ORIG_MISMATCH}"
+        ),
+        "dq_origin_balance_mismatch_rows": q(
+            f"SELECT {COLS} FROM tx WHERE {_ORIG_MISMATCH} ORDER BY {ALL_ASC} LIMIT 50"
+        ),
+        "dq_dest_balance_mismatch_count": q(
+            f"SELECT COUNT(*) AS inconsistent_dest_balance FROM tx WHERE {_DEST_MISMATCH}"
+        ),
+        "dq_dest_balance_mismatch_rows": q(
+            f"SELECT {COLS} FROM tx WHERE {_DEST_MISMATCH} ORDER BY {ALL_ASC} LIMIT 50"
+        ),
+        "dq_negative_balances": q(f"SELECT\n    {_NEG}\nFROM tx"),
+        "dq_fraud_distribution": q(
+            f"""SELECT isFraud, COUNT(*) AS transactions,
+    {rate('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 4)} AS pct_of_total
+FROM tx GROUP BY isFraud"""
+        ),
+        "dq_type_by_label": q(
+            "SELECT type, isFraud, COUNT(*) AS transactions FROM tx GROUP BY type, isFraud "
+            "ORDER BY type NULLS LAST, isFraud NULLS LAST"
+        ),
+        "dq_fraud_rate_by_type": q(
+            f"""SELECT type, COUNT(*) AS total_txns, CAST(SUM(isFraud) AS BIGINT) AS fraud_txns,
+    {rate('SUM(isFraud)', 'COUNT(*)', 4)} AS fraud_rate_pct
+FROM tx GROUP BY type"""
+        ),
+        "dq_amount_outliers": q(
+            f"""SELECT {COLS} FROM tx
+WHERE amount > (SELECT AVG(amount) + 3 * STDDEV_SAMP(amount) FROM tx)
+ORDER BY amount DESC NULLS LAST"""
+        ),
+        "dq_flagged_rows": q(f"SELECT {COLS} FROM tx WHERE isFlaggedFraud = 1"),
+        "dq_flagged_stats": q(
+            "SELECT COUNT(*) AS flagged_rows, MIN(amount) AS min_flagged_amount, "
+            "MAX(amount) AS max_flagged_amount FROM tx WHERE isFlaggedFraud = 1"
+        ),
+        "dq_flagged_by_type": q("SELECT type, COUNT(*) AS flagged_count FROM tx WHERE isFlaggedFraud = 1 GROUP BY type"),
+        "dq_unflagged_large_transfers": q(f"SELECT {COLS} FROM tx WHERE {_UNFLAGGED}"),
+        "dq_unflagged_fraud_transfers": q(f"SELECT {COLS} FROM tx WHERE {_UNFLAGGED} AND isFraud = 1"),
+        "dq_zero_origin_balance": q(
+            f"""SELECT {COLS} FROM tx WHERE amount > 0 AND oldbalanceOrg = 0
+ORDER BY amount DESC NULLS LAST, {all_asc_except('amount')} LIMIT 50"""
+        ),
+        "dq_zero_dest_balance": q(
+            f"""SELECT {COLS} FROM tx WHERE amount > 0 AND oldbalanceDest = 0 AND {_NOT_MERCHANT}
+ORDER BY {ALL_ASC} LIMIT 50"""
+        ),
+        "dq_report": q(
+            f"""SELECT COUNT(*) AS total_rows,
+    {_MISSING},
+    {_cnt("nameDest LIKE 'M%'")} AS merchant_rows,
+    {_cnt("nameDest LIKE 'M%' AND oldbalanceDest IS NULL")} AS merchant_missing_oldbalanceDest,
+    {_cnt("nameDest LIKE 'M%' AND newbalanceDest IS NULL")} AS merchant_missing_newbalanceDest,
+    {_cnt('amount < 0')} AS negative_amounts,
+    {_cnt('amount = 0')} AS zero_amounts,
+    MIN(amount) AS min_amount, MAX(amount) AS max_amount, {_AVG} AS avg_amount,
+    COUNT(*) FILTER (WHERE {_ORIG_MISMATCH}) AS inconsistent_origin_balance,
+    COUNT(*) FILTER (WHERE {_DEST_MISMATCH}) AS inconsistent_dest_balance,
+    {_NEG},
+    COUNT(*) FILTER (WHERE isFlaggedFraud = 1) AS flagged_rows,
+    MIN(amount) FILTER (WHERE isFlaggedFraud = 1) AS min_flagged_amount,
+    MAX(amount) FILTER (WHERE isFlaggedFraud = 1) AS max_flagged_amount
+FROM tx"""
+        ),
+    }
+)
+
+# ---------------------------------------------------------------- KPIs -----
+
+_FRAUD_VALUE = money("CASE WHEN isFraud = 1 THEN amount ELSE 0 END")
+_SIX = f"""COUNT(*) AS total_transactions,
+    {money('amount')} AS total_value,
+    CAST(SUM(isFraud) AS BIGINT) AS fraud_count,
+    {_FRAUD_VALUE} AS fraud_value,
+    {rate('SUM(isFraud)', 'COUNT(*)', 4)} AS fraud_rate_pct"""
+
+ORACLES.update(
+    {
+        "kpi_by_type": q(f"SELECT type, {_SIX} FROM tx GROUP BY type ORDER BY fraud_rate_pct DESC NULLS LAST"),
+        "kpi_overall": q(f"SELECT {_SIX} FROM tx"),
+        "kpi_executive_summary": q(
+            f"""SELECT b.total_transactions, b.total_transaction_value, b.total_fraud_count, b.total_fraud_value,
+    {rate('b.total_fraud_count', 'b.total_transactions', 4)} AS fraud_rate_pct,
+    {rate('b.total_fraud_value', 'b.total_transaction_value', 4)} AS fraud_value_rate_pct,
+    t.top_risk_transaction_type
+FROM b, t""",
+            f"""
+b AS (SELECT COUNT(*) AS total_transactions, {money('amount')} AS total_transaction_value,
+        {_cnt('isFraud = 1')} AS total_fraud_count, {_FRAUD_VALUE} AS total_fraud_value FROM tx)""",
+            f"""
+t AS (SELECT type AS top_risk_transaction_type FROM tx GROUP BY type
+      ORDER BY {rate('SUM(isFraud)', 'COUNT(*)', 4)} DESC NULLS LAST,
+               SUM(CAST(CASE WHEN isFraud = 1 THEN amount ELSE 0 END AS DECIMAL(18,2))) DESC NULLS LAST,
+               type ASC NULLS LAST
+      LIMIT 1)""",
+        ),
+        "kpi_trend_by_step": q(
+            f"""SELECT step, COUNT(*) AS total_transactions, {money('amount')} AS total_transaction_value,
+    {_cnt('isFraud = 1')} AS fraud_count, {_FRAUD_VALUE} AS fraud_value,
+    {rate(_cnt('isFraud = 1'), 'COUNT(*)', 4)} AS fraud_rate_pct
+FROM tx GROUP BY step ORDER BY step"""
+        ),
+    }
+)
+
+# ------------------------------------------------------- segmentation ------
+
+
+def _seg(keys: str, having: str = "", order: str = "", limit: str = "", cols: str = _SIX) -> str:
+    return q(
+        f"SELECT {keys}, {cols} FROM seg GROUP BY {keys} {having} {order} {limit}",
+        segmented=True,
+    )
+
+
+_RISK = "ORDER BY fraud_rate_pct DESC NULLS LAST, fraud_value DESC NULLS LAST"
+_NO_VALUE = f"""COUNT(*) AS total_transactions,
+    CAST(SUM(isFraud) AS BIGINT) AS fraud_count,
+    {_FRAUD_VALUE} AS fraud_value,
+    {rate('SUM(isFraud)', 'COUNT(*)', 4)} AS fraud_rate_pct"""
+
+ORACLES.update(
+    {
+        "seg_by_type": _seg("type", order=_RISK),
+        "seg_by_amount_band": _seg("amount_band"),
+        "seg_by_origin_balance_band": _seg("origin_balance_band"),
+        "seg_by_zero_balance_flag": _seg(
+            "origin_balance_zero_flag", order="ORDER BY origin_balance_zero_flag DESC", cols=_NO_VALUE
+        ),
+        "seg_type_amount": _seg("type, amount_band", having="HAVING COUNT(*) >= 100"),
+        "seg_type_balance": _seg("type, origin_balance_band", having="HAVING COUNT(*) >= 100"),
+        "seg_type_amount_balance": _seg(
+            "type, amount_band, origin_balance_band", having="HAVING COUNT(*) >= 100"
+        ),
+        "seg_fraud_share": q(
+            f"""SELECT type, amount_band, COUNT(*) AS total_transactions, CAST(SUM(isFraud) AS BIGINT) AS fraud_count,
+    {rate('SUM(isFraud)', 'SUM(SUM(isFraud)) OVER ()', 4)} AS share_of_total_fraud_pct,
+    {rate('SUM(isFraud)', 'COUNT(*)', 4)} AS fraud_rate_pct
+FROM seg GROUP BY type, amount_band HAVING COUNT(*) >= 100""",
+            segmented=True,
+        ),
+        "seg_top_risk": _seg(
+            "type, amount_band, origin_balance_band",
+            having="HAVING COUNT(*) >= 100 AND SUM(isFraud) > 0",
+            order=_RISK + ", type NULLS LAST, amount_band NULLS LAST, origin_balance_band NULLS LAST",
+            limit="LIMIT 20",
+            cols=_NO_VALUE,
+        ),
+    }
+)
