@@ -12,10 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fraudscope.functions.bands import with_bands
+from fraudscope.operators import monitoring as mon
 from fraudscope.operators import quality as dq
 from fraudscope.operators import segments as seg
 from fraudscope.operators import thresholds as th
-from fraudscope.sources import preview, transactions
+from fraudscope.session import scratch_path
+from fraudscope.sinks import export, read_export
+from fraudscope.sources import preview, stream_fixture, transactions
+from fraudscope.streaming import jobs as st
+
+# Alert keys evaluate daily periods: the 30-day fixture then has 30 periods,
+# enough for the 4-period baselines (weekly would leave one evaluable week).
+ALERT_PERIOD_HOURS = 24
+ALERT_CAPACITY = 50
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +98,70 @@ QUERIES: dict[str, Query] = {
     "th_compare_abc": _on_txn(lambda df: th.compare(df, th.DASHBOARD_RULES)),
     "review_queue": _on_txn(th.review_queue),
 }
+
+
+def _export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-8 written as tab-separated text, then read back with its schema."""
+    table = th.compare(transactions(spark, sf_dir), th.DASHBOARD_RULES)
+    path = f"{scratch_path(spark, 'export')}/page3_threshold_comparison.txt"
+    export(table, path, "\t")
+    return read_export(spark, path, table.schema, "\t")
+
+
+def _stream_weekly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1: closed weekly windows from the event stream, rolled up on read."""
+    base = scratch_path(spark, "st-weekly")
+    q = st.start_window_partials(stream_fixture(spark, sf_dir), f"{base}/data", f"{base}/_checkpoint", available_now=True)
+    st.run_to_end(q)
+    return st.metrics_from_partials(spark.read.parquet(f"{base}/data"))
+
+
+def _stream_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2: every streamed transaction routed to its queue."""
+    base = scratch_path(spark, "st-queue")
+    q = st.start_review_queue(stream_fixture(spark, sf_dir), f"{base}/data", f"{base}/_checkpoint", available_now=True)
+    st.run_to_end(q)
+    return spark.read.parquet(f"{base}/data")
+
+
+def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-3: daily fraud-rate spike alerts over the closed periods of the stream."""
+    base = scratch_path(spark, "st-alerts")
+    q = st.start_alerts(
+        stream_fixture(spark, sf_dir), base, f"{base}/_checkpoint", ALERT_PERIOD_HOURS, available_now=True
+    )
+    st.run_to_end(q)
+    return spark.read.parquet(f"{base}/alerts")
+
+
+QUERIES.update(
+    {
+        # --- sinks ---
+        "export_roundtrip": _export_roundtrip,
+        # --- monitoring (MON-1..10), weekly ---
+        "mon_weekly_metrics": _on_txn(mon.weekly_metrics),
+        "mon_weekly_rate_by_type": _on_txn(mon.weekly_rate_by_type),
+        "mon_weekly_threshold": _on_txn(mon.weekly_threshold),
+        # --- alerts (AL-1..6), daily periods ---
+        "alert_fraud_rate_spike": _on_txn(
+            lambda df: mon.fraud_rate_spike(mon.weekly_metrics(df, ALERT_PERIOD_HOURS))
+        ),
+        "alert_transfer_spike": _on_txn(
+            lambda df: mon.type_spike(mon.weekly_rate_by_type(df, ALERT_PERIOD_HOURS), "TRANSFER")
+        ),
+        "alert_cash_out_spike": _on_txn(
+            lambda df: mon.week_over_week(mon.weekly_rate_by_type(df, ALERT_PERIOD_HOURS), "CASH_OUT")
+        ),
+        "alert_review_surge": _on_txn(
+            lambda df: mon.review_surge(mon.weekly_threshold(df, ALERT_PERIOD_HOURS))
+        ),
+        "alert_value_concentration": _on_txn(lambda df: mon.value_concentration(df, ALERT_PERIOD_HOURS)),
+        "alert_capacity_breach": _on_txn(
+            lambda df: mon.capacity_breach(mon.weekly_threshold(df, ALERT_PERIOD_HOURS), ALERT_CAPACITY)
+        ),
+        # --- streaming twins (ST-1..3) ---
+        "stream_weekly_metrics": _stream_weekly_metrics,
+        "stream_review_queue": _stream_review_queue,
+        "stream_alerts": _stream_alerts,
+    }
+)

@@ -293,3 +293,207 @@ FROM seg GROUP BY type, amount_band HAVING COUNT(*) >= 100""",
         ),
     }
 )
+
+
+# ---------------------------------------------------------- monitoring -----
+
+
+def _per(ph: int, extra_keys: str = "", measures: str = "") -> str:
+    keys = "period" + (f", {extra_keys}" if extra_keys else "")
+    return f"""
+per AS (
+    SELECT (step - 1) // {ph} AS period{', ' + extra_keys if extra_keys else ''},
+        COUNT(*) AS n,
+        SUM(CAST(amount AS DECIMAL(18,2))) AS v,
+        COUNT(*) FILTER (WHERE isFraud = 1) AS fn,
+        SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE isFraud = 1) AS fv{measures}
+    FROM {'seg' if 'amount_band' in extra_keys else 'tx'} GROUP BY {keys}
+),
+periods AS (SELECT UNNEST(generate_series(MIN(period), MAX(period))) AS period FROM per)"""
+
+
+def _metrics_body(ph: int) -> str:
+    return f"""
+SELECT p.period, p.period * {ph} + 1 AS period_start_step,
+    COALESCE(n, 0) AS total_transactions,
+    CAST(COALESCE(v, 0) AS DOUBLE) AS total_value,
+    COALESCE(fn, 0) AS fraud_count,
+    CAST(COALESCE(fv, 0) AS DOUBLE) AS fraud_value,
+    {rate('COALESCE(fn, 0)', 'COALESCE(n, 0)', 4)} AS fraud_rate_pct
+FROM periods p LEFT JOIN per USING (period)"""
+
+
+def _rate_by_type_body(ph: int) -> str:
+    return f"""
+SELECT s.period, s.period * {ph} + 1 AS period_start_step, s.type,
+    COALESCE(n, 0) AS total_transactions,
+    COALESCE(fn, 0) AS fraud_count,
+    CAST(COALESCE(fv, 0) AS DOUBLE) AS fraud_value,
+    {rate('COALESCE(fn, 0)', 'COALESCE(n, 0)', 4)} AS fraud_rate_pct
+FROM (SELECT DISTINCT per.type, periods.period FROM per, periods) s
+LEFT JOIN per ON per.period = s.period AND per.type IS NOT DISTINCT FROM s.type"""
+
+
+_RULE_B = "COALESCE(type IN ('TRANSFER', 'CASH_OUT') AND amount > 200000, false)"
+_RULE_C = "COALESCE(type = 'TRANSFER' AND amount > 100000, false)"
+_THRESHOLD_MEASURES = f""",
+        COUNT(*) FILTER (WHERE isFraud = 0) AS ln,
+        COUNT(*) FILTER (WHERE {_RULE_B}) AS an,
+        SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE {_RULE_B}) AS av,
+        COUNT(*) FILTER (WHERE {_RULE_C} AND NOT {_RULE_B}) AS wn,
+        COUNT(*) FILTER (WHERE {_RULE_B} AND isFraud = 1) AS cn,
+        SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE {_RULE_B} AND isFraud = 1) AS cv,
+        COUNT(*) FILTER (WHERE {_RULE_B} AND isFraud = 0) AS lan,
+        SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE {_RULE_B} AND isFraud = 0) AS lav"""
+
+
+def _threshold_body(ph: int) -> str:
+    return f"""
+SELECT p.period, p.period * {ph} + 1 AS period_start_step,
+    COALESCE(n, 0) AS total_transactions,
+    COALESCE(an, 0) AS above_threshold_count,
+    CAST(COALESCE(av, 0) AS DOUBLE) AS above_threshold_value,
+    COALESCE(an, 0) AS review_queue_volume,
+    COALESCE(wn, 0) AS watchlist_volume,
+    COALESCE(cn, 0) AS fraud_captured_count,
+    CAST(COALESCE(cv, 0) AS DOUBLE) AS fraud_captured_value,
+    {rate('COALESCE(cn, 0)', 'COALESCE(fn, 0)', 2)} AS fraud_count_capture_pct,
+    {rate('CAST(COALESCE(cv, 0) AS DOUBLE)', 'CAST(COALESCE(fv, 0) AS DOUBLE)', 2)} AS fraud_value_capture_pct,
+    COALESCE(lan, 0) AS legit_affected_count,
+    CAST(COALESCE(lav, 0) AS DOUBLE) AS legit_affected_value,
+    {rate('COALESCE(lan, 0)', 'COALESCE(ln, 0)', 2)} AS legit_count_affected_pct
+FROM periods p LEFT JOIN per USING (period)"""
+
+
+def _metrics(ph: int) -> str:
+    return q(_metrics_body(ph), _per(ph))
+
+
+def _rate_spike(ph: int, closed_only: bool = False) -> str:
+    closed = f"WHERE (period + 1) * {ph} <= (SELECT MAX(step) FROM tx) - 1 - 24" if closed_only else ""
+    return q(
+        f"""
+SELECT period, fraud_rate_pct,
+    CASE WHEN c = 4 THEN ROUND(CAST(s AS DOUBLE) / 40000.0, 6) END AS baseline_rate_pct,
+    COALESCE(c = 4 AND r * 400 > s * 120, false) AS alert
+FROM (
+    SELECT period, fraud_rate_pct, r,
+        SUM(r) OVER w AS s, COUNT(r) OVER w AS c
+    FROM (SELECT *, CAST(ROUND(fraud_rate_pct * 10000) AS BIGINT) AS r FROM m)
+    WINDOW w AS (ORDER BY period RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING)
+) {closed}""",
+        _per(ph),
+        f"\nm AS ({_metrics_body(ph)})",
+    )
+
+
+def _type_spike(ph: int, txn_type: str) -> str:
+    return q(
+        f"""
+SELECT period, type, fraud_count, fraud_rate_pct,
+    CASE WHEN cc = 4 THEN CAST(cs AS DOUBLE) / 4.0 END AS baseline_fraud_count,
+    CASE WHEN rc = 4 THEN ROUND(CAST(rs AS DOUBLE) / 40000.0, 6) END AS baseline_rate_pct,
+    COALESCE(rc = 4 AND r * 400 > rs * 120, false) OR COALESCE(cc = 4 AND fraud_count * 400 > cs * 120, false) AS alert
+FROM (
+    SELECT *, SUM(r) OVER w AS rs, COUNT(r) OVER w AS rc,
+        SUM(fraud_count) OVER w AS cs, COUNT(fraud_count) OVER w AS cc
+    FROM (SELECT *, CAST(ROUND(fraud_rate_pct * 10000) AS BIGINT) AS r FROM m WHERE type = '{txn_type}')
+    WINDOW w AS (PARTITION BY type ORDER BY period RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING)
+)""",
+        _per(ph, "type"),
+        f"\nm AS ({_rate_by_type_body(ph)})",
+    )
+
+
+def _wow(ph: int, txn_type: str) -> str:
+    return q(
+        f"""
+SELECT period, type, fraud_count, fraud_value, prev_fraud_count,
+    CAST(pv AS DOUBLE) AS prev_fraud_value,
+    COALESCE(fraud_count * 100 > prev_fraud_count * 120, false)
+        OR COALESCE(CAST(fraud_value AS DECIMAL(38,2)) * 100 > pv * 120, false) AS alert
+FROM (
+    SELECT *, LAG(fraud_count) OVER w AS prev_fraud_count,
+        LAG(CAST(fraud_value AS DECIMAL(38,2))) OVER w AS pv
+    FROM m WHERE type = '{txn_type}'
+    WINDOW w AS (PARTITION BY type ORDER BY period)
+)""",
+        _per(ph, "type"),
+        f"\nm AS ({_rate_by_type_body(ph)})",
+    )
+
+
+def _surge(ph: int) -> str:
+    return q(
+        """
+SELECT period, above_threshold_count,
+    CASE WHEN c = 4 THEN CAST(s AS DOUBLE) / 4.0 END AS baseline_count,
+    COALESCE(c = 4 AND above_threshold_count * 400 > s * 120, false) AS alert
+FROM (
+    SELECT *, SUM(above_threshold_count) OVER w AS s, COUNT(above_threshold_count) OVER w AS c
+    FROM m WINDOW w AS (ORDER BY period RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING)
+)""",
+        _per(ph, measures=_THRESHOLD_MEASURES),
+        f"\nm AS ({_threshold_body(ph)})",
+    )
+
+
+def _concentration(ph: int) -> str:
+    band_rank = (
+        "CASE amount_band WHEN '0-1K' THEN 1 WHEN '1K-10K' THEN 2 WHEN '10K-50K' THEN 3 "
+        "WHEN '50K-100K' THEN 4 WHEN '100K-200K' THEN 5 WHEN '200K+' THEN 6 END"
+    )
+    return q(
+        f"""
+SELECT period, type AS top_type, amount_band AS top_amount_band,
+    CAST(sv AS DOUBLE) AS top_fraud_value, CAST(pv AS DOUBLE) AS period_fraud_value,
+    {rate('CAST(sv AS DOUBLE)', 'CAST(pv AS DOUBLE)', 2)} AS top_share_pct,
+    sv * 100 > pv * 50 AS alert
+FROM (
+    SELECT *, SUM(sv) OVER (PARTITION BY period) AS pv,
+        ROW_NUMBER() OVER (PARTITION BY period ORDER BY sv DESC, type ASC NULLS LAST, {band_rank}) AS rn
+    FROM (
+        SELECT (step - 1) // {ph} AS period, type, amount_band,
+            COALESCE(SUM(CAST(amount AS DECIMAL(18,2))), 0) AS sv
+        FROM seg WHERE isFraud = 1 GROUP BY ALL
+    )
+)
+WHERE rn = 1 AND pv > 0""",
+        segmented=True,
+    )
+
+
+def _capacity(ph: int, capacity: int) -> str:
+    return q(
+        f"""
+SELECT period, review_queue_volume, CAST({capacity} AS BIGINT) AS capacity,
+    review_queue_volume > {capacity} AS alert
+FROM m""",
+        _per(ph, measures=_THRESHOLD_MEASURES),
+        f"\nm AS ({_threshold_body(ph)})",
+    )
+
+
+_DAY = 24
+_WEEK = 168
+
+ORACLES.update(
+    {
+        "mon_weekly_metrics": _metrics(_WEEK),
+        "mon_weekly_rate_by_type": q(_rate_by_type_body(_WEEK), _per(_WEEK, "type")),
+        "mon_weekly_threshold": q(_threshold_body(_WEEK), _per(_WEEK, measures=_THRESHOLD_MEASURES)),
+        "alert_fraud_rate_spike": _rate_spike(_DAY),
+        "alert_transfer_spike": _type_spike(_DAY, "TRANSFER"),
+        "alert_cash_out_spike": _wow(_DAY, "CASH_OUT"),
+        "alert_review_surge": _surge(_DAY),
+        "alert_value_concentration": _concentration(_DAY),
+        "alert_capacity_breach": _capacity(_DAY, 50),
+        "export_roundtrip": ORACLES["th_compare_abc"],
+        "stream_weekly_metrics": q(
+            _metrics_body(_WEEK) + f"\nWHERE (p.period + 1) * {_WEEK} <= (SELECT MAX(step) FROM tx) - 1 - 24",
+            _per(_WEEK),
+        ),
+        "stream_review_queue": ORACLES["review_queue"],
+        "stream_alerts": _rate_spike(_DAY, closed_only=True),
+    }
+)
