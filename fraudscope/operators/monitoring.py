@@ -24,6 +24,7 @@ from fraudscope.functions.bands import AMOUNT_BAND
 from fraudscope.functions.exprs import fraud, legit, pct
 from fraudscope.operators.thresholds import PRIMARY_RULE, WATCHLIST_RULE, Rule
 from fraudscope.schema import HOURS_PER_WEEK, MONEY_TYPE
+from fraudscope.session import checkpoint_root
 
 # Defaults where the prose names a number ("more than 20% above the prior
 # four-week average") or leaves it open ("rises sharply", "very large share").
@@ -50,6 +51,17 @@ def _cnt(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
+def materialize(agg: DataFrame) -> DataFrame:
+    """Write a small aggregate once to ``spark.checkpoint.dir`` and cut its lineage.
+
+    Without this, Catalyst plans the spine's min / max / distinct as separate
+    scans of the big table; with it, the table is scanned once and every later
+    step (spine, join, windows) reads a few hundred checkpointed rows.
+    """
+    checkpoint_root(agg.sparkSession)
+    return agg.checkpoint(eager=True)
+
+
 def _spine(agg: DataFrame, by_type: bool = False) -> DataFrame:
     """Every period from the first to the last (per observed type)."""
     bounds = agg.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
@@ -106,7 +118,7 @@ def finish_period_metrics(agg: DataFrame, period_hours: int, spine: bool = True)
 
 def weekly_metrics(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
     """MON-1..5: volume, value, fraud count / value / rate per period."""
-    agg = with_period(df, period_hours).groupBy("period").agg(*period_partials(df))
+    agg = materialize(with_period(df, period_hours).groupBy("period").agg(*period_partials(df)))
     return finish_period_metrics(agg, period_hours)
 
 
@@ -121,6 +133,7 @@ def weekly_rate_by_type(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> Da
             _msum(fraud()).alias("fraud_value"),
         )
     )
+    agg = materialize(agg)
     filled = _fill(_spine(agg, by_type=True), agg, ["period", "type"], ["total_transactions", "fraud_count"], ["fraud_value"])
     return filled.select(
         "period",
@@ -170,6 +183,7 @@ def weekly_threshold(
         "watchlist_volume", "fraud_captured_count", "legit_affected_count",
     ]
     moneys = ["fraud_value", "above_threshold_value", "fraud_captured_value", "legit_affected_value"]
+    agg = materialize(agg)
     filled = _fill(_spine(agg), agg, ["period"], longs, moneys)
     return filled.select(
         "period",

@@ -26,6 +26,18 @@ def _rest(*first: str) -> list[str]:
     return [c for c in TXN_COLUMNS if c not in first]
 
 
+def _sorted_rows(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Global sort of row-level output that stays balanced under a hot group.
+
+    Range partitioning sends equal sort keys to one task; identical rows (a
+    group of copies holding a third of the table) would all land there. A
+    row id as the last key (stable on recompute: same split, same order)
+    lets the range partitioner cut such a group across tasks. The id only
+    orders otherwise identical rows, so the output is unchanged.
+    """
+    return df.withColumn("_row_id", F.monotonically_increasing_id()).orderBy(*keys, "_row_id").drop("_row_id")
+
+
 # ------------------------------------------------------- missing values ----
 
 
@@ -94,7 +106,7 @@ def invalid_amount_counts(df: DataFrame) -> DataFrame:
 
 def invalid_amount_rows(df: DataFrame) -> DataFrame:
     """DQ-6: rows with amount <= 0, ascending (all columns break ties)."""
-    return df.where(F.col("amount") <= 0).orderBy(F.asc_nulls_last("amount"), *sort_keys(rest=_rest("amount")))
+    return _sorted_rows(df.where(F.col("amount") <= 0), [F.asc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))])
 
 
 def amount_stat_exprs() -> list[Column]:
@@ -192,8 +204,8 @@ def amount_outliers(df: DataFrame, k: float = 3.0) -> DataFrame:
     first), then an ordinary filter -- no join.
     """
     cutoff = df.agg(F.avg("amount") + F.lit(k) * F.stddev_samp("amount")).scalar()
-    return df.where(F.col("amount") > cutoff).orderBy(
-        F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))
+    return _sorted_rows(
+        df.where(F.col("amount") > cutoff), [F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))]
     )
 
 
