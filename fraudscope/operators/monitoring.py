@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudscope.functions.bands import AMOUNT_BAND
-from fraudscope.functions.exprs import fraud, legit, pct
-from fraudscope.operators.thresholds import PRIMARY_RULE, WATCHLIST_RULE, Rule
+from fraudscope.functions.exprs import pct
+from fraudscope.functions.measures import PARTIALS, rollup
+from fraudscope.operators.thresholds import PRIMARY_RULE, WATCHLIST_ONLY
 from fraudscope.schema import HOURS_PER_WEEK, MONEY_TYPE
 from fraudscope.session import checkpoint_root
 
@@ -32,25 +33,15 @@ UPLIFT_PCT = 20
 LOOKBACK = 4
 CONCENTRATION_PCT = 50
 
+# Rule measures carried by every monitoring rollup: r0 = review threshold /
+# primary queue, r1 = watchlist (rule C unless already primary).
+MONITOR_RULES = (PRIMARY_RULE, WATCHLIST_ONLY)
+
 
 def with_period(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
     return df.withColumn("period", F.expr(f"(step - 1) div {int(period_hours)}"))
 
 
-def _dec_amount() -> Column:
-    return F.col("amount").cast(MONEY_TYPE)
-
-
-def _msum(cond: Column | None = None) -> Column:
-    """Exact money sum of the rows matching ``cond``; 0 when there are none."""
-    amt = _dec_amount() if cond is None else F.when(cond, _dec_amount())
-    return F.coalesce(F.sum(amt), F.lit(0).cast(MONEY_TYPE))
-
-
-def _cnt(cond: Column) -> Column:
-    return F.count(F.when(cond, F.lit(1)))
-
-
 def materialize(agg: DataFrame) -> DataFrame:
     """Write a small aggregate once to ``spark.checkpoint.dir`` and cut its lineage.
 
@@ -62,6 +53,14 @@ def materialize(agg: DataFrame) -> DataFrame:
     return agg.checkpoint(eager=True)
 
 
+def period_rollup(df: DataFrame, period_hours: int = HOURS_PER_WEEK, by: tuple[str, ...] = ()) -> DataFrame:
+    """All monitoring measures per period (and ``by``), scanned once and checkpointed."""
+    base = df
+    if AMOUNT_BAND.name in by and AMOUNT_BAND.name not in df.columns:
+        base = df.withColumn(AMOUNT_BAND.name, AMOUNT_BAND.label())
+    return materialize(rollup(with_period(base, period_hours), ["period", *by], MONITOR_RULES))
+
+
 def _spine(agg: DataFrame, by_type: bool = False) -> DataFrame:
     """Every period from the first to the last (per observed type)."""
     bounds = agg.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
@@ -71,87 +70,107 @@ def _spine(agg: DataFrame, by_type: bool = False) -> DataFrame:
     return agg.select("type").distinct().select("type", periods)
 
 
-def _fill(spine: DataFrame, agg: DataFrame, keys: list[str], zero_long: list[str], zero_money: list[str]) -> DataFrame:
+def _fill(spine: DataFrame, agg: DataFrame, keys: list[str]) -> DataFrame:
     # the spine is derived from ``agg`` itself: alias both sides of the self-join
     s, a = spine.alias("s"), agg.alias("a")
     cond = [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
-    joined = s.join(a, cond, "left").select(
+    return s.join(a, cond, "left").select(
         *[F.col(f"s.{k}").alias(k) for k in keys], *[F.col(f"a.{c}").alias(c) for c in agg.columns if c not in keys]
     )
-    fills = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in zero_long}
-    fills.update({c: F.coalesce(F.col(c), F.lit(0).cast(MONEY_TYPE)) for c in zero_money})
-    return joined.withColumns(fills)
+
+
+def _merged(partials: DataFrame, keys: list[str], spine: bool, by_type: bool = False) -> DataFrame:
+    """Merge partials to ``keys``; optionally spine-fill; every measure 0 where absent."""
+    merged = partials.groupBy(*keys).agg(
+        PARTIALS.rows().alias("rows"),
+        *[getattr(PARTIALS, n)().alias(n) for n in ("fraud_rows", "legit_rows", "fraud_value")],
+        PARTIALS.value().alias("value"),
+        *PARTIALS.rule(0, MONITOR_RULES[0]),
+        *PARTIALS.rule(1, MONITOR_RULES[1]),
+    )
+    if spine:
+        merged = _fill(_spine(merged, by_type), merged, keys)
+    zero_money = F.lit(0).cast(MONEY_TYPE)
+    fills = {}
+    for c in merged.columns:
+        if c in keys:
+            continue
+        is_money = c.endswith("value")
+        fills[c] = F.coalesce(F.col(c), zero_money if is_money else F.lit(0).cast("long"))
+    return merged.withColumns(fills)
 
 
 def _start_step(period_hours: int) -> Column:
     return (F.col("period") * F.lit(int(period_hours)) + 1).alias("period_start_step")
 
 
+def _d(c: str) -> Column:
+    return F.col(c).cast("double")
+
+
 # ------------------------------------------------------------- metrics -----
 
-PERIOD_MEASURES = ["total_transactions", "total_value", "fraud_count", "fraud_value"]
 
+def metrics_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True) -> DataFrame:
+    """MON-1..5 from monitoring partials at any grain that contains ``period``."""
+    m = _merged(partials, ["period"], spine)
+    return m.select(
+        "period",
+        _start_step(period_hours),
+        F.col("rows").alias("total_transactions"),
+        _d("value").alias("total_value"),
+        F.col("fraud_rows").alias("fraud_count"),
+        _d("fraud_value").alias("fraud_value"),
+        pct("fraud_rows", "rows", 4).alias("fraud_rate_pct"),
+    ).orderBy("period")
 
-def period_partials(df: DataFrame) -> list[Column]:
-    """Additive measures per period (counts and decimal sums; mergeable)."""
-    return [
-        F.count(F.lit(1)).alias("total_transactions"),
-        _msum().alias("total_value"),
-        _cnt(fraud()).alias("fraud_count"),
-        _msum(fraud()).alias("fraud_value"),
-    ]
+
+def rate_by_type_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True) -> DataFrame:
+    """MON-6 from partials whose grain contains ``period`` and ``type``."""
+    m = _merged(partials, ["period", "type"], spine, by_type=True)
+    return m.select(
+        "period",
+        _start_step(period_hours),
+        "type",
+        F.col("rows").alias("total_transactions"),
+        F.col("fraud_rows").alias("fraud_count"),
+        _d("fraud_value").alias("fraud_value"),
+        pct("fraud_rows", "rows", 4).alias("fraud_rate_pct"),
+    ).orderBy("period", F.asc_nulls_last("type"))
 
 
-def finish_period_metrics(agg: DataFrame, period_hours: int, spine: bool = True) -> DataFrame:
-    """Turn per-period partial sums into the MON-1..5 table."""
-    filled = _fill(_spine(agg), agg, ["period"], ["total_transactions", "fraud_count"], ["total_value", "fraud_value"]) if spine else agg
-    return filled.select(
+def threshold_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True) -> DataFrame:
+    """MON-7..10 from monitoring partials."""
+    m = _merged(partials, ["period"], spine)
+    return m.select(
         "period",
         _start_step(period_hours),
-        "total_transactions",
-        F.col("total_value").cast("double").alias("total_value"),
-        "fraud_count",
-        F.col("fraud_value").cast("double").alias("fraud_value"),
-        pct("fraud_count", "total_transactions", 4).alias("fraud_rate_pct"),
+        F.col("rows").alias("total_transactions"),
+        F.col("r0_flagged_transactions").alias("above_threshold_count"),
+        _d("r0_flagged_value").alias("above_threshold_value"),
+        F.col("r0_flagged_transactions").alias("review_queue_volume"),
+        F.col("r1_flagged_transactions").alias("watchlist_volume"),
+        F.col("r0_fraud_captured_count").alias("fraud_captured_count"),
+        _d("r0_fraud_captured_value").alias("fraud_captured_value"),
+        pct("r0_fraud_captured_count", "fraud_rows", 2).alias("fraud_count_capture_pct"),
+        pct(_d("r0_fraud_captured_value"), _d("fraud_value"), 2).alias("fraud_value_capture_pct"),
+        F.col("r0_legit_affected_count").alias("legit_affected_count"),
+        _d("r0_legit_affected_value").alias("legit_affected_value"),
+        pct("r0_legit_affected_count", "legit_rows", 2).alias("legit_count_affected_pct"),
     ).orderBy("period")
 
 
 def weekly_metrics(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
     """MON-1..5: volume, value, fraud count / value / rate per period."""
-    agg = materialize(with_period(df, period_hours).groupBy("period").agg(*period_partials(df)))
-    return finish_period_metrics(agg, period_hours)
+    return metrics_from_rollup(period_rollup(df, period_hours), period_hours)
 
 
 def weekly_rate_by_type(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
-    """MON-6: fraud rate per period and type, every (period, type) present."""
-    agg = (
-        with_period(df, period_hours)
-        .groupBy("period", "type")
-        .agg(
-            F.count(F.lit(1)).alias("total_transactions"),
-            _cnt(fraud()).alias("fraud_count"),
-            _msum(fraud()).alias("fraud_value"),
-        )
-    )
-    agg = materialize(agg)
-    filled = _fill(_spine(agg, by_type=True), agg, ["period", "type"], ["total_transactions", "fraud_count"], ["fraud_value"])
-    return filled.select(
-        "period",
-        _start_step(period_hours),
-        "type",
-        "total_transactions",
-        "fraud_count",
-        F.col("fraud_value").cast("double").alias("fraud_value"),
-        pct("fraud_count", "total_transactions", 4).alias("fraud_rate_pct"),
-    ).orderBy("period", F.asc_nulls_last("type"))
+    """MON-6: fraud rate per period and type; every (period, type) present."""
+    return rate_by_type_from_rollup(period_rollup(df, period_hours, by=("type",)), period_hours)
 
 
-def weekly_threshold(
-    df: DataFrame,
-    period_hours: int = HOURS_PER_WEEK,
-    threshold: Rule = PRIMARY_RULE,
-    watchlist: Rule = WATCHLIST_RULE,
-) -> DataFrame:
+def weekly_threshold(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
     """MON-7..10: the review rule week by week.
 
     Above-threshold count and value, review queue volume (primary queue) and
@@ -159,50 +178,7 @@ def weekly_threshold(
     week's fraud) and legitimate transactions affected (count, value, % of the
     week's legitimate transactions).
     """
-    flag = threshold.flag()
-    watch_only = watchlist.flag() & ~flag
-    agg = (
-        with_period(df, period_hours)
-        .groupBy("period")
-        .agg(
-            F.count(F.lit(1)).alias("total_transactions"),
-            _cnt(fraud()).alias("fraud_count"),
-            _msum(fraud()).alias("fraud_value"),
-            _cnt(legit()).alias("legit_count"),
-            _cnt(flag).alias("above_threshold_count"),
-            _msum(flag).alias("above_threshold_value"),
-            _cnt(watch_only).alias("watchlist_volume"),
-            _cnt(flag & fraud()).alias("fraud_captured_count"),
-            _msum(flag & fraud()).alias("fraud_captured_value"),
-            _cnt(flag & legit()).alias("legit_affected_count"),
-            _msum(flag & legit()).alias("legit_affected_value"),
-        )
-    )
-    longs = [
-        "total_transactions", "fraud_count", "legit_count", "above_threshold_count",
-        "watchlist_volume", "fraud_captured_count", "legit_affected_count",
-    ]
-    moneys = ["fraud_value", "above_threshold_value", "fraud_captured_value", "legit_affected_value"]
-    agg = materialize(agg)
-    filled = _fill(_spine(agg), agg, ["period"], longs, moneys)
-    return filled.select(
-        "period",
-        _start_step(period_hours),
-        "total_transactions",
-        "above_threshold_count",
-        F.col("above_threshold_value").cast("double").alias("above_threshold_value"),
-        F.col("above_threshold_count").alias("review_queue_volume"),
-        "watchlist_volume",
-        "fraud_captured_count",
-        F.col("fraud_captured_value").cast("double").alias("fraud_captured_value"),
-        pct("fraud_captured_count", "fraud_count", 2).alias("fraud_count_capture_pct"),
-        pct(F.col("fraud_captured_value").cast("double"), F.col("fraud_value").cast("double"), 2).alias(
-            "fraud_value_capture_pct"
-        ),
-        "legit_affected_count",
-        F.col("legit_affected_value").cast("double").alias("legit_affected_value"),
-        pct("legit_affected_count", "legit_count", 2).alias("legit_count_affected_pct"),
-    ).orderBy("period")
+    return threshold_from_rollup(period_rollup(df, period_hours), period_hours)
 
 
 # -------------------------------------------------------------- alerts -----
@@ -302,21 +278,9 @@ def review_surge(threshold_metrics: DataFrame, lookback: int = LOOKBACK, uplift_
     ).orderBy("period")
 
 
-def value_concentration(
-    df: DataFrame, period_hours: int = HOURS_PER_WEEK, share_pct: int = CONCENTRATION_PCT
-) -> DataFrame:
-    """AL-5: the period's largest type x amount band share of fraud value.
-
-    One row per period with fraud value; alert when the top segment holds
-    more than ``share_pct`` % (compared exactly on decimals).
-    """
-    banded = df if AMOUNT_BAND.name in df.columns else df.withColumn(AMOUNT_BAND.name, AMOUNT_BAND.label())
-    seg = (
-        with_period(banded, period_hours)
-        .where(fraud())
-        .groupBy("period", "type", AMOUNT_BAND.name)
-        .agg(_msum().alias("seg_value"))
-    )
+def concentration_from_rollup(partials: DataFrame, share_pct: int = CONCENTRATION_PCT) -> DataFrame:
+    """AL-5 from partials whose grain contains period, type and amount band."""
+    seg = partials.groupBy("period", "type", AMOUNT_BAND.name).agg(PARTIALS.fraud_value().alias("seg_value"))
     by_period = Window.partitionBy("period")
     ranked = seg.withColumns(
         {
@@ -332,13 +296,25 @@ def value_concentration(
         "period",
         F.col("type").alias("top_type"),
         F.col(AMOUNT_BAND.name).alias("top_amount_band"),
-        F.col("seg_value").cast("double").alias("top_fraud_value"),
-        F.col("period_value").cast("double").alias("period_fraud_value"),
-        pct(F.col("seg_value").cast("double"), F.col("period_value").cast("double"), 2).alias("top_share_pct"),
+        _d("seg_value").alias("top_fraud_value"),
+        _d("period_value").alias("period_fraud_value"),
+        pct(_d("seg_value"), _d("period_value"), 2).alias("top_share_pct"),
         (F.col("seg_value") * 100 > F.col("period_value") * F.lit(share_pct)).alias("alert"),
     ).orderBy("period")
 
 
+def value_concentration(
+    df: DataFrame, period_hours: int = HOURS_PER_WEEK, share_pct: int = CONCENTRATION_PCT
+) -> DataFrame:
+    """AL-5: the period's largest type x amount band share of fraud value.
+
+    One row per period with fraud value; alert when the top segment holds
+    more than ``share_pct`` % (compared exactly on decimals). The window
+    partitions by period over at most (types x bands) rows per period.
+    """
+    return concentration_from_rollup(period_rollup(df, period_hours, by=("type", AMOUNT_BAND.name)), share_pct)
+
+
 def capacity_breach(threshold_metrics: DataFrame, capacity: int) -> DataFrame:
     """AL-6: periods whose review queue exceeds the team's capacity."""
     return threshold_metrics.select(

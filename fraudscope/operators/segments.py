@@ -16,12 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudscope.functions.bands import AMOUNT_BAND, BALANCE_BAND, BandSpec, with_bands
-from fraudscope.functions.exprs import count_where, fraud, money, money_sum, pct
-from fraudscope.schema import MIN_SEGMENT_ROWS, MONEY_TYPE, TOP_SEGMENTS
+from fraudscope.functions.exprs import pct
+from fraudscope.functions.measures import ROWS, PartialMeasures, RowMeasures
+from fraudscope.schema import MIN_SEGMENT_ROWS, TOP_SEGMENTS
 
-
-def _fraud_amount() -> Column:
-    return F.when(fraud(), F.col("amount").cast(MONEY_TYPE)).otherwise(F.lit(0).cast(MONEY_TYPE))
+Measures = RowMeasures | PartialMeasures
 
 
 def segment_metrics(
@@ -31,18 +30,20 @@ def segment_metrics(
     with_value: bool = True,
     min_count: int = 0,
     require_fraud: bool = False,
+    m: Measures = ROWS,
 ) -> DataFrame:
     """Volume, value, fraud count / value / rate per segment.
 
     ``fraud_count`` is ``SUM(isFraud)``: NULL for a segment whose labels are all
     NULL. ``min_count`` / ``require_fraud`` act after aggregation (HAVING).
+    ``m=PARTIALS`` reads a rollup instead of transaction rows.
     """
-    aggs = [F.count(F.lit(1)).alias("total_transactions")]
+    aggs = [m.rows().alias("total_transactions")]
     if with_value:
-        aggs.append(money("amount").alias("total_value"))
+        aggs.append(m.value().cast("double").alias("total_value"))
     aggs += [
-        F.sum("isFraud").alias("fraud_count"),
-        money(_fraud_amount()).alias("fraud_value"),
+        m.label_sum().alias("fraud_count"),
+        m.fraud_value().cast("double").alias("fraud_value"),
     ]
     out = df.groupBy(*by).agg(*aggs).withColumn(
         "fraud_rate_pct", pct("fraud_count", "total_transactions", 4)
@@ -65,23 +66,23 @@ def _risk_order(keys: Sequence[str], *extra: str) -> list[Column]:
 # ---------------------------------------------------------------- KPIs -----
 
 
-def kpi_by_type(df: DataFrame) -> DataFrame:
+def kpi_by_type(df: DataFrame, m: Measures = ROWS) -> DataFrame:
     """KPI-1: per type, by fraud rate descending."""
     return (
-        segment_metrics(df, ["type"])
+        segment_metrics(df, ["type"], m=m)
         .select("type", "total_transactions", "fraud_count", "total_value", "fraud_value", "fraud_rate_pct")
         .orderBy(F.desc_nulls_last("fraud_rate_pct"), F.asc_nulls_last("type"))
     )
 
 
-def kpi_overall(df: DataFrame) -> DataFrame:
+def kpi_overall(df: DataFrame, m: Measures = ROWS) -> DataFrame:
     """KPI-2: the same metrics for the whole table (one row)."""
-    return segment_metrics(df, []).select(
+    return segment_metrics(df, [], m=m).select(
         "total_transactions", "total_value", "fraud_count", "fraud_value", "fraud_rate_pct"
     )
 
 
-def executive_summary(df: DataFrame) -> DataFrame:
+def executive_summary(df: DataFrame, m: Measures = ROWS) -> DataFrame:
     """KPI-3: overall totals, fraud share of value and the riskiest type.
 
     Two aggregation levels and no join: per type first (a few rows), then one
@@ -90,11 +91,11 @@ def executive_summary(df: DataFrame) -> DataFrame:
     desc, type asc; NULLs last). Empty input gives no row.
     """
     per_type = df.groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("isFraud").alias("label_sum"),
-        count_where(fraud()).alias("fraud_n"),
-        money_sum("amount").alias("value"),
-        money_sum(_fraud_amount()).alias("fraud_value"),
+        m.rows().alias("n"),
+        m.label_sum().alias("label_sum"),
+        m.fraud_rows().alias("fraud_n"),
+        m.value().alias("value"),
+        m.fraud_value().alias("fraud_value"),
     )
     rate = pct("label_sum", "n", 4)
     order_key = F.struct(
@@ -119,26 +120,26 @@ def executive_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def trend_by_step(df: DataFrame) -> DataFrame:
+def trend_by_step(df: DataFrame, m: Measures = ROWS) -> DataFrame:
     """KPI-4: metrics per hour step, ascending (one row per step)."""
     return (
         df.groupBy("step")
         .agg(
-            F.count(F.lit(1)).alias("total_transactions"),
-            money("amount").alias("total_transaction_value"),
-            count_where(fraud()).alias("fraud_count"),
-            money(_fraud_amount()).alias("fraud_value"),
+            m.rows().alias("total_transactions"),
+            m.value().cast("double").alias("total_transaction_value"),
+            m.fraud_rows().alias("fraud_count"),
+            m.fraud_value().cast("double").alias("fraud_value"),
         )
         .withColumn("fraud_rate_pct", pct("fraud_count", "total_transactions", 4))
         .orderBy(F.asc_nulls_last("step"))
     )
 
 
-def fraud_rate_by_type(df: DataFrame) -> DataFrame:
+def fraud_rate_by_type(df: DataFrame, m: Measures = ROWS) -> DataFrame:
     """DQ-16: volume, fraud count and rate per type (narrow column set)."""
     return (
         df.groupBy("type")
-        .agg(F.count(F.lit(1)).alias("total_txns"), F.sum("isFraud").alias("fraud_txns"))
+        .agg(m.rows().alias("total_txns"), m.label_sum().alias("fraud_txns"))
         .withColumn("fraud_rate_pct", pct("fraud_txns", "total_txns", 4))
         .orderBy(F.desc_nulls_last("fraud_rate_pct"), F.asc_nulls_last("type"))
     )
@@ -149,24 +150,24 @@ def fraud_rate_by_type(df: DataFrame) -> DataFrame:
 _SIX = ["total_transactions", "total_value", "fraud_count", "fraud_value", "fraud_rate_pct"]
 
 
-def by_type(df: DataFrame) -> DataFrame:
+def by_type(df: DataFrame, m: Measures = ROWS) -> DataFrame:
     """SEG-1: per type, rate desc then fraud value desc."""
-    return segment_metrics(df, ["type"]).select("type", *_SIX).orderBy(*_risk_order(["type"]))
+    return segment_metrics(df, ["type"], m=m).select("type", *_SIX).orderBy(*_risk_order(["type"]))
 
 
-def by_band(df: DataFrame, spec: BandSpec) -> DataFrame:
+def by_band(df: DataFrame, spec: BandSpec, m: Measures = ROWS) -> DataFrame:
     """SEG-2 / SEG-3: per band, in the band's natural order (not alphabetical)."""
     banded = df if spec.name in df.columns else df.withColumn(spec.name, spec.label())
-    out = segment_metrics(banded, [spec.name]).select(spec.name, *_SIX)
+    out = segment_metrics(banded, [spec.name], m=m).select(spec.name, *_SIX)
     return out.orderBy(F.asc_nulls_last(spec.rank()))
 
 
-def by_amount_band(df: DataFrame) -> DataFrame:
-    return by_band(df, AMOUNT_BAND)
+def by_amount_band(df: DataFrame, m: Measures = ROWS) -> DataFrame:
+    return by_band(df, AMOUNT_BAND, m)
 
 
-def by_origin_balance_band(df: DataFrame) -> DataFrame:
-    return by_band(df, BALANCE_BAND)
+def by_origin_balance_band(df: DataFrame, m: Measures = ROWS) -> DataFrame:
+    return by_band(df, BALANCE_BAND, m)
 
 
 def by_zero_balance_flag(df: DataFrame) -> DataFrame:
@@ -179,11 +180,13 @@ def by_zero_balance_flag(df: DataFrame) -> DataFrame:
     )
 
 
-def combined(df: DataFrame, keys: Sequence[str], min_count: int = MIN_SEGMENT_ROWS) -> DataFrame:
+def combined(
+    df: DataFrame, keys: Sequence[str], min_count: int = MIN_SEGMENT_ROWS, m: Measures = ROWS
+) -> DataFrame:
     """SEG-5 / 6 / 7: type x band(s), segments with at least ``min_count`` rows."""
     banded = df if all(k in df.columns for k in keys) else with_bands(df)
     return (
-        segment_metrics(banded, list(keys), min_count=min_count)
+        segment_metrics(banded, list(keys), min_count=min_count, m=m)
         .select(*keys, *_SIX)
         .orderBy(*_risk_order(keys, "total_transactions"))
     )
@@ -200,7 +203,7 @@ def fraud_share(df: DataFrame, min_count: int = MIN_SEGMENT_ROWS) -> DataFrame:
     banded = df if "amount_band" in df.columns else with_bands(df)
     seg = (
         banded.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("total_transactions"), F.sum("isFraud").alias("fraud_count"))
+        .agg(ROWS.rows().alias("total_transactions"), ROWS.label_sum().alias("fraud_count"))
         .where(F.col("total_transactions") >= min_count)
     )
     all_fraud = F.sum("fraud_count").over(Window.partitionBy())
@@ -217,7 +220,9 @@ def fraud_share(df: DataFrame, min_count: int = MIN_SEGMENT_ROWS) -> DataFrame:
     )
 
 
-def top_risk(df: DataFrame, min_count: int = MIN_SEGMENT_ROWS, limit: int = TOP_SEGMENTS) -> DataFrame:
+def top_risk(
+    df: DataFrame, min_count: int = MIN_SEGMENT_ROWS, limit: int = TOP_SEGMENTS, m: Measures = ROWS
+) -> DataFrame:
     """SEG-9: the ``limit`` riskiest type x amount band x balance band segments.
 
     ``orderBy().limit()`` plans as TakeOrderedAndProject (per-task heaps).
@@ -226,7 +231,7 @@ def top_risk(df: DataFrame, min_count: int = MIN_SEGMENT_ROWS, limit: int = TOP_
     keys = ["type", "amount_band", "origin_balance_band"]
     banded = df if all(k in df.columns for k in keys) else with_bands(df)
     return (
-        segment_metrics(banded, keys, with_value=False, min_count=min_count, require_fraud=True)
+        segment_metrics(banded, keys, with_value=False, min_count=min_count, require_fraud=True, m=m)
         .select(*keys, "total_transactions", "fraud_count", "fraud_value", "fraud_rate_pct")
         .orderBy(*_risk_order(keys))
         .limit(limit)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudscope.functions.exprs import count_where, fraud, legit, money, pct
+from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures
 from fraudscope.schema import (
     LARGE_AMOUNT,
     MONEY_TYPE,
@@ -28,16 +29,23 @@ from fraudscope.schema import (
 
 @dataclass(frozen=True)
 class Rule:
-    """Flag a transaction when ``amount > min_amount`` (and its type is in ``types``)."""
+    """Flag a transaction when ``amount > min_amount`` (and its type is in ``types``).
+
+    ``unless``: never flag what that other rule flags (e.g. a watchlist that
+    only holds what the primary queue does not).
+    """
 
     name: str
     min_amount: float
     types: tuple[str, ...] | None = None
+    unless: Rule | None = None
 
     def predicate(self) -> Column:
         p = F.col("amount") > F.lit(self.min_amount)
         if self.types:
             p = F.col("type").isin(*self.types) & p
+        if self.unless is not None:
+            p = p & ~self.unless.flag()
         return p
 
     def flag(self) -> Column:
@@ -58,6 +66,7 @@ RULE_A, RULE_B, RULE_C = _rules(RULE_NAMES_ANALYSIS)
 DASHBOARD_RULES = _rules(RULE_NAMES_DASHBOARD)
 PRIMARY_RULE = RULE_B  # recommended primary review queue
 WATCHLIST_RULE = RULE_C  # secondary watchlist
+WATCHLIST_ONLY = Rule("watchlist only", RULE_C.min_amount, RULE_C.types, unless=PRIMARY_RULE)
 
 COMPARE_COLUMNS = [
     "threshold_name",
@@ -80,52 +89,21 @@ def _dec_amount() -> Column:
     return F.col("amount").cast(MONEY_TYPE)
 
 
-def base_total_exprs() -> list[Column]:
+def base_total_exprs(m: RowMeasures | PartialMeasures = ROWS) -> list[Column]:
     """TH-1 totals as aggregate expressions (all, fraud, legit; count and value)."""
-    amt = _dec_amount()
-    zero = F.lit(0).cast(MONEY_TYPE)
     return [
-        F.count(F.lit(1)).alias("total_transactions"),
-        money(amt).alias("total_value"),
-        count_where(fraud()).alias("total_fraud_count"),
-        money(F.when(fraud(), amt).otherwise(zero)).alias("total_fraud_value"),
-        count_where(legit()).alias("total_legit_count"),
-        money(F.when(legit(), amt).otherwise(zero)).alias("total_legit_value"),
+        m.rows().alias("total_transactions"),
+        m.value().cast("double").alias("total_value"),
+        m.fraud_rows().alias("total_fraud_count"),
+        m.fraud_value().cast("double").alias("total_fraud_value"),
+        m.legit_rows().alias("total_legit_count"),
+        m.legit_value().cast("double").alias("total_legit_value"),
     ]
 
 
-def base_totals(df: DataFrame) -> DataFrame:
+def base_totals(df: DataFrame, m: RowMeasures | PartialMeasures = ROWS) -> DataFrame:
     """TH-1: one row of totals."""
-    return df.agg(*base_total_exprs())
-
-
-def _rule_metric_exprs(i: int, rule: Rule) -> list[Column]:
-    """Metrics of one rule as if computed over ``WHERE rule``.
-
-    ``count`` gives 0 for a rule that flags nothing; every ``sum`` gives NULL
-    then, exactly like aggregates over an empty filtered set.
-    """
-    flag = rule.flag()
-    amt = _dec_amount()
-    zero = F.lit(0).cast(MONEY_TYPE)
-    return [
-        F.count(F.when(flag, F.lit(1))).alias(f"r{i}_flagged_transactions"),
-        money(F.when(flag, amt)).alias(f"r{i}_flagged_value"),
-        F.sum(F.when(flag, F.when(fraud(), 1).otherwise(0))).cast("long").alias(f"r{i}_fraud_captured_count"),
-        money(F.when(flag, F.when(fraud(), amt).otherwise(zero))).alias(f"r{i}_fraud_captured_value"),
-        F.sum(F.when(flag, F.when(legit(), 1).otherwise(0))).cast("long").alias(f"r{i}_legit_affected_count"),
-        money(F.when(flag, F.when(legit(), amt).otherwise(zero))).alias(f"r{i}_legit_affected_value"),
-    ]
-
-
-_RULE_METRICS = [
-    "flagged_transactions",
-    "flagged_value",
-    "fraud_captured_count",
-    "fraud_captured_value",
-    "legit_affected_count",
-    "legit_affected_value",
-]
+    return df.agg(*base_total_exprs(m))
 
 
 def _with_shares(df: DataFrame) -> DataFrame:
@@ -146,32 +124,38 @@ def _with_shares(df: DataFrame) -> DataFrame:
     )
 
 
-def compare(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> DataFrame:
+def compare(
+    df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES, m: RowMeasures | PartialMeasures = ROWS
+) -> DataFrame:
     """TH-2 / TH-5 / TH-6: fraud captured versus legit affected, one row per rule.
 
     Ordered by rule name. One scan, one aggregate, no join (see module doc).
+    With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules``.
     """
     if not rules:
         raise ValueError("at least one rule is required")
     names = [r.name for r in rules]
     if len(set(names)) != len(names):
         raise ValueError("rule names must be unique")
-    aggs = base_total_exprs()
+    aggs = base_total_exprs(m)
     for i, rule in enumerate(rules):
-        aggs += _rule_metric_exprs(i, rule)
+        aggs += m.rule(i, rule)
     wide = df.agg(*aggs)
     per_rule = F.explode(
         F.array(
             *[
                 F.struct(
                     F.lit(rule.name).alias("threshold_name"),
-                    *[F.col(f"r{i}_{m}").alias(m) for m in _RULE_METRICS],
+                    *[
+                        (F.col(f"r{i}_{k}").cast("double") if k.endswith("_value") else F.col(f"r{i}_{k}")).alias(k)
+                        for k in RULE_MEASURES
+                    ],
                 )
                 for i, rule in enumerate(rules)
             ]
         )
     ).alias("r")
-    totals = [c for c in wide.columns if not c.startswith("r")]
+    totals = [c for c in wide.columns if c.startswith("total_")]
     long = wide.select(*totals, per_rule).select(*totals, "r.*")
     return _with_shares(long).orderBy(F.asc_nulls_last("threshold_name"))
 

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fraudscope.functions.bands import AMOUNT_BAND
-from fraudscope.functions.exprs import fraud
+from fraudscope.functions.measures import ROWS, measure_exprs
 from fraudscope.operators import monitoring as mon
 from fraudscope.operators.thresholds import review_queue
-from fraudscope.schema import EPOCH, HOURS_PER_WEEK, MONEY_TYPE
+from fraudscope.schema import EPOCH, HOURS_PER_WEEK
 
 WATERMARK = "1 day"
 EPOCH_SECONDS = int(datetime.fromisoformat(EPOCH).replace(tzinfo=timezone.utc).timestamp())
@@ -45,41 +45,29 @@ def _window(period_hours: int) -> Column:
 
 
 def window_partials(stream: DataFrame, period_hours: int = HOURS_PER_WEEK, watermark: str = WATERMARK) -> DataFrame:
-    """Additive per-window measures at the window x type x amount band grain."""
-    amt = F.col("amount").cast(MONEY_TYPE)
+    """Monitoring measures at the window x type x amount band grain.
+
+    The state holds counts and decimal sums only, so the written windows can
+    be merged into any coarser table: MON-1..10 and AL-1..5 all read from it.
+    """
     return (
         stream.withColumns({"ts": event_time(), AMOUNT_BAND.name: AMOUNT_BAND.label()})
         .withWatermark("ts", watermark)
         .groupBy(_window(period_hours).alias("w"), "type", AMOUNT_BAND.name)
-        .agg(
-            F.count(F.lit(1)).alias("total_transactions"),
-            F.coalesce(F.sum(amt), F.lit(0).cast(MONEY_TYPE)).alias("total_value"),
-            F.count(F.when(fraud(), F.lit(1))).alias("fraud_count"),
-            F.coalesce(F.sum(F.when(fraud(), amt)), F.lit(0).cast(MONEY_TYPE)).alias("fraud_value"),
-        )
+        .agg(*measure_exprs(ROWS, mon.MONITOR_RULES))
         .select(
             ((F.unix_seconds(F.col("w.start")) - F.lit(EPOCH_SECONDS)) / F.lit(period_hours * 3600))
             .cast("long")
             .alias("period"),
-            "type",
-            AMOUNT_BAND.name,
-            "total_transactions",
-            "total_value",
-            "fraud_count",
-            "fraud_value",
+            "*",
         )
+        .drop("w")
     )
 
 
 def metrics_from_partials(partials: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
     """Roll written window partials up to the MON-1..5 table (closed periods only)."""
-    agg = partials.groupBy("period").agg(
-        F.sum("total_transactions").alias("total_transactions"),
-        F.sum("total_value").alias("total_value"),
-        F.sum("fraud_count").alias("fraud_count"),
-        F.sum("fraud_value").alias("fraud_value"),
-    )
-    return mon.finish_period_metrics(agg, period_hours, spine=False)
+    return mon.metrics_from_rollup(partials, period_hours, spine=False)
 
 
 def start_window_partials(
