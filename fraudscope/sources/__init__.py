@@ -1,7 +1,7 @@
 """Sources: the transaction table from CSV / Parquet / a stream, and the test fixture."""
 
 from fraudscope.sources.fixture import fixture_from_events, read_events, stream_fixture, transactions
-from fraudscope.sources.tables import land_parquet, preview, read_transactions, stream_transactions
+from fraudscope.sources.tables import land_parquet, preview, read_transactions, register_views, stream_transactions
 
 __all__ = [
     "fixture_from_events",
@@ -9,6 +9,7 @@ __all__ = [
     "preview",
     "read_events",
     "read_transactions",
+    "register_views",
     "stream_fixture",
     "stream_transactions",
     "transactions",

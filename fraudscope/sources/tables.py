@@ -55,3 +55,15 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
 
 def project_base(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) for c in TXN_COLUMNS])
+
+
+def register_views(df: DataFrame, name: str = "paysim") -> None:
+    """Name the table and its segmented view for ``spark.sql`` users.
+
+    Registers ``<name>`` (the base table) and ``<name>_segmented`` (base +
+    band columns). Views are lazy: Spark inlines them into each query plan.
+    """
+    from fraudscope.functions.bands import with_bands
+
+    df.createOrReplaceTempView(name)
+    with_bands(df).createOrReplaceTempView(f"{name}_segmented")

@@ -106,3 +106,14 @@ def test_stream_partials_give_every_monitoring_table(spark, txn01):
             want = want.where(F.col("total_transactions") > 0)
         key = lambda r: [(v is None, str(v)) for v in r]
         assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_sql_views(spark, txn01):
+    from fraudscope.sources import register_views
+
+    register_views(txn01)
+    r = spark.sql(
+        "SELECT amount_band, COUNT(*) AS n FROM paysim_segmented GROUP BY amount_band ORDER BY n DESC"
+    ).collect()
+    assert sum(x.n for x in r) == 10020
+    assert spark.sql("SELECT COUNT(*) FROM paysim WHERE isFlaggedFraud = 1").first()[0] == 347
