@@ -279,8 +279,13 @@ def report(df: DataFrame) -> DataFrame:
         + missing_value_exprs()
         + [
             count_where(merchant).alias("merchant_rows"),
-            count_where(merchant & F.col("oldbalanceDest").isNull()).alias("merchant_missing_oldbalanceDest"),
-            count_where(merchant & F.col("newbalanceDest").isNull()).alias("merchant_missing_newbalanceDest"),
+            # as DQ-2: NULL when there is no merchant row at all
+            F.sum(F.when(merchant, F.col("oldbalanceDest").isNull().cast("long"))).alias(
+                "merchant_missing_oldbalanceDest"
+            ),
+            F.sum(F.when(merchant, F.col("newbalanceDest").isNull().cast("long"))).alias(
+                "merchant_missing_newbalanceDest"
+            ),
             count_where(F.col("amount") < 0).alias("negative_amounts"),
             count_where(F.col("amount") == 0).alias("zero_amounts"),
         ]

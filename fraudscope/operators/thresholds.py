@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudscope.functions.exprs import count_where, fraud, legit, money, pct
-from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures
+from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures, measure_exprs
 from fraudscope.schema import (
     LARGE_AMOUNT,
     MONEY_TYPE,
@@ -124,23 +124,16 @@ def _with_shares(df: DataFrame) -> DataFrame:
     )
 
 
-def compare(
-    df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES, m: RowMeasures | PartialMeasures = ROWS
-) -> DataFrame:
-    """TH-2 / TH-5 / TH-6: fraud captured versus legit affected, one row per rule.
-
-    Ordered by rule name. One scan, one aggregate, no join (see module doc).
-    With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules``.
-    """
+def _check_rules(rules: Sequence[Rule]) -> None:
     if not rules:
         raise ValueError("at least one rule is required")
     names = [r.name for r in rules]
     if len(set(names)) != len(names):
         raise ValueError("rule names must be unique")
-    aggs = base_total_exprs(m)
-    for i, rule in enumerate(rules):
-        aggs += m.rule(i, rule)
-    wide = df.agg(*aggs)
+
+
+def _unpivot_rules(wide: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row holding totals + ``r<i>_<measure>`` columns -> one row per rule."""
     per_rule = F.explode(
         F.array(
             *[
@@ -160,6 +153,87 @@ def compare(
     return _with_shares(long).orderBy(F.asc_nulls_last("threshold_name"))
 
 
+# Aggregate buffer fields of the column-per-rule form: the six base measures
+# take 9 (a decimal sum keeps a value and an is-empty flag), each rule 9 more.
+_BASE_FIELDS = 9
+_FIELDS_PER_RULE = 9
+
+
+def _fits_codegen(df: DataFrame, n_rules: int) -> bool:
+    max_fields = int(df.sparkSession.conf.get("spark.sql.codegen.maxFields", "100"))
+    return _BASE_FIELDS + _FIELDS_PER_RULE * n_rules <= max_fields
+
+
+def compare(
+    df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES, m: RowMeasures | PartialMeasures = ROWS
+) -> DataFrame:
+    """TH-2 / TH-5 / TH-6: fraud captured versus legit affected, one row per rule.
+
+    Ordered by rule name. ONE scan for any number of rules. While the
+    aggregate buffers fit whole-stage codegen (about ten rules) every rule
+    measure is one conditional aggregate column; beyond that a narrow
+    aggregate: every row is emitted once for the totals (rule index -1) and
+    once per rule it matches (``explode`` of the matching indices), then
+    grouped by rule index with the six base measures. Partial aggregation
+    runs map-side, so at most N + 1 rows per task cross the shuffle, and the
+    aggregate keeps 6 buffers whatever N is (whole-stage codegen stays on;
+    a column-per-rule aggregate exceeds codegen's field limit near 16 rules).
+    The <= N + 1 result rows are then folded into one row and unpivoted.
+    A rule that flags nothing keeps its row: count 0, NULL sums.
+
+    With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules`` and
+    the rules' pre-aggregated columns are merged instead.
+    """
+    _check_rules(rules)
+    if isinstance(m, PartialMeasures):
+        aggs = base_total_exprs(m)
+        for i, rule in enumerate(rules):
+            aggs += m.rule(i, rule)
+        return _unpivot_rules(df.agg(*aggs), rules)
+
+    if _fits_codegen(df, len(rules)):
+        return compare_wide(df, rules)
+
+    # NULL for a rule the row does not match; dropped right after the generator
+    # (a plain filter stays in codegen, array_compact would not)
+    matches = F.array(F.lit(-1), *[F.when(rule.flag(), F.lit(i)) for i, rule in enumerate(rules)])
+    per_index = (
+        df.select(F.explode(matches).alias("rule_idx"), "amount", "isFraud")
+        .where(F.col("rule_idx").isNotNull())
+        .groupBy("rule_idx")
+        .agg(*measure_exprs(ROWS))
+    )
+
+    def pick(idx: int, measure: str) -> Column:
+        return F.max(F.when(F.col("rule_idx") == idx, F.col(measure)))
+
+    folded = [
+        F.coalesce(pick(-1, "rows"), F.lit(0)).cast("long").alias("total_transactions"),
+        pick(-1, "value").cast("double").alias("total_value"),
+        pick(-1, "fraud_rows").alias("total_fraud_count"),
+        pick(-1, "fraud_value").cast("double").alias("total_fraud_value"),
+        pick(-1, "legit_rows").alias("total_legit_count"),
+        pick(-1, "legit_value").cast("double").alias("total_legit_value"),
+    ]
+    as_rule = dict(zip(RULE_MEASURES, ("rows", "value", "fraud_rows", "fraud_value", "legit_rows", "legit_value")))
+    for i in range(len(rules)):
+        for k, src in as_rule.items():
+            c = pick(i, src)
+            if k == "flagged_transactions":
+                c = F.coalesce(c, F.lit(0)).cast("long")
+            folded.append(c.alias(f"r{i}_{k}"))
+    return _unpivot_rules(per_index.agg(*folded), rules)
+
+
+def compare_wide(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> DataFrame:
+    """The same answer with one aggregate column per rule measure (kept for the bench)."""
+    _check_rules(rules)
+    aggs = base_total_exprs(ROWS)
+    for i, rule in enumerate(rules):
+        aggs += ROWS.rule(i, rule)
+    return _unpivot_rules(df.agg(*aggs), rules)
+
+
 def compare_union(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> DataFrame:
     """The same answer as ``compare`` in filter + UNION ALL + one-row join form.
 

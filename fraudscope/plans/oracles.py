@@ -194,8 +194,10 @@ ORDER BY {ALL_ASC} LIMIT 50"""
             f"""SELECT COUNT(*) AS total_rows,
     {_MISSING},
     {_cnt("nameDest LIKE 'M%'")} AS merchant_rows,
-    {_cnt("nameDest LIKE 'M%' AND oldbalanceDest IS NULL")} AS merchant_missing_oldbalanceDest,
-    {_cnt("nameDest LIKE 'M%' AND newbalanceDest IS NULL")} AS merchant_missing_newbalanceDest,
+    CAST(SUM(CASE WHEN nameDest LIKE 'M%' THEN CAST(oldbalanceDest IS NULL AS INTEGER) END) AS BIGINT)
+        AS merchant_missing_oldbalanceDest,
+    CAST(SUM(CASE WHEN nameDest LIKE 'M%' THEN CAST(newbalanceDest IS NULL AS INTEGER) END) AS BIGINT)
+        AS merchant_missing_newbalanceDest,
     {_cnt('amount < 0')} AS negative_amounts,
     {_cnt('amount = 0')} AS zero_amounts,
     MIN(amount) AS min_amount, MAX(amount) AS max_amount, {_AVG} AS avg_amount,

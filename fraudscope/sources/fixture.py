@@ -113,13 +113,16 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_from_events(read_events(spark, sf_dir))
 
 
-def stream_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture as a stream: new ``events*.parquet`` files in ``sf_dir`` become rows."""
+def stream_fixture(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The fixture as a stream: new ``events*.parquet`` files in ``sf_dir`` become rows.
+
+    ``max_files_per_trigger`` bounds one micro-batch on a large backlog.
+    """
     schema = read_events(spark, sf_dir).schema
     events = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(sf_dir)
     )
     return fixture_from_events(events)

@@ -40,9 +40,11 @@ def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
     writer.parquet(path)
 
 
-def stream_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def stream_transactions(
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = 1000
+) -> DataFrame:
     """The same table as a stream of new files landing under ``path``."""
-    reader = spark.readStream.schema(TXN_SCHEMA)
+    reader = spark.readStream.schema(TXN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
         return reader.option("header", True).option("mode", "FAILFAST").csv(path)
     return reader.parquet(path)

@@ -122,3 +122,14 @@ def test_top_k_with_ties_is_deterministic(spark):
     a = [tuple(r) for r in dq.top_amounts(df.repartition(4)).collect()]
     b = [tuple(r) for r in dq.top_amounts(df.repartition(3)).collect()]
     assert a == b and len(a) == 20
+
+
+def test_many_rules_narrow_path_equals_union(txn01):
+    sweep = [th.Rule(f"r{k}", k * 1000, ("TRANSFER", "CASH_OUT")) for k in range(25, 625, 25)]
+    sweep.append(th.Rule("nothing", 1e15))
+    assert not th._fits_codegen(txn01, len(sweep))  # exercises the narrow aggregate
+    key = lambda r: [(v is None, str(v)) for v in r]
+    a = sorted(map(tuple, th.compare(txn01, sweep).collect()), key=key)
+    b = sorted(map(tuple, th.compare_union(txn01, sweep).collect()), key=key)
+    c = sorted(map(tuple, th.compare_wide(txn01, sweep).collect()), key=key)
+    assert a == b == c
