@@ -45,14 +45,39 @@ class Result:
     oracle_rows: int
 
 
+_SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
+
+def type_mismatches(spark_df, rel) -> list[str]:
+    """Columns whose Spark type does not correspond to the oracle's DuckDB type."""
+    duck = {d[0]: str(d[1]) for d in rel.description}
+    out = []
+    for f in spark_df.schema.fields:
+        want = _SPARK_TO_DUCK.get(f.dataType.simpleString())
+        got = duck.get(f.name)
+        if want is not None and got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs oracle {got}")
+    return out
+
+
 def compare(spark_df, sql: str, con) -> Result:
     sp_cols = spark_df.columns
     rel = con.execute(sql)
     ora_cols = [d[0] for d in rel.description]
+    types = type_mismatches(spark_df, rel)
     ora_rows = rel.fetchall()
     sp_rows = [tuple(r) for r in spark_df.collect()]
     if sorted(sp_cols) != sorted(ora_cols):
         return Result(False, f"columns differ: spark={sp_cols} oracle={ora_cols}", len(sp_rows), len(ora_rows))
+    if types:
+        return Result(False, f"types differ: {types}", len(sp_rows), len(ora_rows))
     order = sorted(range(len(sp_cols)), key=lambda i: sp_cols[i])
     oorder = [ora_cols.index(sp_cols[i]) for i in order]
     a = sorted((tuple(_norm(r[i]) for i in order) for r in sp_rows), key=_key)
