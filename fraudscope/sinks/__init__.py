@@ -1,5 +1,12 @@
 """Sinks: dashboard exports as delimited text, row-level tables as Parquet."""
 
-from fraudscope.sinks.export import DASHBOARD_FILES, export, export_all, export_parquet, read_export
+from fraudscope.sinks.export import (
+    DASHBOARD_FILES,
+    export,
+    export_all,
+    export_parquet,
+    export_row_tables,
+    read_export,
+)
 
-__all__ = ["DASHBOARD_FILES", "export", "export_all", "export_parquet", "read_export"]
+__all__ = ["DASHBOARD_FILES", "export", "export_all", "export_parquet", "export_row_tables", "read_export"]

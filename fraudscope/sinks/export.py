@@ -120,3 +120,22 @@ def export_all(df: DataFrame, out_dir: str) -> dict[str, str]:
         export(table, path, DASHBOARD_FILES[name])
         paths[name] = path
     return paths
+
+
+def export_row_tables(df: DataFrame, out_dir: str) -> dict[str, str]:
+    """Row-level results as Parquet: review queue (by queue), outliers, invalid amounts.
+
+    Written by every task in parallel; nothing goes through one partition.
+    """
+    from fraudscope.operators import quality as dq
+
+    out = out_dir.rstrip("/")
+    paths = {
+        "review_queue": f"{out}/review_queue",
+        "amount_outliers": f"{out}/amount_outliers",
+        "invalid_amounts": f"{out}/invalid_amounts",
+    }
+    export_parquet(th.review_queue(df), paths["review_queue"], ["review_queue"])
+    export_parquet(dq.amount_outliers(df), paths["amount_outliers"])
+    export_parquet(dq.invalid_amount_rows(df), paths["invalid_amounts"])
+    return paths

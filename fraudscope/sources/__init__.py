@@ -1,13 +1,23 @@
 """Sources: the transaction table from CSV / Parquet / a stream, and the test fixture."""
 
 from fraudscope.sources.fixture import fixture_from_events, read_events, stream_fixture, transactions
-from fraudscope.sources.tables import land_parquet, preview, read_transactions, register_views, stream_transactions
+from fraudscope.sources.tables import (
+    land_by_period,
+    land_parquet,
+    preview,
+    read_periods,
+    read_transactions,
+    register_views,
+    stream_transactions,
+)
 
 __all__ = [
     "fixture_from_events",
+    "land_by_period",
     "land_parquet",
     "preview",
     "read_events",
+    "read_periods",
     "read_transactions",
     "register_views",
     "stream_fixture",

@@ -40,6 +40,20 @@ def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
     writer.parquet(path)
 
 
+def land_by_period(df: DataFrame, path: str, period_hours: int = 168) -> None:
+    """Land the table partitioned by period, so an incremental run reads one folder.
+
+    ``period = (step - 1) div period_hours``; a filter on ``period`` becomes a
+    partition filter (no file of another period is opened).
+    """
+    land_parquet(df.withColumn("period", F.expr(f"(step - 1) div {int(period_hours)}")), path, ["period"])
+
+
+def read_periods(spark: SparkSession, path: str, periods: list[int]) -> DataFrame:
+    """Read only the given periods of a table landed with ``land_by_period``."""
+    return read_transactions(spark, path).where(F.col("period").isin(*periods))
+
+
 def stream_transactions(
     spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = 1000
 ) -> DataFrame:
