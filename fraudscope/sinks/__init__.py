@@ -8,5 +8,15 @@ from fraudscope.sinks.export import (
     export_row_tables,
     read_export,
 )
+from fraudscope.sinks.publish import monitoring_tables, publish_all
 
-__all__ = ["DASHBOARD_FILES", "export", "export_all", "export_parquet", "export_row_tables", "read_export"]
+__all__ = [
+    "DASHBOARD_FILES",
+    "export",
+    "export_all",
+    "export_parquet",
+    "export_row_tables",
+    "monitoring_tables",
+    "publish_all",
+    "read_export",
+]

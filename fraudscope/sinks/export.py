@@ -79,7 +79,7 @@ def read_export(spark: SparkSession, path: str, schema: T.StructType, sep: str =
 DASHBOARD_GRAIN = ["step", "type", "amount_band", "origin_balance_band"]
 
 
-def dashboard_rollup(df: DataFrame) -> DataFrame:
+def dashboard_rollup(df: DataFrame, rules: tuple = th.DASHBOARD_RULES) -> DataFrame:
     """Every measure the eight dashboard files need, at step x type x both bands.
 
     ONE scan of the transaction table; the result (bounded by steps x types x
@@ -88,12 +88,15 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
     again and an executor lost later does not re-trigger the scan.
     """
     checkpoint_root(df.sparkSession)
-    return rollup(with_bands(df), DASHBOARD_GRAIN, th.DASHBOARD_RULES).checkpoint(eager=True)
+    return rollup(with_bands(df), DASHBOARD_GRAIN, rules).checkpoint(eager=True)
 
 
-def dashboard_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """The eight dashboard tables, keyed by file name, all from one rollup."""
-    r = dashboard_rollup(df)
+def dashboard_tables(df: DataFrame, r: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The eight dashboard tables, keyed by file name, all from one rollup.
+
+    ``r``: an existing ``dashboard_rollup`` whose first rules are the dashboard rules.
+    """
+    r = dashboard_rollup(df) if r is None else r
     summary = seg.executive_summary(r, PARTIALS)
     by_type = (
         seg.segment_metrics(r, ["type"], m=PARTIALS)
