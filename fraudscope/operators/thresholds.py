@@ -257,8 +257,11 @@ def compare_union(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> Dat
     unioned = parts[0]
     for p in parts[1:]:
         unioned = unioned.unionByName(p)
-    joined = unioned.crossJoin(F.broadcast(base_totals(df)))  # one-row side
-    return _with_shares(joined).orderBy(F.asc_nulls_last("threshold_name"))
+    # the one-row totals attach as uncorrelated scalar subqueries (merged into
+    # one aggregate by the optimizer), not as a join
+    totals = base_totals(df)
+    with_totals = unioned.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+    return _with_shares(with_totals).orderBy(F.asc_nulls_last("threshold_name"))
 
 
 def rule_detail(df: DataFrame, rule: Rule) -> DataFrame:

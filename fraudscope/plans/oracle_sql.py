@@ -46,6 +46,12 @@ ev AS (
                   ELSE (event_id * 17) % 500000 END AS DECIMAL(18,2)) AS od
     FROM events
 ),
+ev2 AS (
+    -- every 500th event appears twice (exact duplicate rows)
+    SELECT * FROM ev
+    UNION ALL
+    SELECT * FROM ev WHERE e % 500 = 0
+),
 tx AS (
     SELECT
         date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) + 1 AS step,
@@ -63,8 +69,7 @@ tx AS (
                   WHEN t IN ('TRANSFER', 'CASH_OUT') AND (e % 35 = 4 OR e % 101 = 7) THEN 1
                   ELSE 0 END AS BIGINT) AS isFraud,
         CAST(CASE WHEN t = 'TRANSFER' AND amt > 200000 AND e % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS isFlaggedFraud
-    FROM ev CROSS JOIN (VALUES (0), (1)) AS copies(k)
-    WHERE k = 0 OR e % 500 = 0
+    FROM ev2
 )"""
 
 SEGMENTED_CTE = """
