@@ -43,9 +43,10 @@ def monitoring_partials(r: DataFrame, period_hours: int = HOURS_PER_WEEK) -> Dat
 def monitoring_tables(r: DataFrame, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None) -> dict[str, DataFrame]:
     """MON-1..10 and AL-1..6 from the dashboard rollup (no further scan)."""
     p = monitoring_partials(r, period_hours)
-    metrics = mon.metrics_from_rollup(p, period_hours)
-    by_type = mon.rate_by_type_from_rollup(p, period_hours)
-    threshold = mon.threshold_from_rollup(p, period_hours)
+    # one row per period (and type): computed once, then read by the alerts
+    metrics = mon.materialize(mon.metrics_from_rollup(p, period_hours))
+    by_type = mon.materialize(mon.rate_by_type_from_rollup(p, period_hours))
+    threshold = mon.materialize(mon.threshold_from_rollup(p, period_hours))
     tables = {
         "weekly_metrics": metrics,
         "weekly_rate_by_type": by_type,
