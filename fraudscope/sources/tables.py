@@ -69,9 +69,6 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(*sort_keys(rest=TXN_COLUMNS)).limit(n)
 
 
-def project_base(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c) for c in TXN_COLUMNS])
-
 
 def register_views(df: DataFrame, name: str = "paysim") -> None:
     """Name the table and its segmented view for ``spark.sql`` users.
