@@ -32,3 +32,14 @@ def duck01():
     from fraudscope.plans.parity import duckdb_connection
 
     return duckdb_connection(SF01)
+
+
+@pytest.fixture(scope="session")
+def landed01(spark, txn01):
+    """The sf0.01 fixture landed as Parquet (the production read path)."""
+    from fraudscope.session import scratch_path
+    from fraudscope.sources import land_parquet, read_transactions
+
+    path = scratch_path(spark, "test-landed")
+    land_parquet(txn01.repartition(4), path)
+    return read_transactions(spark, path)
