@@ -70,10 +70,45 @@ def metrics_from_partials(partials: DataFrame, period_hours: int = HOURS_PER_WEE
     return mon.metrics_from_rollup(partials, period_hours, spine=False)
 
 
+# The state holds (open windows x types x amount bands) rows, independent of
+# the feed's volume; Spark fixes the number of state partitions from
+# spark.sql.shuffle.partitions at the query's first start (kept in the
+# checkpoint), so a batch-sized setting (thousands) would mean thousands of
+# nearly empty state stores per micro-batch.
+STATE_PARTITIONS = 64
+
+
+def _state_partitions(spark, wanted: int | None) -> int:
+    if wanted is not None:
+        return wanted
+    try:
+        return max(1, min(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))
+    except Exception:  # no SparkContext (Spark Connect)
+        return STATE_PARTITIONS
+
+
+def _start(writer, spark, state_partitions: int | None, path: str | None = None) -> StreamingQuery:
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(_state_partitions(spark, state_partitions)))
+    try:
+        return writer.start(path) if path is not None else writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def start_window_partials(
-    stream: DataFrame, sink: str, checkpoint: str, period_hours: int = HOURS_PER_WEEK, available_now: bool = False
+    stream: DataFrame,
+    sink: str,
+    checkpoint: str,
+    period_hours: int = HOURS_PER_WEEK,
+    available_now: bool = False,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """ST-1: append closed windows to a Parquet table."""
+    """ST-1: append closed windows to a Parquet table.
+
+    ``state_partitions``: fixed at the first start; default min(64, cluster cores).
+    """
     writer = (
         window_partials(stream, period_hours)
         .writeStream.format("parquet")
@@ -81,7 +116,7 @@ def start_window_partials(
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(sink)
+    return _start(writer, stream.sparkSession, state_partitions, sink)
 
 
 def start_review_queue(stream: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -103,6 +138,7 @@ def start_alerts(
     checkpoint: str,
     period_hours: int = HOURS_PER_WEEK,
     available_now: bool = False,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """ST-3: fraud-rate spike alerts (AL-1) re-evaluated as periods close.
 
@@ -132,7 +168,7 @@ def start_alerts(
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    return _start(writer, stream.sparkSession, state_partitions)
 
 
 def run_to_end(query: StreamingQuery, timeout_s: int = 600) -> None:
