@@ -81,3 +81,23 @@ def test_duplicates_add_up(spark, rows):
     assert r.total_rows == len(rows) + min(3, len(rows))
     assert r.total_rows == r.distinct_rows + r.duplicate_rows
     assert r.distinct_rows == len(set(rows + rows[:3]))
+
+
+@SETTINGS
+@given(rows=TABLES, period_hours=st.sampled_from([6, 24]))
+def test_monitoring_tables_add_up(spark, rows, period_hours):
+    from fraudscope.operators import monitoring as mon
+
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    metrics = mon.weekly_metrics(df, period_hours).collect()
+    assert sum(r.total_transactions for r in metrics) == len(rows)
+    assert sum(r.fraud_count for r in metrics) == sum(1 for x in rows if x[9] == 1)
+    periods = [r.period for r in metrics]
+    assert periods == list(range(periods[0], periods[-1] + 1)) if periods else True  # no gaps
+    by_type = mon.weekly_rate_by_type(df, period_hours).collect()
+    per_period = {}
+    for r in by_type:
+        per_period[r.period] = per_period.get(r.period, 0) + r.total_transactions
+    assert per_period == {r.period: r.total_transactions for r in metrics}
+    for r in mon.weekly_threshold(df, period_hours).collect():
+        assert r.fraud_captured_count + r.legit_affected_count <= r.above_threshold_count <= r.total_transactions
