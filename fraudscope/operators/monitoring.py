@@ -1,12 +1,13 @@
 """Weekly monitoring metrics (MON-1..10) and alerts (AL-1..6).
 
 Periods are ``(step - 1) div period_hours`` (step 1 = first hour), so the
-default ``period_hours=168`` gives calendar weeks. Each metric table is one
-``groupBy(period[, type])`` aggregate (partial aggregation map-side), then a
-spine of every period between the first and the last one is left-joined so a
-quiet week shows zeros instead of disappearing. Spines are built from the
-aggregate itself with ``explode(sequence(lo, hi))``: no cross join, no second
-scan (the aggregate's shuffle is reused).
+default ``period_hours=168`` gives calendar weeks. Each metric table starts
+from one rollup of additive measures per period (and type / amount band):
+one scan with partial aggregation map-side, checkpointed. A spine of every
+period between the first and the last one is then left-joined, so a quiet
+week shows zeros instead of disappearing. Spines come from the checkpointed
+rollup with ``explode(sequence(lo, hi))``: no cross join, no second scan.
+The same final projections read streaming window partials (``*_from_rollup``).
 
 Alerts run on the metric tables: one row per period (per type), so their
 windows without a partition key see a few hundred rows at most. Thresholds

@@ -1,11 +1,17 @@
 """Candidate review rules: comparison, per-type detail and queue routing (TH-1..7).
 
-``compare`` evaluates any number of rules in ONE scan and ONE global aggregate:
-every rule becomes a boolean column, every metric a conditional sum, and the
-base totals ride in the same aggregate. Partial aggregation runs map-side, so
-the only shuffle carries one row per task; a sweep over hundreds of cut-offs
-still costs one pass over the table. The single result row is then unpivoted
-with ``explode`` into one row per rule -- no join, no union, no re-scan.
+``compare`` evaluates any number of rules in ONE scan and ONE global aggregate,
+with the base totals in the same aggregate. Partial aggregation runs map-side,
+so the only shuffle carries a handful of rows per task; a sweep over many
+cut-offs still costs one pass over the table. Two plan forms, chosen by the
+codegen field budget:
+
+* few rules: every rule measure is a conditional aggregate column;
+* many rules: every row is emitted once per rule it matches and grouped by
+  rule index, so the aggregate stays six measures wide and stays codegen'd.
+
+Either way the result is folded into one row and unpivoted with ``explode``
+into one row per rule -- no join, no union, no re-scan.
 """
 
 from __future__ import annotations
@@ -176,8 +182,8 @@ def compare(
     once per rule it matches (``explode`` of the matching indices), then
     grouped by rule index with the six base measures. Partial aggregation
     runs map-side, so at most N + 1 rows per task cross the shuffle, and the
-    aggregate keeps 6 buffers whatever N is (whole-stage codegen stays on;
-    a column-per-rule aggregate exceeds codegen's field limit near 16 rules).
+    aggregate keeps six measures whatever N is (whole-stage codegen stays on,
+    where a column per rule measure would pass ``spark.sql.codegen.maxFields``).
     The <= N + 1 result rows are then folded into one row and unpivoted.
     A rule that flags nothing keeps its row: count 0, NULL sums.
 

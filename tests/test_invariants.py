@@ -74,3 +74,8 @@ def test_weekly_spine_has_no_gap(spark, txn01):
     assert rows[1].total_transactions == 0 and rows[1].fraud_rate_pct is None
     by_type = mon.weekly_rate_by_type(sparse)
     assert by_type.count() == 5 * 6  # every (period, type) incl. NULL type
+
+
+def test_compare_output_contract(txn01):
+    assert th.compare(txn01).columns == th.COMPARE_COLUMNS
+    assert th.compare_union(txn01).columns == th.COMPARE_COLUMNS
