@@ -47,13 +47,38 @@ def _money_columns(df: DataFrame) -> list[str]:
     ]
 
 
+def _plain_double(c: str):
+    """A double in plain notation with at least one decimal (0.0002, 24.7191, 0.0).
+
+    Java writes doubles below 1e-3 as ``2.0E-4``; rates are rounded to at most
+    4 digits, so 10 decimals hold them exactly and the text parses back to
+    the same double.
+    """
+    x = F.col(c)
+    text = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), "0+$", "")
+    plain = F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    # beyond DECIMAL(38,10)'s range (never a rate) keep Spark's own text
+    return F.when(F.abs(x) < F.lit(1e17), plain).otherwise(x.cast("string"))
+
+
 def export(df: DataFrame, path: str, sep: str = "\t", money_columns: Sequence[str] | None = None) -> None:
     """Write a small, already ordered result as one headered delimited file.
 
+    Money columns as DECIMAL(38,2) text, other doubles in plain notation.
     NULL is written as an empty field; a value holding the separator is quoted.
     """
     money_cols = set(_money_columns(df) if money_columns is None else money_columns)
-    out = df.select(*[F.col(c).cast("decimal(38,2)").alias(c) if c in money_cols else F.col(c) for c in df.columns])
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    out = df.select(
+        *[
+            F.col(c).cast("decimal(38,2)").alias(c)
+            if c in money_cols
+            else _plain_double(c).alias(c)
+            if c in doubles
+            else F.col(c)
+            for c in df.columns
+        ]
+    )
     (
         out.coalesce(1)
         .write.mode("overwrite")

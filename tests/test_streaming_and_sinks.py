@@ -159,3 +159,18 @@ def test_publish_all_equals_direct(spark, txn01):
         assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key), name
     assert spark.read.parquet(paths["quality_report"]).count() == 1
     assert len([k for k in paths if "." in k]) == 8
+
+
+def test_export_writes_plain_numbers(spark):
+    from fraudscope.sinks import export
+
+    df = spark.createDataFrame(
+        [("a", 0.0002, 0.0, 24.7191, 1144392944759.77, None)],
+        "k string, r1 double, r2 double, r3 double, total_value double, r4 double",
+    )
+    path = f"{scratch_path(spark, 'test-plain')}/t.txt"
+    export(df, path, "\t")
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines[1] == "a\t0.0002\t0.0\t24.7191\t1144392944759.77\t"
+    back = read_export(spark, path, df.schema)
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.collect()]
