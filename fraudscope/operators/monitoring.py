@@ -324,3 +324,29 @@ def capacity_breach(threshold_metrics: DataFrame, capacity: int) -> DataFrame:
         F.lit(int(capacity)).cast("long").alias("capacity"),
         (F.col("review_queue_volume") > capacity).alias("alert"),
     ).orderBy("period")
+
+
+def tables_from_partials(
+    partials: DataFrame, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None
+) -> dict[str, DataFrame]:
+    """MON-1..10 and AL-1..6 from monitoring partials (period x type x amount band grain).
+
+    The three period tables are checkpointed once and every alert reads them;
+    AL-6 is included when a ``capacity`` is given.
+    """
+    metrics = materialize(metrics_from_rollup(partials, period_hours))
+    by_type = materialize(rate_by_type_from_rollup(partials, period_hours))
+    threshold = materialize(threshold_from_rollup(partials, period_hours))
+    tables = {
+        "weekly_metrics": metrics,
+        "weekly_rate_by_type": by_type,
+        "weekly_threshold": threshold,
+        "alert_fraud_rate_spike": fraud_rate_spike(metrics),
+        "alert_transfer_spike": type_spike(by_type, "TRANSFER"),
+        "alert_cash_out_spike": week_over_week(by_type, "CASH_OUT"),
+        "alert_review_surge": review_surge(threshold),
+        "alert_value_concentration": concentration_from_rollup(partials),
+    }
+    if capacity is not None:
+        tables["alert_capacity_breach"] = capacity_breach(threshold, capacity)
+    return tables

@@ -42,24 +42,7 @@ def monitoring_partials(r: DataFrame, period_hours: int = HOURS_PER_WEEK) -> Dat
 
 def monitoring_tables(r: DataFrame, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None) -> dict[str, DataFrame]:
     """MON-1..10 and AL-1..6 from the dashboard rollup (no further scan)."""
-    p = monitoring_partials(r, period_hours)
-    # one row per period (and type): computed once, then read by the alerts
-    metrics = mon.materialize(mon.metrics_from_rollup(p, period_hours))
-    by_type = mon.materialize(mon.rate_by_type_from_rollup(p, period_hours))
-    threshold = mon.materialize(mon.threshold_from_rollup(p, period_hours))
-    tables = {
-        "weekly_metrics": metrics,
-        "weekly_rate_by_type": by_type,
-        "weekly_threshold": threshold,
-        "alert_fraud_rate_spike": mon.fraud_rate_spike(metrics),
-        "alert_transfer_spike": mon.type_spike(by_type, "TRANSFER"),
-        "alert_cash_out_spike": mon.week_over_week(by_type, "CASH_OUT"),
-        "alert_review_surge": mon.review_surge(threshold),
-        "alert_value_concentration": mon.concentration_from_rollup(p),
-    }
-    if capacity is not None:
-        tables["alert_capacity_breach"] = mon.capacity_breach(threshold, capacity)
-    return tables
+    return mon.tables_from_partials(monitoring_partials(r, period_hours), period_hours, capacity)
 
 
 def publish_all(

@@ -139,14 +139,17 @@ def start_alerts(
     period_hours: int = HOURS_PER_WEEK,
     available_now: bool = False,
     state_partitions: int | None = None,
+    capacity: int | None = None,
 ) -> StreamingQuery:
-    """ST-3: fraud-rate spike alerts (AL-1) re-evaluated as periods close.
+    """ST-3: monitoring tables and alerts (AL-1..6) re-evaluated as periods close.
 
-    ``out_dir/partials/batch=<id>`` holds each batch's closed windows,
-    ``out_dir/alerts`` the current alert table (overwritten per batch).
+    ``out_dir/partials/batch=<id>`` holds each batch's closed windows;
+    ``out_dir/tables/<name>`` the current MON and AL tables (overwritten per
+    batch, one row per period); ``out_dir/alerts`` the fraud-rate spikes (AL-1).
     """
     partials_dir = f"{out_dir}/partials"
     alerts_dir = f"{out_dir}/alerts"
+    tables_dir = f"{out_dir}/tables"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -158,8 +161,10 @@ def start_alerts(
         finally:
             batch.unpersist()
         partials = spark.read.parquet(partials_dir).drop("batch")
-        alerts = mon.fraud_rate_spike(metrics_from_partials(partials, period_hours))
-        alerts.coalesce(1).write.mode("overwrite").parquet(alerts_dir)
+        tables = mon.tables_from_partials(partials, period_hours, capacity)
+        for name, table in tables.items():
+            table.coalesce(1).write.mode("overwrite").parquet(f"{tables_dir}/{name}")
+        tables["alert_fraud_rate_spike"].coalesce(1).write.mode("overwrite").parquet(alerts_dir)
 
     writer = (
         window_partials(stream, period_hours)

@@ -174,3 +174,19 @@ def test_export_writes_plain_numbers(spark):
     assert lines[1] == "a\t0.0002\t0.0\t24.7191\t1144392944759.77\t"
     back = read_export(spark, path, df.schema)
     assert [tuple(r) for r in back.collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_stream_alerts_cover_every_alert(spark, txn01):
+    base = scratch_path(spark, "test-st-all-alerts")
+    q = st.start_alerts(stream_fixture(spark, SF01), base, f"{base}/c", 24, available_now=True, capacity=50)
+    st.run_to_end(q)
+    closed = spark.read.parquet(f"{base}/tables/weekly_metrics").agg(F.max("period")).first()[0]
+    batch = {
+        "alert_review_surge": mon.review_surge(mon.weekly_threshold(txn01, 24)),
+        "alert_cash_out_spike": mon.week_over_week(mon.weekly_rate_by_type(txn01, 24), "CASH_OUT"),
+        "alert_capacity_breach": mon.capacity_breach(mon.weekly_threshold(txn01, 24), 50),
+    }
+    for name, want in batch.items():
+        got = spark.read.parquet(f"{base}/tables/{name}")
+        want = want.where(F.col("period") <= closed)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), name
