@@ -326,27 +326,52 @@ def capacity_breach(threshold_metrics: DataFrame, capacity: int) -> DataFrame:
     ).orderBy("period")
 
 
+MONITORING_TABLES = (
+    "weekly_metrics",
+    "weekly_rate_by_type",
+    "weekly_threshold",
+    "alert_fraud_rate_spike",
+    "alert_transfer_spike",
+    "alert_cash_out_spike",
+    "alert_review_surge",
+    "alert_value_concentration",
+    "alert_capacity_breach",
+)
+
+
 def tables_from_partials(
-    partials: DataFrame, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None
+    partials: DataFrame,
+    period_hours: int = HOURS_PER_WEEK,
+    capacity: int | None = None,
+    names: tuple[str, ...] | None = None,
 ) -> dict[str, DataFrame]:
     """MON-1..10 and AL-1..6 from monitoring partials (period x type x amount band grain).
 
-    The three period tables are checkpointed once and every alert reads them;
-    AL-6 is included when a ``capacity`` is given.
+    ``names`` selects tables (default: all; AL-6 only with a ``capacity``). A
+    period table that several selected tables need is checkpointed once.
     """
-    metrics = materialize(metrics_from_rollup(partials, period_hours))
-    by_type = materialize(rate_by_type_from_rollup(partials, period_hours))
-    threshold = materialize(threshold_from_rollup(partials, period_hours))
-    tables = {
-        "weekly_metrics": metrics,
-        "weekly_rate_by_type": by_type,
-        "weekly_threshold": threshold,
-        "alert_fraud_rate_spike": fraud_rate_spike(metrics),
-        "alert_transfer_spike": type_spike(by_type, "TRANSFER"),
-        "alert_cash_out_spike": week_over_week(by_type, "CASH_OUT"),
-        "alert_review_surge": review_surge(threshold),
-        "alert_value_concentration": concentration_from_rollup(partials),
+    wanted = [n for n in (names or MONITORING_TABLES) if n != "alert_capacity_breach" or capacity is not None]
+    cache: dict[str, DataFrame] = {}
+
+    def base(name: str) -> DataFrame:
+        if name not in cache:
+            build = {
+                "weekly_metrics": metrics_from_rollup,
+                "weekly_rate_by_type": rate_by_type_from_rollup,
+                "weekly_threshold": threshold_from_rollup,
+            }[name]
+            cache[name] = materialize(build(partials, period_hours))
+        return cache[name]
+
+    build_alert = {
+        "weekly_metrics": lambda: base("weekly_metrics"),
+        "weekly_rate_by_type": lambda: base("weekly_rate_by_type"),
+        "weekly_threshold": lambda: base("weekly_threshold"),
+        "alert_fraud_rate_spike": lambda: fraud_rate_spike(base("weekly_metrics")),
+        "alert_transfer_spike": lambda: type_spike(base("weekly_rate_by_type"), "TRANSFER"),
+        "alert_cash_out_spike": lambda: week_over_week(base("weekly_rate_by_type"), "CASH_OUT"),
+        "alert_review_surge": lambda: review_surge(base("weekly_threshold")),
+        "alert_value_concentration": lambda: concentration_from_rollup(partials),
+        "alert_capacity_breach": lambda: capacity_breach(base("weekly_threshold"), capacity),
     }
-    if capacity is not None:
-        tables["alert_capacity_breach"] = capacity_breach(threshold, capacity)
-    return tables
+    return {name: build_alert[name]() for name in wanted}

@@ -128,7 +128,12 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-3: daily fraud-rate spike alerts over the closed periods of the stream."""
     base = scratch_path(spark, "st-alerts")
     q = st.start_alerts(
-        stream_fixture(spark, sf_dir), base, f"{base}/_checkpoint", ALERT_PERIOD_HOURS, available_now=True
+        stream_fixture(spark, sf_dir),
+        base,
+        f"{base}/_checkpoint",
+        ALERT_PERIOD_HOURS,
+        available_now=True,
+        tables=("alert_fraud_rate_spike",),
     )
     st.run_to_end(q)
     return spark.read.parquet(f"{base}/alerts")

@@ -140,9 +140,13 @@ def start_alerts(
     available_now: bool = False,
     state_partitions: int | None = None,
     capacity: int | None = None,
+    tables: tuple[str, ...] | None = None,
 ) -> StreamingQuery:
     """ST-3: monitoring tables and alerts (AL-1..6) re-evaluated as periods close.
 
+    ``tables``: which of ``monitoring.MONITORING_TABLES`` to keep current
+    (default all; AL-1 is always written to ``out_dir/alerts``).
+
     ``out_dir/partials/batch=<id>`` holds each batch's closed windows;
     ``out_dir/tables/<name>`` the current MON and AL tables (overwritten per
     batch, one row per period); ``out_dir/alerts`` the fraud-rate spikes (AL-1).
@@ -161,10 +165,13 @@ def start_alerts(
         finally:
             batch.unpersist()
         partials = spark.read.parquet(partials_dir).drop("batch")
-        tables = mon.tables_from_partials(partials, period_hours, capacity)
-        for name, table in tables.items():
+        names = tuple(dict.fromkeys((*(tables or mon.MONITORING_TABLES), "alert_fraud_rate_spike")))
+        built = mon.tables_from_partials(partials, period_hours, capacity, names)
+        for name, table in built.items():
             table.coalesce(1).write.mode("overwrite").parquet(f"{tables_dir}/{name}")
-        tables["alert_fraud_rate_spike"].coalesce(1).write.mode("overwrite").parquet(alerts_dir)
+        spark.read.parquet(f"{tables_dir}/alert_fraud_rate_spike").coalesce(1).write.mode("overwrite").parquet(
+            alerts_dir
+        )
 
     writer = (
         window_partials(stream, period_hours)
