@@ -9,8 +9,8 @@ Money is computed in DECIMAL and cast to DOUBLE last, so every engine agrees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from fraudscope.schema import EPOCH, MONEY_TYPE, TXN_COLUMNS
 
@@ -28,84 +28,84 @@ EVENT_TYPE_TO_TXN = (
 OTHER_TXN_TYPE = "DEBIT"
 
 
-def _dec(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast(_DEC)
+# Layout of the driver's ``events`` table (TESTDATA.md); declared, not inferred.
+EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
 
 
-def fixture_from_events(events: DataFrame) -> DataFrame:
-    e = F.col("event_id")
-    purchase = F.col("event_type") == "purchase"
-
-    txn_type = F.when(e % 1019 == 0, F.lit(None).cast("string"))
-    for ev, tx in EVENT_TYPE_TO_TXN:
-        txn_type = txn_type.when(F.col("event_type") == ev, F.lit(tx))
-    txn_type = txn_type.otherwise(F.lit(OTHER_TXN_TYPE))
-
-    amt = (
-        F.when(e % 997 == 0, F.lit(None).cast(_DEC))
-        .when(e % 991 == 0, _dec(0))
-        .when(e % 983 == 0, _dec("-12.50"))
-        .otherwise(
-            _dec(F.col("value").cast("decimal(12,2)") * F.lit(4000) + (e % 100).cast("decimal(12,2)") * F.lit(0.01).cast("decimal(3,2)"))
+def _dec(sql: str) -> str:
+    return f"CAST({sql} AS {_DEC})"
+
+
+def _staged_exprs() -> list[str]:
+    """Per-event helpers: transaction type, amount, origin and destination balance."""
+    type_case = " ".join(f"WHEN event_type = '{ev}' THEN '{tx}'" for ev, tx in EVENT_TYPE_TO_TXN)
+    return [
+        "event_id AS e",
+        "ts",
+        "user_id",
+        "event_type",
+        f"CASE WHEN event_id % 1019 = 0 THEN CAST(NULL AS STRING) {type_case} ELSE '{OTHER_TXN_TYPE}' END AS t",
+        f"""CASE WHEN event_id % 997 = 0 THEN {_dec('NULL')}
+                 WHEN event_id % 991 = 0 THEN {_dec('0')}
+                 WHEN event_id % 983 = 0 THEN {_dec('-12.50')}
+                 ELSE {_dec("CAST(value AS DECIMAL(12,2)) * 4000 + CAST(event_id % 100 AS DECIMAL(12,2)) * CAST(0.01 AS DECIMAL(3,2))")}
+            END AS amt""",
+        _dec(
+            """CASE event_id % 5 WHEN 0 THEN 0
+                                 WHEN 1 THEN 1 + (event_id * 31) % 1000
+                                 WHEN 2 THEN 1001 + (event_id * 31) % 9000
+                                 WHEN 3 THEN 10001 + (event_id * 31) % 90000
+                                 ELSE 100001 + (event_id * 31) % 900000 END"""
         )
-    )
-    m = e * 31
-    ob = _dec(
-        F.when(e % 5 == 0, F.lit(0))
-        .when(e % 5 == 1, 1 + m % 1000)
-        .when(e % 5 == 2, 1001 + m % 9000)
-        .when(e % 5 == 3, 10001 + m % 90000)
-        .otherwise(100001 + m % 900000)
-    )
-    od = _dec(
-        F.when(purchase, F.when(e % 11 == 0, F.lit(None)).otherwise(F.lit(0)))
-        .otherwise(F.when(e % 7 == 0, F.lit(0)).otherwise((e * 17) % 500000))
-    )
+        + " AS ob",
+        _dec(
+            """CASE WHEN event_type = 'purchase' THEN (CASE WHEN event_id % 11 = 0 THEN NULL ELSE 0 END)
+                    WHEN event_id % 7 = 0 THEN 0
+                    ELSE (event_id * 17) % 500000 END"""
+        )
+        + " AS od",
+    ]
+
+
+def _row_exprs() -> list[str]:
+    """The transaction columns, plus the generator that emits every 500th event twice."""
+    return [
+        # whole hours since EPOCH on zone-less timestamps (no session time zone involved)
+        f"CAST(CAST(ts - TIMESTAMP_NTZ '{EPOCH}' AS INTERVAL HOUR) AS BIGINT) + 1 AS step",
+        "t AS type",
+        "CAST(amt AS DOUBLE) AS amount",
+        "concat('C', CAST(user_id AS STRING)) AS nameOrig",
+        "CAST(ob AS DOUBLE) AS oldbalanceOrg",
+        f"CAST(CASE WHEN e % 3 = 0 THEN {_dec('0')} ELSE ob - amt END AS DOUBLE) AS newbalanceOrig",
+        """CASE WHEN e % 1013 = 0 THEN CAST(NULL AS STRING)
+                WHEN event_type = 'purchase' THEN concat('M', CAST(e % 97 AS STRING))
+                ELSE concat('C', CAST((user_id * 7 + e) % 150 AS STRING)) END AS nameDest""",
+        "CAST(od AS DOUBLE) AS oldbalanceDest",
+        "CAST(CASE WHEN e % 4 = 0 THEN od ELSE od + amt END AS DOUBLE) AS newbalanceDest",
+        """CAST(CASE WHEN e % 1009 = 0 THEN NULL
+                     WHEN t IN ('TRANSFER', 'CASH_OUT') AND (e % 35 = 4 OR e % 101 = 7) THEN 1
+                     ELSE 0 END AS BIGINT) AS isFraud""",
+        "CAST(CASE WHEN t = 'TRANSFER' AND amt > 200000 AND e % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS isFlaggedFraud",
+        "explode(array_repeat(0, CASE WHEN e % 500 = 0 THEN 2 ELSE 1 END)) AS _copy",
+    ]
 
-    staged = events.select(
-        e.alias("e"),
-        F.col("ts"),
-        F.col("user_id"),
-        F.col("event_type"),
-        txn_type.alias("t"),
-        amt.alias("amt"),
-        ob.alias("ob"),
-        od.alias("od"),
-    )
-    e = F.col("e")
-    t = F.col("t")
-    amt = F.col("amt")
-    ob = F.col("ob")
-    od = F.col("od")
-    out = staged.select(
-        # Whole hours since EPOCH, on zone-less timestamps (no session time zone involved).
-        ((F.col("ts") - F.lit(EPOCH).cast("timestamp_ntz")).cast("interval hour").cast("long") + 1).alias("step"),
-        t.alias("type"),
-        amt.cast("double").alias("amount"),
-        F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("nameOrig"),
-        ob.cast("double").alias("oldbalanceOrg"),
-        F.when(e % 3 == 0, _dec(0)).otherwise(ob - amt).cast("double").alias("newbalanceOrig"),
-        F.when(e % 1013 == 0, F.lit(None).cast("string"))
-        .when(F.col("event_type") == "purchase", F.concat(F.lit("M"), (e % 97).cast("string")))
-        .otherwise(F.concat(F.lit("C"), ((F.col("user_id") * 7 + e) % 150).cast("string")))
-        .alias("nameDest"),
-        od.cast("double").alias("oldbalanceDest"),
-        F.when(e % 4 == 0, od).otherwise(od + amt).cast("double").alias("newbalanceDest"),
-        F.when(e % 1009 == 0, F.lit(None).cast("long"))
-        .when(t.isin("TRANSFER", "CASH_OUT") & ((e % 35 == 4) | (e % 101 == 7)), F.lit(1).cast("long"))
-        .otherwise(F.lit(0).cast("long"))
-        .alias("isFraud"),
-        F.when((t == "TRANSFER") & (amt > 200000) & (e % 2 == 0), F.lit(1).cast("long"))
-        .otherwise(F.lit(0).cast("long"))
-        .alias("isFlaggedFraud"),
-        # Every 500th event is emitted twice (exact duplicate rows for DQ-3/DQ-4).
-        F.explode(F.array_repeat(F.lit(0), F.when(e % 500 == 0, F.lit(2)).otherwise(F.lit(1)))).alias("_copy"),
-    )
-    return out.select(*TXN_COLUMNS)
+
+def fixture_from_events(events: DataFrame) -> DataFrame:
+    """Two SQL projections (and a generator), built JVM-side in a handful of calls."""
+    return events.selectExpr(*_staged_exprs()).selectExpr(*_row_exprs()).select(*TXN_COLUMNS)
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +118,8 @@ def stream_fixture(spark: SparkSession, sf_dir: str, max_files_per_trigger: int
 
     ``max_files_per_trigger`` bounds one micro-batch on a large backlog.
     """
-    schema = read_events(spark, sf_dir).schema
     events = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(EVENTS_SCHEMA)
         .option("pathGlobFilter", "events*.parquet")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(sf_dir)
