@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from fraudscope.plans.oracle_sql import ALL_ASC, COLS, all_asc_except, money, q, rate
-from fraudscope.schema import RULE_NAMES_ANALYSIS, RULE_NAMES_DASHBOARD
+from fraudscope.operators import thresholds as th
+from fraudscope.plans.oracle_sql import ALL_ASC, COLS, all_asc_except, band_rank, money, q, rate, rule_sql
+from fraudscope.schema import LARGE_AMOUNT, RULE_NAMES_ANALYSIS, RULE_NAMES_DASHBOARD
 
 _TOTALS = f"""
 totals AS (
@@ -29,11 +30,7 @@ def _flagged(name: str, where: str) -> str:
     FROM tx WHERE {where}"""
 
 
-_RULE_WHERE = (
-    "amount > 200000",
-    "type IN ('TRANSFER', 'CASH_OUT') AND amount > 200000",
-    "type = 'TRANSFER' AND amount > 100000",
-)
+_RULE_WHERE = tuple(rule_sql(r) for r in (th.RULE_A, th.RULE_B, th.RULE_C))
 
 
 def _compare(names: tuple[str, ...], wheres: tuple[str, ...]) -> str:
@@ -77,10 +74,10 @@ ORACLES: dict[str, str] = {
     "review_queue": q(
         f"""
 SELECT {COLS},
-    COALESCE(type IN ('TRANSFER', 'CASH_OUT') AND amount > 200000, false) AS primary_flag,
-    COALESCE(type = 'TRANSFER' AND amount > 100000, false) AS watchlist_flag,
-    CASE WHEN type IN ('TRANSFER', 'CASH_OUT') AND amount > 200000 THEN 'primary'
-         WHEN type = 'TRANSFER' AND amount > 100000 THEN 'watchlist'
+    COALESCE({rule_sql(th.RULE_B)}, false) AS primary_flag,
+    COALESCE({rule_sql(th.RULE_C)}, false) AS watchlist_flag,
+    CASE WHEN {rule_sql(th.RULE_B)} THEN 'primary'
+         WHEN {rule_sql(th.RULE_C)} THEN 'watchlist'
          ELSE 'none' END AS review_queue
 FROM tx"""
     ),
@@ -111,7 +108,7 @@ _NEG = ",\n    ".join(
 )
 _AVG = "ROUND(CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(CAST(COUNT(amount) AS DOUBLE), 0), 4)"
 _GROUPS = f"\ngroups AS (SELECT {COLS}, COUNT(*) AS duplicate_count FROM tx GROUP BY ALL)"
-_UNFLAGGED = "type = 'TRANSFER' AND amount > 200000 AND isFlaggedFraud = 0"
+_UNFLAGGED = f"type = 'TRANSFER' AND amount > {LARGE_AMOUNT} AND isFlaggedFraud = 0"
 
 ORACLES.update(
     {
@@ -336,8 +333,8 @@ FROM (SELECT DISTINCT per.type, periods.period FROM per, periods) s
 LEFT JOIN per ON per.period = s.period AND per.type IS NOT DISTINCT FROM s.type"""
 
 
-_RULE_B = "COALESCE(type IN ('TRANSFER', 'CASH_OUT') AND amount > 200000, false)"
-_RULE_C = "COALESCE(type = 'TRANSFER' AND amount > 100000, false)"
+_RULE_B = f"COALESCE({rule_sql(th.RULE_B)}, false)"
+_RULE_C = f"COALESCE({rule_sql(th.RULE_C)}, false)"
 _THRESHOLD_MEASURES = f""",
         COUNT(*) FILTER (WHERE isFraud = 0) AS ln,
         COUNT(*) FILTER (WHERE {_RULE_B}) AS an,
@@ -441,10 +438,7 @@ FROM (
 
 
 def _concentration(ph: int) -> str:
-    band_rank = (
-        "CASE amount_band WHEN '0-1K' THEN 1 WHEN '1K-10K' THEN 2 WHEN '10K-50K' THEN 3 "
-        "WHEN '50K-100K' THEN 4 WHEN '100K-200K' THEN 5 WHEN '200K+' THEN 6 END"
-    )
+    rank = band_rank(AMOUNT_BAND)
     return q(
         f"""
 SELECT period, type AS top_type, amount_band AS top_amount_band,
@@ -453,7 +447,7 @@ SELECT period, type AS top_type, amount_band AS top_amount_band,
     sv * 100 > pv * 50 AS alert
 FROM (
     SELECT *, SUM(sv) OVER (PARTITION BY period) AS pv,
-        ROW_NUMBER() OVER (PARTITION BY period ORDER BY sv DESC, type ASC NULLS LAST, {band_rank}) AS rn
+        ROW_NUMBER() OVER (PARTITION BY period ORDER BY sv DESC, type ASC NULLS LAST, {rank}) AS rn
     FROM (
         SELECT (step - 1) // {ph} AS period, type, amount_band,
             COALESCE(SUM(CAST(amount AS DECIMAL(18,2))), 0) AS sv
