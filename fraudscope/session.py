@@ -55,22 +55,23 @@ def cluster_session(app: str = "fraudscope", extra: dict[str, str] | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests on a laptop) a local
-    folder is created and registered.
+    Read from the session (or the context's checkpoint folder); only when
+    neither is set (tests on a laptop) a local folder is created. The
+    context is pointed at the same folder, so ``DataFrame.checkpoint()``
+    writes there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # Spark Connect has no SparkContext
-            root = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect has no SparkContext
+        sc = None
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="fraudscope-ckpt-")
-        try:
-            spark.sparkContext.setCheckpointDir(root)
-        except Exception:
-            pass
         spark.conf.set("spark.checkpoint.dir", root)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
