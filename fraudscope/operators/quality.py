@@ -93,6 +93,31 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str] = TXN_COLUMNS) -> Dat
     )
 
 
+def write_duplicates(df: DataFrame, path: str, columns: Sequence[str] = TXN_COLUMNS) -> dict[str, int]:
+    """DQ-3 and DQ-4 from ONE full-row shuffle.
+
+    The repeated groups (DQ-4) are written to ``path`` as Parquet while an
+    ``Observation`` on the grouped rows counts all rows and distinct rows in
+    the same job (DQ-3); observed metrics come from successful tasks only, so
+    a retried task is not counted twice. Returns the DQ-3 summary.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation("duplicates")
+    groups = row_groups(df, columns).observe(
+        obs,
+        F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("long").alias("total_rows"),
+        F.count(F.lit(1)).alias("distinct_rows"),
+    )
+    groups.where(F.col("duplicate_count") > 1).write.mode("overwrite").parquet(path)
+    got = obs.get
+    return {
+        "total_rows": got["total_rows"],
+        "distinct_rows": got["distinct_rows"],
+        "duplicate_rows": got["total_rows"] - got["distinct_rows"],
+    }
+
+
 # ------------------------------------------------------------- amounts -----
 
 

@@ -3,7 +3,8 @@
 * one scan -> the dashboard rollup (step x type x amount band x balance band,
   dashboard and monitoring rules), checkpointed; the eight dashboard files,
   the weekly monitoring tables and the alerts all derive from it;
-* one scan -> the fused quality summary;
+* one scan -> the fused quality summary; one full-row shuffle -> the
+  duplicate groups with the duplicate summary observed in the same job;
 * row-level tables (review queue, outliers, invalid amounts) -> Parquet.
 """
 
@@ -45,6 +46,11 @@ def monitoring_tables(r: DataFrame, period_hours: int = HOURS_PER_WEEK, capacity
     return mon.tables_from_partials(monitoring_partials(r, period_hours), period_hours, capacity)
 
 
+def _write_json(spark, record: dict, path: str) -> None:
+    """A one-row summary (observed in a job over the data) as a JSON file."""
+    spark.createDataFrame([record]).coalesce(1).write.mode("overwrite").json(path)
+
+
 def publish_all(
     df: DataFrame, out_dir: str, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None
 ) -> dict[str, str]:
@@ -60,6 +66,10 @@ def publish_all(
         export_parquet(table.coalesce(1), paths[name])  # one row per period
     paths["quality_report"] = f"{out}/quality/report"
     export_parquet(dq.report(df), paths["quality_report"])
+    paths["duplicate_groups"] = f"{out}/quality/duplicate_groups"
+    summary = dq.write_duplicates(df, paths["duplicate_groups"])
+    paths["duplicate_summary"] = f"{out}/quality/duplicate_summary.json"
+    _write_json(df.sparkSession, summary, paths["duplicate_summary"])
     for name, path in export_row_tables(df, f"{out}/rows").items():
         paths[name] = path
     return paths

@@ -26,6 +26,6 @@ def test_land_and_publish(spark):
     out = subprocess.run(run + ["publish", "--input", f"{base}/pq", "--output", f"{base}/run", "--capacity", "5"],
                          check=True, env=env, capture_output=True, timeout=900, text=True).stdout
     paths = json.loads(out[out.index("{"):])
-    assert len(paths) == 8 + 9 + 1 + 3
+    assert len(paths) == 8 + 9 + 1 + 2 + 3
     part = sorted(glob.glob(paths["page3_threshold_comparison.txt"] + "/part-*"))[0]
     assert len(open(part).read().strip().splitlines()) == 4  # header + 3 rules

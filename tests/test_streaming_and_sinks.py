@@ -190,3 +190,14 @@ def test_stream_alerts_cover_every_alert(spark, txn01):
         got = spark.read.parquet(f"{base}/tables/{name}")
         want = want.where(F.col("period") <= closed)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), name
+
+
+def test_duplicates_in_one_job(spark, txn01):
+    from fraudscope.operators import quality as dq
+
+    path = scratch_path(spark, "test-dups")
+    summary = dq.write_duplicates(txn01, path)
+    want = dq.duplicate_summary(txn01).first().asDict()
+    assert summary == want
+    got = spark.read.parquet(path)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, dq.duplicate_groups(txn01).collect()), key=str)
