@@ -70,7 +70,7 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 
-def register_views(df: DataFrame, name: str = "paysim") -> None:
+def register_views(df: DataFrame, name: str = "transactions") -> None:
     """Name the table and its segmented view for ``spark.sql`` users.
 
     Registers ``<name>`` (the base table) and ``<name>_segmented`` (base +

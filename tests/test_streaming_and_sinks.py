@@ -113,10 +113,10 @@ def test_sql_views(spark, txn01):
 
     register_views(txn01)
     r = spark.sql(
-        "SELECT amount_band, COUNT(*) AS n FROM paysim_segmented GROUP BY amount_band ORDER BY n DESC"
+        "SELECT amount_band, COUNT(*) AS n FROM transactions_segmented GROUP BY amount_band ORDER BY n DESC"
     ).collect()
     assert sum(x.n for x in r) == 10020
-    assert spark.sql("SELECT COUNT(*) FROM paysim WHERE isFlaggedFraud = 1").first()[0] == 347
+    assert spark.sql("SELECT COUNT(*) FROM transactions WHERE isFlaggedFraud = 1").first()[0] == 347
 
 
 def test_row_tables_and_period_pruning(spark, txn01):
