@@ -29,7 +29,7 @@ def txn01(spark):
 
 @pytest.fixture(scope="session")
 def duck01():
-    from fraudscope.plans.parity import duckdb_connection
+    from tools.oracle_check import duckdb_connection
 
     return duckdb_connection(SF01)
 

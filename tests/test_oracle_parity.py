@@ -16,7 +16,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_parity(spark, duck01, key):
-    from fraudscope.plans.parity import compare
+    from tools.oracle_check import compare
 
     df = entry_mod.queries()[key](spark, SF01)
     r = compare(df, entry_mod.oracle_sql()[key], duck01)
