@@ -104,13 +104,17 @@ def start_window_partials(
     period_hours: int = HOURS_PER_WEEK,
     available_now: bool = False,
     state_partitions: int | None = None,
+    watermark: str = WATERMARK,
 ) -> StreamingQuery:
     """ST-1: append closed windows to a Parquet table.
 
     ``state_partitions``: fixed at the first start; default min(64, cluster cores).
+    ``watermark``: how late a row may arrive (event time) and still be counted.
+    Rows later than that are dropped by the stream; replay an out-of-order
+    backlog through the batch jobs instead.
     """
     writer = (
-        window_partials(stream, period_hours)
+        window_partials(stream, period_hours, watermark)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
@@ -141,6 +145,7 @@ def start_alerts(
     state_partitions: int | None = None,
     capacity: int | None = None,
     tables: tuple[str, ...] | None = None,
+    watermark: str = WATERMARK,
 ) -> StreamingQuery:
     """ST-3: monitoring tables and alerts (AL-1..6) re-evaluated as periods close.
 
@@ -174,7 +179,7 @@ def start_alerts(
         )
 
     writer = (
-        window_partials(stream, period_hours)
+        window_partials(stream, period_hours, watermark)
         .writeStream.outputMode("append")
         .foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
