@@ -101,3 +101,21 @@ def test_monitoring_tables_add_up(spark, rows, period_hours):
     assert per_period == {r.period: r.total_transactions for r in metrics}
     for r in mon.weekly_threshold(df, period_hours).collect():
         assert r.fraud_captured_count + r.legit_affected_count <= r.above_threshold_count <= r.total_transactions
+
+
+RULES = st.lists(
+    st.tuples(st.integers(min_value=-1, max_value=300).map(lambda k: k * 1000.0), st.sampled_from([None, ("TRANSFER",), ("CASH_OUT", "DEBIT")])),
+    min_size=11,
+    max_size=14,
+)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=TABLES, specs=RULES)
+def test_narrow_rule_sweep_equals_union_form(spark, rows, specs):
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    rules = [th.Rule(f"r{i}", amt, types) for i, (amt, types) in enumerate(specs)]
+    assert not th._fits_codegen(df, len(rules))
+    a = sorted(map(tuple, th.compare(df, rules).collect()), key=_key)
+    b = sorted(map(tuple, th.compare_union(df, rules).collect()), key=_key)
+    assert a == b
