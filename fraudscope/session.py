@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -55,10 +55,10 @@ def cluster_session(app: str = "fraudscope", extra: dict[str, str] | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session (or the context's checkpoint folder); only when
-    neither is set (tests on a laptop) a local folder is created. The
-    context is pointed at the same folder, so ``DataFrame.checkpoint()``
-    writes there.
+    Read from the session (or the context's checkpoint folder). Where neither
+    is set, a local master gets a temporary folder; any other master raises,
+    because each executor would write to its own disk. The context is pointed
+    at the same folder, so ``DataFrame.checkpoint()`` writes there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -68,6 +68,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set (master {master!r}): name a folder all executors share")
         root = tempfile.mkdtemp(prefix="fraudscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None and not sc.getCheckpointDir():
@@ -76,9 +79,5 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused folder under the checkpoint root."""
-    root = checkpoint_root(spark)
-    path = f"{root}/fraudscope/{name}-{uuid.uuid4().hex}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
-    return path
+    """A fresh, never reused path under the checkpoint root; Spark's writers create it."""
+    return f"{checkpoint_root(spark)}/fraudscope/{name}-{uuid.uuid4().hex}"
