@@ -12,16 +12,31 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
-#: Chunks kept by a worker; the cache starts anew beyond that (about 200 bytes each).
-CACHE_CHUNKS = 400_000
+#: Chunks kept by a worker; the cache starts anew beyond that (about 300 bytes each).
+CACHE_CHUNKS = 800_000
 #: Characters encoded together: bounds the arrays of a slice of documents.
 SLICE_CHARS = 2_000_000
 #: Characters that str.split() takes for white space and the tokenizer's pattern may not, and starts of special tokens.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|(?:startoftext|endoftext)\\|>")
 
+#: Chunks whose pre-tokens are found here: their characters have no compositions, and lower case one by one.
+_PLAIN = re.compile("[!-\u012f\u0131-\u017f]+")
+#: Ids of a pre-token that is kept.
+_LONGEST = 1023
+#: Fixed value: the tokenizer file's pattern of pre-tokens.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: 256 + k for k, b in enumerate(others)}
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -35,22 +50,40 @@ class WordBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        import regex
+
         self.tokenizer = Tokenizer.from_file(path)
+        self.pre_tokens = regex.compile(_PRE_TOKENS).findall
+        self.letters = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
+        self.by_pre_token: dict[str, int] = {}  # where in ids, and how many (the low 10 bits)
         self.number: dict[str, int] = {}  # of each chunk
         self.ids = array("I")  # of all chunks, in a row
         self.ends = array("q", [0])
 
+    def _pre_token_ids(self, token: str) -> list[int]:
+        letters = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
     def _learn(self, chunks: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            for chunk, e in zip(part, encode(part, add_special_tokens=False)):
-                self.number[chunk] = len(self.ends) - 1
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
+        known = self.by_pre_token
+        for chunk in chunks:
+            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                for token in self.pre_tokens(chunk.lower()):
+                    at = known.get(token)
+                    if at is None:
+                        own = self._pre_token_ids(token)
+                        if len(own) <= _LONGEST:
+                            known[token] = len(self.ids) << 10 | len(own)
+                        self.ids.extend(own)
+                    else:
+                        self.ids.extend(self.ids[at >> 10 : (at >> 10) + (at & _LONGEST)])
+            else:
+                self.ids.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            self.number[chunk] = len(self.ends) - 1
+            self.ends.append(len(self.ids))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each text)."""
@@ -62,11 +95,12 @@ class WordBpe:
             chunks += own
         if len(self.number) > CACHE_CHUNKS:
             self._clear()
-        numbers = list(map(self.number.get, chunks))
-        if None in numbers:
-            self._learn(list({c for c, k in zip(chunks, numbers) if k is None}))
-            numbers = list(map(self.number.__getitem__, chunks))
-        number = np.array(numbers, np.int64)
+        number = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new = [chunks[i] for i in unknown]
+            self._learn(list(dict.fromkeys(new)))
+            number[unknown] = [self.number[c] for c in new]
         ends = np.frombuffer(self.ends, np.int64)
         starts, lengths = ends[number], ends[number + 1] - ends[number]
         total = np.cumsum(lengths)
