@@ -10,10 +10,10 @@ import numpy as np
 #: Words of a shingle.
 SHINGLE = 5
 #: Bytes of text hashed together: bounds a task's arrays (a longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICEBYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
-_BYTES = np.random.default_rng(17).integers(1, 2**64 - 1, 256, np.uint64)
+BYTES = np.random.default_rng(17).integers(1, 2**64 - 1, 256, np.uint64)
 _PLACES = np.random.default_rng(18).integers(1, 2**64 - 1, SHINGLE, np.uint64) | np.uint64(1)
 
 
@@ -47,7 +47,7 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """P with (P[e] - P[s]) * inverse[s] a hash of bytes s to e (to be mixed)."""
     p = np.zeros(len(buf) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTES[buf] * powers(len(buf))[0], out=p[1:])
+        np.cumsum(BYTES[buf] * powers(len(buf))[0], out=p[1:])
     return p
 
 
@@ -63,17 +63,17 @@ def text_slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICEBYTES, "right")) - 1)
         last = min(last, len(column))
         yield first, buf[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each text); no word crosses the end of a text."""
-    n = len(offsets) - 1
+def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end and hash of each word, words of each text); no word crosses the end of a text."""
     if not len(buf):
-        return np.empty(0, np.uint64), np.zeros(n, np.int64)
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     word = ~_SPACES[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
@@ -85,7 +85,12 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     with np.errstate(over="ignore"):
         h = mix((p[ends] - p[starts]) * powers(len(buf))[1][starts])
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return h, counts
+    return starts, ends, h, counts
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text)."""
+    return word_bounds(buf, offsets)[2:]
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
