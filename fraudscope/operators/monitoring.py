@@ -40,7 +40,7 @@ MONITOR_RULES = (PRIMARY_RULE, WATCHLIST_ONLY)
 
 
 def with_period(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
-    return df.withColumn("period", F.expr(f"(step - 1) div {int(period_hours)}"))
+    return df.withColumn("period", F.expr(f"(step - 1 - pmod(step - 1, {int(period_hours)})) div {int(period_hours)}"))
 
 
 def materialize(agg: DataFrame) -> DataFrame:

@@ -129,9 +129,12 @@ def invalid_amount_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def invalid_amount_rows(df: DataFrame) -> DataFrame:
-    """DQ-6: rows with amount <= 0, ascending (all columns break ties)."""
-    return _sorted_rows(df.where(F.col("amount") <= 0), [F.asc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))])
+def invalid_amount_rows(df: DataFrame, ordered: bool = True) -> DataFrame:
+    """DQ-6: rows with amount <= 0, ascending (all columns break ties) unless ``ordered`` is false."""
+    rows = df.where(F.col("amount") <= 0)
+    if not ordered:
+        return rows
+    return _sorted_rows(rows, [F.asc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))])
 
 
 def amount_stat_exprs() -> list[Column]:
@@ -222,15 +225,18 @@ def type_by_label(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ outliers -----
 
 
-def amount_outliers(df: DataFrame, k: float = 3.0) -> DataFrame:
-    """DQ-17: rows strictly above mean + k * sample stddev, largest first.
+def amount_outliers(df: DataFrame, k: float = 3.0, ordered: bool = True) -> DataFrame:
+    """DQ-17: rows strictly above mean + k * sample stddev, largest first unless ``ordered`` is false.
 
     The cut-off is an uncorrelated scalar subquery (one global aggregate run
     first), then an ordinary filter -- no join.
     """
     cutoff = df.agg(F.avg("amount") + F.lit(k) * F.stddev_samp("amount")).scalar()
+    rows = df.where(F.col("amount") > cutoff)
+    if not ordered:
+        return rows
     return _sorted_rows(
-        df.where(F.col("amount") > cutoff), [F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))]
+        rows, [F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))]
     )
 
 

@@ -18,7 +18,8 @@ from fraudscope.operators import segments as seg
 from fraudscope.operators import thresholds as th
 from fraudscope.session import scratch_path
 from fraudscope.sinks import export, read_export
-from fraudscope.sources import preview, stream_fixture, transactions
+from fraudscope.sinks.export import DASHBOARD_FILES, dashboard_tables
+from fraudscope.sources import preview, read_transactions, stream_fixture, transactions
 from fraudscope.streaming import jobs as st
 
 # Alert keys evaluate daily periods: the 30-day fixture then has 30 periods,
@@ -139,10 +140,37 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/alerts")
 
 
+def _scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1 from CSV: the table written with its columns in another order, read by the header's names."""
+    path = scratch_path(spark, "csv")
+    df = transactions(spark, sf_dir)
+    df.select(*reversed(df.columns)).write.option("header", True).csv(path)
+    return read_transactions(spark, path, "csv")
+
+
+def _export_key(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = dashboard_tables(transactions(spark, sf_dir))[name]
+        path = f"{scratch_path(spark, 'export')}/{name}"
+        export(table, path, DASHBOARD_FILES[name])
+        return read_export(spark, path, table.schema, DASHBOARD_FILES[name])
+
+    run.__doc__ = f"{name}: written as a delimited file, then read back."
+    return run
+
+
 QUERIES.update(
     {
+        "scan_csv_roundtrip": _scan_csv_roundtrip,
         # --- sinks ---
         "export_roundtrip": _export_roundtrip,
+        "export_summary_csv": _export_key("executive_summary_dashboard.csv"),
+        "export_trend_by_step": _export_key("page1_fraud_trend_by_step.csv"),
+        "export_summary_txt": _export_key("executive_summary_dashboard.txt"),
+        "export_fraud_by_type": _export_key("page2_fraud_by_type.txt"),
+        "export_fraud_by_amount_band": _export_key("page2_fraud_by_amount_band.txt"),
+        "export_top_risk_segments": _export_key("page2_top_risk_segments.txt"),
+        "export_fraud_by_origin_balance_band": _export_key("page2_fraud_by_origin_balance_band.txt"),
         # --- monitoring (MON-1..10), weekly ---
         "mon_weekly_metrics": _on_txn(mon.weekly_metrics),
         "mon_weekly_rate_by_type": _on_txn(mon.weekly_rate_by_type),

@@ -10,9 +10,6 @@ every ORDER BY, and a total order under every LIMIT.
 
 from __future__ import annotations
 
-from fraudscope.functions.bands import AMOUNT_BAND, BALANCE_BAND, BandSpec
-from fraudscope.operators.thresholds import Rule
-
 COLS = (
     "step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, "
     "nameDest, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud"
@@ -75,40 +72,41 @@ tx AS (
     FROM ev2
 )"""
 
-def _num(x: float) -> str:
-    return str(int(x)) if float(x).is_integer() else repr(x)
-
-
-def band_case(spec: BandSpec) -> str:
-    """The band label as a SQL searched CASE, generated from the same spec as the Spark column."""
-    parts = []
-    if spec.zero_label is not None:
-        parts.append(f"WHEN {spec.source} = 0 THEN '{spec.zero_label}'")
-    parts += [f"WHEN {spec.source} <= {_num(cut)} THEN '{lab}'" for cut, lab in zip(spec.cuts, spec.labels)]
-    return "CASE " + " ".join(parts) + f" ELSE '{spec.labels[-1]}' END"
-
-
-def band_rank(spec: BandSpec) -> str:
-    """Display rank of a band label (1 = first band)."""
-    whens = " ".join(f"WHEN '{lab}' THEN {i}" for i, lab in enumerate(spec.ordered_labels, start=1))
-    return f"CASE {spec.name} {whens} END"
-
 
-def rule_sql(rule: Rule) -> str:
-    """A rule's predicate in SQL (NULL where the Spark predicate is NULL)."""
-    p = f"amount > {_num(rule.min_amount)}"
-    if rule.types:
-        p = "type IN (" + ", ".join(f"'{t}'" for t in rule.types) + f") AND {p}"
-    if rule.unless is not None:
-        p = f"({p}) AND NOT COALESCE({rule_sql(rule.unless)}, false)"
-    return p
+# Literals, so that a changed cut-off, label, type list or name on the Spark side shows.
+AMOUNT_BAND_CASE = (
+    "CASE WHEN amount <= 1000 THEN '0-1K' WHEN amount <= 10000 THEN '1K-10K' WHEN amount <= 50000 THEN '10K-50K' "
+    "WHEN amount <= 100000 THEN '50K-100K' WHEN amount <= 200000 THEN '100K-200K' ELSE '200K+' END"
+)
+BALANCE_BAND_CASE = (
+    "CASE WHEN oldbalanceOrg = 0 THEN '0' WHEN oldbalanceOrg <= 1000 THEN '1-1K' WHEN oldbalanceOrg <= 10000 THEN '1K-10K' "
+    "WHEN oldbalanceOrg <= 100000 THEN '10K-100K' ELSE '100K+' END"
+)
+AMOUNT_BAND_RANK = (
+    "CASE amount_band WHEN '0-1K' THEN 1 WHEN '1K-10K' THEN 2 WHEN '10K-50K' THEN 3 WHEN '50K-100K' THEN 4 "
+    "WHEN '100K-200K' THEN 5 WHEN '200K+' THEN 6 END"
+)
+RULE_A = "amount > 200000"
+RULE_B = "type IN ('TRANSFER', 'CASH_OUT') AND amount > 200000"
+RULE_C = "type IN ('TRANSFER') AND amount > 100000"
+RULE_NAMES_ANALYSIS = (
+    "Threshold_A: amount > 200K",
+    "Threshold_B: TRANSFER/CASH_OUT and amount > 200K",
+    "Threshold_C: TRANSFER and amount > 100K",
+)
+RULE_NAMES_DASHBOARD = (
+    "Threshold A: Amount > 200K",
+    "Threshold B: TRANSFER/CASH_OUT > 200K",
+    "Threshold C: TRANSFER > 100K",
+)
+LARGE_AMOUNT = 200000
 
 
 SEGMENTED_CTE = f"""
 seg AS (
     SELECT *,
-        {band_case(AMOUNT_BAND)} AS amount_band,
-        {band_case(BALANCE_BAND)} AS origin_balance_band,
+        {AMOUNT_BAND_CASE} AS amount_band,
+        {BALANCE_BAND_CASE} AS origin_balance_band,
         CASE WHEN oldbalanceOrg = 0 THEN 1 ELSE 0 END AS origin_balance_zero_flag
     FROM tx
 )"""

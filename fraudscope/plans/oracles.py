@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from fraudscope.functions.bands import AMOUNT_BAND
-from fraudscope.operators import thresholds as th
-from fraudscope.plans.oracle_sql import ALL_ASC, COLS, all_asc_except, band_rank, money, q, rate, rule_sql
-from fraudscope.schema import LARGE_AMOUNT, RULE_NAMES_ANALYSIS, RULE_NAMES_DASHBOARD
+from fraudscope.plans.oracle_sql import (
+    ALL_ASC,
+    AMOUNT_BAND_RANK,
+    COLS,
+    LARGE_AMOUNT,
+    RULE_A,
+    RULE_B,
+    RULE_C,
+    RULE_NAMES_ANALYSIS,
+    RULE_NAMES_DASHBOARD,
+    all_asc_except,
+    money,
+    q,
+    rate,
+)
 
 _TOTALS = f"""
 totals AS (
@@ -31,7 +42,7 @@ def _flagged(name: str, where: str) -> str:
     FROM tx WHERE {where}"""
 
 
-_RULE_WHERE = tuple(rule_sql(r) for r in (th.RULE_A, th.RULE_B, th.RULE_C))
+_RULE_WHERE = (RULE_A, RULE_B, RULE_C)
 
 
 def _compare(names: tuple[str, ...], wheres: tuple[str, ...]) -> str:
@@ -75,10 +86,10 @@ ORACLES: dict[str, str] = {
     "review_queue": q(
         f"""
 SELECT {COLS},
-    COALESCE({rule_sql(th.RULE_B)}, false) AS primary_flag,
-    COALESCE({rule_sql(th.RULE_C)}, false) AS watchlist_flag,
-    CASE WHEN {rule_sql(th.RULE_B)} THEN 'primary'
-         WHEN {rule_sql(th.RULE_C)} THEN 'watchlist'
+    COALESCE({RULE_B}, false) AS primary_flag,
+    COALESCE({RULE_C}, false) AS watchlist_flag,
+    CASE WHEN {RULE_B} THEN 'primary'
+         WHEN {RULE_C} THEN 'watchlist'
          ELSE 'none' END AS review_queue
 FROM tx"""
     ),
@@ -302,7 +313,7 @@ def _per(ph: int, extra_keys: str = "", measures: str = "") -> str:
     keys = "period" + (f", {extra_keys}" if extra_keys else "")
     return f"""
 per AS (
-    SELECT (step - 1) // {ph} AS period{', ' + extra_keys if extra_keys else ''},
+    SELECT CAST(floor((step - 1) / {ph}) AS BIGINT) AS period{', ' + extra_keys if extra_keys else ''},
         COUNT(*) AS n,
         SUM(CAST(amount AS DECIMAL(18,2))) AS v,
         COUNT(*) FILTER (WHERE isFraud = 1) AS fn,
@@ -334,8 +345,8 @@ FROM (SELECT DISTINCT per.type, periods.period FROM per, periods) s
 LEFT JOIN per ON per.period = s.period AND per.type IS NOT DISTINCT FROM s.type"""
 
 
-_RULE_B = f"COALESCE({rule_sql(th.RULE_B)}, false)"
-_RULE_C = f"COALESCE({rule_sql(th.RULE_C)}, false)"
+_RULE_B = f"COALESCE({RULE_B}, false)"
+_RULE_C = f"COALESCE({RULE_C}, false)"
 _THRESHOLD_MEASURES = f""",
         COUNT(*) FILTER (WHERE isFraud = 0) AS ln,
         COUNT(*) FILTER (WHERE {_RULE_B}) AS an,
@@ -439,7 +450,7 @@ FROM (
 
 
 def _concentration(ph: int) -> str:
-    rank = band_rank(AMOUNT_BAND)
+    rank = AMOUNT_BAND_RANK
     return q(
         f"""
 SELECT period, type AS top_type, amount_band AS top_amount_band,
@@ -450,7 +461,7 @@ FROM (
     SELECT *, SUM(sv) OVER (PARTITION BY period) AS pv,
         ROW_NUMBER() OVER (PARTITION BY period ORDER BY sv DESC, type ASC NULLS LAST, {rank}) AS rn
     FROM (
-        SELECT (step - 1) // {ph} AS period, type, amount_band,
+        SELECT CAST(floor((step - 1) / {ph}) AS BIGINT) AS period, type, amount_band,
             COALESCE(SUM(CAST(amount AS DECIMAL(18,2))), 0) AS sv
         FROM seg WHERE isFraud = 1 GROUP BY ALL
     )
@@ -494,3 +505,17 @@ ORACLES.update(
         "stream_alerts": _rate_spike(_DAY, closed_only=True),
     }
 )
+
+# exports hold the tables they were written from
+ORACLES.update(
+    {
+        "scan_csv_roundtrip": ORACLES["scan_transactions"],
+        "export_summary_csv": ORACLES["kpi_executive_summary"],
+        "export_trend_by_step": ORACLES["kpi_trend_by_step"],
+        "export_summary_txt": ORACLES["kpi_executive_summary"],
+        "export_fraud_by_type": ORACLES["kpi_by_type"],
+        "export_fraud_by_amount_band": ORACLES["seg_by_amount_band"],
+        "export_top_risk_segments": ORACLES["seg_top_risk"],
+        "export_fraud_by_origin_balance_band": ORACLES["seg_by_origin_balance_band"],
+    }
+)

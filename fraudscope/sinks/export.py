@@ -61,8 +61,17 @@ def _plain_double(c: str):
     return F.when(F.abs(x) < F.lit(1e17), plain).otherwise(x.cast("string"))
 
 
-def export(df: DataFrame, path: str, sep: str = "\t", money_columns: Sequence[str] | None = None) -> None:
-    """Write a small, already ordered result as one headered delimited file.
+def export(
+    df: DataFrame,
+    path: str,
+    sep: str = "\t",
+    money_columns: Sequence[str] | None = None,
+    order_by: Sequence | None = None,
+) -> None:
+    """Write a small result as one headered delimited file.
+
+    With ``order_by`` the rows are sorted in the one partition that is written;
+    without, ``df`` comes ordered and is coalesced.
 
     Money columns as DECIMAL(38,2) text, other doubles in plain notation.
     NULL is written as an empty field; a value holding the separator is quoted.
@@ -80,7 +89,7 @@ def export(df: DataFrame, path: str, sep: str = "\t", money_columns: Sequence[st
         ]
     )
     (
-        out.coalesce(1)
+        (out.coalesce(1) if order_by is None else out.repartition(1).sortWithinPartitions(*order_by))
         .write.mode("overwrite")
         .option("header", True)
         .option("sep", sep)
@@ -98,7 +107,14 @@ def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t") -> DataFrame:
     """Read an export back with the schema of the frame that produced it."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "FAILFAST").csv(path)
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", False)  # a header in another order raises
+        .option("sep", sep)
+        .option("mode", "FAILFAST")
+        .csv(path)
+    )
 
 
 DASHBOARD_GRAIN = ["step", "type", "amount_band", "origin_balance_band"]
@@ -164,6 +180,6 @@ def export_row_tables(df: DataFrame, out_dir: str) -> dict[str, str]:
         "invalid_amounts": f"{out}/invalid_amounts",
     }
     export_parquet(th.review_queue(df), paths["review_queue"], ["review_queue"])
-    export_parquet(dq.amount_outliers(df), paths["amount_outliers"])
-    export_parquet(dq.invalid_amount_rows(df), paths["invalid_amounts"])
+    export_parquet(dq.amount_outliers(df, ordered=False), paths["amount_outliers"])
+    export_parquet(dq.invalid_amount_rows(df, ordered=False), paths["invalid_amounts"])
     return paths

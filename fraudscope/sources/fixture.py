@@ -113,15 +113,13 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_from_events(read_events(spark, sf_dir))
 
 
-def stream_fixture(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
+def stream_fixture(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The fixture as a stream: new ``events*.parquet`` files in ``sf_dir`` become rows.
 
-    ``max_files_per_trigger`` bounds one micro-batch on a large backlog.
+    ``max_files_per_trigger`` bounds one micro-batch of a feed in time order; by
+    default all files that are there make one.
     """
-    events = (
-        spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(sf_dir)
-    )
-    return fixture_from_events(events)
+    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return fixture_from_events(reader.parquet(sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fraudscope.functions.exprs import sort_keys
 from fraudscope.schema import TXN_COLUMNS, TXN_SCHEMA
@@ -12,22 +13,28 @@ from fraudscope.schema import TXN_COLUMNS, TXN_SCHEMA
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet", sep: str = ",") -> DataFrame:
     """Read the base table with a declared schema (no inference pass over the file).
 
-    CSV input is parsed in FAILFAST mode so a malformed row stops the job
-    instead of silently turning into NULLs.
+    CSV columns are taken by the names in the header, in any order and among
+    others; a missing one raises, and so does a file whose header differs from
+    the first one's. CSV is parsed in FAILFAST mode so a malformed row stops the
+    job instead of silently turning into NULLs.
     """
     if fmt == "csv":
-        return (
-            spark.read.schema(TXN_SCHEMA)
-            .option("header", True)
-            .option("sep", sep)
-            .option("mode", "FAILFAST")
-            .csv(path)
-        )
+        reader = spark.read.schema(_header_schema(spark, path, sep)).option("header", True).option("sep", sep)
+        return reader.option("enforceSchema", False).option("mode", "FAILFAST").csv(path).select(*TXN_COLUMNS)
     if fmt == "parquet":
         return spark.read.schema(TXN_SCHEMA).parquet(path)
     raise ValueError(f"unsupported format {fmt!r}")
 
 
+def _header_schema(spark: SparkSession, path: str, sep: str = ",") -> T.StructType:
+    """The header's columns in their order, with the declared types (others as text)."""
+    names = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    missing = [c for c in TXN_COLUMNS if c not in names]
+    if missing:
+        raise ValueError(f"{path}: the CSV header lacks {', '.join(missing)}")
+    return T.StructType([TXN_SCHEMA[c] if c in TXN_COLUMNS else T.StructField(c, T.StringType()) for c in names])
+
+
 def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Write the table once as Parquet, so later reads are columnar and pruned.
 
@@ -43,10 +50,15 @@ def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
 def land_by_period(df: DataFrame, path: str, period_hours: int = 168) -> None:
     """Land the table partitioned by period, so an incremental run reads one folder.
 
-    ``period = (step - 1) div period_hours``; a filter on ``period`` becomes a
-    partition filter (no file of another period is opened).
+    ``period = floor((step - 1) / period_hours)``; a filter on ``period`` becomes a
+    partition filter (no file of another period is opened). The rows are
+    range-partitioned by period and a hash of the row: a task writes few
+    periods, and a hot period is split over several tasks.
     """
-    land_parquet(df.withColumn("period", F.expr(f"(step - 1) div {int(period_hours)}")), path, ["period"])
+    period = F.expr(f"(step - 1 - pmod(step - 1, {int(period_hours)})) div {int(period_hours)}")
+    spread = F.xxhash64(*[F.col(c) for c in TXN_COLUMNS])
+    dealt = df.withColumn("period", period).withColumn("_spread", spread).repartitionByRange("period", "_spread")
+    land_parquet(dealt.drop("_spread"), path, ["period"])
 
 
 def read_periods(spark: SparkSession, path: str, periods: list[int]) -> DataFrame:
@@ -55,13 +67,23 @@ def read_periods(spark: SparkSession, path: str, periods: list[int]) -> DataFram
 
 
 def stream_transactions(
-    spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = 1000
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The same table as a stream of new files landing under ``path``."""
-    reader = spark.readStream.schema(TXN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+    """The same table as a stream of new files landing under ``path``.
+
+    By default all files that are there make one micro-batch. A limit moves the
+    watermark between the batches of a backlog: with it, only a feed in time
+    order keeps every row (``streaming.run_to_end`` raises if any was dropped).
+    CSV columns are taken by the names in the header of the files that are
+    there at the start; a file with another header raises.
+    """
+    reader = spark.readStream
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        return reader.option("header", True).option("mode", "FAILFAST").csv(path)
-    return reader.parquet(path)
+        reader = reader.schema(_header_schema(spark, path)).option("header", True).option("enforceSchema", False)
+        return reader.option("mode", "FAILFAST").csv(path).select(*TXN_COLUMNS)
+    return reader.schema(TXN_SCHEMA).parquet(path)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:

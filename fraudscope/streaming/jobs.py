@@ -18,6 +18,7 @@ Checkpoints and outputs live under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,8 @@ def window_partials(stream: DataFrame, period_hours: int = HOURS_PER_WEEK, water
 
 
 def metrics_from_partials(partials: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
-    """Roll written window partials up to the MON-1..5 table (closed periods only)."""
-    return mon.metrics_from_rollup(partials, period_hours, spine=False)
+    """Roll written window partials up to the MON-1..5 table (closed periods only, quiet ones included)."""
+    return mon.metrics_from_rollup(partials, period_hours, spine=True)
 
 
 # The state holds (open windows x types x amount bands) rows, independent of
@@ -75,22 +76,14 @@ def metrics_from_partials(partials: DataFrame, period_hours: int = HOURS_PER_WEE
 # spark.sql.shuffle.partitions at the query's first start (kept in the
 # checkpoint), so a batch-sized setting (thousands) would mean thousands of
 # nearly empty state stores per micro-batch.
-STATE_PARTITIONS = 64
+# The default does not depend on the machine that starts the job first.
+STATE_PARTITIONS = 8
 
 
-def _state_partitions(spark, wanted: int | None) -> int:
-    if wanted is not None:
-        return wanted
-    try:
-        return max(1, min(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))
-    except Exception:  # no SparkContext (Spark Connect)
-        return STATE_PARTITIONS
-
-
-def _start(writer, spark, state_partitions: int | None, path: str | None = None) -> StreamingQuery:
+def _start(writer, spark, state_partitions: int, path: str | None = None) -> StreamingQuery:
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(_state_partitions(spark, state_partitions)))
+    spark.conf.set(key, str(state_partitions))
     try:
         return writer.start(path) if path is not None else writer.start()
     finally:
@@ -103,12 +96,12 @@ def start_window_partials(
     checkpoint: str,
     period_hours: int = HOURS_PER_WEEK,
     available_now: bool = False,
-    state_partitions: int | None = None,
+    state_partitions: int = STATE_PARTITIONS,
     watermark: str = WATERMARK,
 ) -> StreamingQuery:
     """ST-1: append closed windows to a Parquet table.
 
-    ``state_partitions``: fixed at the first start; default min(64, cluster cores).
+    ``state_partitions``: fixed at the first start.
     ``watermark``: how late a row may arrive (event time) and still be counted.
     Rows later than that are dropped by the stream; replay an out-of-order
     backlog through the batch jobs instead.
@@ -142,7 +135,7 @@ def start_alerts(
     checkpoint: str,
     period_hours: int = HOURS_PER_WEEK,
     available_now: bool = False,
-    state_partitions: int | None = None,
+    state_partitions: int = STATE_PARTITIONS,
     capacity: int | None = None,
     tables: tuple[str, ...] | None = None,
     watermark: str = WATERMARK,
@@ -164,7 +157,7 @@ def start_alerts(
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            if batch.isEmpty():  # no period closed in this micro-batch
+            if batch_id and batch.isEmpty():  # no period closed; the first batch writes the empty tables
                 return
             batch.write.mode("overwrite").parquet(f"{partials_dir}/batch={batch_id}")
         finally:
@@ -188,12 +181,36 @@ def start_alerts(
     return _start(writer, stream.sparkSession, state_partitions)
 
 
-def run_to_end(query: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an availableNow query; surface its failure."""
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError("streaming query did not finish in time")
+class LateRowsDropped(RuntimeError):
+    """Rows came later than the watermark allows: the written windows are not complete."""
+
+
+def _note_dropped(query: StreamingQuery, dropped: dict[int, int]) -> None:
+    for progress in query.recentProgress:
+        states = progress["stateOperators"]
+        dropped[progress["batchId"]] = sum(s.get("numRowsDroppedByWatermark", 0) for s in states)
+
+
+def run_to_end(query: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait for an availableNow query; surface its failure, and rows that the watermark dropped.
+
+    There is no time limit unless one is given. The count of dropped rows is of
+    the state's input: rows of one window, type and band that a task has
+    already summed count once.
+    """
+    dropped: dict[int, int] = {}
+    end = None if timeout_s is None else time.monotonic() + timeout_s
+    while not query.awaitTermination(2):
+        _note_dropped(query, dropped)
+        if end is not None and time.monotonic() > end:
+            query.stop()
+            raise TimeoutError("streaming query did not finish in time")
+    _note_dropped(query, dropped)
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+    if sum(dropped.values()):
+        raise LateRowsDropped(
+            f"{sum(dropped.values())} late groups of rows were dropped (batches {sorted(b for b, n in dropped.items() if n)}); "
+            "replay the backlog through the batch jobs or allow a longer watermark"
+        )
 

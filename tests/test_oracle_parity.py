@@ -5,13 +5,14 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_mod
+from fraudscope.plans.catalog import QUERIES
 from tests.conftest import SF01
 
-KEYS = sorted(entry_mod.queries())
+KEYS = sorted(QUERIES)  # the training-data queries have their own tests
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.oracle_sql()) == set(entry_mod.queries())
+    assert set(KEYS) <= set(entry_mod.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -218,3 +218,81 @@ def test_stream_of_landed_transaction_files(spark, txn01):
     got = [tuple(r) for r in st.metrics_from_partials(spark.read.parquet(f"{base}/d")).collect()]
     want = [tuple(r) for r in mon.weekly_metrics(txn01).collect()][: len(got)]
     assert len(got) == 4 and got == want
+
+
+def test_interleaved_files_raise_instead_of_losing_rows(spark, txn01):
+    import pytest
+
+    from fraudscope.sources import stream_transactions
+
+    base = scratch_path(spark, "test-interleaved")
+    txn01.repartition(8).write.parquet(f"{base}/in")
+    q = st.start_window_partials(stream_transactions(spark, f"{base}/in"), f"{base}/one", f"{base}/c1", 24, available_now=True)
+    st.run_to_end(q)  # all files are one batch: nothing is late
+    assert spark.read.parquet(f"{base}/one").agg(F.sum("rows")).first()[0] > 9000
+    q = st.start_window_partials(
+        stream_transactions(spark, f"{base}/in", max_files_per_trigger=1), f"{base}/many", f"{base}/c2", 24, available_now=True
+    )
+    with pytest.raises(st.LateRowsDropped):
+        st.run_to_end(q)
+
+
+def test_quiet_periods_and_negative_steps_match_batch(spark):
+    from fraudscope.schema import TXN_SCHEMA
+    from fraudscope.sources import stream_transactions
+
+    base = scratch_path(spark, "test-quiet")
+    rows = [(s, "TRANSFER", 10.0, "C1", 0.0, 0.0, "C2", 0.0, 0.0, 0, 0) for s in (-30, -5, 0, 1, 25, 97, 400)]
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    df.write.parquet(f"{base}/in")
+    q = st.start_window_partials(stream_transactions(spark, f"{base}/in"), f"{base}/d", f"{base}/c", 24, available_now=True)
+    st.run_to_end(q)
+    streamed = [tuple(r) for r in st.metrics_from_partials(spark.read.parquet(f"{base}/d"), 24).collect()]
+    batch = [tuple(r) for r in mon.weekly_metrics(df, 24).collect()]
+    assert [r[0] for r in batch] == list(range(-2, 17))
+    assert streamed == batch[: len(streamed)] and len(streamed) >= 7
+
+
+def test_alert_tables_exist_before_a_period_closes(spark):
+    from fraudscope.schema import TXN_SCHEMA
+    from fraudscope.sources import stream_transactions
+
+    base = scratch_path(spark, "test-early")
+    rows = [(s, "TRANSFER", 10.0, "C1", 0.0, 0.0, "C2", 0.0, 0.0, 0, 0) for s in (1, 2)]
+    spark.createDataFrame(rows, TXN_SCHEMA).write.parquet(f"{base}/in")
+    q = st.start_alerts(stream_transactions(spark, f"{base}/in"), base, f"{base}/c", 24, available_now=True)
+    st.run_to_end(q)
+    assert spark.read.parquet(f"{base}/alerts").count() == 0
+
+
+def test_csv_is_read_by_header_name(spark, txn01):
+    import pytest
+
+    base = scratch_path(spark, "test-header")
+    few = txn01.limit(50)
+    few.select(*reversed(few.columns), F.lit("x").alias("extra")).write.option("header", True).csv(f"{base}/swapped")
+    back = read_transactions(spark, f"{base}/swapped", fmt="csv")
+    assert back.columns == few.columns and back.exceptAll(few).count() == 0 and back.count() == 50
+    few.drop("oldbalanceOrg").write.option("header", True).csv(f"{base}/short")
+    with pytest.raises(ValueError, match="oldbalanceOrg"):
+        read_transactions(spark, f"{base}/short", fmt="csv")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from fraudscope.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
