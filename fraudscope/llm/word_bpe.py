@@ -16,13 +16,14 @@ from itertools import repeat
 
 import numpy as np
 
-#: Chunks kept by a worker; the cache starts anew beyond that (about 300 bytes each).
-CACHE_CHUNKS = 800_000
+#: Chunks kept by a worker; the cache starts anew beyond that (about 400 bytes each).
+CACHE_CHUNKS = 1_200_000
 #: Characters encoded together: bounds the arrays of a slice of documents.
 SLICE_CHARS = 2_000_000
-#: Characters that str.split() takes for white space and the tokenizer's pattern may not, and starts of special tokens.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|(?:startoftext|endoftext)\\|>")
-
+#: Characters that str.split() takes for white space and the tokenizer's pattern may not (or the other
+#: way), and special tokens, in UTF-8. Texts that hold any are encoded whole.
+_ODD = tuple(x.encode() for x in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u1680", "\u180e", "\u200b", "\ufeff"))
+_ODD += (b"<|startoftext|>", b"<|endoftext|>")
 #: Chunks whose pre-tokens are found here: their characters have no compositions, and lower case one by one.
 _PLAIN = re.compile("[!-\u012f\u0131-\u017f]+")
 #: Ids of a pre-token that is kept.
@@ -90,7 +91,8 @@ class WordBpe:
         chunks: list[str] = []
         sizes = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            own = [t] if _ODD.search(t) else t.split()  # an odd text is one chunk
+            raw = t.encode()
+            own = [t] if any(x in raw for x in _ODD) else t.split()  # an odd text is one chunk
             sizes[i] = len(own)
             chunks += own
         if len(self.number) > CACHE_CHUNKS:
