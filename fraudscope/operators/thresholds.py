@@ -1,26 +1,23 @@
 """Candidate review rules: comparison, per-type detail and queue routing (TH-1..7).
 
-``compare`` evaluates any number of rules in ONE scan and ONE global aggregate,
-with the base totals in the same aggregate. Partial aggregation runs map-side,
-so the only shuffle carries a handful of rows per task; a sweep over many
-cut-offs still costs one pass over the table. Two plan forms, chosen by the
-codegen field budget:
-
-* few rules: every rule measure is a conditional aggregate column;
-* many rules: every row is emitted once per rule it matches and grouped by
-  rule index, so the aggregate stays six measures wide and stays codegen'd.
-
-Either way the result is folded into one row and unpivoted with ``explode``
-into one row per rule -- no join, no union, no re-scan.
+``compare`` evaluates any number of rules in ONE scan. Every row falls into one
+bucket: its type (of those that some rule names) and how many of the rules'
+distinct cut-offs its amount exceeds. The table is aggregated by bucket, with
+partial aggregation map-side, so the only shuffle carries a row per bucket and
+task; the rules are then evaluated on the buckets, of which there are at most
+(types + 1) x (cut-offs + 1). Three rules or three hundred have the same plan.
+No join, no union, no re-scan.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fraudscope.functions.exprs import count_where, fraud, legit, money, pct
 from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures, measure_exprs
@@ -159,15 +156,37 @@ def _unpivot_rules(wide: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return _with_shares(long).orderBy(F.asc_nulls_last("threshold_name"))
 
 
-# Aggregate buffer fields of the column-per-rule form: the six base measures
-# take 9 (a decimal sum keeps a value and an is-empty flag), each rule 9 more.
-_BASE_FIELDS = 9
-_FIELDS_PER_RULE = 9
+def _with_exceptions(rules: Sequence[Rule]) -> list[Rule]:
+    """The rules and those that they defer to, at any depth."""
+    out = []
+    for rule in rules:
+        while rule is not None:
+            out.append(rule)
+            rule = rule.unless
+    return out
 
 
-def _fits_codegen(df: DataFrame, n_rules: int) -> bool:
-    max_fields = int(df.sparkSession.conf.get("spark.sql.codegen.maxFields", "100"))
-    return _BASE_FIELDS + _FIELDS_PER_RULE * n_rules <= max_fields
+def _bucket_sql(cuts: list[float], lo: int, hi: int) -> str:
+    """How many of the sorted ``cuts`` an amount exceeds, as a balanced CASE; NULL exceeds none."""
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    above, below = _bucket_sql(cuts, mid + 1, hi), _bucket_sql(cuts, lo, mid)
+    return f"CASE WHEN amount > CAST('{cuts[mid]!r}' AS DOUBLE) THEN {above} ELSE {below} END"
+
+
+def _flagged_spans(rule: Rule, txn_type: str | None, cuts: list[float]) -> list[tuple[int, int]]:
+    """Ranges of bucket numbers that ``rule`` flags among rows of a type (None: any type no rule names)."""
+    if rule.types and txn_type not in rule.types:
+        return []
+    spans = [(cuts.index(float(rule.min_amount)) + 1, len(cuts))]
+    for lo, hi in _flagged_spans(rule.unless, txn_type, cuts) if rule.unless else []:
+        spans = [(x, y) for a, b in spans for x, y in ((a, min(b, lo - 1)), (max(a, hi + 1), b)) if x <= y]
+    return spans
+
+
+_RULE_SCHEMA = "array<struct<threshold_name:string,spans:array<struct<t:string,lo:int,hi:int>>>>"
+_AS_RULE = dict(zip(RULE_MEASURES, ("rows", "value", "fraud_rows", "fraud_value", "legit_rows", "legit_value")))
 
 
 def compare(
@@ -175,17 +194,10 @@ def compare(
 ) -> DataFrame:
     """TH-2 / TH-5 / TH-6: fraud captured versus legit affected, one row per rule.
 
-    Ordered by rule name. ONE scan for any number of rules. While the
-    aggregate buffers fit whole-stage codegen (about ten rules) every rule
-    measure is one conditional aggregate column; beyond that a narrow
-    aggregate: every row is emitted once for the totals (rule index -1) and
-    once per rule it matches (``explode`` of the matching indices), then
-    grouped by rule index with the six base measures. Partial aggregation
-    runs map-side, so at most N + 1 rows per task cross the shuffle, and the
-    aggregate keeps six measures whatever N is (whole-stage codegen stays on,
-    where a column per rule measure would pass ``spark.sql.codegen.maxFields``).
-    The <= N + 1 result rows are then folded into one row and unpivoted.
-    A rule that flags nothing keeps its row: count 0, NULL sums.
+    Ordered by rule name. ONE scan for any number of rules, in one plan: rows
+    are aggregated by bucket (see the module), the buckets become one list, and
+    each rule adds up those it flags. A rule that flags nothing keeps its row:
+    count 0, NULL sums.
 
     With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules`` and
     the rules' pre-aggregated columns are merged instead.
@@ -197,42 +209,59 @@ def compare(
             aggs += m.rule(i, rule)
         return _unpivot_rules(df.agg(*aggs), rules)
 
-    if _fits_codegen(df, len(rules)):
-        return compare_wide(df, rules)
-
-    # NULL for a rule the row does not match; dropped right after the generator
-    # (a plain filter stays in codegen, array_compact would not)
-    matches = F.array(F.lit(-1), *[F.when(rule.flag(), F.lit(i)) for i, rule in enumerate(rules)])
-    per_index = (
-        df.select(F.explode(matches).alias("rule_idx"), "amount", "isFraud")
-        .where(F.col("rule_idx").isNotNull())
-        .groupBy("rule_idx")
+    used = _with_exceptions(rules)
+    cuts = sorted({float(r.min_amount) for r in used})
+    types = sorted({t for r in used for t in r.types or ()})
+    named = F.when(F.col("type").isin(*types), F.col("type")) if types else F.lit(None).cast("string")
+    buckets = (
+        df.select(named.alias("t"), F.expr(_bucket_sql(cuts, 0, len(cuts))).alias("k"), "amount", "isFraud")
+        .groupBy("t", "k")
         .agg(*measure_exprs(ROWS))
     )
+    kinds = {f.name: f.dataType for f in buckets.schema.fields}
+
+    def add_up(groups: str, measure: str) -> Column:
+        """SQL's sum over the list: NULL where there is nothing to add."""
+        kind = kinds[measure]
+        kind = T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
+        values = F.transform(groups, lambda g: g[measure].cast(kind))
+        return F.aggregate(values, F.lit(None).cast(kind), lambda a, x: F.coalesce((a + x).cast(kind), a, x))
+
+    totals = {
+        "total_transactions": F.coalesce(add_up("g", "rows"), F.lit(0).cast("long")),
+        "total_value": add_up("g", "value").cast("double"),
+        "total_fraud_count": add_up("g", "fraud_rows"),
+        "total_fraud_value": add_up("g", "fraud_value").cast("double"),
+        "total_legit_count": add_up("g", "legit_rows"),
+        "total_legit_value": add_up("g", "legit_value").cast("double"),
+    }
+    spec = [
+        {
+            "threshold_name": r.name,
+            "spans": [{"t": t, "lo": lo, "hi": hi} for t in (*types, None) for lo, hi in _flagged_spans(r, t, cuts)],
+        }
+        for r in rules
+    ]
+    # one row: the list of buckets, which the rules bound
+    listed = buckets.agg(F.collect_list(F.struct(*buckets.columns)).alias("g"))
+    per_rule = listed.select(
+        "g", *[c.alias(k) for k, c in totals.items()], F.inline(F.from_json(F.lit(json.dumps(spec)), _RULE_SCHEMA))
+    )
 
-    def pick(idx: int, measure: str) -> Column:
-        return F.max(F.when(F.col("rule_idx") == idx, F.col(measure)))
+    def flagged(g: Column) -> Column:
+        return F.exists("spans", lambda s: s["t"].eqNullSafe(g["t"]) & g["k"].between(s["lo"], s["hi"]))
 
-    folded = [
-        F.coalesce(pick(-1, "rows"), F.lit(0)).cast("long").alias("total_transactions"),
-        pick(-1, "value").cast("double").alias("total_value"),
-        pick(-1, "fraud_rows").alias("total_fraud_count"),
-        pick(-1, "fraud_value").cast("double").alias("total_fraud_value"),
-        pick(-1, "legit_rows").alias("total_legit_count"),
-        pick(-1, "legit_value").cast("double").alias("total_legit_value"),
-    ]
-    as_rule = dict(zip(RULE_MEASURES, ("rows", "value", "fraud_rows", "fraud_value", "legit_rows", "legit_value")))
-    for i in range(len(rules)):
-        for k, src in as_rule.items():
-            c = pick(i, src)
-            if k == "flagged_transactions":
-                c = F.coalesce(c, F.lit(0)).cast("long")
-            folded.append(c.alias(f"r{i}_{k}"))
-    return _unpivot_rules(per_index.agg(*folded), rules)
+    hits = per_rule.withColumn("hit", F.filter("g", flagged))
+    measures = {k: add_up("hit", src) for k, src in _AS_RULE.items()}
+    measures["flagged_transactions"] = F.coalesce(measures["flagged_transactions"], F.lit(0).cast("long"))
+    out = hits.select(
+        "threshold_name", *totals, *[(c.cast("double") if k.endswith("_value") else c).alias(k) for k, c in measures.items()]
+    )
+    return _with_shares(out).orderBy(F.asc_nulls_last("threshold_name"))
 
 
 def compare_wide(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> DataFrame:
-    """The same answer with one aggregate column per rule measure (kept for the bench)."""
+    """The same answer with one aggregate column per rule measure (a cross-check, kept for the bench)."""
     _check_rules(rules)
     aggs = base_total_exprs(ROWS)
     for i, rule in enumerate(rules):

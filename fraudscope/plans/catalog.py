@@ -42,6 +42,9 @@ def _on_seg(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return _on_txn(lambda df: fn(with_bands(df)))
 
 
+#: A sweep of 300 cut-offs over the review types.
+SWEEP_RULES = tuple(th.Rule(f"TRANSFER/CASH_OUT > {k}K", k * 1000.0, ("TRANSFER", "CASH_OUT")) for k in range(3, 903, 3))
+
 QUERIES: dict[str, Query] = {
     # --- sources and views (SRC-1, 3, 4) ---
     "scan_transactions": _on_txn(lambda df: df),
@@ -96,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "th_detail_a": _on_txn(lambda df: th.rule_detail(df, th.RULE_A)),
     "th_detail_b": _on_txn(lambda df: th.rule_detail(df, th.RULE_B)),
     "th_compare_c": _on_txn(lambda df: th.compare(df, (th.RULE_C,))),
+    "th_sweep": _on_txn(lambda df: th.compare(df, SWEEP_RULES)),
     "th_compare_abc": _on_txn(lambda df: th.compare(df, th.DASHBOARD_RULES)),
     "review_queue": _on_txn(th.review_queue),
 }

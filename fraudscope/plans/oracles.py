@@ -47,7 +47,10 @@ _RULE_WHERE = (RULE_A, RULE_B, RULE_C)
 
 def _compare(names: tuple[str, ...], wheres: tuple[str, ...]) -> str:
     flagged = "\n    UNION ALL".join(_flagged(n, w) for n, w in zip(names, wheres))
-    body = f"""
+    return q(_COMPARED, _TOTALS, f"\nrules AS ({flagged}\n)")
+
+
+_COMPARED = f"""
 SELECT r.threshold_name, r.flagged_transactions, r.flagged_value,
     r.fraud_captured_count, r.fraud_captured_value,
     {rate('r.fraud_captured_count', 't.total_fraud_count', 2)} AS fraud_count_capture_pct,
@@ -59,7 +62,6 @@ SELECT r.threshold_name, r.flagged_transactions, r.flagged_value,
     {rate('r.flagged_value', 't.total_value', 2)} AS total_value_flagged_pct
 FROM rules r, totals t
 ORDER BY r.threshold_name"""
-    return q(body, _TOTALS, f"\nrules AS ({flagged}\n)")
 
 
 def _detail(where: str) -> str:
@@ -76,12 +78,29 @@ ORDER BY fraud_captured_count DESC NULLS LAST, flagged_transactions DESC NULLS L
     )
 
 
+def _sweep() -> str:
+    """300 cut-offs as a table; a cut-off that flags nothing has count 0 and NULL sums."""
+    rules = f"""
+cuts AS (SELECT 'TRANSFER/CASH_OUT > ' || k || 'K' AS threshold_name, k * 1000 AS cut FROM range(3, 903, 3) AS r(k)),
+hit AS (SELECT *, 1 AS hit FROM tx WHERE type IN ('TRANSFER', 'CASH_OUT')),
+rules AS (
+    SELECT threshold_name, COUNT(hit) AS flagged_transactions,
+        {money('amount')} AS flagged_value,
+        CAST(SUM(CASE WHEN hit IS NULL THEN NULL WHEN isFraud = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fraud_captured_count,
+        {money("CASE WHEN hit IS NULL THEN NULL WHEN isFraud = 1 THEN amount ELSE 0 END")} AS fraud_captured_value,
+        CAST(SUM(CASE WHEN hit IS NULL THEN NULL WHEN isFraud = 0 THEN 1 ELSE 0 END) AS BIGINT) AS legit_affected_count,
+        {money("CASE WHEN hit IS NULL THEN NULL WHEN isFraud = 0 THEN amount ELSE 0 END")} AS legit_affected_value
+    FROM cuts LEFT JOIN hit ON amount > cut GROUP BY threshold_name)"""
+    return q(_COMPARED, _TOTALS, rules)
+
+
 ORACLES: dict[str, str] = {
     "th_base_totals": q("SELECT * FROM totals", _TOTALS),
     "th_compare_ab": _compare(RULE_NAMES_ANALYSIS[:2], _RULE_WHERE[:2]),
     "th_detail_a": _detail(_RULE_WHERE[0]),
     "th_detail_b": _detail(_RULE_WHERE[1]),
     "th_compare_c": _compare(RULE_NAMES_ANALYSIS[2:], _RULE_WHERE[2:]),
+    "th_sweep": _sweep(),
     "th_compare_abc": _compare(RULE_NAMES_DASHBOARD, _RULE_WHERE),
     "review_queue": q(
         f"""
