@@ -154,18 +154,18 @@ def quality_verdicts(docs: DataFrame, id_cols: list[str], host_col: str = "sourc
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`quality_verdicts` keeps, with their columns.
 
-    The documents are read twice, for the hosts' records and for the verdict;
-    only the bad hosts are joined back, so no text is shuffled unless they are
-    too many to broadcast.
+    The figures are worked out once: the rows go to a scratch table with their
+    marks (those that fail the base rule without their columns), which is read
+    for the hosts' records and for the verdict. Only the bad hosts are joined
+    back, so no text is shuffled unless they are too many to broadcast.
     """
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
-    figures = base_figures(docs.select(host.alias("host"), F.col(f"`{text_col}`").alias("text")))
-    figures = materialise(figures.select("host", _soft_failed().alias("soft_failed")), "host-figures")
-    bad_hosts = materialise(host_verdicts(figures).filter("host_bad").select("host"), "bad-hosts")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = base_figures(docs.select(F.struct(*columns).alias("row"), F.col(f"`{text_col}`").alias("text"), host.alias("host")))
-    good = marked.filter("not base_failed").withColumn("soft_failed", _soft_failed())
-    judged = good.join(bad_hosts.withColumn("bad", F.lit(True)), "host", "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = base_figures(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), host.alias("host")))
+    passed = F.when(~F.col("base_failed"), F.col("row")).alias("row")
+    marked = materialise(marked.select(passed, "host", "base_failed", _soft_failed().alias("soft_failed")), "marked")
+    bad_hosts = materialise(host_verdicts(marked.select("host", "soft_failed")).filter("host_bad").select("host"), "bad-hosts")
+    judged = marked.filter("not base_failed").join(bad_hosts.withColumn("bad", F.lit(True)), "host", "left")
     return judged.filter(~(F.col("soft_failed") & F.coalesce("bad", F.lit(False)))).select("row.*")
 
 
