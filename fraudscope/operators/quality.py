@@ -8,13 +8,14 @@ sampled outputs get a total order so the same rows come back every run.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fraudscope.functions.exprs import count_where, fraud, money_sum, pct, sort_keys
 from fraudscope.schema import BALANCE_COLUMNS, LARGE_AMOUNT, MERCHANT_PREFIX, TXN_COLUMNS
+from fraudscope.session import scratch_path
 
 
 def _is_merchant(col: str = "nameDest") -> Column:
@@ -62,6 +63,9 @@ def merchant_missing(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ duplicates ---
 
 
+RowHash = Callable[..., Column]
+
+
 def row_groups(df: DataFrame, columns: Sequence[str] = TXN_COLUMNS) -> DataFrame:
     """Identical rows collapsed to one row with its count (NULL equals NULL).
 
@@ -72,50 +76,75 @@ def row_groups(df: DataFrame, columns: Sequence[str] = TXN_COLUMNS) -> DataFrame
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("duplicate_count"))
 
 
-def duplicate_summary(df: DataFrame, columns: Sequence[str] = TXN_COLUMNS) -> DataFrame:
-    """DQ-3: total, distinct and surplus rows over the full row."""
+def _repeated_rows(df: DataFrame, columns: Sequence[str], row_hash: RowHash) -> tuple[DataFrame, int, int]:
+    """(rows whose hash occurs more than once, total rows, rows whose hash occurs once).
+
+    Nearly all rows of a table are distinct, so grouping whole rows sends the
+    table through the shuffle. Here only a hash and a count per row go; rows
+    with equal values have equal hashes, so a row whose hash occurs once has no
+    copy. The hashes that occur more often are written to the shared scratch
+    folder and the rows semi-joined on them (Spark broadcasts the hashes only
+    below its size limit). Different rows that share a hash are among the rows
+    returned, and grouping those by their values tells them apart.
+    """
+    spark = df.sparkSession
+    hashes = df.select(row_hash(*columns).alias("row_hash")).groupBy("row_hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation("row-hashes")
+    hashes = hashes.observe(
+        seen,
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_rows"),
+        F.count(F.when(F.col("n") == 1, F.lit(1))).alias("single_rows"),
+    )
+    path = scratch_path(spark, "repeated-hashes")
+    hashes.where(F.col("n") > 1).select("row_hash").write.parquet(path)
+    repeated = spark.read.schema("row_hash long").parquet(path)
+    rows = df.select(*columns, row_hash(*columns).alias("row_hash")).join(repeated, "row_hash", "left_semi")
+    return rows.drop("row_hash"), seen.get["total_rows"], seen.get["single_rows"]
+
+
+def duplicate_summary(
+    df: DataFrame, columns: Sequence[str] = TXN_COLUMNS, row_hash: RowHash = F.xxhash64
+) -> DataFrame:
+    """DQ-3: total, distinct and surplus rows over the full row (see ``_repeated_rows``; exact)."""
+    rows, total, single = _repeated_rows(df, columns, row_hash)
     return (
-        row_groups(df, columns)
+        row_groups(rows, columns)
         .agg(
-            F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("long").alias("total_rows"),
-            F.count(F.lit(1)).alias("distinct_rows"),
+            F.lit(total).cast("long").alias("total_rows"),
+            (F.count(F.lit(1)) + F.lit(single).cast("long")).alias("distinct_rows"),
         )
         .withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
     )
 
 
-def duplicate_groups(df: DataFrame, columns: Sequence[str] = TXN_COLUMNS) -> DataFrame:
+def duplicate_groups(
+    df: DataFrame, columns: Sequence[str] = TXN_COLUMNS, row_hash: RowHash = F.xxhash64
+) -> DataFrame:
     """DQ-4: every repeated row with its count, most repeated first."""
+    rows, _, _ = _repeated_rows(df, columns, row_hash)
     return (
-        row_groups(df, columns)
+        row_groups(rows, columns)
         .where(F.col("duplicate_count") > 1)
         .orderBy(F.desc("duplicate_count"), *sort_keys(rest=columns))
     )
 
 
-def write_duplicates(df: DataFrame, path: str, columns: Sequence[str] = TXN_COLUMNS) -> dict[str, int]:
-    """DQ-3 and DQ-4 from ONE full-row shuffle.
+def write_duplicates(
+    df: DataFrame, path: str, columns: Sequence[str] = TXN_COLUMNS, row_hash: RowHash = F.xxhash64
+) -> dict[str, int]:
+    """DQ-3 and DQ-4 from one pass over the hashes and one over the rows.
 
     The repeated groups (DQ-4) are written to ``path`` as Parquet while an
-    ``Observation`` on the grouped rows counts all rows and distinct rows in
-    the same job (DQ-3); observed metrics come from successful tasks only, so
-    a retried task is not counted twice. Returns the DQ-3 summary.
+    ``Observation`` on the grouped rows counts them in the same job (DQ-3);
+    observed metrics come from successful tasks only, so a retried task is not
+    counted twice. Returns the DQ-3 summary.
     """
-    from pyspark.sql import Observation
-
+    rows, total, single = _repeated_rows(df, columns, row_hash)
     obs = Observation("duplicates")
-    groups = row_groups(df, columns).observe(
-        obs,
-        F.coalesce(F.sum("duplicate_count"), F.lit(0)).cast("long").alias("total_rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-    )
+    groups = row_groups(rows, columns).observe(obs, F.count(F.lit(1)).alias("groups"))
     groups.where(F.col("duplicate_count") > 1).write.mode("overwrite").parquet(path)
-    got = obs.get
-    return {
-        "total_rows": got["total_rows"],
-        "distinct_rows": got["distinct_rows"],
-        "duplicate_rows": got["total_rows"] - got["distinct_rows"],
-    }
+    distinct = single + obs.get["groups"]
+    return {"total_rows": total, "distinct_rows": distinct, "duplicate_rows": total - distinct}
 
 
 # ------------------------------------------------------------- amounts -----

@@ -3,8 +3,8 @@
 * one scan -> the dashboard rollup (step x type x amount band x balance band,
   dashboard and monitoring rules), checkpointed; the eight dashboard files,
   the weekly monitoring tables and the alerts all derive from it;
-* one scan -> the fused quality summary; one full-row shuffle -> the
-  duplicate groups with the duplicate summary observed in the same job;
+* one scan -> the fused quality summary; one scan of row hashes and one of the
+  rows whose hash is repeated -> the duplicate groups and their summary;
 * row-level tables (review queue, outliers, invalid amounts) -> Parquet.
 """
 

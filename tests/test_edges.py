@@ -141,3 +141,22 @@ def test_rules_with_exceptions_equal_union(txn01):
     got = sorted(map(tuple, th.compare(txn01, rules).collect()), key=lambda r: [(v is None, str(v)) for v in r])
     want = sorted(map(tuple, th.compare_union(txn01, rules).collect()), key=lambda r: [(v is None, str(v)) for v in r])
     assert got == want
+
+
+def test_duplicates_with_forced_hash_collisions(spark):
+    """Every row under one hash, or under three, and the copies are still told from the others."""
+    rows = [(i % 7, "PAYMENT", None if i % 3 == 0 else float(i % 5)) for i in range(60)] + [(0, None, -0.0), (0, None, 0.0)]
+    df = spark.createDataFrame(rows, "step long, type string, amount double")
+    want = {}
+    for r in rows:
+        want[r] = want.get(r, 0) + 1
+    for row_hash in (
+        lambda *c: F.lit(1).cast("long"),
+        lambda *c: F.pmod(F.xxhash64(*c), F.lit(3)),
+        F.xxhash64,
+    ):
+        s = dq.duplicate_summary(df, df.columns, row_hash).first()
+        assert (s.total_rows, s.distinct_rows) == (62, len(want))
+        got = dq.duplicate_groups(df, df.columns, row_hash).collect()
+        assert {tuple(r[:3]): r.duplicate_count for r in got} == {k: n for k, n in want.items() if n > 1}
+    assert dq.duplicate_summary(df.limit(0), df.columns).first().total_rows == 0
