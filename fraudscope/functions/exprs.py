@@ -6,12 +6,41 @@ the whole expression stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fraudscope.schema import MONEY_TYPE
+from fraudscope.schema import MONEY_DIGITS
+
+_DIGITS: ContextVar[int] = ContextVar("money_digits", default=MONEY_DIGITS)
+
+
+@contextmanager
+def money_scale(digits: int) -> Iterator[None]:
+    """Queries built inside the block sum money with ``digits`` decimals (0 to 12) instead of two.
+
+    Sixteen digits are left before the point; a larger amount raises. Finer
+    input is rounded row by row: ``quality.require_exact_money`` tells.
+    """
+    if not 0 <= digits <= 12:
+        raise ValueError("money has 0 to 12 decimals")
+    token = _DIGITS.set(digits)
+    try:
+        yield
+    finally:
+        _DIGITS.reset(token)
+
+
+def money_digits() -> int:
+    return _DIGITS.get()
+
+
+def money_type() -> str:
+    """The decimal type that an amount is cast to before it is summed."""
+    return f"decimal({16 + money_digits()},{money_digits()})"
 
 
 def col(c: str | Column) -> Column:
@@ -28,12 +57,12 @@ def legit(label: str = "isFraud") -> Column:
 
 
 def money_sum(x: str | Column) -> Column:
-    """Exact sum as a decimal (sum of DECIMAL(18,2) -> DECIMAL(28,2)).
+    """Exact sum as a decimal (by default, the sum of DECIMAL(18,2) is DECIMAL(28,2)).
 
     Decimal rather than integer cents: a 100 TB table of payments can hold more
     than 9.2e16 currency units, which overflows a LONG count of cents.
     """
-    return F.sum(col(x).cast(MONEY_TYPE))
+    return F.sum(col(x).cast(money_type()))
 
 
 def money(x: str | Column) -> Column:

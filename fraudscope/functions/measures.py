@@ -18,8 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudscope.functions.exprs import fraud, legit
-from fraudscope.schema import MONEY_TYPE
+from fraudscope.functions.exprs import fraud, legit, money_type
 
 BASE_MEASURES = ("rows", "label_sum", "fraud_rows", "legit_rows", "value", "fraud_value", "legit_value")
 RULE_MEASURES = (
@@ -33,11 +32,29 @@ RULE_MEASURES = (
 
 
 def _amt() -> Column:
-    return F.col("amount").cast(MONEY_TYPE)
+    return F.col("amount").cast(money_type())
 
 
 def _zero() -> Column:
-    return F.lit(0).cast(MONEY_TYPE)
+    return F.lit(0).cast(money_type())
+
+
+def _rule_column(c: Column, i: int, measure: str, rule) -> Column:
+    return c.alias(f"r{i}_{measure}", metadata={"rule": rule.identity()})
+
+
+def require_rules(partials: DataFrame, rules: Sequence) -> None:
+    """Raise unless the partials' rule columns were built with these rules, in this order.
+
+    The columns carry the rule as metadata, which checkpoints and Parquet keep;
+    where a reader's own schema has dropped it, only the columns are required.
+    """
+    fields = {f.name: f for f in partials.schema.fields}
+    for i, rule in enumerate(rules):
+        field = fields.get(f"r{i}_{RULE_MEASURES[0]}")
+        carried = None if field is None else field.metadata.get("rule", rule.identity())
+        if carried != rule.identity():
+            raise ValueError(f"the partials' rule {i} is {carried or 'absent'}, not {rule.name!r} {rule.identity()}")
 
 
 class RowMeasures:
@@ -69,18 +86,20 @@ class RowMeasures:
     def rule(self, i: int, rule) -> list[Column]:
         """Metrics of ``rule`` as if aggregated under ``WHERE rule``.
 
-        ``count`` gives 0 for a rule that flags nothing, every ``sum`` NULL.
+        ``count`` gives 0 for a rule that flags nothing, every ``sum`` NULL. The
+        columns carry what the rule flags (see ``require_rules``).
         """
         flag = rule.flag()
         amt = _amt()
-        return [
-            F.count(F.when(flag, F.lit(1))).alias(f"r{i}_flagged_transactions"),
-            F.sum(F.when(flag, amt)).alias(f"r{i}_flagged_value"),
-            F.sum(F.when(flag, F.when(fraud(), 1).otherwise(0))).cast("long").alias(f"r{i}_fraud_captured_count"),
-            F.sum(F.when(flag, F.when(fraud(), amt).otherwise(_zero()))).alias(f"r{i}_fraud_captured_value"),
-            F.sum(F.when(flag, F.when(legit(), 1).otherwise(0))).cast("long").alias(f"r{i}_legit_affected_count"),
-            F.sum(F.when(flag, F.when(legit(), amt).otherwise(_zero()))).alias(f"r{i}_legit_affected_value"),
+        measures = [
+            F.count(F.when(flag, F.lit(1))),
+            F.sum(F.when(flag, amt)),
+            F.sum(F.when(flag, F.when(fraud(), 1).otherwise(0))).cast("long"),
+            F.sum(F.when(flag, F.when(fraud(), amt).otherwise(_zero()))),
+            F.sum(F.when(flag, F.when(legit(), 1).otherwise(0))).cast("long"),
+            F.sum(F.when(flag, F.when(legit(), amt).otherwise(_zero()))),
         ]
+        return [_rule_column(c, i, m, rule) for c, m in zip(measures, RULE_MEASURES)]
 
 
 class PartialMeasures:
@@ -113,7 +132,7 @@ class PartialMeasures:
             c = F.sum(f"r{i}_{m}")
             if m == "flagged_transactions":
                 c = F.coalesce(c, F.lit(0)).cast("long")
-            out.append(c.alias(f"r{i}_{m}"))
+            out.append(_rule_column(c, i, m, rule))
         return out
 
 

@@ -1,11 +1,13 @@
 """Weekly monitoring metrics (MON-1..10) and alerts (AL-1..6).
 
-Periods are ``(step - 1) div period_hours`` (step 1 = first hour), so the
+Periods are ``floor((step - 1) / period_hours)`` (step 1 = first hour), so the
 default ``period_hours=168`` gives calendar weeks. Each metric table starts
 from one rollup of additive measures per period (and type / amount band):
 one scan with partial aggregation map-side, checkpointed. A spine of every
 period between the first and the last one is then left-joined, so a quiet
-week shows zeros instead of disappearing. Spines come from the checkpointed
+week shows zeros instead of disappearing. Rows without a step have a row of
+their own, with a NULL period, in the metric tables (so totals add up to the
+whole table's); alerts leave it out. Spines come from the checkpointed
 rollup with ``explode(sequence(lo, hi))``: no cross join, no second scan.
 The same final projections read streaming window partials (``*_from_rollup``).
 
@@ -18,14 +20,17 @@ the same answer in every engine.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudscope.functions.bands import AMOUNT_BAND
-from fraudscope.functions.exprs import pct
-from fraudscope.functions.measures import PARTIALS, rollup
-from fraudscope.operators.thresholds import PRIMARY_RULE, WATCHLIST_ONLY
-from fraudscope.schema import HOURS_PER_WEEK, MONEY_TYPE
+from fraudscope.functions.exprs import money_digits, money_type, pct
+from fraudscope.functions.measures import PARTIALS, require_rules, rollup
+from fraudscope.operators.thresholds import PRIMARY_RULE, WATCHLIST_ONLY, WATCHLIST_RULE, Rule
+from fraudscope.schema import HOURS_PER_WEEK
 from fraudscope.session import checkpoint_root
 
 # Defaults where the prose names a number ("more than 20% above the prior
@@ -34,9 +39,17 @@ UPLIFT_PCT = 20
 LOOKBACK = 4
 CONCENTRATION_PCT = 50
 
-# Rule measures carried by every monitoring rollup: r0 = review threshold /
-# primary queue, r1 = watchlist (rule C unless already primary).
+# Rule measures carried by every monitoring rollup by default: r0 = review
+# threshold / primary queue, r1 = watchlist (rule C unless already primary).
 MONITOR_RULES = (PRIMARY_RULE, WATCHLIST_ONLY)
+# More periods than this between the first and the last one mean a corrupt step.
+MAX_PERIODS = 1_000_000
+Rules = tuple[Rule, Rule]
+
+
+def monitor_rules(rule: Rule = PRIMARY_RULE, watchlist: Rule | None = None) -> Rules:
+    """(review rule, watchlist): by default rule C on what the review rule leaves."""
+    return rule, watchlist or Rule("watchlist only", WATCHLIST_RULE.min_amount, WATCHLIST_RULE.types, unless=rule)
 
 
 def with_period(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
@@ -54,21 +67,27 @@ def materialize(agg: DataFrame) -> DataFrame:
     return agg.checkpoint(eager=True)
 
 
-def period_rollup(df: DataFrame, period_hours: int = HOURS_PER_WEEK, by: tuple[str, ...] = ()) -> DataFrame:
+def period_rollup(
+    df: DataFrame, period_hours: int = HOURS_PER_WEEK, by: tuple[str, ...] = (), rules: Rules = MONITOR_RULES
+) -> DataFrame:
     """All monitoring measures per period (and ``by``), scanned once and checkpointed."""
     base = df
     if AMOUNT_BAND.name in by and AMOUNT_BAND.name not in df.columns:
         base = df.withColumn(AMOUNT_BAND.name, AMOUNT_BAND.label())
-    return materialize(rollup(with_period(base, period_hours), ["period", *by], MONITOR_RULES))
+    return materialize(rollup(with_period(base, period_hours), ["period", *by], rules))
 
 
 def _spine(agg: DataFrame, by_type: bool = False) -> DataFrame:
-    """Every period from the first to the last (per observed type)."""
+    """Every period from the first to the last (per observed type), and a NULL one if there is any."""
     bounds = agg.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    far = F.raise_error(F.lit(f"more than {MAX_PERIODS} periods: is a step corrupt?")).cast("long")
+    bounds = bounds.withColumn("hi", F.when(F.col("hi") - F.col("lo") >= MAX_PERIODS, far).otherwise(F.col("hi")))
     if not by_type:
-        return bounds.select(F.explode(F.sequence("lo", "hi")).alias("period"))
-    periods = F.explode(F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar())).alias("period")
-    return agg.select("type").distinct().select("type", periods)
+        periods = bounds.select(F.explode(F.sequence("lo", "hi")).alias("period"))
+    else:
+        every = F.explode(F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar())).alias("period")
+        periods = agg.select("type").distinct().select("type", every)
+    return periods.unionByName(agg.where("period IS NULL").select(*periods.columns))
 
 
 def _fill(spine: DataFrame, agg: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,18 +99,20 @@ def _fill(spine: DataFrame, agg: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _merged(partials: DataFrame, keys: list[str], spine: bool, by_type: bool = False) -> DataFrame:
+def _merged(
+    partials: DataFrame, keys: list[str], spine: bool, by_type: bool = False, rules: Sequence[Rule] = ()
+) -> DataFrame:
     """Merge partials to ``keys``; optionally spine-fill; every measure 0 where absent."""
+    require_rules(partials, rules)
     merged = partials.groupBy(*keys).agg(
         PARTIALS.rows().alias("rows"),
         *[getattr(PARTIALS, n)().alias(n) for n in ("fraud_rows", "legit_rows", "fraud_value")],
         PARTIALS.value().alias("value"),
-        *PARTIALS.rule(0, MONITOR_RULES[0]),
-        *PARTIALS.rule(1, MONITOR_RULES[1]),
+        *[c for i, rule in enumerate(rules) for c in PARTIALS.rule(i, rule)],
     )
     if spine:
         merged = _fill(_spine(merged, by_type), merged, keys)
-    zero_money = F.lit(0).cast(MONEY_TYPE)
+    zero_money = F.lit(0).cast(money_type())
     fills = {}
     for c in merged.columns:
         if c in keys:
@@ -105,6 +126,16 @@ def _start_step(period_hours: int) -> Column:
     return (F.col("period") * F.lit(int(period_hours)) + 1).alias("period_start_step")
 
 
+def _in_order(df: DataFrame, ordered: bool, *keys: str | Column) -> DataFrame:
+    """Sorted for a reader; a table that an alert's window sorts again need not be."""
+    return df.orderBy(*keys) if ordered else df
+
+
+def _periods(df: DataFrame) -> DataFrame:
+    """The rows that have a period."""
+    return df.where(F.col("period").isNotNull())
+
+
 def _d(c: str) -> Column:
     return F.col(c).cast("double")
 
@@ -112,10 +143,12 @@ def _d(c: str) -> Column:
 # ------------------------------------------------------------- metrics -----
 
 
-def metrics_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True) -> DataFrame:
+def metrics_from_rollup(
+    partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True, ordered: bool = True
+) -> DataFrame:
     """MON-1..5 from monitoring partials at any grain that contains ``period``."""
     m = _merged(partials, ["period"], spine)
-    return m.select(
+    out = m.select(
         "period",
         _start_step(period_hours),
         F.col("rows").alias("total_transactions"),
@@ -123,13 +156,16 @@ def metrics_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK,
         F.col("fraud_rows").alias("fraud_count"),
         _d("fraud_value").alias("fraud_value"),
         pct("fraud_rows", "rows", 4).alias("fraud_rate_pct"),
-    ).orderBy("period")
+    )
+    return _in_order(out, ordered, "period")
 
 
-def rate_by_type_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True) -> DataFrame:
+def rate_by_type_from_rollup(
+    partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True, ordered: bool = True
+) -> DataFrame:
     """MON-6 from partials whose grain contains ``period`` and ``type``."""
     m = _merged(partials, ["period", "type"], spine, by_type=True)
-    return m.select(
+    out = m.select(
         "period",
         _start_step(period_hours),
         "type",
@@ -137,13 +173,20 @@ def rate_by_type_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_
         F.col("fraud_rows").alias("fraud_count"),
         _d("fraud_value").alias("fraud_value"),
         pct("fraud_rows", "rows", 4).alias("fraud_rate_pct"),
-    ).orderBy("period", F.asc_nulls_last("type"))
+    )
+    return _in_order(out, ordered, "period", F.asc_nulls_last("type"))
 
 
-def threshold_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEEK, spine: bool = True) -> DataFrame:
-    """MON-7..10 from monitoring partials."""
-    m = _merged(partials, ["period"], spine)
-    return m.select(
+def threshold_from_rollup(
+    partials: DataFrame,
+    period_hours: int = HOURS_PER_WEEK,
+    spine: bool = True,
+    ordered: bool = True,
+    rules: Rules = MONITOR_RULES,
+) -> DataFrame:
+    """MON-7..10 from monitoring partials that were built with ``rules``."""
+    m = _merged(partials, ["period"], spine, rules=rules)
+    out = m.select(
         "period",
         _start_step(period_hours),
         F.col("rows").alias("total_transactions"),
@@ -158,28 +201,37 @@ def threshold_from_rollup(partials: DataFrame, period_hours: int = HOURS_PER_WEE
         F.col("r0_legit_affected_count").alias("legit_affected_count"),
         _d("r0_legit_affected_value").alias("legit_affected_value"),
         pct("r0_legit_affected_count", "legit_rows", 2).alias("legit_count_affected_pct"),
-    ).orderBy("period")
+    )
+    return _in_order(out, ordered, "period")
 
 
-def weekly_metrics(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
+def weekly_metrics(df: DataFrame, period_hours: int = HOURS_PER_WEEK, ordered: bool = True) -> DataFrame:
     """MON-1..5: volume, value, fraud count / value / rate per period."""
-    return metrics_from_rollup(period_rollup(df, period_hours), period_hours)
+    return metrics_from_rollup(period_rollup(df, period_hours), period_hours, ordered=ordered)
 
 
-def weekly_rate_by_type(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
+def weekly_rate_by_type(df: DataFrame, period_hours: int = HOURS_PER_WEEK, ordered: bool = True) -> DataFrame:
     """MON-6: fraud rate per period and type; every (period, type) present."""
-    return rate_by_type_from_rollup(period_rollup(df, period_hours, by=("type",)), period_hours)
+    return rate_by_type_from_rollup(period_rollup(df, period_hours, by=("type",)), period_hours, ordered=ordered)
 
 
-def weekly_threshold(df: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
-    """MON-7..10: the review rule week by week.
+def weekly_threshold(
+    df: DataFrame,
+    period_hours: int = HOURS_PER_WEEK,
+    rule: Rule = PRIMARY_RULE,
+    watchlist: Rule | None = None,
+    ordered: bool = True,
+) -> DataFrame:
+    """MON-7..10: the review rule week by week (``watchlist``: see ``monitor_rules``).
 
     Above-threshold count and value, review queue volume (primary queue) and
     the watchlist volume next to it, fraud captured (count, value, % of the
     week's fraud) and legitimate transactions affected (count, value, % of the
     week's legitimate transactions).
     """
-    return threshold_from_rollup(period_rollup(df, period_hours), period_hours)
+    rules = monitor_rules(rule, watchlist)
+    partials = period_rollup(df, period_hours, rules=rules)
+    return threshold_from_rollup(partials, period_hours, ordered=ordered, rules=rules)
 
 
 # -------------------------------------------------------------- alerts -----
@@ -212,7 +264,7 @@ def fraud_rate_spike(metrics: DataFrame, lookback: int = LOOKBACK, uplift_pct: i
     """
     w = _prior([], lookback)
     units = _rate_units("fraud_rate_pct")
-    m = metrics.withColumn("_u", units)
+    m = _periods(metrics).withColumn("_u", units)
     prior_sum = F.sum("_u").over(w)
     prior_n = F.count("_u").over(w)
     return m.select(
@@ -228,7 +280,7 @@ def type_spike(
 ) -> DataFrame:
     """AL-2: a type's fraud rate OR fraud count above ``1 + uplift`` x its prior mean."""
     w = _prior(["type"], lookback)
-    m = rate_by_type.where(F.col("type") == txn_type).withColumn("_u", _rate_units("fraud_rate_pct"))
+    m = _periods(rate_by_type).where(F.col("type") == txn_type).withColumn("_u", _rate_units("fraud_rate_pct"))
     rate_sum, rate_n = F.sum("_u").over(w), F.count("_u").over(w)
     cnt_sum, cnt_n = F.sum("fraud_count").over(w), F.count("fraud_count").over(w)
     return m.select(
@@ -248,8 +300,8 @@ def type_spike(
 def week_over_week(rate_by_type: DataFrame, txn_type: str = "CASH_OUT", uplift_pct: int = UPLIFT_PCT) -> DataFrame:
     """AL-3: a type's fraud count OR value more than ``uplift_pct`` % above last period."""
     w = Window.partitionBy("type").orderBy("period")
-    # back to an exact decimal (the double holds a 2-decimal sum exactly enough to round-trip)
-    m = rate_by_type.where(F.col("type") == txn_type).withColumn("_v", F.col("fraud_value").cast("decimal(38,2)"))
+    # back to an exact decimal (the double holds a sum of money exactly enough to round-trip)
+    m = _periods(rate_by_type).where(F.col("type") == txn_type).withColumn("_v", F.col("fraud_value").cast(f"decimal(38,{money_digits()})"))
     prev_n, prev_v = F.lag("fraud_count").over(w), F.lag("_v").over(w)
     m = m.select("period", "type", "fraud_count", "fraud_value", "_v", prev_n.alias("prev_fraud_count"), prev_v.alias("_pv"))
     up = F.lit(100 + uplift_pct)
@@ -271,7 +323,7 @@ def review_surge(threshold_metrics: DataFrame, lookback: int = LOOKBACK, uplift_
     """AL-4: above-threshold volume above ``1 + uplift`` x its prior mean."""
     w = _prior([], lookback)
     s, n = F.sum("above_threshold_count").over(w), F.count("above_threshold_count").over(w)
-    return threshold_metrics.select(
+    return _periods(threshold_metrics).select(
         "period",
         "above_threshold_count",
         F.when(n == lookback, s / F.lit(float(lookback))).alias("baseline_count"),
@@ -281,7 +333,7 @@ def review_surge(threshold_metrics: DataFrame, lookback: int = LOOKBACK, uplift_
 
 def concentration_from_rollup(partials: DataFrame, share_pct: int = CONCENTRATION_PCT) -> DataFrame:
     """AL-5 from partials whose grain contains period, type and amount band."""
-    seg = partials.groupBy("period", "type", AMOUNT_BAND.name).agg(PARTIALS.fraud_value().alias("seg_value"))
+    seg = _periods(partials).groupBy("period", "type", AMOUNT_BAND.name).agg(PARTIALS.fraud_value().alias("seg_value"))
     by_period = Window.partitionBy("period")
     ranked = seg.withColumns(
         {
@@ -318,7 +370,7 @@ def value_concentration(
 
 def capacity_breach(threshold_metrics: DataFrame, capacity: int) -> DataFrame:
     """AL-6: periods whose review queue exceeds the team's capacity."""
-    return threshold_metrics.select(
+    return _periods(threshold_metrics).select(
         "period",
         "review_queue_volume",
         F.lit(int(capacity)).cast("long").alias("capacity"),
@@ -344,8 +396,9 @@ def tables_from_partials(
     period_hours: int = HOURS_PER_WEEK,
     capacity: int | None = None,
     names: tuple[str, ...] | None = None,
+    rules: Rules = MONITOR_RULES,
 ) -> dict[str, DataFrame]:
-    """MON-1..10 and AL-1..6 from monitoring partials (period x type x amount band grain).
+    """MON-1..10 and AL-1..6 from monitoring partials (period x type x amount band grain, built with ``rules``).
 
     ``names`` selects tables (default: all; AL-6 only with a ``capacity``). A
     period table that several selected tables need is checkpointed once.
@@ -358,7 +411,7 @@ def tables_from_partials(
             build = {
                 "weekly_metrics": metrics_from_rollup,
                 "weekly_rate_by_type": rate_by_type_from_rollup,
-                "weekly_threshold": threshold_from_rollup,
+                "weekly_threshold": partial(threshold_from_rollup, rules=rules),
             }[name]
             cache[name] = materialize(build(partials, period_hours))
         return cache[name]

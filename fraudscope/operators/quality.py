@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from fraudscope.functions.exprs import count_where, fraud, money_sum, pct, sort_keys
+from fraudscope.functions.exprs import count_where, fraud, money_digits, money_sum, pct, sort_keys
 from fraudscope.schema import BALANCE_COLUMNS, LARGE_AMOUNT, MERCHANT_PREFIX, TXN_COLUMNS
 from fraudscope.session import scratch_path
 
@@ -177,6 +177,23 @@ def amount_stat_exprs() -> list[Column]:
     ]
 
 
+def money_issue_exprs(columns: Sequence[str] = ("amount",)) -> list[Column]:
+    """Values that an exact sum cannot hold: not finite (left out of the sum) or finer than its scale (rounded)."""
+    out = []
+    for c in columns:
+        no_number = F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf")))
+        out.append(count_where(no_number).alias(f"not_finite_{c}"))
+        out.append(count_where(F.round(F.col(c), money_digits()) != F.col(c)).alias(f"finer_{c}"))
+    return out
+
+
+def require_exact_money(df: DataFrame, columns: Sequence[str] = ("amount",)) -> None:
+    """Raise if a money total would not be exact: NaN, infinite, or finer than the scale (``money_scale``)."""
+    found = {k: n for k, n in df.agg(*money_issue_exprs(columns)).first().asDict().items() if n}
+    if found:
+        raise ValueError(f"money sums with {money_digits()} decimals are not exact: {found}")
+
+
 def amount_stats(df: DataFrame) -> DataFrame:
     """DQ-7: min, max and mean amount (mean rounded to 4 digits)."""
     return df.agg(*amount_stat_exprs())
@@ -207,9 +224,14 @@ def origin_mismatch_count(df: DataFrame) -> DataFrame:
     return df.where(origin_mismatch()).agg(F.count(F.lit(1)).alias("inconsistent_origin_balance"))
 
 
-def origin_mismatch_rows(df: DataFrame, n: int = 50) -> DataFrame:
-    """DQ-10: a sample of ``n`` such rows, under a total order."""
-    return df.where(origin_mismatch()).orderBy(*sort_keys(rest=TXN_COLUMNS)).limit(n)
+def _sample(rows: DataFrame, n: int, ordered: bool) -> DataFrame:
+    """``n`` rows: the first under a total order (reads everything), or any (stops early)."""
+    return (rows.orderBy(*sort_keys(rest=TXN_COLUMNS)) if ordered else rows).limit(n)
+
+
+def origin_mismatch_rows(df: DataFrame, n: int = 50, ordered: bool = True) -> DataFrame:
+    """DQ-10: a sample of ``n`` such rows, under a total order unless ``ordered`` is false."""
+    return _sample(df.where(origin_mismatch()), n, ordered)
 
 
 def dest_mismatch_count(df: DataFrame) -> DataFrame:
@@ -217,9 +239,9 @@ def dest_mismatch_count(df: DataFrame) -> DataFrame:
     return df.where(dest_mismatch()).agg(F.count(F.lit(1)).alias("inconsistent_dest_balance"))
 
 
-def dest_mismatch_rows(df: DataFrame, n: int = 50) -> DataFrame:
+def dest_mismatch_rows(df: DataFrame, n: int = 50, ordered: bool = True) -> DataFrame:
     """DQ-12."""
-    return df.where(dest_mismatch()).orderBy(*sort_keys(rest=TXN_COLUMNS)).limit(n)
+    return _sample(df.where(dest_mismatch()), n, ordered)
 
 
 def negative_balance_exprs() -> list[Column]:
@@ -314,13 +336,10 @@ def zero_origin_balance(df: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
-def zero_dest_balance(df: DataFrame, n: int = 50) -> DataFrame:
+def zero_dest_balance(df: DataFrame, n: int = 50, ordered: bool = True) -> DataFrame:
     """DQ-24: positive amounts into an empty non-merchant account; ``n`` rows."""
-    return (
-        df.where((F.col("amount") > 0) & (F.col("oldbalanceDest") == 0) & ~_is_merchant())
-        .orderBy(*sort_keys(rest=TXN_COLUMNS))
-        .limit(n)
-    )
+    rows = df.where((F.col("amount") > 0) & (F.col("oldbalanceDest") == 0) & ~_is_merchant())
+    return _sample(rows, n, ordered)
 
 
 # ------------------------------------------------------------- fused -------
@@ -329,7 +348,8 @@ def zero_dest_balance(df: DataFrame, n: int = 50) -> DataFrame:
 def report(df: DataFrame) -> DataFrame:
     """All global quality counts in ONE scan and ONE aggregate (one row).
 
-    Fuses DQ-1, 2, 5, 7, 9, 11, 13 and 19: each becomes a conditional
+    Fuses DQ-1, 2, 5, 7, 9, 11, 13 and 19, and counts the amounts that an
+    exact sum cannot hold: each becomes a conditional
     aggregate over the same rows instead of its own pass.
     """
     merchant = _is_merchant()
@@ -350,6 +370,7 @@ def report(df: DataFrame) -> DataFrame:
             count_where(F.col("amount") == 0).alias("zero_amounts"),
         ]
         + amount_stat_exprs()
+        + money_issue_exprs()
         + [
             F.count(F.when(origin_mismatch(), F.lit(1))).alias("inconsistent_origin_balance"),
             F.count(F.when(dest_mismatch(), F.lit(1))).alias("inconsistent_dest_balance"),

@@ -19,11 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudscope.functions.exprs import count_where, fraud, legit, money, pct
-from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures, measure_exprs
+from fraudscope.functions.exprs import count_where, fraud, legit, money, money_type, pct
+from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures, measure_exprs, require_rules
 from fraudscope.schema import (
     LARGE_AMOUNT,
-    MONEY_TYPE,
     RULE_NAMES_ANALYSIS,
     RULE_NAMES_DASHBOARD,
     TRANSFER_WATCH_AMOUNT,
@@ -51,6 +50,11 @@ class Rule:
             p = p & ~self.unless.flag()
         return p
 
+    def identity(self) -> str:
+        """What the rule flags, whatever it is called."""
+        types = sorted(self.types) if self.types else None
+        return json.dumps([float(self.min_amount), types, self.unless.identity() if self.unless else None])
+
     def flag(self) -> Column:
         """Predicate with NULL read as "not flagged" (a WHERE clause drops NULL rows)."""
         return F.coalesce(self.predicate(), F.lit(False))
@@ -89,7 +93,7 @@ COMPARE_COLUMNS = [
 
 
 def _dec_amount() -> Column:
-    return F.col("amount").cast(MONEY_TYPE)
+    return F.col("amount").cast(money_type())
 
 
 def base_total_exprs(m: RowMeasures | PartialMeasures = ROWS) -> list[Column]:
@@ -199,11 +203,12 @@ def compare(
     each rule adds up those it flags. A rule that flags nothing keeps its row:
     count 0, NULL sums.
 
-    With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules`` and
-    the rules' pre-aggregated columns are merged instead.
+    With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules`` (others
+    raise) and the rules' pre-aggregated columns are merged instead.
     """
     _check_rules(rules)
     if isinstance(m, PartialMeasures):
+        require_rules(df, rules)
         aggs = base_total_exprs(m)
         for i, rule in enumerate(rules):
             aggs += m.rule(i, rule)
@@ -276,7 +281,7 @@ def compare_union(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> Dat
     and to measure the one-pass plan against it.
     """
     amt = _dec_amount()
-    zero = F.lit(0).cast(MONEY_TYPE)
+    zero = F.lit(0).cast(money_type())
     parts = [
         df.where(rule.predicate()).agg(
             F.lit(rule.name).alias("threshold_name"),
@@ -302,7 +307,7 @@ def compare_union(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> Dat
 def rule_detail(df: DataFrame, rule: Rule) -> DataFrame:
     """TH-3 / TH-4: a rule's flagged rows by type, most fraud captured first."""
     amt = _dec_amount()
-    zero = F.lit(0).cast(MONEY_TYPE)
+    zero = F.lit(0).cast(money_type())
     return (
         df.where(rule.predicate())
         .groupBy("type")

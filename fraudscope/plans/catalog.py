@@ -144,6 +144,25 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/alerts")
 
 
+def _stream_table(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch_path(spark, "st-table")
+        q = st.start_alerts(
+            stream_fixture(spark, sf_dir),
+            base,
+            f"{base}/_checkpoint",
+            ALERT_PERIOD_HOURS,
+            available_now=True,
+            capacity=ALERT_CAPACITY,
+            tables=(name,),
+        )
+        st.run_to_end(q)
+        return spark.read.parquet(f"{base}/tables/{name}")
+
+    run.__doc__ = f"ST-3: {name} over the closed daily periods of the stream."
+    return run
+
+
 def _scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-1 from CSV: the table written with its columns in another order, read by the header's names."""
     path = scratch_path(spark, "csv")
@@ -181,24 +200,31 @@ QUERIES.update(
         "mon_weekly_threshold": _on_txn(mon.weekly_threshold),
         # --- alerts (AL-1..6), daily periods ---
         "alert_fraud_rate_spike": _on_txn(
-            lambda df: mon.fraud_rate_spike(mon.weekly_metrics(df, ALERT_PERIOD_HOURS))
+            lambda df: mon.fraud_rate_spike(mon.weekly_metrics(df, ALERT_PERIOD_HOURS, ordered=False))
         ),
         "alert_transfer_spike": _on_txn(
-            lambda df: mon.type_spike(mon.weekly_rate_by_type(df, ALERT_PERIOD_HOURS), "TRANSFER")
+            lambda df: mon.type_spike(mon.weekly_rate_by_type(df, ALERT_PERIOD_HOURS, ordered=False), "TRANSFER")
         ),
         "alert_cash_out_spike": _on_txn(
-            lambda df: mon.week_over_week(mon.weekly_rate_by_type(df, ALERT_PERIOD_HOURS), "CASH_OUT")
+            lambda df: mon.week_over_week(mon.weekly_rate_by_type(df, ALERT_PERIOD_HOURS, ordered=False), "CASH_OUT")
         ),
         "alert_review_surge": _on_txn(
-            lambda df: mon.review_surge(mon.weekly_threshold(df, ALERT_PERIOD_HOURS))
+            lambda df: mon.review_surge(mon.weekly_threshold(df, ALERT_PERIOD_HOURS, ordered=False))
         ),
         "alert_value_concentration": _on_txn(lambda df: mon.value_concentration(df, ALERT_PERIOD_HOURS)),
         "alert_capacity_breach": _on_txn(
-            lambda df: mon.capacity_breach(mon.weekly_threshold(df, ALERT_PERIOD_HOURS), ALERT_CAPACITY)
+            lambda df: mon.capacity_breach(mon.weekly_threshold(df, ALERT_PERIOD_HOURS, ordered=False), ALERT_CAPACITY)
         ),
         # --- streaming twins (ST-1..3) ---
         "stream_weekly_metrics": _stream_weekly_metrics,
         "stream_review_queue": _stream_review_queue,
         "stream_alerts": _stream_alerts,
+        "stream_rate_by_type": _stream_table("weekly_rate_by_type"),
+        "stream_threshold": _stream_table("weekly_threshold"),
+        "stream_transfer_spike": _stream_table("alert_transfer_spike"),
+        "stream_cash_out_spike": _stream_table("alert_cash_out_spike"),
+        "stream_review_surge": _stream_table("alert_review_surge"),
+        "stream_value_concentration": _stream_table("alert_value_concentration"),
+        "stream_capacity_breach": _stream_table("alert_capacity_breach"),
     }
 )

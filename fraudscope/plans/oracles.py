@@ -229,6 +229,8 @@ ORDER BY {ALL_ASC} LIMIT 50"""
     {_cnt('amount < 0')} AS negative_amounts,
     {_cnt('amount = 0')} AS zero_amounts,
     MIN(amount) AS min_amount, MAX(amount) AS max_amount, {_AVG} AS avg_amount,
+    {_cnt('isnan(amount) OR isinf(amount)')} AS not_finite_amount,
+    {_cnt('round(amount, 2) <> amount')} AS finer_amount,
     COUNT(*) FILTER (WHERE {_ORIG_MISMATCH}) AS inconsistent_origin_balance,
     COUNT(*) FILTER (WHERE {_DEST_MISMATCH}) AS inconsistent_dest_balance,
     {_NEG},
@@ -525,6 +527,23 @@ ORACLES.update(
     }
 )
 
+# streamed tables: the rows of the daily periods that the watermark has closed
+def _closed(sql: str) -> str:
+    return f"SELECT * FROM ({sql}) WHERE (period + 1) * {_DAY} <= (SELECT MAX(step) FROM ({ORACLES['scan_transactions']})) - 1 - 24"
+
+
+ORACLES.update(
+    {
+        "stream_rate_by_type": _closed(q(_rate_by_type_body(_DAY), _per(_DAY, "type"))),
+        "stream_threshold": _closed(q(_threshold_body(_DAY), _per(_DAY, measures=_THRESHOLD_MEASURES))),
+        "stream_transfer_spike": _closed(ORACLES["alert_transfer_spike"]),
+        "stream_cash_out_spike": _closed(ORACLES["alert_cash_out_spike"]),
+        "stream_review_surge": _closed(ORACLES["alert_review_surge"]),
+        "stream_value_concentration": _closed(ORACLES["alert_value_concentration"]),
+        "stream_capacity_breach": _closed(ORACLES["alert_capacity_breach"]),
+    }
+)
+
 # exports hold the tables they were written from
 ORACLES.update(
     {

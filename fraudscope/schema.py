@@ -70,5 +70,7 @@ RULE_NAMES_DASHBOARD = (
 EPOCH = "2024-01-01 00:00:00"
 HOURS_PER_WEEK = 168
 
-# Money is summed exactly as DECIMAL(18, 2) and cast to DOUBLE at the end.
-MONEY_TYPE = "decimal(18,2)"
+# Money is summed exactly as a decimal with this many decimals and cast to DOUBLE at the end
+# (functions.exprs.money_scale sets another number).
+MONEY_DIGITS = 2
+MONEY_TYPE = f"decimal({16 + MONEY_DIGITS},{MONEY_DIGITS})"

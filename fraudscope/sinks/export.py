@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraudscope.functions.bands import with_bands
+from fraudscope.functions.exprs import money_digits
 from fraudscope.functions.measures import PARTIALS, rollup
 from fraudscope.operators import segments as seg
 from fraudscope.operators import thresholds as th
@@ -52,13 +53,14 @@ def _plain_double(c: str):
 
     Java writes doubles below 1e-3 as ``2.0E-4``; rates are rounded to at most
     4 digits, so 10 decimals hold them exactly and the text parses back to
-    the same double.
+    the same double; any other double that does not keeps Java's text.
     """
     x = F.col(c)
     text = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), "0+$", "")
     plain = F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
-    # beyond DECIMAL(38,10)'s range (never a rate) keep Spark's own text
-    return F.when(F.abs(x) < F.lit(1e17), plain).otherwise(x.cast("string"))
+    # a double that ten decimals or DECIMAL(38,10)'s range cannot hold (never a rate) keeps Spark's own text
+    held = F.when(F.abs(x) < F.lit(1e17), text.cast("double") == x).otherwise(F.lit(False))
+    return F.when(held, plain).otherwise(x.cast("string"))
 
 
 def export(
@@ -73,14 +75,14 @@ def export(
     With ``order_by`` the rows are sorted in the one partition that is written;
     without, ``df`` comes ordered and is coalesced.
 
-    Money columns as DECIMAL(38,2) text, other doubles in plain notation.
+    Money columns as decimal text with the scale of money, other doubles in plain notation.
     NULL is written as an empty field; a value holding the separator is quoted.
     """
     money_cols = set(_money_columns(df) if money_columns is None else money_columns)
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
     out = df.select(
         *[
-            F.col(c).cast("decimal(38,2)").alias(c)
+            F.col(c).cast(f"decimal(38,{money_digits()})").alias(c)
             if c in money_cols
             else _plain_double(c).alias(c)
             if c in doubles

@@ -27,8 +27,6 @@ from fraudscope.sinks.export import (
     export_row_tables,
 )
 
-_ALL_RULES = th.DASHBOARD_RULES + mon.MONITOR_RULES
-
 
 def monitoring_partials(r: DataFrame, period_hours: int = HOURS_PER_WEEK) -> DataFrame:
     """The dashboard rollup re-keyed for monitoring: period instead of step, monitor rules as r0 / r1."""
@@ -41,9 +39,14 @@ def monitoring_partials(r: DataFrame, period_hours: int = HOURS_PER_WEEK) -> Dat
     )
 
 
-def monitoring_tables(r: DataFrame, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None) -> dict[str, DataFrame]:
+def monitoring_tables(
+    r: DataFrame,
+    period_hours: int = HOURS_PER_WEEK,
+    capacity: int | None = None,
+    rules: mon.Rules = mon.MONITOR_RULES,
+) -> dict[str, DataFrame]:
     """MON-1..10 and AL-1..6 from the dashboard rollup (no further scan)."""
-    return mon.tables_from_partials(monitoring_partials(r, period_hours), period_hours, capacity)
+    return mon.tables_from_partials(monitoring_partials(r, period_hours), period_hours, capacity, rules=rules)
 
 
 def _write_json(spark, record: dict, path: str) -> None:
@@ -52,16 +55,21 @@ def _write_json(spark, record: dict, path: str) -> None:
 
 
 def publish_all(
-    df: DataFrame, out_dir: str, period_hours: int = HOURS_PER_WEEK, capacity: int | None = None
+    df: DataFrame,
+    out_dir: str,
+    period_hours: int = HOURS_PER_WEEK,
+    capacity: int | None = None,
+    rule: th.Rule = th.PRIMARY_RULE,
 ) -> dict[str, str]:
-    """Write dashboards, monitoring, alerts, the quality summary and row-level tables."""
+    """Write dashboards, monitoring (of review ``rule``), alerts, the quality summary and row-level tables."""
+    rules = mon.monitor_rules(rule)
     out = out_dir.rstrip("/")
-    r = dashboard_rollup(df, _ALL_RULES)
+    r = dashboard_rollup(df, th.DASHBOARD_RULES + rules)
     paths: dict[str, str] = {}
     for name, table in dashboard_tables(df, r).items():
         paths[name] = f"{out}/dashboard/{name}"
         export(table, paths[name], DASHBOARD_FILES[name])
-    for name, table in monitoring_tables(r, period_hours, capacity).items():
+    for name, table in monitoring_tables(r, period_hours, capacity, rules).items():
         paths[name] = f"{out}/monitoring/{name}"
         export_parquet(table.coalesce(1), paths[name])  # one row per period
     paths["quality_report"] = f"{out}/quality/report"

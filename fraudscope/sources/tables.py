@@ -86,10 +86,9 @@ def stream_transactions(
     return reader.schema(TXN_SCHEMA).parquet(path)
 
 
-def preview(df: DataFrame, n: int = 10) -> DataFrame:
-    """First ``n`` rows under a total order over all columns (stable across runs)."""
-    return df.orderBy(*sort_keys(rest=TXN_COLUMNS)).limit(n)
-
+def preview(df: DataFrame, n: int = 10, ordered: bool = True) -> DataFrame:
+    """First ``n`` rows under a total order over all columns (stable across runs), or any ``n``, which stops early."""
+    return (df.orderBy(*sort_keys(rest=TXN_COLUMNS)) if ordered else df).limit(n)
 
 
 def register_views(df: DataFrame, name: str = "transactions") -> None:

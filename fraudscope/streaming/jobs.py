@@ -32,6 +32,7 @@ from fraudscope.operators.thresholds import review_queue
 from fraudscope.schema import EPOCH, HOURS_PER_WEEK
 
 WATERMARK = "1 day"
+NO_STEP = "rows_without_step"
 EPOCH_SECONDS = int(datetime.fromisoformat(EPOCH).replace(tzinfo=timezone.utc).timestamp())
 
 
@@ -50,9 +51,12 @@ def window_partials(stream: DataFrame, period_hours: int = HOURS_PER_WEEK, water
 
     The state holds counts and decimal sums only, so the written windows can
     be merged into any coarser table: MON-1..10 and AL-1..5 all read from it.
+    Rows without a step are in no window: they are counted as the metric
+    ``NO_STEP``, and ``run_to_end`` raises if there are any.
     """
     return (
-        stream.withColumns({"ts": event_time(), AMOUNT_BAND.name: AMOUNT_BAND.label()})
+        stream.observe(NO_STEP, F.count(F.when(F.col("step").isNull(), F.lit(1))).alias("n"))
+        .withColumns({"ts": event_time(), AMOUNT_BAND.name: AMOUNT_BAND.label()})
         .withWatermark("ts", watermark)
         .groupBy(_window(period_hours).alias("w"), "type", AMOUNT_BAND.name)
         .agg(*measure_exprs(ROWS, mon.MONITOR_RULES))
@@ -185,29 +189,39 @@ class LateRowsDropped(RuntimeError):
     """Rows came later than the watermark allows: the written windows are not complete."""
 
 
-def _note_dropped(query: StreamingQuery, dropped: dict[int, int]) -> None:
+class RowsWithoutStep(RuntimeError):
+    """Rows have no step, so no window holds them: the written windows do not add up to the feed."""
+
+
+def _note_dropped(query: StreamingQuery, dropped: dict[int, int], no_step: dict[int, int]) -> None:
     for progress in query.recentProgress:
         states = progress["stateOperators"]
         dropped[progress["batchId"]] = sum(s.get("numRowsDroppedByWatermark", 0) for s in states)
+        observed = progress["observedMetrics"].get(NO_STEP)
+        if observed is not None:
+            no_step[progress["batchId"]] = max(no_step.get(progress["batchId"], 0), observed["n"])
 
 
 def run_to_end(query: StreamingQuery, timeout_s: float | None = None) -> None:
-    """Wait for an availableNow query; surface its failure, and rows that the watermark dropped.
+    """Wait for an availableNow query; surface its failure, and rows that no window holds.
 
     There is no time limit unless one is given. The count of dropped rows is of
     the state's input: rows of one window, type and band that a task has
     already summed count once.
     """
     dropped: dict[int, int] = {}
+    no_step: dict[int, int] = {}
     end = None if timeout_s is None else time.monotonic() + timeout_s
     while not query.awaitTermination(2):
-        _note_dropped(query, dropped)
+        _note_dropped(query, dropped, no_step)
         if end is not None and time.monotonic() > end:
             query.stop()
             raise TimeoutError("streaming query did not finish in time")
-    _note_dropped(query, dropped)
+    _note_dropped(query, dropped, no_step)
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+    if sum(no_step.values()):
+        raise RowsWithoutStep(f"{sum(no_step.values())} rows have no step and are in no window")
     if sum(dropped.values()):
         raise LateRowsDropped(
             f"{sum(dropped.values())} late groups of rows were dropped (batches {sorted(b for b, n in dropped.items() if n)}); "
