@@ -1,9 +1,9 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Notices are cut into segments of at most twelve words. A text is covered by
-overlapping windows of two widths, so that a segment anywhere in it lies wholly
+Notices are cut into segments of three to twelve words. A text is covered by
+overlapping windows of three widths, so that a segment anywhere in it lies wholly
 inside some window of its width class; that window's shingles then include all
-of the segment's. Each window has the minimum hashes of as many bands as make
+of the segment's. A segment of three words is one shingle, and so are its windows. Each window has the minimum hashes of as many bands as make
 the chance that a window which holds a segment shares none of its minima less
 than ``MISS``. Bands are one hash wide, as the notices are few. The segments
 retrieved are verified by the share of their shingles in the window.
@@ -47,11 +47,13 @@ class Windows:
     def bands(self) -> int:
         """Bands at which the shortest segment meets a window that holds it with a chance of 1 - MISS."""
         jaccard = (self.shortest - SHINGLE + 1) / self.shingles
+        if jaccard == 1:
+            return 1  # the window is the segment
         return math.ceil(math.log(MISS) / math.log(1 - jaccard))
 
 
 #: A segment of ``longest`` words lies in one window wherever it begins: stride <= words - longest + 1.
-CLASSES = (Windows("short", 8, 4, 4, 5), Windows("long", 16, 5, 6, 12))
+CLASSES = (Windows("phrase", 3, 1, 3, 3), Windows("short", 8, 4, 4, 5), Windows("long", 16, 5, 6, 12))
 
 # Common license notices, by their SPDX identifiers.
 NOTICES = {
@@ -65,7 +67,7 @@ NOTICES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "Proprietary": "Copyright. All rights reserved worldwide",
+    "Proprietary": "All rights reserved",
 }
 
 
