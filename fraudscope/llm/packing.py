@@ -4,14 +4,15 @@ Documents are tokenised where they lie and cut into pieces; only the pieces'
 lengths and places go on. The pieces are dealt at random into cells of bounded
 size. Each cell is packed by best fit and improved by local search: the emptiest
 bins are taken apart by moving, exchanging one for one, or two for one, always
-so that the sum of squared fills grows, until bins are empty. The bins that
-stay underfull are the next round's pieces: rounds go on, each over a small part
-of the last one's pieces, until what is left fits in one cell.
+so that the sum of squared fills grows, until the room left is less than a bin
+or no bin can be changed. The bins that stay underfull are dealt, whole, into
+the next round's cells, and the search goes on.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 import zlib
 from collections import defaultdict
@@ -27,13 +28,16 @@ from fraudscope.llm.word_bpe import WordBpe, default_path
 CAPACITY = 2048
 #: Pieces of a cell, on average: bounds a task's memory and time.
 CELL_PIECES = 8192
-#: A bin filled at least this far is done; the others' pieces go to the next round.
+#: A bin filled at least this far is done; the others go to the next round.
+DONE_FILL = CAPACITY
+_PIECES = 8192
+#: A bin filled at least this far is done; the others go to the next round.
 DONE_FILL = CAPACITY
 #: Bins that the local search takes apart in a cell, at most; those beyond go to the next round or stay.
 TAKEN_APART = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"rid long, {_PIECES}, bin int, fill int, offset long"
+_PACKED = f"rid long, {_PIECES}, sequence_id long, fill int, offset long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -62,84 +66,131 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """The state of a local search: bins, their fills, and the rows of each length in bins with room."""
+    """The state of a local search: bins, their fills, and the open bins that hold each sum of rows, by room."""
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
         self.bins, self.size, self.cap = bins, [int(x) for x in lengths], capacity
         self.fill = [sum(self.size[i] for i in b) for b in bins]
 
-    def step(self, source: int, others: list[int]) -> bool:
-        """One change that moves fill from ``source`` to a fuller bin; False where there is none.
+    def _sums(self, b: int) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+        """Sums of one row of a bin and of two, with rows that have them."""
+        of: dict[int, list[int]] = defaultdict(list)
+        for i in self.bins[b]:
+            of[self.size[i]].append(i)
+        sizes, pairs = sorted(of), {}
+        for k, x in enumerate(sizes):
+            if len(of[x]) > 1:
+                pairs.setdefault(2 * x, (of[x][0], of[x][1]))
+            for y in sizes[:k]:
+                pairs.setdefault(x + y, (of[x][0], of[y][0]))
+        return {x: (of[x][0],) for x in sizes}, pairs
+
+    def _index(self, bins: list[int]) -> None:
+        """For no or one row (0) and for two rows (1): by their sum, the (room, bin) of ``bins`` in order, and the most room."""
+        self.at: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        self.most = np.zeros((2, self.cap + 1), np.int64)
+        for b in bins:
+            self._enter(b, True)
+
+    def _enter(self, b: int, there: bool) -> None:
+        """Put a bin into the index, or take it out."""
+        entry = (self.cap - self.fill[b], b)
+        if not entry[0]:
+            return
+        singles, pairs = self._sums(b)
+        for kind, sums in enumerate(([0, *singles], pairs)):
+            for x in sums:
+                rooms = self.at[kind][x]
+                if there:
+                    bisect.insort(rooms, entry)
+                else:
+                    del rooms[bisect.bisect_left(rooms, entry)]
+                self.most[kind, x] = rooms[-1][0] if rooms else 0
+
+    def step(self, source: int) -> bool:
+        """One change that moves fill from ``source`` to a bin of the index; False where there is none.
 
         A move or exchange with gain g takes fill f(target) to f + g and
         f(source) to f - g; with f(target) >= f(source) the squared sum grows.
-        The largest gain is taken.
+        The largest gain is taken, and of its targets the fullest.
         """
-        best: tuple[int, int, tuple[int, ...], tuple[int, ...]] | None = None
-        mine = self.bins[source]
-        singles = {self.size[i]: (i,) for i in mine}
-        pairs = {}
-        for a in range(len(mine)):
-            for b in range(a):
-                pairs.setdefault(self.size[mine[a]] + self.size[mine[b]], (mine[a], mine[b]))
-        out = {**pairs, **singles}  # a single row is preferred to two of the same sum
-        sums = sorted(out)
-        for t in others:
-            room = self.cap - self.fill[t]
-            if t == source or room <= 0 or self.fill[t] < self.fill[source]:
-                continue
-            if best and best[0] >= room:
-                continue
-            theirs = self.bins[t]
-            back = {0: ()}
-            for i in theirs:
-                back.setdefault(self.size[i], (i,))
-            for a in range(len(theirs)):
-                for b in range(a):
-                    back.setdefault(self.size[theirs[a]] + self.size[theirs[b]], (theirs[a], theirs[b]))
-            for away, rows in back.items():
-                # the largest of this bin's sums that fits once ``away`` has left
-                k = bisect.bisect_right(sums, room + away) - 1
-                if k < 0 or sums[k] <= away:
-                    continue
-                if len(out[sums[k]]) == 2 and len(rows) == 2:
-                    continue  # two for two is not among the changes
-                gain = sums[k] - away
-                if not best or gain > best[0]:
-                    best = (gain, t, out[sums[k]], rows)
-                    if gain == room:
-                        break
-        if not best:
+        singles, pairs = self._sums(source)
+        best = (0, 0, 0)
+        # a single row is preferred to two of the same sum; two for two is not among the changes
+        for kind, out in enumerate(({**pairs, **singles}, singles)):
+            sums = np.array(sorted(out))
+            away = np.flatnonzero(self.most[kind])
+            # the largest of this bin's sums that fits once ``away`` has left
+            k = np.searchsorted(sums, away + self.most[kind, away], "right") - 1
+            gain = np.where(k >= 0, sums[k] - away, 0)
+            if len(gain) and gain.max() > best[0]:
+                j = int(gain.argmax())
+                best = (int(gain[j]), kind, int(away[j]))
+        gain, kind, away = best
+        if not gain:
             return False
-        gain, t, give, take = best
-        self.bins[source] = [i for i in mine if i not in give] + list(take)
+        rooms = self.at[kind][away]
+        t = rooms[bisect.bisect_left(rooms, (gain, -1))][1]
+        give = singles.get(gain + away) or pairs[gain + away]
+        take = self._sums(t)[kind][away] if away else ()
+        self._enter(t, False)
+        self.bins[source] = [i for i in self.bins[source] if i not in give] + list(take)
         self.bins[t] = [i for i in self.bins[t] if i not in take] + list(give)
         self.fill[source] -= gain
         self.fill[t] += gain
+        self._enter(t, True)
         return True
 
-    def run(self, taken_apart: int) -> list[list[int]]:
-        """Take the emptiest bins apart, one after the other, as long as that saves bins or fills others."""
-        open_bins = sorted((b for b in range(len(self.bins)) if self.fill[b] < self.cap), key=lambda b: self.fill[b])
-        for source in open_bins[:taken_apart]:
-            total = self.cap * (len(open_bins)) - sum(self.fill[b] for b in open_bins)
-            if total < self.cap:
-                break  # the room left is less than a bin: no bin can be saved
-            while self.bins[source] and self.step(source, open_bins):
-                pass
-            open_bins = [b for b in open_bins if self.bins[b] and self.fill[b] < self.cap]
-        return [b for b in self.bins if b]
+    def run(self) -> list[list[int]]:
+        """Take the bins apart, the emptiest first, while the room left is a bin or more and anything changes.
+
+        Returns the bins at their places, some of them empty. Within a pass the
+        bins that are still to come only get fuller, so the next source is never
+        fuller than a bin of the index. The squared sum bounds the changes.
+        """
+        changed = True
+        while changed:
+            changed = False
+            open_bins = [b for b in range(len(self.bins)) if 0 < self.fill[b] < self.cap]
+            room = self.cap * len(open_bins) - sum(self.fill[b] for b in open_bins)
+            if room < self.cap:
+                break  # no bin can be saved
+            self._index(open_bins)
+            queue = [(self.fill[b], b) for b in open_bins]
+            heapq.heapify(queue)
+            while queue and room >= self.cap:
+                fill, source = heapq.heappop(queue)
+                if fill < self.fill[source]:
+                    if self.fill[source] < self.cap:
+                        heapq.heappush(queue, (self.fill[source], source))
+                    continue
+                self._enter(source, False)
+                while self.bins[source] and self.step(source):
+                    changed = True
+                if not self.bins[source]:
+                    room -= self.cap
+        return self.bins
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, taken_apart: int = TAKEN_APART) -> list[list[int]]:
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Bins (lists of rows of ``lengths``) of at most ``capacity``: best fit, then local search."""
-    return _Search(best_fit(lengths, capacity), lengths, capacity).run(taken_apart)
+    return [b for b in _Search(best_fit(lengths, capacity), lengths, capacity).run() if b]
 
 
-def _pack_cell(cell: pd.DataFrame) -> pd.DataFrame:
-    cell = cell.sort_values("rid", kind="stable").reset_index(drop=True)
+def _pack_cell(cell: pd.DataFrame, first_id: int | None) -> pd.DataFrame:
+    """A cell's pieces with sequences, fills and offsets; ``first_id`` is None where the pieces lie in sequences already."""
+    cell = cell.sort_values(["rid"] if first_id is not None else ["sequence_id", "rid"], kind="stable").reset_index(drop=True)
     lengths = cell["length"].to_numpy()
-    bins = pack(lengths)
+    if first_id is not None:
+        bins = best_fit(lengths, CAPACITY)
+        ids = first_id + np.arange(len(bins), dtype=np.int64)
+    else:
+        ids, firsts = np.unique(cell["sequence_id"].to_numpy(np.int64), return_index=True)
+        bins = [x.tolist() for x in np.split(np.arange(len(cell)), firsts[1:])]
+    bins = _Search(bins, lengths, CAPACITY).run()
+    # a sequence that stays keeps its id
+    ids = ids[[k for k, b in enumerate(bins) if b]]
+    bins = [b for b in bins if b]
     rows = np.concatenate([np.asarray(b, np.int64) for b in bins])
     counts = np.array([len(b) for b in bins])
     ends = np.cumsum(lengths[rows])
@@ -147,7 +198,7 @@ def _pack_cell(cell: pd.DataFrame) -> pd.DataFrame:
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     out = cell.iloc[rows][["rid", "doc_id", "piece", "start", "length", "ids_crc32"]].copy()
     out["doc_id"] = out["doc_id"].astype("Int64")
-    out["bin"] = np.repeat(np.arange(len(bins)), counts).astype(np.int32)
+    out["sequence_id"] = np.repeat(ids, counts)
     fills = np.add.reduceat(lengths[rows], firsts)
     out["fill"] = np.repeat(fills, counts).astype(np.int32)
     out["offset"] = starts - np.repeat(starts[firsts], counts)
@@ -191,30 +242,36 @@ def document_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
 
 
 def pack_pieces(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with sequence_id and offset; pieces of one sequence lie without gaps from 0."""
-    left = materialise(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    n, done, round_no, last = left.count(), [], 0, None
+    """``pieces`` with sequence_id and offset; pieces of one sequence lie without gaps from 0.
+
+    The first round packs cells of pieces; the next ones deal whole underfull
+    sequences into other cells and search on. They end with a round of one
+    cell, or when the room left is less than a sequence, or when a round
+    changes nothing.
+    """
+    unplaced = F.lit(None).cast("long").alias("sequence_id")
+    left = materialise(pieces.select("*", F.monotonically_increasing_id().alias("rid"), unplaced), "pieces")
+    n, done, round_no, squares = left.count(), [], 0, None
+    ids_per_cell = CELL_PIECES * 16
     while n:
         cells = max(1, math.ceil(n / CELL_PIECES))
-        cell = F.pmod(F.xxhash64(F.lit(round_no), "rid"), F.lit(cells)).alias("cell")
-        dealt = left.select("rid", "doc_id", "piece", "start", "length", "ids_crc32", cell)
-        packed = dealt.groupBy("cell").applyInPandas(
-            lambda key, pdf: _pack_cell(pdf).assign(cell=np.int64(key[0])), _PACKED + ", cell long"
-        )
-        packed = materialise(packed, f"packed-{round_no}")
-        # a round's sequences: its number, the cell, the bin
-        named = packed.select(
-            "doc_id", "piece", "start", "length", "ids_crc32",
-            (F.lit(round_no << 56).cast("long") + F.col("cell") * F.lit(CELL_PIECES * 16) + F.col("bin")).alias("sequence_id"),
-            "offset", "fill", "rid",
-        )
-        todo = packed.filter(F.col("fill") < DONE_FILL)
-        left_n = todo.count() if cells > 1 else 0
-        if cells == 1 or left_n == last:
-            done.append(named)
+        first = round_no == 0
+        cell = F.pmod(F.xxhash64(F.lit(round_no), "rid" if first else "sequence_id"), F.lit(cells)).alias("cell")
+        dealt = left.select("rid", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", cell)
+        step = (lambda key, pdf: _pack_cell(pdf, int(key[0]) * ids_per_cell)) if first else (lambda key, pdf: _pack_cell(pdf, None))
+        packed = materialise(dealt.groupBy("cell").applyInPandas(step, _PACKED), f"packed-{round_no}")
+        # one row: the underfull sequences' pieces, sequences and tokens, and the sums of squared fills
+        under = F.col("fill") < DONE_FILL
+        square = F.col("fill").cast("long") * F.col("length")
+        n, bins, tokens, left_squares, all_squares = packed.agg(
+            F.count_if(under), F.count_if(under & (F.col("offset") == 0)), F.sum(F.when(under, F.col("length")).otherwise(0)),
+            F.sum(F.when(under, square).otherwise(0)), F.sum(square),
+        ).first()
+        if cells == 1 or bins * CAPACITY - tokens < CAPACITY or all_squares == squares:
+            done.append(packed)
             break
-        done.append(named.filter(F.col("fill") >= DONE_FILL))
-        left, last, n, round_no = todo, left_n, left_n, round_no + 1
+        done.append(packed.filter(~under))
+        left, squares, round_no = packed.filter(under), left_squares, round_no + 1
     if not done:
         done = [left.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))]
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
