@@ -13,6 +13,7 @@ as many as combinations of values; the texts are read once.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +24,9 @@ from fraudscope.llm.common import SPACE, materialise, table
 MARGINS = ("source", "lang", "topic")
 #: Registered targets: shares proportional to natural shares to this power (1 keeps them, 0 makes them equal).
 TEMPERATURES = {"source": 0.7, "lang": 0.9, "topic": 1.0}
-#: Rakes end when every margin is within this relative error, or after so many cycles.
-TOLERANCE, MAX_CYCLES = 1e-6, 30
+#: Rakes end when every margin is within this relative error, or when it has stopped falling:
+#: the best of so many cycles is not lower than the best before them by this share.
+TOLERANCE, STALL_CYCLES, STALL_FALL = 1e-6, 10, 1e-3
 #: Cells are broadcast to the documents up to this number (about 100 bytes each).
 BROADCAST_CELLS = 100_000
 SEED = 7
@@ -75,12 +77,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     value's target by its sum of tokens times the other margins' factors. Cells
     of values that have no target get no weight, and targets without tokens are
     left out (the others keep their proportions). If the targets cannot all be
-    met, as with contradictory zeros, the last cycle's weights are returned.
+    met, as with contradictory zeros, the error stops falling: the last cycle's
+    weights are returned with a warning. ``{margin}_error`` is how far the
+    cell's value of that margin stays from its target, relative to it.
     """
     margins = list(targets)
     used = reduce(lambda df, m: df.join(targets[m].select(m), m, "left_semi"), margins, cells.filter("tokens > 0"))
     used = materialise(used, "cells")
-    state = {m: materialise(targets[m].join(used.select(m).distinct(), m, "left_semi").withColumn("f", F.lit(1.0)), f"factors-{m}") for m in margins}
+    state = {}
+    for m in margins:
+        held = targets[m].join(used.select(m).distinct(), m, "left_semi")
+        whole = held.agg(F.sum("target")).first()[0]  # less than one if targets without tokens are left out
+        scaled = held.select(m, (F.col("target") / F.lit(whole or 1.0)).alias("target"), F.lit(1.0).alias("f"))
+        state[m] = materialise(scaled, f"factors-{m}")
 
     def weighted(names: list[str]) -> DataFrame:
         df = used
@@ -88,7 +97,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             df = df.join(state[m].select(m, F.col("f").alias(f"f_{m}")), m)
         return df.withColumn("w", reduce(lambda a, m: a * F.col(f"f_{m}"), names, F.col("tokens").cast("double")))
 
-    for _ in range(MAX_CYCLES):
+    errors: list[float] = []
+    while not _settled(errors):
         worst = 0.0
         for m in margins:
             sums = weighted(margins).groupBy(m).agg(F.sum("w").alias("s"))
@@ -97,14 +107,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             # one row: how far this margin was from its targets before
             off = F.max(F.abs(F.col("was") - F.col("target")) / F.col("target"))
             worst = max(worst, state[m].agg(off).first()[0] or 0.0)
-        if worst <= TOLERANCE:
-            break
-    whole = weighted(margins).agg(F.sum("w")).first()[0]
-    return weighted(margins).select(*margins, "tokens", (F.col("w") / F.lit(whole or 1.0)).alias("weight"))
+        errors.append(worst)
+    out = materialise(weighted(margins).select(*margins, "tokens", "w"), "raked")
+    whole = out.agg(F.sum("w")).first()[0]
+    out = out.withColumn("weight", F.col("w") / F.lit(whole or 1.0)).drop("w")
+    left = {}
+    for m in margins:
+        share = out.groupBy(m).agg(F.sum("weight").alias("share")).join(state[m].select(m, "target"), m)
+        off = share.select(m, (F.abs(F.col("share") - F.col("target")) / F.col("target")).alias(f"{m}_error"))
+        off = materialise(off, f"error-{m}")
+        left[m] = off.agg(F.max(f"{m}_error")).first()[0] or 0.0
+        out = out.join(off, m)
+    if errors[-1] > TOLERANCE:
+        warnings.warn(f"mixing targets not met after {len(errors)} cycles; largest relative error by margin: {left}", stacklevel=2)
+    return out.select(*margins, "tokens", "weight", *[f"{m}_error" for m in margins])
+
+
+def _settled(errors: list[float]) -> bool:
+    """Whether the cycles' errors have met ``TOLERANCE`` or stopped falling."""
+    if not errors or errors[-1] <= TOLERANCE:
+        return bool(errors)
+    before, last = errors[:-STALL_CYCLES], errors[-STALL_CYCLES:]
+    return bool(before) and min(last) > (1 - STALL_FALL) * min(before)
 
 
 def cell_probabilities(raked: DataFrame) -> DataFrame:
-    """(margins, weight, probability): factor of each cell by the largest one."""
+    """(margins, weight, errors, probability): factor of each cell by the largest one."""
     factor = F.col("weight") / F.col("tokens")
     top = raked.agg(F.max(factor)).first()[0]
     return raked.withColumn("probability", factor / F.lit(top or 1.0)).drop("tokens")
@@ -129,7 +157,11 @@ def _draw(ident: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, temperatures: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, margins, n_tokens, weight (of its cell), probability, sampled.
+    """One row per row of ``docs``: doc_id, margins, n_tokens, weight (of its cell), probability, sampled, errors.
+
+    ``{margin}_error`` is the relative error that raking left at the row's value
+    of that margin: at most ``TOLERANCE`` or so where the targets can be met,
+    and NULL where the value has no tokens.
 
     NULL sources or languages are a value of their own. Documents without words
     weigh nothing in any margin and are sampled with their cell's probability;
@@ -144,7 +176,7 @@ def mix(docs: DataFrame, temperatures: dict[str, float] | None = None, id_col: s
     probability = F.coalesce("probability", F.lit(0.0))
     return out.select(
         "doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability"),
-        (F.col("draw") < probability).alias("sampled"),
+        (F.col("draw") < probability).alias("sampled"), *[f"{m}_error" for m in MARGINS],
     )
 
 
