@@ -12,7 +12,7 @@ All in DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraudscope.llm.common import let, table
@@ -64,34 +64,20 @@ def render(messages: DataFrame) -> DataFrame:
     ``loss_spans`` are the (start, length) in code points of the assistant's
     texts in ``formatted``. A NULL role is an empty one.
     """
-    turn = F.struct("seq", "msg", F.coalesce("role", F.lit("")).alias("role"), "text")
-    convs = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-
-    def parts(turns: Column) -> Column:
-        def one(t: Column) -> Column:
-            head = F.concat(F.lit(TURN), escape(t["role"], _ROLE_ESCAPES), F.lit("\n"))
-            return F.struct(head.alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss"))
-
-        return F.transform(turns, one)
-
-    def spans(p: Column) -> Column:
-        """Running ends of the turns give the starts of the bodies."""
-        zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            start, size = acc["end"] + F.length(x["head"]), F.length(x["body"])
-            span = F.array(F.struct((start + 1).alias("start"), size.alias("length")))
-            return F.struct(
-                (start + size + len(END)).alias("end"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")
-            )
-
-        return F.aggregate(p, zero, step, lambda acc: acc["spans"])
-
-    def both(p: Column) -> Column:
-        joined = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-        return F.struct(joined.alias("formatted"), spans(p).alias("loss_spans"))
-
-    return convs.select("conv_id", let(parts(F.col("turns")), both).alias("r")).select("conv_id", "r.formatted", "r.loss_spans")
+    role = F.coalesce("role", F.lit(""))
+    head = F.concat(F.lit(TURN), escape(role, _ROLE_ESCAPES), F.lit("\n"))
+    parts = messages.select("conv_id", "seq", "msg", role.alias("role"), "text", head.alias("head"), escape(F.col("text")).alias("body"))
+    # running ends of the turns give the starts of the bodies
+    order = ["seq", "msg", "role", "text"]
+    so_far = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("head") + F.length("body") + F.lit(len(END))).over(so_far)
+    placed = parts.withColumn("start", (end - F.length("body") - F.lit(len(END) - 1)).cast("int"))
+    turn = F.struct(*order, "start", "head", "body")
+    convs = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    joined = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
+    loss = F.filter("turns", lambda x: x["role"] == "assistant")
+    spans = F.transform(loss, lambda x: F.struct(x["start"].alias("start"), F.length(x["body"]).alias("length")))
+    return convs.select("conv_id", joined.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from fraudscope.llm import licenses, mixing, packing
+from fraudscope.llm import chat, licenses, mixing, packing
 from fraudscope.llm.common import table
 from tests.conftest import SF01
 
@@ -76,3 +76,14 @@ def test_rake_reports_what_is_left(spark):
         got = mixing.rake(cells, targets).toPandas().set_index("source")
     assert np.isclose(got.weight["a"], 0.9) and got.lang_error.max() < 1e-9
     assert np.isclose(got.source_error["a"], 0.9 / 0.75 - 1) and np.isclose(got.source_error["b"], 1 - 0.1 / 0.25)
+
+
+def test_chat_spans_of_a_long_conversation(spark):
+    rows = [(None if i % 2 else 1, i // 2, 0, "assistant" if i % 3 else None, "é<" * (i % 7)) for i in range(4000)]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, seq int, msg int, role string, text string")).collect()
+    assert len(got) == 2
+    for r in got:
+        mine = sorted(x for x in rows if x[0] == r.conv_id) if r.conv_id else [x for x in rows if x[0] is None]
+        bodies = [r.formatted[s.start - 1 : s.start - 1 + s.length] for s in r.loss_spans]
+        assert all(r.formatted[s.start - 1 + s.length :].startswith(chat.END) for s in r.loss_spans)
+        assert [b.count("é") for b in bodies] == [x[4].count("é") for x in mine if x[3]]
