@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Near-duplicate classes, raked sampling and packing have no SQL; tests compare run() with a brute-force version.
+#: Near-duplicate classes, raked sampling and packing have no SQL. No test compares run() as a whole yet.
 ORACLE_SQL = None
 
 
