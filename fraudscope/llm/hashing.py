@@ -51,8 +51,8 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return p
 
 
-def text_slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, n + 1 offsets into them) of slices of an Arrow string column without nulls."""
+def text_slices(column, size: int = SLICEBYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, n + 1 offsets into them) of slices (of ``size`` bytes, or one longer text) of an Arrow string column without nulls."""
     import pyarrow as pa
 
     if isinstance(column, pa.ChunkedArray):
@@ -63,7 +63,7 @@ def text_slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     buf = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICEBYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, buf[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last

@@ -7,12 +7,15 @@ from fraudscope.llm.chat import OP3_SQL, op3_chat_formatting
 from fraudscope.llm.exact_dedup import op2_exact_dedup
 from fraudscope.llm.jaccard_join import op7_ngram_jaccard_join
 from fraudscope.llm.licenses import op1_license_scan, scan_sql
+from fraudscope.llm.merkle import OP12_SQL, op12_merkle_manifest
 from fraudscope.llm.mixing import op6_mixing_to_target_weights
 from fraudscope.llm.packing import op9_best_fit_packing
+from fraudscope.llm.phrases import OP11_SQL, op11_phrase_collocations
 from fraudscope.llm.quality_classifier import op10_quality_classifier
 from fraudscope.llm.quality_rules import OP4_SQL, op4_quality_rules
 from fraudscope.llm.suffix_dedup import op8_suffix_array_dedup
 from fraudscope.llm.token_counts import op5_token_counts
+from fraudscope.llm.vector_search import OP13_SQL, op13_exact_top_k
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +30,9 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_best_fit_packing,
         op10_quality_classifier,
+        op11_phrase_collocations,
+        op12_merkle_manifest,
+        op13_exact_top_k,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -44,6 +50,9 @@ ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op3_chat_formatting": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op11_phrase_collocations": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_exact_top_k": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
