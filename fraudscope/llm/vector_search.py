@@ -5,7 +5,7 @@
    Copies are thinned out by salted windows first, so a very common vector is
    not one task's work.
 2. The approximation file: blocks of about ``BLOCK`` classes, one row each, with
-   4 bits a component (16 cells of equal population) and each cell's smallest and largest
+   8 bits a component (256 cells of equal population) and each cell's smallest and largest
    value. A block of queries meets a block of the file; two matrix products give
    every upper and lower bound. What cannot reach the block's (k + 1)th largest
    lower bound goes.
@@ -14,8 +14,8 @@
    After that the result is certain.
 
 Work grows with queries x vectors, as any exact search does; what crosses the
-network is each query once per block of the file, each block of the file (a
-sixteenth of the vectors as longs) once per block of queries, and the few candidates left.
+network is each query once per block of the file, each block of the file (an
+eighth of the vectors as longs, and the cells' ranges) once per block of queries, and the few candidates left.
 
 Defined results: a vector that is NULL, holds a NULL or a non-finite component, or has no id
 takes no part. Vectors meet only those of their own length. Each repeated row
@@ -36,8 +36,8 @@ from fraudscope.llm.common import materialise, table
 
 #: Classes of a block of the approximation file, and query classes of a block, on average: they bound a task's memory.
 BLOCK, QUERY_BLOCK = 8192, 1024
-#: Cells of a component (4 bits).
-CELLS = 16
+#: Cells of a component (8 bits).
+CELLS = 256
 #: Queries whose bounds are worked out at a time.
 STRIP = 64
 #: Parts into which the copies of one vector are thinned out first.
@@ -89,35 +89,29 @@ def _matrix(vecs, dim: int) -> np.ndarray:
 
 
 def _approximate(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row of the approximation file: cells of 4 bits, and the range of what lies in each cell."""
+    """One row of the approximation file: a byte a component, and the range of what lies in each cell."""
     dim = int(rows["dim"].iloc[0])
     x = _matrix(rows.vec, dim)
-    cells, lo, hi = np.zeros((len(x), dim + dim % 2), np.uint8), np.zeros((dim, CELLS), "<i8"), np.zeros((dim, CELLS), "<i8")
+    cells, lo, hi = np.zeros(x.shape, np.uint8), np.zeros((dim, CELLS), "<i8"), np.zeros((dim, CELLS), "<i8")
     ordered = np.sort(x, axis=0)
     cuts = ordered[(np.arange(1, CELLS) * len(x)) // CELLS]
     for d in range(dim):
         cells[:, d] = np.searchsorted(cuts[:, d], x[:, d], "right")
-        order = np.argsort(cells[:, d], kind="stable")
-        ends = np.searchsorted(cells[order, d], np.arange(CELLS + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            own = x[order[ends[c] : ends[c + 1]], d]
-            lo[d, c], hi[d, c] = own.min(), own.max()
-    packed = (cells[:, ::2] << 4) | cells[:, 1::2]
+        there, first = np.unique(np.searchsorted(cuts[:, d], ordered[:, d], "right"), return_index=True)
+        lo[d, there], hi[d, there] = ordered[first, d], ordered[np.append(first[1:], len(x)) - 1, d]
     return pd.DataFrame(
         {"dim": [dim], "block": [int(rows["block"].iloc[0])], "cids": [rows.cid.to_numpy("<i8").tobytes()],
-         "cells": [packed.tobytes()], "lo": [lo.tobytes()], "hi": [hi.tobytes()]}
+         "cells": [cells.tobytes()], "lo": [lo.tobytes()], "hi": [hi.tobytes()]}
     )
 
 
 def _ranges(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class ids, lower and upper end of each component's cell) of a row of the approximation file."""
     cids, dim = np.frombuffer(row.cids, "<i8"), int(row.dim)
-    packed = np.frombuffer(row.cells, np.uint8).reshape(len(cids), -1)
-    cells = np.empty((len(cids), 2 * packed.shape[1]), np.uint8)
-    cells[:, ::2], cells[:, 1::2] = packed >> 4, packed & 15
+    cells = np.frombuffer(row.cells, np.uint8).reshape(len(cids), dim)
     lo, hi = (np.frombuffer(b, "<i8").reshape(dim, CELLS) for b in (row.lo, row.hi))
     at = np.arange(dim)
-    return cids, lo[at, cells[:, :dim]], hi[at, cells[:, :dim]]
+    return cids, lo[at, cells], hi[at, cells]
 
 
 def bounds(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
