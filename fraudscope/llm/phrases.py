@@ -9,7 +9,8 @@
    summary is the only state: memory does not grow with the number of distinct runs.
    A hot run is one entry a buffer, and languages are part of the key.
 3. The second pass counts the survivors' runs exactly, by their words: equal keys are
-   compared word by word in a task, and tasks' counts are added up by spelling. Survivors are
+   compared word by word in a task, tasks send their sums by hash partition, one row each,
+   and a partition adds them up by spelling. Survivors are
    broadcast in portions of at most ``PORTION`` keys; each portion is one reading of the texts.
 4. Scores come from joins of the counts with themselves, in exact integers.
 
@@ -30,15 +31,18 @@ from fraudscope.llm.phrase_words import Words, slices
 #: Keys sorted at a time in a task (32 MB).
 BUFFER = 1 << 22
 #: Bytes of text for each hash partition, and the fewest partitions (a power of 2 is taken).
-PARTITION_BYTES, LEAST_PARTITIONS = 1 << 27, 64
+PARTITION_BYTES, LEAST_PARTITIONS = 1 << 25, 64
 #: Bits of a key beside those of its partition.
 REST_BITS = 32
 #: Survivors broadcast at a time (8 bytes each, and as many for a table that rules most runs out).
 PORTION = 1 << 22
+#: Counted runs held in a task before they are added up and sent on.
+HELD_RUNS = 1 << 20
 #: Parts in which a language's best are picked first.
 PARTS = 64
 
 _SENT = "part int, mass long, keys binary, counts binary, many binary"
+_COUNTED = "part int, lang array<string>, m array<int>, phrase array<string>, n array<long>"
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray):
@@ -197,45 +201,103 @@ def _same(words: Words, m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same
 
 
-def exact_groups(words: Words, m: int, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one place, count) of each distinct run of m words among those at ``at``; keys only speed it up."""
+def exact_groups(words: Words, m: int, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one place, count, key) of each distinct run of m words among those at ``at``; the keys, a function of the runs, only speed it up."""
     order = np.argsort(keys, kind="stable")
     at, keys = at[order], keys[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     if not (_same(words, m, at[1:], at[:-1]) | new[1:]).all():  # different runs of one key: sort by the words
         order = np.lexsort([words.lang[at], *[words.word[at + j] for j in range(m)]])
-        at = at[order]
+        at, keys = at[order], keys[order]
         new = np.concatenate([[True], ~_same(words, m, at[1:], at[:-1])])
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at)))
+    return at[first], np.diff(np.append(first, len(at))), keys[first]
+
+
+def _added_up(tables, by: list[str]):
+    """Tables of counted runs as one, equal runs added up."""
+    import pyarrow as pa
+
+    return pa.concat_tables(tables).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
 
 
 def _count(wanted, bits: int, longest: int, with_totals: bool):
-    """Second pass: exact counts of the wanted runs by spelling (m = 0: all words of the language)."""
+    """Second pass: exact counts of the wanted runs by spelling (m = 0: all words of the language), a row for each hash partition."""
+    runs = ["part", "lang", "m", "phrase"]
+
+    def send(held):
+        import pyarrow as pa
+
+        whole = _added_up(held, runs).sort_by("part").combine_chunks()
+        parts, first = np.unique(whole.column("part").to_numpy(), return_index=True)
+        for i in range(0, len(parts), 64):  # 64 rows a batch
+            own = first[i : i + 65]
+            ends = np.append(own, len(whole)) if i + 64 >= len(parts) else own
+            lists = [pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), whole.column(c).slice(ends[0], ends[-1] - ends[0]).combine_chunks()) for c in ("lang", "m", "phrase", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + 64].astype(np.int32)), *lists], names=[*runs, "n"])
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        members, names = _Members(wanted.value), ["lang", "m", "phrase", "n"]
+        members, held, size = _Members(wanted.value), [], 0
         for batch in batches:
             for words, langs in slices(batch.column("text"), batch.column("lang")):
                 called = pa.array(langs, pa.string())
                 if with_totals:
-                    total = np.bincount(words.lang, minlength=len(langs))
-                    zero = pa.array(np.zeros(len(langs), np.int32))
-                    yield pa.RecordBatch.from_arrays([called, zero, pa.array([""] * len(langs), pa.string()), pa.array(total.astype(np.int64))], names=names)
+                    total, zero = np.bincount(words.lang, minlength=len(langs)).astype(np.int64), np.zeros(len(langs), np.int32)
+                    held.append(pa.table([pa.array(zero), called, pa.array(zero), pa.array([""] * len(langs), pa.string()), pa.array(total)], names=[*runs, "n"]))
                 for m, at, keys in words.keys(longest):
-                    own = members.find(keys >> np.uint64(64 - REST_BITS - bits))
+                    short = keys >> np.uint64(64 - REST_BITS - bits)
+                    own = members.find(short)
                     if not len(own):
                         continue
-                    place, n = exact_groups(words, m, at[own], keys[own])
-                    parts = [words.spelling.take(pa.array(words.word[place + j])) for j in range(m)]
-                    spelled = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if m > 1 else parts[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [called.take(pa.array(words.lang[place])), pa.array(np.full(len(place), m, np.int32)),
-                         spelled.cast(pa.large_string()).cast(pa.string()), pa.array(n.astype(np.int64))], names=names
-                    )
+                    place, n, part = exact_groups(words, m, at[own], short[own])
+                    spelled = [words.spelling.take(pa.array(words.word[place + j])) for j in range(m)]
+                    spelled = pc.binary_join_element_wise(*spelled, pa.scalar(b" ", pa.large_binary())) if m > 1 else spelled[0]
+                    held.append(pa.table(
+                        [pa.array((part >> np.uint64(REST_BITS)).astype(np.int32)), called.take(pa.array(words.lang[place])), pa.array(np.full(len(place), m, np.int32)),
+                         spelled.cast(pa.large_string()).cast(pa.string()), pa.array(n.astype(np.int64))], names=[*runs, "n"]
+                    ))
+                    size += len(place)
+                if size >= HELD_RUNS:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return run
+
+
+def _add_up(least: int):
+    """Rows of a partition, sorted by hash partition, to the runs that occur ``least`` times or more (and m = 0)."""
+    names = ["lang", "m", "phrase", "n"]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        part, held, size = None, [], 0
+
+        def done():
+            whole = _added_up(held, names[:3])
+            keep = pc.if_else(pc.equal(whole.column("m"), 0), pc.greater(whole.column("n"), 0), pc.greater_equal(whole.column("n"), least))
+            yield from whole.filter(keep).to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p = batch.column("part")[i].as_py()
+                if p != part and held:
+                    yield from done()
+                    held, size = [], 0
+                part = p
+                held.append(pa.table([batch.column(c)[i].values for c in names], names=names))
+                size += len(held[-1])
+                if size >= 2 * HELD_RUNS and len(held) > 1:
+                    held = [_added_up(held, names[:3])]
+                    size = len(held[0])
+        if held:
+            yield from done()
 
     return run
 
@@ -263,9 +325,8 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, longest: int, l
         rows = kept.filter(F.col("part").between(parts[0], parts[-1])).collect() if parts else []  # PORTION keys, or one hash partition's
         keys = [np.frombuffer(r.keys, "<u4").astype(np.uint64) | np.uint64(r.part << REST_BITS) for r in rows]
         wanted = spark.sparkContext.broadcast(np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64))
-        found = texts.mapInArrow(_count(wanted, bits, longest, i == 0), "lang string, m int, phrase string, n long")
-        found = found.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | ((F.col("m") == 0) & (F.col("n") > 0)))
-        found = materialise(found, f"phrase-counts-{i}")
+        found = texts.mapInArrow(_count(wanted, bits, longest, i == 0), _COUNTED).repartition(1 << bits, "part").sortWithinPartitions("part")
+        found = materialise(found.mapInArrow(_add_up(least), "lang string, m int, phrase string, n long"), f"phrase-counts-{i}")
         counts = found if counts is None else counts.unionByName(found)
     return counts
 
