@@ -18,9 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudscope.functions.exprs import fraud, legit, money_type
+from fraudscope.functions.exprs import fraud, legit, money_digits, money_type
 
 BASE_MEASURES = ("rows", "label_sum", "fraud_rows", "legit_rows", "value", "fraud_value", "legit_value")
+#: Power sums of the amount, for mean and deviation (see ``quality.outlier_cutoff``).
+POWER_MEASURES = ("amount_rows", "amount_sum", "amount_squares")
 RULE_MEASURES = (
     "flagged_transactions",
     "flagged_value",
@@ -83,6 +85,11 @@ class RowMeasures:
     def legit_value(self) -> Column:
         return F.sum(F.when(legit(), _amt()).otherwise(_zero()))
 
+    def powers(self) -> list[Column]:
+        """Count, sum and sum of squares of the amount, as exact decimals."""
+        exact = F.col("amount").cast(f"decimal(18,{money_digits()})")
+        return [c.alias(n) for c, n in zip((F.count(exact), F.sum(exact), F.sum(exact * exact)), POWER_MEASURES)]
+
     def rule(self, i: int, rule) -> list[Column]:
         """Metrics of ``rule`` as if aggregated under ``WHERE rule``.
 
@@ -126,6 +133,10 @@ class PartialMeasures:
     def legit_value(self) -> Column:
         return F.sum("legit_value")
 
+    def powers(self) -> list[Column]:
+        rows, *sums = POWER_MEASURES
+        return [F.coalesce(F.sum(rows), F.lit(0)).cast("long").alias(rows), *[F.sum(c).alias(c) for c in sums]]
+
     def rule(self, i: int, rule) -> list[Column]:
         out = []
         for m in RULE_MEASURES:
@@ -147,6 +158,8 @@ def measure_exprs(m: RowMeasures | PartialMeasures, rules: Sequence = ()) -> lis
     return exprs
 
 
-def rollup(df: DataFrame, grain: Sequence[str], rules: Sequence = (), m: RowMeasures | PartialMeasures = ROWS) -> DataFrame:
-    """All measures at ``grain`` (rows in, or partials re-merged at a coarser grain)."""
-    return df.groupBy(*grain).agg(*measure_exprs(m, rules))
+def rollup(
+    df: DataFrame, grain: Sequence[str], rules: Sequence = (), m: RowMeasures | PartialMeasures = ROWS, powers: bool = False
+) -> DataFrame:
+    """All measures at ``grain`` (rows in, or partials re-merged at a coarser grain); ``powers``: with the power sums."""
+    return df.groupBy(*grain).agg(*measure_exprs(m, rules), *(m.powers() if powers else []))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fraudscope.functions.exprs import count_where, fraud, money_digits, money_sum, pct, sort_keys
+from fraudscope.functions.measures import ROWS, PartialMeasures, RowMeasures
 from fraudscope.schema import BALANCE_COLUMNS, LARGE_AMOUNT, MERCHANT_PREFIX, TXN_COLUMNS
 from fraudscope.session import scratch_path
 
@@ -276,14 +277,36 @@ def type_by_label(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ outliers -----
 
 
-def amount_outliers(df: DataFrame, k: float = 3.0, ordered: bool = True) -> DataFrame:
+def outlier_cutoff(df: DataFrame, k: float = 3.0, m: RowMeasures | PartialMeasures = ROWS) -> DataFrame:
+    """One row: amount_rows, mean_amount, stddev_amount (sample) and cutoff = mean + k * deviation.
+
+    From three exact sums (count, sum and sum of squares as decimals), so the result is the
+    same however the rows are dealt, and with ``m=PARTIALS`` it comes from any rollup
+    built with ``powers=True``, without another look at the rows. The squares are
+    first moved, still exactly, to a whole number near the mean; what is then left for
+    floating point has no cancellation. NULL where there are fewer than two amounts.
+    """
+    sums = df.agg(*m.powers())
+    near = "CAST(ROUND(CAST(amount_sum AS DOUBLE) / amount_rows) AS DECIMAL(19,0))"
+    rows = "CAST(amount_rows AS DECIMAL(19,0))"
+    moved = sums.where("amount_rows > 0").selectExpr("*", f"{near} AS c")
+    moved = moved.selectExpr(
+        "amount_rows AS n", "c", f"amount_sum - {rows} * c AS s1", f"amount_squares - 2 * c * amount_sum + {rows} * c * c AS s2"
+    ).selectExpr("n", "CAST(c AS DOUBLE) + CAST(s1 AS DOUBLE) / n AS mean", "CAST(s1 AS DOUBLE) AS s1", "CAST(s2 AS DOUBLE) AS s2")
+    deviation = "CASE WHEN n > 1 THEN SQRT(GREATEST(s2 - s1 * s1 / n, 0D) / (n - 1)) END"
+    found = moved.selectExpr("n AS amount_rows", "mean AS mean_amount", f"{deviation} AS stddev_amount")
+    return found.withColumn("cutoff", F.col("mean_amount") + F.lit(float(k)) * F.col("stddev_amount"))
+
+
+def amount_outliers(df: DataFrame, k: float = 3.0, ordered: bool = True, cutoff: DataFrame | None = None) -> DataFrame:
     """DQ-17: rows strictly above mean + k * sample stddev, largest first unless ``ordered`` is false.
 
-    The cut-off is an uncorrelated scalar subquery (one global aggregate run
-    first), then an ordinary filter -- no join.
+    The cut-off is an uncorrelated scalar subquery over exact sums, then an ordinary
+    filter -- no join. ``cutoff``: an ``outlier_cutoff`` that is there already (of a
+    rollup, say); then the rows are read once.
     """
-    cutoff = df.agg(F.avg("amount") + F.lit(k) * F.stddev_samp("amount")).scalar()
-    rows = df.where(F.col("amount") > cutoff)
+    limit = (outlier_cutoff(df, k) if cutoff is None else cutoff).select("cutoff").scalar()
+    rows = df.where(F.col("amount") > limit)
     if not ordered:
         return rows
     return _sorted_rows(

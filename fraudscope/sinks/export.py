@@ -1,9 +1,9 @@
 """Exports (SNK-1..8).
 
 Dashboard tables are small post-aggregate results (at most one row per step
-or per segment), so each is written as ONE delimited file with a header: the
-result is range-sorted and coalesced to one partition, which keeps the
-order. Row-level results (review queue, outliers) go to Parquet through
+or per segment), so each is written as ONE delimited file with a header, of
+exactly the name given: the result is range-sorted and coalesced to one partition,
+which keeps the order, written aside and moved to its path when it is whole. Row-level results (review queue, outliers) go to Parquet through
 ``export_parquet`` and are never funnelled through one task.
 
 Money columns are written as DECIMAL(38,2) text (``1144392944759.77``), not
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudscope import files
 from fraudscope.functions.bands import with_bands
 from fraudscope.functions.exprs import money_digits
 from fraudscope.functions.measures import PARTIALS, rollup
@@ -70,7 +71,10 @@ def export(
     money_columns: Sequence[str] | None = None,
     order_by: Sequence | None = None,
 ) -> None:
-    """Write a small result as one headered delimited file.
+    """Write a small result as one headered delimited file at exactly ``path``.
+
+    The file is written in a folder beside it and moved into place by a rename, so a
+    write that fails leaves the old file, and a reader never finds half of one.
 
     With ``order_by`` the rows are sorted in the one partition that is written;
     without, ``df`` comes ordered and is coalesced.
@@ -90,13 +94,15 @@ def export(
             for c in df.columns
         ]
     )
-    (
-        (out.coalesce(1) if order_by is None else out.repartition(1).sortWithinPartitions(*order_by))
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("sep", sep)
-        .csv(path)
-    )
+    one = out.coalesce(1) if order_by is None else out.repartition(1).sortWithinPartitions(*order_by)
+    aside = files.beside(path)
+    spark = df.sparkSession
+    try:
+        one.write.option("header", True).option("sep", sep).csv(aside)
+        part = [n for n, _, _, _ in files.listing(spark, aside) if n.startswith("part-")]
+        files.replace_file(spark, f"{aside}/{part[0]}", path)
+    finally:
+        files.remove_folder(spark, aside)
 
 
 def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -131,7 +137,7 @@ def dashboard_rollup(df: DataFrame, rules: tuple = th.DASHBOARD_RULES) -> DataFr
     again and an executor lost later does not re-trigger the scan.
     """
     checkpoint_root(df.sparkSession)
-    return rollup(with_bands(df), DASHBOARD_GRAIN, rules).checkpoint(eager=True)
+    return rollup(with_bands(df), DASHBOARD_GRAIN, rules, powers=True).checkpoint(eager=True)
 
 
 def dashboard_tables(df: DataFrame, r: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -168,9 +174,11 @@ def export_all(df: DataFrame, out_dir: str) -> dict[str, str]:
     return paths
 
 
-def export_row_tables(df: DataFrame, out_dir: str) -> dict[str, str]:
+def export_row_tables(df: DataFrame, out_dir: str, r: DataFrame | None = None) -> dict[str, str]:
     """Row-level results as Parquet: review queue (by queue), outliers, invalid amounts.
 
+    ``r``: an existing ``dashboard_rollup``, which gives the outliers' cut-off without another scan.
+
     Written by every task in parallel; nothing goes through one partition.
     """
     from fraudscope.operators import quality as dq
@@ -182,6 +190,7 @@ def export_row_tables(df: DataFrame, out_dir: str) -> dict[str, str]:
         "invalid_amounts": f"{out}/invalid_amounts",
     }
     export_parquet(th.review_queue(df), paths["review_queue"], ["review_queue"])
-    export_parquet(dq.amount_outliers(df, ordered=False), paths["amount_outliers"])
+    cutoff = None if r is None else dq.outlier_cutoff(r, m=PARTIALS)
+    export_parquet(dq.amount_outliers(df, ordered=False, cutoff=cutoff), paths["amount_outliers"])
     export_parquet(dq.invalid_amount_rows(df, ordered=False), paths["invalid_amounts"])
     return paths

@@ -78,6 +78,6 @@ def publish_all(
     summary = dq.write_duplicates(df, paths["duplicate_groups"])
     paths["duplicate_summary"] = f"{out}/quality/duplicate_summary.json"
     _write_json(df.sparkSession, summary, paths["duplicate_summary"])
-    for name, path in export_row_tables(df, f"{out}/rows").items():
+    for name, path in export_row_tables(df, f"{out}/rows", r).items():
         paths[name] = path
     return paths

@@ -35,19 +35,19 @@ def _header_schema(spark: SparkSession, path: str, sep: str = ",") -> T.StructTy
     return T.StructType([TXN_SCHEMA[c] if c in TXN_COLUMNS else T.StructField(c, T.StringType()) for c in names])
 
 
-def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write the table once as Parquet, so later reads are columnar and pruned.
+def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
+    """Write the table once as Parquet, so later reads are columnar and pruned (``mode="append"``: add to it).
 
     ``partition_by`` (e.g. a period column) enables partition pruning for
     incremental weekly runs.
     """
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
-def land_by_period(df: DataFrame, path: str, period_hours: int = 168) -> None:
+def land_by_period(df: DataFrame, path: str, period_hours: int = 168, mode: str = "overwrite") -> None:
     """Land the table partitioned by period, so an incremental run reads one folder.
 
     ``period = floor((step - 1) / period_hours)``; a filter on ``period`` becomes a
@@ -58,7 +58,7 @@ def land_by_period(df: DataFrame, path: str, period_hours: int = 168) -> None:
     period = F.expr(f"(step - 1 - pmod(step - 1, {int(period_hours)})) div {int(period_hours)}")
     spread = F.xxhash64(*[F.col(c) for c in TXN_COLUMNS])
     dealt = df.withColumn("period", period).withColumn("_spread", spread).repartitionByRange("period", "_spread")
-    land_parquet(dealt.drop("_spread"), path, ["period"])
+    land_parquet(dealt.drop("_spread"), path, ["period"], mode)
 
 
 def read_periods(spark: SparkSession, path: str, periods: list[int]) -> DataFrame:

@@ -8,7 +8,11 @@
 * ST-2 ``start_review_queue``: stateless routing of every transaction.
 * ST-3 ``start_alerts``: ``foreachBatch`` appends the newly closed windows
   under their batch id (a retried batch overwrites its own folder instead of
-  appending twice), then re-runs the batch alert over the small period table.
+  appending twice), then re-runs the batch alerts over the small period tables and
+  publishes all of them in one step (``sinks.versions``).
+
+``streaming.feed`` is a feed of the same tables that takes in late rows, and
+``streaming.watch`` keeps account of what a running query drops.
 
 Event time: ``step`` hours after ``EPOCH`` as a TIMESTAMP (a watermark needs
 a zoned timestamp; ``timestamp_seconds`` is zone-free). Windows are aligned
@@ -30,6 +34,7 @@ from fraudscope.functions.measures import ROWS, measure_exprs
 from fraudscope.operators import monitoring as mon
 from fraudscope.operators.thresholds import review_queue
 from fraudscope.schema import EPOCH, HOURS_PER_WEEK
+from fraudscope.sinks import versions
 
 WATERMARK = "1 day"
 NO_STEP = "rows_without_step"
@@ -147,15 +152,13 @@ def start_alerts(
     """ST-3: monitoring tables and alerts (AL-1..6) re-evaluated as periods close.
 
     ``tables``: which of ``monitoring.MONITORING_TABLES`` to keep current
-    (default all; AL-1 is always written to ``out_dir/alerts``).
+    (default all; AL-1 always).
 
-    ``out_dir/partials/batch=<id>`` holds each batch's closed windows;
-    ``out_dir/tables/<name>`` the current MON and AL tables (overwritten per
-    batch, one row per period); ``out_dir/alerts`` the fraud-rate spikes (AL-1).
+    ``out_dir/partials/batch=<id>`` holds each batch's closed windows. The MON and AL
+    tables (one row per period) are published as one version per batch:
+    ``sinks.versions.read_current(spark, out_dir, name)`` reads them at any time.
     """
     partials_dir = f"{out_dir}/partials"
-    alerts_dir = f"{out_dir}/alerts"
-    tables_dir = f"{out_dir}/tables"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -168,12 +171,9 @@ def start_alerts(
             batch.unpersist()
         partials = spark.read.parquet(partials_dir).drop("batch")
         names = tuple(dict.fromkeys((*(tables or mon.MONITORING_TABLES), "alert_fraud_rate_spike")))
-        built = mon.tables_from_partials(partials, period_hours, capacity, names)
-        for name, table in built.items():
-            table.coalesce(1).write.mode("overwrite").parquet(f"{tables_dir}/{name}")
-        spark.read.parquet(f"{tables_dir}/alert_fraud_rate_spike").coalesce(1).write.mode("overwrite").parquet(
-            alerts_dir
-        )
+        version = versions.new_version(batch_id)
+        versions.write_version(out_dir, version, mon.tables_from_partials(partials, period_hours, capacity, names))
+        versions.switch(spark, out_dir, version, batch=batch_id)
 
     writer = (
         window_partials(stream, period_hours, watermark)

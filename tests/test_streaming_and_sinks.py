@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fraudscope.operators import monitoring as mon
 from fraudscope.operators import thresholds as th
 from fraudscope.session import scratch_path
-from fraudscope.sinks import export_all, read_export
+from fraudscope.sinks import export_all, read_export, versions
 from fraudscope.sources import land_parquet, read_transactions, stream_fixture
 from fraudscope.streaming import jobs as st
 from tests.conftest import SF01
@@ -37,7 +37,7 @@ def test_stream_restart_does_not_duplicate(spark):
     for _ in range(2):  # second run resumes from the checkpoint: nothing new
         q = st.start_alerts(stream_fixture(spark, SF01), base, f"{base}/c", 24, available_now=True)
         st.run_to_end(q)
-    alerts = spark.read.parquet(f"{base}/alerts")
+    alerts = versions.read_current(spark, base, "alert_fraud_rate_spike")
     assert alerts.count() == 28
     assert alerts.select("period").distinct().count() == 28
 
@@ -180,14 +180,14 @@ def test_stream_alerts_cover_every_alert(spark, txn01):
     base = scratch_path(spark, "test-st-all-alerts")
     q = st.start_alerts(stream_fixture(spark, SF01), base, f"{base}/c", 24, available_now=True, capacity=50)
     st.run_to_end(q)
-    closed = spark.read.parquet(f"{base}/tables/weekly_metrics").agg(F.max("period")).first()[0]
+    closed = versions.read_current(spark, base, "weekly_metrics").agg(F.max("period")).first()[0]
     batch = {
         "alert_review_surge": mon.review_surge(mon.weekly_threshold(txn01, 24)),
         "alert_cash_out_spike": mon.week_over_week(mon.weekly_rate_by_type(txn01, 24), "CASH_OUT"),
         "alert_capacity_breach": mon.capacity_breach(mon.weekly_threshold(txn01, 24), 50),
     }
     for name, want in batch.items():
-        got = spark.read.parquet(f"{base}/tables/{name}")
+        got = versions.read_current(spark, base, name)
         want = want.where(F.col("period") <= closed)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), name
 
@@ -262,7 +262,7 @@ def test_alert_tables_exist_before_a_period_closes(spark):
     spark.createDataFrame(rows, TXN_SCHEMA).write.parquet(f"{base}/in")
     q = st.start_alerts(stream_transactions(spark, f"{base}/in"), base, f"{base}/c", 24, available_now=True)
     st.run_to_end(q)
-    assert spark.read.parquet(f"{base}/alerts").count() == 0
+    assert versions.read_current(spark, base, "alert_fraud_rate_spike").count() == 0
 
 
 def test_csv_is_read_by_header_name(spark, txn01):
