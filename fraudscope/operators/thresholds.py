@@ -15,18 +15,19 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudscope.functions.exprs import count_where, fraud, legit, money, money_type, pct
-from fraudscope.functions.measures import ROWS, RULE_MEASURES, PartialMeasures, RowMeasures, measure_exprs, require_rules
+from fraudscope.functions.exprs import count_where, fraud, legit, money, money_digits, money_type, pct
+from fraudscope.functions.measures import PARTIALS, ROWS, RULE_MEASURES, PartialMeasures, RowMeasures, measure_exprs, require_rules
 from fraudscope.schema import (
     LARGE_AMOUNT,
     RULE_NAMES_ANALYSIS,
     RULE_NAMES_DASHBOARD,
     TRANSFER_WATCH_AMOUNT,
 )
+from fraudscope.session import checkpoint_root
 
 
 @dataclass(frozen=True)
@@ -179,16 +180,24 @@ def _bucket_sql(cuts: list[float], lo: int, hi: int) -> str:
     return f"CASE WHEN amount > CAST('{cuts[mid]!r}' AS DOUBLE) THEN {above} ELSE {below} END"
 
 
-def _flagged_spans(rule: Rule, txn_type: str | None, cuts: list[float]) -> list[tuple[int, int]]:
-    """Ranges of bucket numbers that ``rule`` flags among rows of a type (None: any type no rule names)."""
+def _flagged_spans(rule: Rule, txn_type: str | None, cuts: dict[float, int]) -> list[tuple[int, int]]:
+    """Ranges of bucket numbers that ``rule`` flags among rows of a type (None: any type no rule names).
+
+    ``cuts``: the place of each cut-off among the sorted ones.
+    """
     if rule.types and txn_type not in rule.types:
         return []
-    spans = [(cuts.index(float(rule.min_amount)) + 1, len(cuts))]
+    spans = [(cuts[float(rule.min_amount)] + 1, len(cuts))]
     for lo, hi in _flagged_spans(rule.unless, txn_type, cuts) if rule.unless else []:
         spans = [(x, y) for a, b in spans for x, y in ((a, min(b, lo - 1)), (max(a, hi + 1), b)) if x <= y]
     return spans
 
 
+#: Distinct cut-offs up to which one task evaluates the rules on one list of buckets.
+MANY_CUTS = 1000
+#: Buckets whose running sums one task works out.
+CELL = 1024
+
 _RULE_SCHEMA = "array<struct<threshold_name:string,spans:array<struct<t:string,lo:int,hi:int>>>>"
 _AS_RULE = dict(zip(RULE_MEASURES, ("rows", "value", "fraud_rows", "fraud_value", "legit_rows", "legit_value")))
 
@@ -203,6 +212,8 @@ def compare(
     each rule adds up those it flags. A rule that flags nothing keeps its row:
     count 0, NULL sums.
 
+    Beyond ``MANY_CUTS`` distinct cut-offs ``compare_many`` answers.
+
     With ``m=PARTIALS`` ``df`` is a rollup built with the same ``rules`` (others
     raise) and the rules' pre-aggregated columns are merged instead.
     """
@@ -216,6 +227,9 @@ def compare(
 
     used = _with_exceptions(rules)
     cuts = sorted({float(r.min_amount) for r in used})
+    if len(cuts) > MANY_CUTS:
+        return compare_many(df, rules)
+    place = {c: i for i, c in enumerate(cuts)}
     types = sorted({t for r in used for t in r.types or ()})
     named = F.when(F.col("type").isin(*types), F.col("type")) if types else F.lit(None).cast("string")
     buckets = (
@@ -243,7 +257,7 @@ def compare(
     spec = [
         {
             "threshold_name": r.name,
-            "spans": [{"t": t, "lo": lo, "hi": hi} for t in (*types, None) for lo, hi in _flagged_spans(r, t, cuts)],
+            "spans": [{"t": t, "lo": lo, "hi": hi} for t in (*types, None) for lo, hi in _flagged_spans(r, t, place)],
         }
         for r in rules
     ]
@@ -265,6 +279,70 @@ def compare(
     return _with_shares(out).orderBy(F.asc_nulls_last("threshold_name"))
 
 
+def _bucket_number(df: DataFrame, cuts: list[float]) -> DataFrame:
+    """``df`` with ``k``: how many of the sorted cut-offs the amount exceeds (NULL exceeds none).
+
+    A binary search, unrolled into one projection a step: the plan grows with the
+    logarithm of the number of cut-offs, which are one constant array.
+    """
+    listed = F.split(F.lit(",".join(repr(c) for c in cuts)), ",").cast("array<double>")
+    df = df.withColumn("k", F.lit(0))
+    step = 1 << (len(cuts).bit_length() - 1)
+    while step:
+        further = F.col("amount") > F.get(listed, F.col("k") + (step - 1))  # NULL beyond the end
+        df = df.withColumn("k", F.col("k") + F.when(further, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return df
+
+
+def compare_many(df: DataFrame, rules: Sequence[Rule], cell: int = CELL) -> DataFrame:
+    """``compare`` for any number of cut-offs: work in proportion to rules + buckets.
+
+    ONE scan aggregates the rows by type and bucket. Running sums over the buckets, in
+    cells of ``cell`` buckets and then over the cells, give every rule's measures as a
+    difference: what lies up to the end of a span less what lies before it.
+    """
+    _check_rules(rules)
+    spark, used = df.sparkSession, _with_exceptions(rules)
+    cuts = sorted({float(r.min_amount) for r in used})
+    place = {c: i for i, c in enumerate(cuts)}
+    types = sorted({t for r in used for t in r.types or ()})
+    number = F.lit(len(types))  # rows of a type that no rule names
+    for i, t in enumerate(types):
+        number = F.when(F.col("type") == t, F.lit(i)).otherwise(number)
+    buckets = _bucket_number(df.select(number.alias("t"), "amount", "isFraud"), cuts).groupBy("t", "k").agg(*measure_exprs(ROWS))
+    checkpoint_root(spark)
+    buckets = buckets.checkpoint(eager=True)
+
+    spans = [(r.name, i, lo, hi) for r in rules for i, t in enumerate((*types, None)) for lo, hi in _flagged_spans(r, t, place)]
+    spans = spark.createDataFrame(spans, "threshold_name string, t int, lo int, hi int")
+    kinds = {m: f"decimal(38,{money_digits()})" if src.endswith("value") else "long" for m, src in _AS_RULE.items()}
+    zero = [F.lit(0).cast(kinds[m]).alias(m) for m in _AS_RULE]
+    ends = spans.select("t", F.explode(F.array(F.col("lo") - 1, F.col("hi"))).alias("k"), *zero)
+    filled = buckets.select("t", "k", *[F.coalesce(F.col(src).cast(kinds[m]), F.lit(0).cast(kinds[m])).alias(m) for m, src in _AS_RULE.items()])
+    filled = filled.unionByName(ends).groupBy("t", "k").agg(*[F.sum(m).cast(kinds[m]).alias(m) for m in _AS_RULE])
+
+    cells = F.floor(F.col("k") / F.lit(cell))
+    inside = Window.partitionBy("t", "cell").orderBy("k")
+    running = filled.withColumn("cell", cells).select("t", "k", "cell", *[F.sum(m).over(inside).cast(kinds[m]).alias(m) for m in _AS_RULE])
+    earlier = Window.partitionBy("t").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = filled.groupBy("t", cells.alias("cell")).agg(*[F.sum(m).cast(kinds[m]).alias(m) for m in _AS_RULE])
+    whole = whole.select("t", "cell", *[F.coalesce(F.sum(m).over(earlier).cast(kinds[m]), F.lit(0).cast(kinds[m])).alias(f"before_{m}") for m in _AS_RULE])
+    prefix = running.join(whole, ["t", "cell"]).select("t", "k", *[(F.col(m) + F.col(f"before_{m}")).cast(kinds[m]).alias(m) for m in _AS_RULE])
+    prefix = prefix.checkpoint(eager=True)
+
+    upto = prefix.select("t", F.col("k").alias("hi"), *[F.col(m).alias(f"hi_{m}") for m in _AS_RULE])
+    under = prefix.select("t", (F.col("k") + 1).alias("lo"), *[F.col(m).alias(f"lo_{m}") for m in _AS_RULE])
+    parts = spans.join(upto, ["t", "hi"]).join(under, ["t", "lo"])
+    flagged = parts.groupBy("threshold_name").agg(*[F.sum(F.col(f"hi_{m}") - F.col(f"lo_{m}")).alias(m) for m in _AS_RULE])
+    named = spark.createDataFrame([(r.name,) for r in rules], "threshold_name string").join(flagged, "threshold_name", "left")
+    some = F.col("flagged_transactions") > 0  # a sum over no rows is NULL
+    measures = {m: F.when(some, F.col(m).cast("double" if m.endswith("_value") else "long")) for m in _AS_RULE if m != "flagged_transactions"}
+    totals = buckets.agg(*base_total_exprs(PARTIALS))
+    named = named.withColumns(measures).withColumn("flagged_transactions", F.coalesce(F.col("flagged_transactions").cast("long"), F.lit(0).cast("long")))
+    return _with_shares(named.withColumns({c: totals.select(c).scalar() for c in totals.columns})).orderBy(F.asc_nulls_last("threshold_name"))
+
+
 def compare_wide(df: DataFrame, rules: Sequence[Rule] = DASHBOARD_RULES) -> DataFrame:
     """The same answer with one aggregate column per rule measure (a cross-check, kept for the bench)."""
     _check_rules(rules)

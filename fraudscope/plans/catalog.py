@@ -10,16 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fraudscope.functions.bands import with_bands
+from fraudscope.functions.measures import PARTIALS, rollup
 from fraudscope.operators import monitoring as mon
 from fraudscope.operators import quality as dq
 from fraudscope.operators import segments as seg
 from fraudscope.operators import thresholds as th
+from fraudscope.schema import HOURS_PER_WEEK
 from fraudscope.session import scratch_path
-from fraudscope.sinks import export, read_export
+from fraudscope.sinks import export, period_store, read_export, versions
 from fraudscope.sinks.export import DASHBOARD_FILES, dashboard_tables
-from fraudscope.sources import preview, read_transactions, stream_fixture, transactions
+from fraudscope.sources import land_by_period, land_csv, preview, read_landing, read_rejects, read_transactions, stream_fixture, stream_transactions, transactions
+from fraudscope.streaming import feed
 from fraudscope.streaming import jobs as st
 
 # Alert keys evaluate daily periods: the 30-day fixture then has 30 periods,
@@ -45,6 +49,22 @@ def _on_seg(fn: Callable[[DataFrame], DataFrame]) -> Query:
 #: A sweep of 300 cut-offs over the review types.
 SWEEP_RULES = tuple(th.Rule(f"TRANSFER/CASH_OUT > {k}K", k * 1000.0, ("TRANSFER", "CASH_OUT")) for k in range(3, 903, 3))
 
+#: A sweep of 20,000 cut-offs over the review types.
+MANY_RULES = 20_000
+
+
+def _sweep_many(df: DataFrame) -> DataFrame:
+    """TH-6 with 20,000 rules: suffix sums over ordered buckets."""
+    return th.compare(df, [th.Rule(f"TRANSFER/CASH_OUT > {45 * k}", 45.0 * k, ("TRANSFER", "CASH_OUT")) for k in range(1, MANY_RULES + 1)])
+
+
+def _outlier_cutoff(df: DataFrame) -> DataFrame:
+    """DQ-17: the cut-off from power sums of a rollup by step and type."""
+    sums = rollup(df, ["step", "type"], powers=True)
+    found = dq.outlier_cutoff(sums, m=PARTIALS)
+    return found.select("amount_rows", *[F.round(c, 4).alias(c) for c in ("mean_amount", "stddev_amount", "cutoff")])
+
+
 QUERIES: dict[str, Query] = {
     # --- sources and views (SRC-1, 3, 4) ---
     "scan_transactions": _on_txn(lambda df: df),
@@ -68,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "dq_type_by_label": _on_txn(dq.type_by_label),
     "dq_fraud_rate_by_type": _on_txn(seg.fraud_rate_by_type),
     "dq_amount_outliers": _on_txn(dq.amount_outliers),
+    "dq_outlier_cutoff": _on_txn(_outlier_cutoff),
     "dq_flagged_rows": _on_txn(dq.flagged_rows),
     "dq_flagged_stats": _on_txn(dq.flagged_stats),
     "dq_flagged_by_type": _on_txn(dq.flagged_by_type),
@@ -100,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "th_detail_b": _on_txn(lambda df: th.rule_detail(df, th.RULE_B)),
     "th_compare_c": _on_txn(lambda df: th.compare(df, (th.RULE_C,))),
     "th_sweep": _on_txn(lambda df: th.compare(df, SWEEP_RULES)),
+    "th_sweep_many": _on_txn(_sweep_many),
     "th_compare_abc": _on_txn(lambda df: th.compare(df, th.DASHBOARD_RULES)),
     "review_queue": _on_txn(th.review_queue),
 }
@@ -141,7 +163,7 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables=("alert_fraud_rate_spike",),
     )
     st.run_to_end(q)
-    return spark.read.parquet(f"{base}/alerts")
+    return versions.read_current(spark, base, "alert_fraud_rate_spike")
 
 
 def _stream_table(name: str) -> Query:
@@ -157,7 +179,7 @@ def _stream_table(name: str) -> Query:
             tables=(name,),
         )
         st.run_to_end(q)
-        return spark.read.parquet(f"{base}/tables/{name}")
+        return versions.read_current(spark, base, name)
 
     run.__doc__ = f"ST-3: {name} over the closed daily periods of the stream."
     return run
@@ -171,6 +193,55 @@ def _scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_transactions(spark, path, "csv")
 
 
+def _feed_table(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch_path(spark, "st-feed")
+        dealt = transactions(spark, sf_dir).repartition(3, F.xxhash64("nameOrig", "amount"))
+        dealt.write.parquet(f"{base}/in")
+        stream = stream_transactions(spark, f"{base}/in", max_files_per_trigger=1)
+        st.run_to_end(feed.start_feed(stream, f"{base}/out", f"{base}/_checkpoint", available_now=True, tables=(name,)))
+        return feed.feed_tables(spark, f"{base}/out", tables=(name,))[name]
+
+    run.__doc__ = f"ST-1: {name} of a feed whose files interleave all weeks, one a batch; late rows are merged into closed weeks."
+    return run
+
+
+def _incremental(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base, txn = scratch_path(spark, "mon-store"), transactions(spark, sf_dir)
+        old = F.col("step") <= 3 * HOURS_PER_WEEK
+        land_by_period(txn.where(old), f"{base}/landed")
+        period_store.refresh(spark, f"{base}/landed", f"{base}/store")
+        land_by_period(txn.where(~old | F.col("step").isNull()), f"{base}/landed", mode="append")
+        period_store.refresh(spark, f"{base}/landed", f"{base}/store")  # reads the new weeks only
+        return period_store.store_tables(spark, f"{base}/store", tables=(name,))[name]
+
+    run.__doc__ = f"{name} from the store of period partials, after new weeks were landed beside the old ones."
+    return run
+
+
+def _with_spoilt_rows(spark: SparkSession, sf_dir: str) -> str:
+    """The table as a CSV in which some amounts and some labels are no numbers, landed with its rejects."""
+    base, txn = scratch_path(spark, "csv-rejects"), transactions(spark, sf_dir)
+    text = txn.select(*[F.col(c).cast("string").alias(c) for c in txn.columns])
+    amount = F.when(F.col("step") % 97 == 0, F.lit("n/a")).otherwise(F.col("amount"))
+    label = F.when(F.col("step") % 89 == 0, F.lit("maybe")).otherwise(F.col("isFraud"))
+    text.withColumns({"amount": amount, "isFraud": label}).write.option("header", True).csv(f"{base}/in")
+    land_csv(spark, f"{base}/in", f"{base}/out")
+    return f"{base}/out"
+
+
+def _scan_csv_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1: the rows that could be read of a CSV with malformed ones."""
+    return read_landing(spark, _with_spoilt_rows(spark, sf_dir))
+
+
+def _scan_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1: the rejected lines of the same CSV by reason."""
+    rejects = read_rejects(spark, _with_spoilt_rows(spark, sf_dir))
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("rejected_rows"))
+
+
 def _export_key(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = dashboard_tables(transactions(spark, sf_dir))[name]
@@ -185,6 +256,8 @@ def _export_key(name: str) -> Query:
 QUERIES.update(
     {
         "scan_csv_roundtrip": _scan_csv_roundtrip,
+        "scan_csv_good": _scan_csv_good,
+        "scan_csv_rejects": _scan_csv_rejects,
         # --- sinks ---
         "export_roundtrip": _export_roundtrip,
         "export_summary_csv": _export_key("executive_summary_dashboard.csv"),
@@ -198,6 +271,9 @@ QUERIES.update(
         "mon_weekly_metrics": _on_txn(mon.weekly_metrics),
         "mon_weekly_rate_by_type": _on_txn(mon.weekly_rate_by_type),
         "mon_weekly_threshold": _on_txn(mon.weekly_threshold),
+        "mon_incremental_metrics": _incremental("weekly_metrics"),
+        "mon_incremental_rate_by_type": _incremental("weekly_rate_by_type"),
+        "mon_incremental_threshold": _incremental("weekly_threshold"),
         # --- alerts (AL-1..6), daily periods ---
         "alert_fraud_rate_spike": _on_txn(
             lambda df: mon.fraud_rate_spike(mon.weekly_metrics(df, ALERT_PERIOD_HOURS, ordered=False))
@@ -226,5 +302,8 @@ QUERIES.update(
         "stream_review_surge": _stream_table("alert_review_surge"),
         "stream_value_concentration": _stream_table("alert_value_concentration"),
         "stream_capacity_breach": _stream_table("alert_capacity_breach"),
+        "feed_weekly_metrics": _feed_table("weekly_metrics"),
+        "feed_rate_by_type": _feed_table("weekly_rate_by_type"),
+        "feed_threshold": _feed_table("weekly_threshold"),
     }
 )

@@ -78,10 +78,14 @@ ORDER BY fraud_captured_count DESC NULLS LAST, flagged_transactions DESC NULLS L
     )
 
 
-def _sweep() -> str:
-    """300 cut-offs as a table; a cut-off that flags nothing has count 0 and NULL sums."""
+_SWEEP = "SELECT 'TRANSFER/CASH_OUT > ' || k || 'K' AS threshold_name, k * 1000 AS cut FROM range(3, 903, 3) AS r(k)"
+_SWEEP_MANY = "SELECT 'TRANSFER/CASH_OUT > ' || (45 * k) AS threshold_name, 45 * k AS cut FROM range(1, 20001) AS r(k)"
+
+
+def _sweep(cuts: str) -> str:
+    """Cut-offs as a table; a cut-off that flags nothing has count 0 and NULL sums."""
     rules = f"""
-cuts AS (SELECT 'TRANSFER/CASH_OUT > ' || k || 'K' AS threshold_name, k * 1000 AS cut FROM range(3, 903, 3) AS r(k)),
+cuts AS ({cuts}),
 hit AS (SELECT *, 1 AS hit FROM tx WHERE type IN ('TRANSFER', 'CASH_OUT')),
 rules AS (
     SELECT threshold_name, COUNT(hit) AS flagged_transactions,
@@ -100,7 +104,8 @@ ORACLES: dict[str, str] = {
     "th_detail_a": _detail(_RULE_WHERE[0]),
     "th_detail_b": _detail(_RULE_WHERE[1]),
     "th_compare_c": _compare(RULE_NAMES_ANALYSIS[2:], _RULE_WHERE[2:]),
-    "th_sweep": _sweep(),
+    "th_sweep": _sweep(_SWEEP),
+    "th_sweep_many": _sweep(_SWEEP_MANY),
     "th_compare_abc": _compare(RULE_NAMES_DASHBOARD, _RULE_WHERE),
     "review_queue": q(
         f"""
@@ -557,3 +562,32 @@ ORACLES.update(
         "export_fraud_by_origin_balance_band": ORACLES["seg_by_origin_balance_band"],
     }
 )
+
+# ------------------------------------------- increments, feeds, landings ----
+
+for _name, _same in (
+    ("mon_incremental_metrics", "mon_weekly_metrics"),
+    ("mon_incremental_rate_by_type", "mon_weekly_rate_by_type"),
+    ("mon_incremental_threshold", "mon_weekly_threshold"),
+    ("feed_weekly_metrics", "mon_weekly_metrics"),
+    ("feed_rate_by_type", "mon_weekly_rate_by_type"),
+    ("feed_threshold", "mon_weekly_threshold"),
+):
+    ORACLES[_name] = ORACLES[_same]
+
+_SPOILT = "(step % 97 = 0 OR step % 89 = 0)"
+ORACLES["scan_csv_good"] = q(f"SELECT {COLS} FROM tx WHERE NOT coalesce({_SPOILT}, false)")
+ORACLES["scan_csv_rejects"] = q(
+    f"""SELECT CASE WHEN step % 97 = 0 THEN 'amount is no double' ELSE 'isFraud is no bigint' END AS reason,
+    COUNT(*) AS rejected_rows FROM tx WHERE {_SPOILT} GROUP BY 1"""
+)
+
+# exact sums in cents; the deviation from n * squares - sum^2, whole numbers up to the last division
+ORACLES["dq_outlier_cutoff"] = q(
+    """SELECT n AS amount_rows, ROUND(mean, 4) AS mean_amount, ROUND(dev, 4) AS stddev_amount, ROUND(mean + 3 * dev, 4) AS cutoff
+FROM (SELECT n, CAST(s AS DOUBLE) / (100 * n) AS mean,
+    SQRT(CAST(n * s2 - s * s AS DOUBLE) / CAST(CAST(n AS HUGEINT) * (n - 1) AS DOUBLE)) / 100 AS dev FROM sums)""",
+    """
+cents AS (SELECT CAST(ROUND(CAST(amount AS DECIMAL(18,2)) * 100) AS HUGEINT) AS c FROM tx WHERE amount IS NOT NULL),
+sums AS (SELECT COUNT(*) AS n, CAST(SUM(c) AS HUGEINT) AS s, CAST(SUM(c * c) AS HUGEINT) AS s2 FROM cents)""",
+)
