@@ -85,9 +85,9 @@ class RowMeasures:
     def legit_value(self) -> Column:
         return F.sum(F.when(legit(), _amt()).otherwise(_zero()))
 
-    def powers(self) -> list[Column]:
+    def powers(self, amount: str = "amount") -> list[Column]:
         """Count, sum and sum of squares of the amount, as exact decimals."""
-        exact = F.col("amount").cast(f"decimal(18,{money_digits()})")
+        exact = F.col(amount).cast(f"decimal(18,{money_digits()})")
         return [c.alias(n) for c, n in zip((F.count(exact), F.sum(exact), F.sum(exact * exact)), POWER_MEASURES)]
 
     def rule(self, i: int, rule) -> list[Column]:
@@ -133,7 +133,8 @@ class PartialMeasures:
     def legit_value(self) -> Column:
         return F.sum("legit_value")
 
-    def powers(self) -> list[Column]:
+    def powers(self, amount: str = "amount") -> list[Column]:
+        """Sums of the partials' power sums, whose names do not depend on the amount's."""
         rows, *sums = POWER_MEASURES
         return [F.coalesce(F.sum(rows), F.lit(0)).cast("long").alias(rows), *[F.sum(c).alias(c) for c in sums]]
 

@@ -24,8 +24,10 @@ def _is_merchant(col: str = "nameDest") -> Column:
     return F.col(col).startswith(MERCHANT_PREFIX)
 
 
-def _rest(*first: str) -> list[str]:
-    return [c for c in TXN_COLUMNS if c not in first]
+def _rest(df: DataFrame, *first: str) -> list[str]:
+    """Columns that break ties: those of the base table in its order, or all of another table."""
+    base = TXN_COLUMNS if set(TXN_COLUMNS) <= set(df.columns) else df.columns
+    return [c for c in base if c not in first]
 
 
 def _sorted_rows(df: DataFrame, keys: list[Column]) -> DataFrame:
@@ -52,13 +54,11 @@ def missing_values(df: DataFrame, columns: Sequence[str] = TXN_COLUMNS) -> DataF
     return df.agg(*missing_value_exprs(columns))
 
 
-def merchant_missing(df: DataFrame) -> DataFrame:
+def merchant_missing(
+    df: DataFrame, name: str = "nameDest", balances: Sequence[str] = ("oldbalanceDest", "newbalanceDest")
+) -> DataFrame:
     """DQ-2: merchant rows and their missing destination balances."""
-    return df.where(_is_merchant()).agg(
-        F.count(F.lit(1)).alias("merchant_rows"),
-        count_where(F.col("oldbalanceDest").isNull()).alias("missing_oldbalanceDest"),
-        count_where(F.col("newbalanceDest").isNull()).alias("missing_newbalanceDest"),
-    )
+    return df.where(_is_merchant(name)).agg(F.count(F.lit(1)).alias("merchant_rows"), *missing_value_exprs(balances))
 
 
 # ------------------------------------------------------------ duplicates ---
@@ -151,28 +151,28 @@ def write_duplicates(
 # ------------------------------------------------------------- amounts -----
 
 
-def invalid_amount_counts(df: DataFrame) -> DataFrame:
+def invalid_amount_counts(df: DataFrame, amount: str = "amount") -> DataFrame:
     """DQ-5: negative and zero amounts."""
     return df.agg(
-        count_where(F.col("amount") < 0).alias("negative_amounts"),
-        count_where(F.col("amount") == 0).alias("zero_amounts"),
+        count_where(F.col(amount) < 0).alias("negative_amounts"),
+        count_where(F.col(amount) == 0).alias("zero_amounts"),
     )
 
 
-def invalid_amount_rows(df: DataFrame, ordered: bool = True) -> DataFrame:
+def invalid_amount_rows(df: DataFrame, ordered: bool = True, amount: str = "amount") -> DataFrame:
     """DQ-6: rows with amount <= 0, ascending (all columns break ties) unless ``ordered`` is false."""
-    rows = df.where(F.col("amount") <= 0)
+    rows = df.where(F.col(amount) <= 0)
     if not ordered:
         return rows
-    return _sorted_rows(rows, [F.asc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))])
+    return _sorted_rows(rows, [F.asc_nulls_last(amount), *sort_keys(rest=_rest(df, amount))])
 
 
-def amount_stat_exprs() -> list[Column]:
+def amount_stat_exprs(amount: str = "amount") -> list[Column]:
     return [
-        F.min("amount").alias("min_amount"),
-        F.max("amount").alias("max_amount"),
+        F.min(amount).alias("min_amount"),
+        F.max(amount).alias("max_amount"),
         # exact decimal sum / count: independent of row order, equal in every engine
-        F.round(F.try_divide(money_sum("amount").cast("double"), F.count("amount").cast("double")), 4).alias(
+        F.round(F.try_divide(money_sum(amount).cast("double"), F.count(amount).cast("double")), 4).alias(
             "avg_amount"
         ),
     ]
@@ -195,89 +195,99 @@ def require_exact_money(df: DataFrame, columns: Sequence[str] = ("amount",)) ->
         raise ValueError(f"money sums with {money_digits()} decimals are not exact: {found}")
 
 
-def amount_stats(df: DataFrame) -> DataFrame:
+def amount_stats(df: DataFrame, amount: str = "amount") -> DataFrame:
     """DQ-7: min, max and mean amount (mean rounded to 4 digits)."""
-    return df.agg(*amount_stat_exprs())
+    return df.agg(*amount_stat_exprs(amount))
 
 
-def top_amounts(df: DataFrame, n: int = 20) -> DataFrame:
+def top_amounts(df: DataFrame, n: int = 20, amount: str = "amount") -> DataFrame:
     """DQ-8: the ``n`` largest transactions (TakeOrderedAndProject)."""
-    return df.orderBy(F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))).limit(n)
+    return df.orderBy(F.desc_nulls_last(amount), *sort_keys(rest=_rest(df, amount))).limit(n)
 
 
 # ------------------------------------------------------------ balances -----
 
 
-def origin_mismatch() -> Column:
+def origin_mismatch(amount: str = "amount", before: str = "oldbalanceOrg", after: str = "newbalanceOrig") -> Column:
     """before - amount <> after, both rounded to cents; NULL operands -> NULL."""
-    return F.round(F.col("oldbalanceOrg") - F.col("amount"), 2) != F.round(F.col("newbalanceOrig"), 2)
+    return F.round(F.col(before) - F.col(amount), 2) != F.round(F.col(after), 2)
 
 
-def dest_mismatch() -> Column:
+def dest_mismatch(
+    amount: str = "amount", before: str = "oldbalanceDest", after: str = "newbalanceDest", name: str = "nameDest"
+) -> Column:
     """before + amount <> after on non-merchant destinations."""
-    return ~_is_merchant() & (
-        F.round(F.col("oldbalanceDest") + F.col("amount"), 2) != F.round(F.col("newbalanceDest"), 2)
-    )
+    return ~_is_merchant(name) & (F.round(F.col(before) + F.col(amount), 2) != F.round(F.col(after), 2))
+
+
+def _restricted(df: DataFrame, where: Column | str | None) -> DataFrame:
+    return df if where is None else df.where(where)
 
 
-def origin_mismatch_count(df: DataFrame) -> DataFrame:
-    """DQ-9."""
-    return df.where(origin_mismatch()).agg(F.count(F.lit(1)).alias("inconsistent_origin_balance"))
+def origin_mismatch_count(df: DataFrame, where: Column | str | None = None, **names: str) -> DataFrame:
+    """DQ-9; ``where`` restricts the rows checked (a step range, some types), ``names`` as in ``origin_mismatch``."""
+    return _restricted(df, where).where(origin_mismatch(**names)).agg(F.count(F.lit(1)).alias("inconsistent_origin_balance"))
 
 
 def _sample(rows: DataFrame, n: int, ordered: bool) -> DataFrame:
     """``n`` rows: the first under a total order (reads everything), or any (stops early)."""
-    return (rows.orderBy(*sort_keys(rest=TXN_COLUMNS)) if ordered else rows).limit(n)
+    return (rows.orderBy(*sort_keys(rest=_rest(rows))) if ordered else rows).limit(n)
 
 
-def origin_mismatch_rows(df: DataFrame, n: int = 50, ordered: bool = True) -> DataFrame:
+def origin_mismatch_rows(
+    df: DataFrame, n: int = 50, ordered: bool = True, where: Column | str | None = None, **names: str
+) -> DataFrame:
     """DQ-10: a sample of ``n`` such rows, under a total order unless ``ordered`` is false."""
-    return _sample(df.where(origin_mismatch()), n, ordered)
+    return _sample(_restricted(df, where).where(origin_mismatch(**names)), n, ordered)
 
 
-def dest_mismatch_count(df: DataFrame) -> DataFrame:
-    """DQ-11."""
-    return df.where(dest_mismatch()).agg(F.count(F.lit(1)).alias("inconsistent_dest_balance"))
+def dest_mismatch_count(df: DataFrame, where: Column | str | None = None, **names: str) -> DataFrame:
+    """DQ-11; ``names`` as in ``dest_mismatch``."""
+    return _restricted(df, where).where(dest_mismatch(**names)).agg(F.count(F.lit(1)).alias("inconsistent_dest_balance"))
 
 
-def dest_mismatch_rows(df: DataFrame, n: int = 50, ordered: bool = True) -> DataFrame:
+def dest_mismatch_rows(
+    df: DataFrame, n: int = 50, ordered: bool = True, where: Column | str | None = None, **names: str
+) -> DataFrame:
     """DQ-12."""
-    return _sample(df.where(dest_mismatch()), n, ordered)
+    return _sample(_restricted(df, where).where(dest_mismatch(**names)), n, ordered)
 
 
-def negative_balance_exprs() -> list[Column]:
-    return [count_where(F.col(c) < 0).alias(f"neg_{c}") for c in BALANCE_COLUMNS]
+def negative_balance_exprs(columns: Sequence[str] = BALANCE_COLUMNS) -> list[Column]:
+    return [count_where(F.col(c) < 0).alias(f"neg_{c}") for c in columns]
 
 
-def negative_balances(df: DataFrame) -> DataFrame:
+def negative_balances(df: DataFrame, columns: Sequence[str] = BALANCE_COLUMNS) -> DataFrame:
     """DQ-13: negatives in each balance column (one pass)."""
-    return df.agg(*negative_balance_exprs())
+    return df.agg(*negative_balance_exprs(columns))
 
 
 # -------------------------------------------------------------- labels -----
 
 
-def fraud_distribution(df: DataFrame) -> DataFrame:
+def fraud_distribution(df: DataFrame, label: str = "isFraud") -> DataFrame:
     """DQ-14: rows and share per label value (window over <= 3 aggregated rows)."""
-    per_label = df.groupBy("isFraud").agg(F.count(F.lit(1)).alias("transactions"))
+    per_label = df.groupBy(label).agg(F.count(F.lit(1)).alias("transactions"))
     return per_label.withColumn(
         "pct_of_total", pct("transactions", F.sum("transactions").over(Window.partitionBy()), 4)
     )
 
 
-def type_by_label(df: DataFrame) -> DataFrame:
+def type_by_label(df: DataFrame, type_col: str = "type", label: str = "isFraud") -> DataFrame:
     """DQ-15: rows per (type, label)."""
     return (
-        df.groupBy("type", "isFraud")
+        df.groupBy(type_col, label)
         .agg(F.count(F.lit(1)).alias("transactions"))
-        .orderBy(F.asc_nulls_last("type"), F.asc_nulls_last("isFraud"))
+        .orderBy(F.asc_nulls_last(type_col), F.asc_nulls_last(label))
     )
 
 
 # ------------------------------------------------------------ outliers -----
 
 
-def outlier_cutoff(df: DataFrame, k: float = 3.0, m: RowMeasures | PartialMeasures = ROWS) -> DataFrame:
+def outlier_cutoff(
+    df: DataFrame, k: float = 3.0, m: RowMeasures | PartialMeasures = ROWS, amount: str = "amount"
+) -> DataFrame:
     """One row: amount_rows, mean_amount, stddev_amount (sample) and cutoff = mean + k * deviation.
 
     From three exact sums (count, sum and sum of squares as decimals), so the result is the
@@ -286,7 +296,7 @@ def outlier_cutoff(df: DataFrame, k: float = 3.0, m: RowMeasures | PartialMeasur
     first moved, still exactly, to a whole number near the mean; what is then left for
     floating point has no cancellation. NULL where there are fewer than two amounts.
     """
-    sums = df.agg(*m.powers())
+    sums = df.agg(*m.powers(amount))
     near = "CAST(ROUND(CAST(amount_sum AS DOUBLE) / amount_rows) AS DECIMAL(19,0))"
     rows = "CAST(amount_rows AS DECIMAL(19,0))"
     moved = sums.where("amount_rows > 0").selectExpr("*", f"{near} AS c")
@@ -298,70 +308,80 @@ def outlier_cutoff(df: DataFrame, k: float = 3.0, m: RowMeasures | PartialMeasur
     return found.withColumn("cutoff", F.col("mean_amount") + F.lit(float(k)) * F.col("stddev_amount"))
 
 
-def amount_outliers(df: DataFrame, k: float = 3.0, ordered: bool = True, cutoff: DataFrame | None = None) -> DataFrame:
+def amount_outliers(
+    df: DataFrame, k: float = 3.0, ordered: bool = True, cutoff: DataFrame | None = None, amount: str = "amount"
+) -> DataFrame:
     """DQ-17: rows strictly above mean + k * sample stddev, largest first unless ``ordered`` is false.
 
     The cut-off is an uncorrelated scalar subquery over exact sums, then an ordinary
     filter -- no join. ``cutoff``: an ``outlier_cutoff`` that is there already (of a
     rollup, say); then the rows are read once.
     """
-    limit = (outlier_cutoff(df, k) if cutoff is None else cutoff).select("cutoff").scalar()
-    rows = df.where(F.col("amount") > limit)
+    limit = (outlier_cutoff(df, k, amount=amount) if cutoff is None else cutoff).select("cutoff").scalar()
+    rows = df.where(F.col(amount) > limit)
     if not ordered:
         return rows
     return _sorted_rows(
-        rows, [F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount"))]
+        rows, [F.desc_nulls_last(amount), *sort_keys(rest=_rest(df, amount))]
     )
 
 
 # ----------------------------------------------------------- rule flag -----
 
 
-def flagged_rows(df: DataFrame) -> DataFrame:
+def flagged_rows(df: DataFrame, flag: str = "isFlaggedFraud") -> DataFrame:
     """DQ-18: rows with the dataset's own flag set."""
-    return df.where(F.col("isFlaggedFraud") == 1)
+    return df.where(F.col(flag) == 1)
 
 
-def flagged_stats(df: DataFrame) -> DataFrame:
+def flagged_stats(df: DataFrame, flag: str = "isFlaggedFraud", amount: str = "amount") -> DataFrame:
     """DQ-19."""
-    return flagged_rows(df).agg(
+    return flagged_rows(df, flag).agg(
         F.count(F.lit(1)).alias("flagged_rows"),
-        F.min("amount").alias("min_flagged_amount"),
-        F.max("amount").alias("max_flagged_amount"),
+        F.min(amount).alias("min_flagged_amount"),
+        F.max(amount).alias("max_flagged_amount"),
     )
 
 
-def flagged_by_type(df: DataFrame) -> DataFrame:
+def flagged_by_type(df: DataFrame, flag: str = "isFlaggedFraud", type_col: str = "type") -> DataFrame:
     """DQ-20."""
-    return flagged_rows(df).groupBy("type").agg(F.count(F.lit(1)).alias("flagged_count"))
+    return flagged_rows(df, flag).groupBy(type_col).agg(F.count(F.lit(1)).alias("flagged_count"))
 
 
-def _unflagged_large_transfer() -> Column:
-    return (F.col("type") == "TRANSFER") & (F.col("amount") > LARGE_AMOUNT) & (F.col("isFlaggedFraud") == 0)
+def unflagged_large(amount: str = "amount", type_col: str = "type", flag: str = "isFlaggedFraud") -> Column:
+    """A transfer above the cut-off that the flag missed."""
+    return (F.col(type_col) == "TRANSFER") & (F.col(amount) > LARGE_AMOUNT) & (F.col(flag) == 0)
 
 
-def unflagged_large_transfers(df: DataFrame) -> DataFrame:
-    """DQ-21: transfers above the cut-off that the flag missed."""
-    return df.where(_unflagged_large_transfer())
+def unflagged_large_transfers(df: DataFrame, **names: str) -> DataFrame:
+    """DQ-21: transfers above the cut-off that the flag missed (``names`` as in ``unflagged_large``)."""
+    return df.where(unflagged_large(**names))
 
 
-def unflagged_fraud_transfers(df: DataFrame) -> DataFrame:
+def unflagged_fraud_transfers(df: DataFrame, label: str = "isFraud", **names: str) -> DataFrame:
     """DQ-22: the same, labelled fraud."""
-    return df.where(_unflagged_large_transfer() & fraud())
+    return df.where(unflagged_large(**names) & fraud(label))
 
 
-def zero_origin_balance(df: DataFrame, n: int = 50) -> DataFrame:
+def zero_origin_balance(df: DataFrame, n: int = 50, amount: str = "amount", before: str = "oldbalanceOrg") -> DataFrame:
     """DQ-23: positive amounts from an empty origin account, ``n`` largest."""
     return (
-        df.where((F.col("amount") > 0) & (F.col("oldbalanceOrg") == 0))
-        .orderBy(F.desc_nulls_last("amount"), *sort_keys(rest=_rest("amount")))
+        df.where((F.col(amount) > 0) & (F.col(before) == 0))
+        .orderBy(F.desc_nulls_last(amount), *sort_keys(rest=_rest(df, amount)))
         .limit(n)
     )
 
 
-def zero_dest_balance(df: DataFrame, n: int = 50, ordered: bool = True) -> DataFrame:
+def zero_dest_balance(
+    df: DataFrame,
+    n: int = 50,
+    ordered: bool = True,
+    amount: str = "amount",
+    before: str = "oldbalanceDest",
+    name: str = "nameDest",
+) -> DataFrame:
     """DQ-24: positive amounts into an empty non-merchant account; ``n`` rows."""
-    rows = df.where((F.col("amount") > 0) & (F.col("oldbalanceDest") == 0) & ~_is_merchant())
+    rows = df.where((F.col(amount) > 0) & (F.col(before) == 0) & ~_is_merchant(name))
     return _sample(rows, n, ordered)
 
 

@@ -18,6 +18,7 @@ from fraudscope.operators import monitoring as mon
 from fraudscope.operators import quality as dq
 from fraudscope.operators import segments as seg
 from fraudscope.operators import thresholds as th
+from fraudscope.operators.ledger import RowLedger
 from fraudscope.schema import HOURS_PER_WEEK
 from fraudscope.session import scratch_path
 from fraudscope.sinks import export, period_store, read_export, versions
@@ -220,6 +221,26 @@ def _incremental(name: str) -> Query:
     return run
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> RowLedger:
+    """The table in two landings that share repeated rows, taken in one after the other."""
+    path = scratch_path(spark, "ledger")
+    ledger = RowLedger(spark, f"ledger_{path[-32:]}", path, buckets=8)
+    dealt = transactions(spark, sf_dir).withColumn("_landing", F.monotonically_increasing_id() % 2)
+    for i in (0, 1):
+        ledger.add(dealt.where(F.col("_landing") == i), f"landing-{i}")
+    return ledger
+
+
+def _ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ-3 over two landings, each hashed once."""
+    return _ledger(spark, sf_dir).summary()
+
+
+def _ledger_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ-4 over two landings, each hashed once."""
+    return _ledger(spark, sf_dir).groups()
+
+
 def _with_spoilt_rows(spark: SparkSession, sf_dir: str) -> str:
     """The table as a CSV in which some amounts and some labels are no numbers, landed with its rejects."""
     base, txn = scratch_path(spark, "csv-rejects"), transactions(spark, sf_dir)
@@ -257,6 +278,8 @@ QUERIES.update(
     {
         "scan_csv_roundtrip": _scan_csv_roundtrip,
         "scan_csv_good": _scan_csv_good,
+        "dq_ledger_summary": _ledger_summary,
+        "dq_ledger_groups": _ledger_groups,
         "scan_csv_rejects": _scan_csv_rejects,
         # --- sinks ---
         "export_roundtrip": _export_roundtrip,

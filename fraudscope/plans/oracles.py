@@ -572,6 +572,8 @@ for _name, _same in (
     ("feed_weekly_metrics", "mon_weekly_metrics"),
     ("feed_rate_by_type", "mon_weekly_rate_by_type"),
     ("feed_threshold", "mon_weekly_threshold"),
+    ("dq_ledger_summary", "dq_duplicate_summary"),
+    ("dq_ledger_groups", "dq_duplicate_groups"),
 ):
     ORACLES[_name] = ORACLES[_same]
 
