@@ -11,13 +11,14 @@
 3. A record whose whole body has an equal neighbour is repeated in all its
    windows. Those whose suffix is repeated but whose body is not lie at the edge
    of a passage: they are brought together by suffix, with one record of each
-   repeated body, and compared window by window.
+   repeated body, and compared window by window, byte for byte.
 4. The repeated windows' bytes are cut out of each document.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark import TaskContext
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 
 from fraudscope.llm.common import materialise, table
 from fraudscope.llm.hashing import prefix_hash, text_slices
-from fraudscope.llm.suffixes import WINDOW, byte_hashes, suffix_records
+from fraudscope.llm.suffixes import WINDOW, byte_hashes, strong_hashes, suffix_records
 
 #: Edge records of one suffix compared in a task; beyond that their windows are sorted like suffixes.
 LOCAL_RECORDS = 1024
-#: Edge documents that are broadcast to the texts (about 100 bytes each); beyond that the join shuffles.
-BROADCAST_DOCS = 200_000
+#: Bytes of edge records that are broadcast to the texts; beyond that the join shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Windows whose bytes are compared at a time, and edge records taken apart at a time.
+COMPARED, TAKEN_APART = 1 << 14, 256
 
-_RECORD = "doc_id long, th long, a int, n int, lead long, gram long, body long"
+_RECORD = "doc_id long, th long, a int, n int, lead long, gram long, body long, tail long"
 _MARKS = "prev_gram boolean, prev_body boolean, next_gram boolean, next_body boolean, edge int, part int"
 
 
@@ -52,8 +55,8 @@ def _records(batches):
             own = pa.array(first + r["text"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(own), batch.column("th").take(own),
-                 *(pa.array(r[c].astype(np.int32)) for c in ("a", "n")), *(pa.array(r[c]) for c in ("lead", "gram", "body"))],
-                names=["doc_id", "th", "a", "n", "lead", "gram", "body"],
+                 *(pa.array(r[c].astype(np.int32)) for c in ("a", "n")), *(pa.array(r[c]) for c in ("lead", "gram", "body", "tail"))],
+                names=["doc_id", "th", "a", "n", "lead", "gram", "body", "tail"],
             )
 
 
@@ -78,9 +81,9 @@ def _mark(batches):
             continue
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-        lead, gram, body = (rows.column(c).to_numpy() for c in ("lead", "gram", "body"))
+        lead, gram, body, tail = (rows.column(c).to_numpy() for c in ("lead", "gram", "body", "tail"))
         same_gram = (lead[1:] == lead[:-1]) & (gram[1:] == gram[:-1])
-        same_body = same_gram & (body[1:] == body[:-1])
+        same_body = same_gram & (body[1:] == body[:-1]) & (tail[1:] == tail[:-1])
         pg, pb = (np.concatenate([[k], s]) for k, s in zip(known or (False, False), (same_gram, same_body)))
         edge = np.zeros(len(lead), np.int32)
         edge[0] = 1 if known is None else 0
@@ -97,9 +100,10 @@ def _mark(batches):
 
 
 def mark_repeats(rows: DataFrame, schema: str, name: str) -> DataFrame:
-    """``rows`` (lead, gram, body and others, see ``schema``) with whether their neighbours in sorted order are equal."""
+    """``rows`` (lead, gram, body, tail and others, see ``schema``) with whether their neighbours in sorted order are equal."""
     spark, columns = rows.sparkSession, rows.columns
-    order = ["lead", "gram", "body", *[c for c in columns if c not in ("lead", "gram", "body")]]
+    keys = ["lead", "gram", "body", "tail"]
+    order = [*keys, *[c for c in columns if c not in keys]]
     marked = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_mark, f"{schema}, {_MARKS}")
     marked = materialise(marked, name)
     # two rows of a partition at most, whatever it holds
@@ -108,7 +112,7 @@ def mark_repeats(rows: DataFrame, schema: str, name: str) -> DataFrame:
     for one, two in zip(edges, edges[1:]):
         if one["part"] != two["part"]:
             gram = (one["lead"], one["gram"]) == (two["lead"], two["gram"])
-            body = gram and one["body"] == two["body"]
+            body = gram and (one["body"], one["tail"]) == (two["body"], two["tail"])
             one["next_gram"], one["next_body"], two["prev_gram"], two["prev_body"] = gram, body, gram, body
     inner = marked.filter("edge = 0")
     if not edges:
@@ -134,14 +138,35 @@ def _contexts(batches):
 _CONTEXT = "doc_id long, th long, a int, gram long, single boolean, bytes binary"
 
 
-def _windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window of each body in a row, windows of each body)."""
+def _windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start of each window of each body in a row, windows of each body)."""
     sizes = np.array([len(b) for b in bodies], np.int64)
     buf = np.frombuffer(b"".join(bodies), np.uint8)
     count = sizes - WINDOW + 1
     last = np.cumsum(count)
-    starts = np.repeat(np.cumsum(sizes) - sizes - (last - count), count) + np.arange(int(last[-1]))
-    return byte_hashes(buf, starts, starts + WINDOW, prefix_hash(buf)), count
+    return buf, np.repeat(np.cumsum(sizes) - sizes - (last - count), count) + np.arange(int(last[-1])), count
+
+
+def repeated_windows(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each window of WINDOW bytes occurs more than once among those at ``starts``.
+
+    Hashes find the candidates; each is compared byte for byte with the first of its hash, and
+    where windows of one hash differ, they are grouped by their bytes.
+    """
+    h = byte_hashes(buf, starts, starts + WINDOW, prefix_hash(buf))
+    _, first, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    hit = times[which] > 1
+    k, mixed, span = np.flatnonzero(hit), set(), np.arange(WINDOW)
+    for i in range(0, len(k), COMPARED):
+        own = k[i : i + COMPARED]
+        same = (buf[starts[own][:, None] + span] == buf[starts[first[which[own]]][:, None] + span]).all(axis=1)
+        mixed.update(which[own[~same]].tolist())
+    if mixed:
+        k = k[np.isin(which[k], list(mixed))]
+        raw = [buf[a : a + WINDOW].tobytes() for a in starts[k]]
+        count = Counter(raw)
+        hit[k] = [count[b] > 1 for b in raw]
+    return hit
 
 
 def _runs(hit: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,11 +189,10 @@ def _compare_windows(batches):
     import pyarrow as pa
 
     def spans(rows):
-        h, count = _windows(rows.column("bytes").to_pylist())
+        buf, starts, count = _windows(rows.column("bytes").to_pylist())
         of = np.repeat(np.arange(len(count)), count)
-        at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
-        hit = (times[which] > 1) & rows.column("single").to_numpy(zero_copy_only=False)[of]
+        at = np.arange(len(starts)) - np.repeat(np.cumsum(count) - count, count)
+        hit = repeated_windows(buf, starts) & rows.column("single").to_numpy(zero_copy_only=False)[of]
         record, first, last = _runs(hit, of, at)
         take = pa.array(record)
         a = rows.column("a").to_numpy()[record]
@@ -204,23 +228,26 @@ def _by_size(rows, gram: np.ndarray):
 
 
 def _window_rows(batches):
+    """A row per window of the edge records, with the digest of its bytes in place of the order's keys."""
     import pyarrow as pa
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            h, count = _windows([one.column("bytes")[0].as_py()])
-            n = int(count[0])
-            take = pa.array(np.zeros(n, np.int64))
+        for i in range(0, batch.num_rows, TAKEN_APART):
+            some = batch.slice(i, TAKEN_APART)
+            buf, starts, count = _windows(some.column("bytes").to_pylist())
+            lead, body = strong_hashes(buf, starts, starts + WINDOW)
+            of = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(starts)) - np.repeat(np.cumsum(count) - count, count)
+            take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [one.column("doc_id").take(take), one.column("th").take(take),
-                 pa.array((one.column("a")[0].as_py() + np.arange(n)).astype(np.int32)), pa.array(h.view(np.int64)),
-                 one.column("gram").take(take), pa.array(np.zeros(n, np.int64)), one.column("single").take(take)],
-                names=["doc_id", "th", "a", "lead", "gram", "body", "single"],
+                [some.column("doc_id").take(take), some.column("th").take(take),
+                 pa.array((some.column("a").to_numpy()[of] + place).astype(np.int32)), pa.array(lead),
+                 some.column("gram").take(take), pa.array(body), pa.array(np.zeros(len(of), np.int64)), some.column("single").take(take)],
+                names=["doc_id", "th", "a", "lead", "gram", "body", "tail", "single"],
             )
 
 
-_WINDOW_ROW = "doc_id long, th long, a int, lead long, gram long, body long, single boolean"
+_WINDOW_ROW = "doc_id long, th long, a int, lead long, gram long, body long, tail long, single boolean"
 _SPAN = "doc_id long, th long, s int, e int"
 
 
@@ -231,7 +258,8 @@ def _edge_spans(edge: DataFrame, texts: DataFrame) -> DataFrame:
         F.collect_set(F.struct("a", "n", "gram", "single")).alias("records")
     )
     wanted = materialise(wanted.withColumnRenamed("doc_id", "w_id").withColumnRenamed("th", "w_th"), "edge-docs")
-    if wanted.count() <= BROADCAST_DOCS:
+    docs, records = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("records")), F.lit(0))).first()
+    if 100 * docs + 50 * records <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     here = texts.join(wanted, texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.th == F.col("w_th")))
     contexts = materialise(here.select("doc_id", "th", "text", "records").mapInArrow(_contexts, _CONTEXT), "contexts")
@@ -239,7 +267,7 @@ def _edge_spans(edge: DataFrame, texts: DataFrame) -> DataFrame:
     few = contexts.join(many, "gram", "left_anti").select(*contexts.columns)
     local = few.repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(_compare_windows, _SPAN)
     rows = contexts.join(many, "gram", "left_semi").select(*contexts.columns).mapInArrow(_window_rows, _WINDOW_ROW)
-    marked = mark_repeats(rows, _WINDOW_ROW, "edge-windows").filter("single and (prev_gram or next_gram)")
+    marked = mark_repeats(rows, _WINDOW_ROW, "edge-windows").filter("single and (prev_body or next_body)")
     return local.unionByName(marked.select("doc_id", "th", F.col("a").alias("s"), (F.col("a") + WINDOW).alias("e")))
 
 

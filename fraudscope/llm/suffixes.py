@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from fraudscope.llm.hashing import mix, powers, prefix_hash
@@ -20,6 +22,14 @@ def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.nda
         return mix((p[ends] - p[starts]) * powers(len(buf) + 1)[1][starts])
 
 
+def strong_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2 digest of each byte string buf[start:end], as two longs: equal only for equal strings."""
+    view = memoryview(np.ascontiguousarray(buf))
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    both = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` values in a row: prefix minima and suffix minima of blocks meet."""
     n = len(v) - width + 1
@@ -38,14 +48,15 @@ def suffix_records(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     place. A record stands for the neighbouring windows that choose one suffix:
     text, first window ``a`` (bytes from the text's start), number of windows
     ``n``, ``gram`` (hash of the chosen bytes), ``lead`` (its first eight
-    bytes, as a number in byte order) and ``body`` (hash of all bytes that its
-    windows cover).
+    bytes, as a number in byte order) and ``body`` and ``tail`` (128-bit digest of all
+    bytes that its windows cover). The gram's hash only brings suffixes together; what
+    counts as equal rests on the digest.
     """
     width = WINDOW - GRAM + 1
     lengths = np.diff(offsets)
     if len(buf) < WINDOW or lengths.max(initial=0) < WINDOW:
         none = np.empty(0, np.int64)
-        return {"text": none, "a": none, "n": none, "gram": none, "lead": none, "body": none}
+        return {"text": none, "a": none, "n": none, "gram": none, "lead": none, "body": none, "tail": none}
     p = prefix_hash(buf)
     grams = len(buf) - GRAM + 1
     at = np.arange(grams)
@@ -64,11 +75,13 @@ def suffix_records(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     lead = np.zeros(len(first), np.uint64)
     for k in range(8):
         lead = (lead << np.uint64(8)) | buf[suffix + k]
+    body, tail = strong_hashes(buf, start, start + count - 1 + WINDOW)
     return {
         "text": text,
         "a": start - offsets[text],
         "n": count,
         "gram": h[suffix].view(np.int64),
         "lead": (lead ^ np.uint64(1 << 63)).view(np.int64),  # signed order is byte order
-        "body": byte_hashes(buf, start, start + count - 1 + WINDOW, p).view(np.int64),
+        "body": body,
+        "tail": tail,
     }
