@@ -49,6 +49,39 @@ def test_host_verdict_takes_effect(edge_docs, edge_rows):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
 
 
+def test_host_verdicts_by_hand(spark):
+    """Posterior rates of each rule worked out in plain Python; a clean host forgives, the others do not."""
+    prose = [f"w{i}" for i in range(80)]
+    marked = " ".join(w + "%%#" for w in prose)  # breaks the symbol rule
+    rows, made = [], {"clean": (400, 1), "usual": (200, 40), "tiny": (3, 1), "wild": (150, 75), None: (40, 8)}
+    for host, (n, bad) in made.items():
+        rows += [(len(rows) + i, marked if i < bad else " ".join(prose), host) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total, failed = sum(n for n, _ in made.values()), sum(b for _, b in made.values())
+    m = failed / total
+    v = (sum(n * (b / n - m) ** 2 for n, b in made.values()) - len(made) * m * (1 - m)) / total
+    weight = min(1000.0, max(1.0, m * (1 - m) / v - 1))
+    rate = {h: (b + m * weight) / (n + weight) for h, (n, b) in made.items()}
+    force = {h: r * (1 - m) >= 0.5 * m * (1 - r) for h, r in rate.items()}
+    assert not force["clean"] and force["usual"] and force["tiny"] and force["wild"]
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(docs, ["doc_id"]).collect()}
+    for i, text, host in rows:
+        assert got[i].kept == (text != marked or not force[host]), host
+        assert abs(got[i].host_failure_rate - rate[host]) < 1e-12
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_host_verdict_rejects_junk_of_the_given_documents(spark):
+    docs, labels = table(spark, SF01.replace("sf0.01", "sf0.1"), "documents"), table(spark, SF01.replace("sf0.01", "sf0.1"), "labels")
+    rows = quality_rules.quality_verdicts(docs, ["doc_id"]).join(labels, "doc_id", "left").filter("not base_failed and not kept").collect()
+    assert len(rows) > 500 and not any(r.quality == 1 for r in rows) and sum(r.quality == 0 for r in rows) > 200
+
+
+def test_quality_of_an_empty_table(no_docs):
+    assert quality_rules.quality_verdicts(no_docs, ["doc_id"]).count() == 0
+    assert quality_rules.keep_good(no_docs).columns == no_docs.columns and quality_rules.keep_good(no_docs).count() == 0
+
+
 def test_chat_folds_events(spark):
     log = [
         (1, 0, 10, "delta", "user", "hel"), (1, 1, 10, "delta", "user", "lo"), (1, 2, 11, "delta", "assistant", "bad"),
