@@ -4,11 +4,13 @@
    once, through its first document.
 2. MinHash LSH forest: each class has ``TREES`` signatures of ``DEPTH`` minimum
    hashes. In each tree the signatures are sorted, so that those below one node
-   of the prefix trie lie together; matched prefixes are shortened from the full
-   signature until a pair at the threshold meets below one node of some tree
-   with a chance of ``TARGET_RECALL`` (``prefix_length``). Below a node all pairs
-   are compared by their whole signatures, which tells pairs near the threshold
-   from chance meetings; the node's survivors give edges to their smallest member.
+   of the prefix trie lie together. Pairs are matched from the full signature up:
+   a prefix is shortened only where classes below the shorter one are not tied
+   yet, and at most to the length at which a pair at the threshold meets in some
+   tree with a chance of ``TARGET_RECALL`` (``prefix_length``). So nodes of copies
+   end at full depth, others go to the shortest prefix. Pairs that meet are
+   compared by their whole signatures, which tells pairs near the threshold from
+   chance meetings; the survivors give edges to their smallest member.
 3. Components of those edges are exact verification's units: each is cut into
    blocks of bounded size, and each pair of blocks counts the common shingles of
    all its pairs. So no pair inside a component is missed, and nothing of the
@@ -46,7 +48,7 @@ _ODD = _RNG.integers(1, 2**64 - 1, TREES * DEPTH, np.uint64) | np.uint64(1)
 
 
 def prefix_length(target: float = TARGET_RECALL, similarity: float = NUMERATOR / DENOMINATOR) -> int:
-    """The longest prefix at which a pair meets in some tree with a chance of ``target``."""
+    """The longest prefix at which a pair meets in some tree with a chance of ``target``: no node is shortened further."""
     for depth in range(DEPTH, 0, -1):
         if 1 - (1 - similarity**depth) ** TREES >= target:
             return depth
@@ -146,32 +148,66 @@ def _smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def descend(sig: np.ndarray, tree: np.ndarray, group: np.ndarray, own: np.ndarray, block: np.ndarray, across: np.ndarray):
+    """(label of each class, shortest prefix compared in each group) of rows below nodes of a forest.
+
+    Row i is the class ``own[i]`` (0, 1, ...) with the whole signature ``sig[i]``,
+    below a node (``group``, ascending) of tree ``tree[i]``; where ``across`` holds, pairs
+    inside one ``block`` are another task's. A label is the smallest class that
+    ties lead to. A group whose classes are tied to one label is not shortened.
+    """
+    path = np.take_along_axis(sig, tree[:, None] * DEPTH + np.arange(DEPTH), axis=1)
+    order = np.lexsort((*path.T[::-1], group))
+    sig, path, group, own, block, across = (x[order] for x in (sig, path, group, own, block, across))
+    need = CANDIDATE_SHARE * TREES * DEPTH
+    label = np.arange(int(own.max()) + 1)
+    reached = np.full(int(group.max()) + 1, DEPTH)
+
+    def tie(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        apart = label[own[i]] != label[own[j]]
+        i, j = i[apart], j[apart]
+        for at in range(0, len(i), 1 << 16):
+            k, m = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            ok = (sig[k] == sig[m]).sum(axis=1) >= need
+            if ok.any():
+                label = _smallest_linked(len(label), label[own[k[ok]]], label[own[m[ok]]])[label]
+
+    for depth in range(DEPTH, prefix_length() - 1, -1):
+        new = np.ones(len(own), bool)
+        new[1:] = (group[1:] != group[:-1]) | (path[1:, :depth] != path[:-1, :depth]).any(axis=1)
+        node, pivot = np.cumsum(new) - 1, np.flatnonzero(new)
+
+        def untied() -> np.ndarray:
+            """Rows below nodes that hold more than one label."""
+            now = label[own]
+            return np.flatnonzero(np.isin(node, node[now != now[pivot][node]]))
+
+        rows = untied()
+        reached[group[rows]] = depth
+        tie(pivot[node[rows]], rows)
+        rows = untied()
+        for lag in range(1, len(rows)):
+            i, j = rows[:-lag], rows[lag:]
+            together = node[i] == node[j]
+            if not together.any():
+                break
+            together &= ~across[i] | (block[i] != block[j])
+            tie(i[together], j[together])
+    return label, reached
+
+
 def _below_nodes(frames):
     """Edges (a, b) from each class to the smallest one that signatures tie it to, node by node."""
-    need = CANDIDATE_SHARE * TREES * DEPTH
     for part in _complete_groups(frames, ["node", "x", "y"]):
-        sig = np.frombuffer(b"".join(part.sig), np.uint32).reshape(len(part), -1)
-        cid, block = part.cid.to_numpy(), part.block.to_numpy()
         keys = part[["node", "x", "y"]].to_numpy()
         group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
-        across = keys[:, 1] != keys[:, 2]
-        left, right = [], []
-        for lag in range(1, len(part)):
-            i = np.flatnonzero(group[:-lag] == group[lag:])
-            if not len(i):
-                break
-            i = i[~across[i] | (block[i] != block[i + lag])]
-            for at in range(0, len(i), 1 << 16):
-                k = i[at : at + (1 << 16)]
-                k = k[(sig[k] == sig[k + lag]).sum(axis=1) >= need]
-                left.append(k)
-                right.append(k + lag)
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            # rows of a part lie in the order of cid within a group, and a class may lie in several groups
-            ids, own = np.unique(cid, return_inverse=True)
-            label = _smallest_linked(len(ids), own[a], own[b])
-            moved = np.flatnonzero(label != np.arange(len(ids)))
+        # a class may lie in several groups of a part
+        ids, own = np.unique(part.cid.to_numpy(), return_inverse=True)
+        sig = np.frombuffer(b"".join(part.sig), np.uint32).reshape(len(part), -1)
+        label, _ = descend(sig, part.tree.to_numpy(), group, own, part.block.to_numpy(), keys[:, 1] != keys[:, 2])
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        if len(moved):
             yield pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
 
@@ -242,11 +278,11 @@ def _classes(described: DataFrame) -> DataFrame:
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """(cid, root): classes that signatures tie to others, with the component they are verified in."""
-    below = classes.filter("size > 0").select("cid", F.explode("prefixes").alias("node"))
+    below = classes.filter("size > 0").select("cid", F.posexplode("prefixes").alias("tree", "node"))
     shared = below.groupBy("node").count().filter("count > 1").withColumnRenamed("count", "members")
     met = materialise(below.join(shared, "node"), "met")
     pairs = _block_pairs(met.join(classes.select("cid", "sig"), "cid"), "members", NODE_BLOCK)
-    dealt = pairs.select("node", "x", "y", "block", "cid", "sig").repartition("node", "x", "y")
+    dealt = pairs.select("node", "x", "y", "block", "tree", "cid", "sig").repartition("node", "x", "y")
     edges = dealt.sortWithinPartitions("node", "x", "y", "cid").mapInPandas(_below_nodes, "a long, b long")
     return components(edges, "candidates")
 
