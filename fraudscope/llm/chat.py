@@ -2,10 +2,10 @@
 
 A log holds a conversation's events in sequence: ``delta`` appends to a message,
 ``edit`` replaces it, ``regenerate`` empties it to be streamed anew. The log is
-first folded by message, so that a conversation's events are split over tasks,
-then the messages of a conversation are put in order and rendered. The rendered
-text can be read back: the template's marks begin with characters that are
-escaped inside texts.
+partitioned by conversation and folded by message; then the messages of a
+conversation are put in order and rendered. Messages are known by number, so a
+text travels once, as itself. The rendered text can be read back: the template's
+marks begin with characters that are escaped inside texts.
 
 All in DataFrame expressions.
 """
@@ -97,27 +97,43 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """Event log of finished rows (conv_id, turn, role, text): each text streamed in two halves after a regeneration.
+    """Event log of finished rows (conv_id, turn, role, text).
 
-    Messages are numbered within their turn, so rows that share a turn stay
-    apart, in the order of role and text (NULL first); repeated rows are
-    messages of their own.
+    A message is first streamed as a draft. An assistant's is then regenerated
+    and its text streamed in two halves; any other's is replaced by an edit that
+    holds the first half, and the second half is streamed after it.
+
+    Messages carry a number in place of their text: 4 * number + step orders a
+    conversation's events, and the number is the place of the message by turn,
+    role and text (NULL first). So rows that share a turn stay apart, and
+    repeated rows are messages of their own.
     """
-    by_row = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    by_row = by_row.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = rows.select("conv_id", "role", "text", (F.row_number().over(place) - 1).cast("long").alias("msg"))
     text = F.coalesce("text", F.lit(""))
     half = F.expr("length(coalesce(text, '')) div 2").cast("int")
-    whole = F.struct(F.lit(0).alias("step"), F.lit("delta").alias("kind"), F.lit("draft").alias("text"))
-    again = F.struct(F.lit(1).alias("step"), F.lit("regenerate").alias("kind"), F.lit("").alias("text"))
-    one = F.struct(F.lit(2).alias("step"), F.lit("delta").alias("kind"), F.substring(text, F.lit(1), half).alias("text"))
-    two = F.struct(F.lit(3).alias("step"), F.lit("delta").alias("kind"), F.substring(text, half + 1, F.length(text)).alias("text"))
-    msg = F.struct("turn", "role", "text", "copy").alias("msg")
-    steps = by_row.select("conv_id", msg, "turn", "role", F.explode(F.array(whole, again, one, two)).alias("e"))
-    return steps.select("conv_id", F.struct("msg", "e.step").alias("seq"), "msg", F.col("e.kind"), "role", F.col("e.text"))
+    one, two = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+
+    def event(step: int, kind: str, said: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+
+    draft = event(0, "delta", F.lit("draft"))
+    regenerated = F.array(draft, event(1, "regenerate", F.lit("")), event(2, "delta", one), event(3, "delta", two))
+    edited = F.array(draft, event(1, "edit", one), event(2, "delta", two))
+    steps = numbered.select("conv_id", "msg", "role", F.explode(F.when(F.col("role") == "assistant", regenerated).otherwise(edited)).alias("e"))
+    return steps.select("conv_id", (F.col("msg") * 4 + F.col("e.step")).alias("seq"), "msg", F.col("e.kind"), "role", F.col("e.text"))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """Formatted conversations of rows (conv_id, turn, role, text), with the figures read back from them."""
+    """Formatted conversations of rows (conv_id, turn, role, text), with the figures read back from them.
+
+    NULL and empty texts give empty turns, NULL roles empty roles; rows with a NULL
+    ``conv_id`` are one conversation. Turns come in the order of turn (NULL first), role and
+    text, repeated rows one after the other; other columns, whatever their names, are not
+    read. A conversation is one row of one task, very long texts included. An empty
+    table gives no rows.
+    """
+    rows = rows.select("conv_id", "turn", "role", "text")
     formatted = render(fold_events(conversation_events(rows)))
     back = read_back(formatted)
     log = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
