@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fraudscope.session import scratch_path
 
@@ -61,6 +62,21 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
 
 
 def one_of_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each combination of ``keys``; which of them is not determined."""
-    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r")
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.first(rows).alias("r")).select("r.*")
+    """One row for each combination of ``keys``: the least by all columns in turn, NULL before values.
+
+    Columns that cannot be ordered (maps, variants) come last in that order, by their JSON text.
+    """
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    orderable = [F.col(f"`{f.name}`") for f in df.schema if not _unordered(f.dataType)]
+    others = [F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema if _unordered(f.dataType)]
+    least = F.min_by(rows, F.struct(*orderable, *others)).alias("r")
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(least).select("r.*")
+
+
+def _unordered(kind: T.DataType) -> bool:
+    """Whether Spark cannot order values of this type."""
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))

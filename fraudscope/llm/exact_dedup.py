@@ -206,24 +206,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with their columns."""
-    spark = docs.sparkSession
-    won = materialise(exact_duplicates(docs, id_col, text_col).filter("kept"), "exact-kept")
-    sha, wid = free_name(docs.columns, "sha"), free_name(docs.columns, "wid")
-    winners = won.select(F.unhex("text_sha256").alias(sha), F.col("doc_id").alias(wid))
-    ident = F.col(f"`{id_col}`")
-    found = docs.withColumn(sha, text_digest(F.col(f"`{text_col}`"))).join(winners, sha)
-    found = found.filter(ident.cast("long").eqNullSafe(F.col(wid)))
-    if _repeated_rows(docs, id_col, text_col):
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with their columns, whatever their names.
+
+    NULL text counts as empty, and empty texts are equal; a row with a NULL id
+    stays only where no other has its text. Of rows that repeat an id with an
+    equal text the least by all columns stays (:func:`one_of_repeats`). An empty
+    table gives an empty one.
+    """
+    won = materialise(exact_duplicates(docs, id_col, text_col), "exact-kept")
+    # ids and digests are known by now: whole texts meet their id, not all copies of one text
+    repeats = won.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count() > 0
+    sha, wid, wsha = (free_name(docs.columns, c) for c in ("sha", "wid", "wsha"))
+    winners = won.filter("kept").select(F.unhex("text_sha256").alias(wsha), F.col("doc_id").alias(wid))
+    found = docs.withColumn(sha, text_digest(F.col(f"`{text_col}`")))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(wid)) & (F.col(sha) == F.col(wsha))
+    found = found.join(winners, same, "left_semi")
+    if repeats:
         found = one_of_repeats(found, [sha])
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _repeated_rows(docs: DataFrame, id_col: str, text_col: str) -> bool:
-    """Whether an id and its text come twice."""
-    keys = docs.groupBy(F.col(f"`{id_col}`").alias("i"), text_digest(F.col(f"`{text_col}`")).alias("d"))
-    return not keys.count().filter("count > 1").isEmpty()
-
-
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
