@@ -30,11 +30,6 @@ CAPACITY = 2048
 CELL_PIECES = 8192
 #: A bin filled at least this far is done; the others go to the next round.
 DONE_FILL = CAPACITY
-_PIECES = 8192
-#: A bin filled at least this far is done; the others go to the next round.
-DONE_FILL = CAPACITY
-#: Bins that the local search takes apart in a cell, at most; those beyond go to the next round or stay.
-TAKEN_APART = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"rid long, {_PIECES}, sequence_id long, fill int, offset long"
