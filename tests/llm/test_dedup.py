@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ from fraudscope.llm import exact_dedup as ed
 from fraudscope.llm import jaccard_join as jj
 from fraudscope.llm import suffix_dedup as sd
 from fraudscope.llm import suffixes
+from fraudscope.llm.common import one_of_repeats
 from fraudscope.llm.components import components
 
 LAST = float("inf")
@@ -132,6 +134,44 @@ def test_forest_depth_meets_recall():
     assert jj.prefix_length(0.5) > depth
 
 
+def test_forest_shortens_node_by_node():
+    rng = np.random.default_rng(3)
+
+    def row(like=None, share=0.0, head=0):
+        """A signature that has ``share`` of another's values, and of the first tree's path exactly the first ``head``."""
+        sig = rng.integers(1, 1 << 32, jj.TREES * jj.DEPTH, np.uint64).astype(np.uint32)
+        if like is not None:
+            same = rng.permutation(np.arange(jj.DEPTH, len(sig)))[: round(share * len(sig))]
+            sig[same] = like[same]
+            sig[:head] = like[:head]
+        return sig
+
+    a, b, c, d = row(), row(), row(), row()
+    copies = [a, row(a, 0.9, 6), row(a, 0.9, 6)]
+    near, chance = [b, row(b, 0.8, 4)], [c, row(c, 0.1, 4)]
+    mixed = [d, row(d, 0.8, 5), row(d, 0.8, 6), row(d, 0.2, 6)]
+    sig = np.array([*copies, *near, *chance, *mixed])
+    group = np.repeat([0, 1, 2, 3], [3, 2, 2, 4])
+    none = np.zeros(len(sig), np.int64)
+    label, reached = jj.descend(sig, none, group, np.arange(len(sig)), none, none.astype(bool))
+    assert label.tolist() == [0, 0, 0, 3, 3, 5, 6, 7, 7, 7, 10]
+    # copies end at full depth; near texts and chance meetings are followed to the shortest prefix
+    assert reached.tolist() == [6, 4, 4, 4]
+    # across blocks: pairs inside one block are another task's
+    block = np.array([0, 0, 0, 1, 1, 0, 1, 0, 0, 1, 1])
+    label, _ = jj.descend(sig, none, group, np.arange(len(sig)), block, np.ones(len(sig), bool))
+    assert set(np.flatnonzero(label != np.arange(len(sig)))) <= {1, 2, 4, 8, 9}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_one_of_repeats_is_the_least(spark, parts):
+    rows = [(i % 5, None if i % 7 == 0 else i * 37 % 11, {"k": i}, [i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, value long, marks map<string,long>, list array<long>").repartition(parts)
+    got = {r.id: (r.value, r.list, r.marks) for r in one_of_repeats(df, ["id"]).collect()}
+    order = {k: min(((v is not None, v or 0), x, json.dumps(m)) for i, v, m, x in rows if i == k) for k in range(5)}
+    assert {k: ((v[0] is not None, v[0] or 0), v[1], json.dumps(v[2])) for k, v in got.items()} == order
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
