@@ -12,6 +12,8 @@ from fraudscope.session import scratch_path
 
 #: The white space that separates words, in every operator and contract here.
 SPACE = r"\x20\x09-\x0D"
+#: A key is hot from this share of the rows; of a table's keys, which share its rows, at most twice as many are.
+HOT_SHARE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,24 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), pattern, " "), 256))
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` on ``key``, the rows of hot keys without a shuffle.
+
+    ``keyed`` has one row for each key, with ``n``: how many rows have the key, here or
+    in a table of at most ``2 * n_rows`` rows that holds these. So at most ``2 * HOT_SHARE``
+    keys are hot (``n`` over ``n_rows / HOT_SHARE``), whatever the input: their rows of
+    ``keyed`` are broadcast. NULL keys meet nothing.
+    """
+    payload = [c for c in keyed.columns if c not in (key, "n")]
+    is_hot = F.col("n") * HOT_SHARE > n_rows
+    hot = keyed.filter(is_hot).select(F.col(key).alias("hot_key"), *[F.col(c).alias(f"hot_{c}") for c in payload])
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    columns = [F.col(c) for c in rows.columns]
+    here = met.filter("hot_key IS NOT NULL").select(*columns, *[F.col(f"hot_{c}").alias(c) for c in payload])
+    rest = met.filter("hot_key IS NULL").select(*columns).join(keyed.filter(~is_hot).drop("n"), key)
+    return here.unionByName(rest.select(*here.columns))
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, or with underscores before it until no column has that name (in any case)."""
     lower = {c.lower() for c in taken}

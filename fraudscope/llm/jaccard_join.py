@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudscope.llm.common import materialise, one_of_repeats, table
+from fraudscope.llm.common import join_hot, materialise, one_of_repeats, table
 from fraudscope.llm.components import components
 from fraudscope.llm.hashing import mix, shingle_hashes, text_slices, word_hashes
 
@@ -279,8 +279,8 @@ def _classes(described: DataFrame) -> DataFrame:
 def _candidates(classes: DataFrame) -> DataFrame:
     """(cid, root): classes that signatures tie to others, with the component they are verified in."""
     below = classes.filter("size > 0").select("cid", F.posexplode("prefixes").alias("tree", "node"))
-    shared = below.groupBy("node").count().filter("count > 1").withColumnRenamed("count", "members")
-    met = materialise(below.join(shared, "node"), "met")
+    shared = below.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n"))
+    met = materialise(join_hot(below, shared, "node", TREES * classes.count()), "met")
     pairs = _block_pairs(met.join(classes.select("cid", "sig"), "cid"), "members", NODE_BLOCK)
     dealt = pairs.select("node", "x", "y", "block", "tree", "cid", "sig").repartition("node", "x", "y")
     edges = dealt.sortWithinPartitions("node", "x", "y", "cid").mapInPandas(_below_nodes, "a long, b long")
@@ -297,7 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = materialise(_described(docs, id_col, text_col), "shingle-sets")
     classes = _classes(described)
     found = materialise(_candidates(classes), "found")
-    members = found.join(found.groupBy("root").agg(F.count("*").alias("members")), "root")
+    units = found.groupBy("root").agg(F.count("*").alias("n")).withColumn("members", F.col("n"))
+    members = join_hot(found, units, "root", found.count())
     wanted = members.select(F.col("node").alias("cid"), F.col("root").alias("unit"), "members").join(
         classes.select("cid", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")), "cid"
     )
@@ -318,9 +319,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _first_documents(classes: DataFrame) -> DataFrame:
-    """(root, first_id, first_th): the first document of each near-duplicate class."""
+    """(root, first_id, first_th, n): the first document of each near-duplicate class, and its number of sets."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("w")
-    return classes.groupBy("root").agg(first).select("root", F.col("w.doc_id").alias("first_id"), F.col("w.th").alias("first_th"))
+    return classes.groupBy("root").agg(first, F.count("*").alias("n")).select("root", F.col("w.doc_id").alias("first_id"), F.col("w.th").alias("first_th"), "n")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +335,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies of each other and link to nothing else. Repeated rows are copies.
     """
     rows, classes = near_duplicates(docs, id_col, text_col)
-    named = classes.join(_first_documents(classes), "root").select(
+    named = join_hot(classes, _first_documents(classes), "root", classes.count()).select(
         "k1", "k2", "size", F.col("first_id").alias("class_id"), F.col("doc_id").alias("copy_id"), "n_copies", "n_links"
     )
     return rows.join(named, ["k1", "k2", "size"]).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")

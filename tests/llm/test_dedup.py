@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from fraudscope.llm import common
 from fraudscope.llm import exact_dedup as ed
 from fraudscope.llm import jaccard_join as jj
 from fraudscope.llm import suffix_dedup as sd
@@ -172,10 +174,24 @@ def test_one_of_repeats_is_the_least(spark, parts):
     assert {k: ((v[0] is not None, v[0] or 0), v[1], json.dumps(v[2])) for k, v in got.items()} == order
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [0, 8, 4096])  # no node is a hub, some are, all are
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102), 100)}
+    hubs = [(200, 201 + i) for i in range(60)] + [(500, 300 + i) for i in range(60)]  # the smallest and the largest node
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain + hubs, "a long, b long")).collect()}
+    want = {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102), 100)}
+    assert got == {**want, **dict.fromkeys(range(200, 261), 200), **dict.fromkeys([*range(300, 360), 500], 300)}
+
+
+@pytest.mark.parametrize("share", [0, 8, 4096])
+def test_join_of_hot_keys(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 30)] + [(None, 5)], "k long, x long")
+    keyed = rows.filter("k < 20").groupBy("k").count().withColumnRenamed("count", "n").withColumn("y", F.col("k") * 2)
+    got = common.join_hot(rows, keyed, "k", 79)
+    assert got.columns == ["k", "x", "y"]
+    assert sorted(map(tuple, got.collect())) == sorted([(1, i, 2) for i in range(50)] + [(k, k, 2 * k) for k in range(2, 20)])
 
 
 def _remove(rows):
