@@ -55,7 +55,7 @@ class Windows:
 #: A segment of ``longest`` words lies in one window wherever it begins: stride <= words - longest + 1.
 CLASSES = (Windows("phrase", 3, 1, 3, 3), Windows("short", 8, 4, 4, 5), Windows("long", 16, 5, 6, 12))
 
-# Common license notices, by their SPDX identifiers.
+# Common license notices and texts, by their SPDX identifiers.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
@@ -68,6 +68,30 @@ NOTICES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "Proprietary": "All rights reserved",
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY "
+        "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+        "law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES "
+        "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This "
+        "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
 }
 
 
@@ -102,16 +126,20 @@ def _minima(shingles: Column, bands: int) -> Column:
 
 def _template_table(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
     """(license, segment, kind, template, band, value): a bounded table, as many rows as the notices have bands."""
-    by_name = {c.name: c for c in CLASSES}
-    rows = []
-    for name, part, kind, shingles in segments(notices):
-        template = F.array(*map(F.lit, shingles))
-        head = (F.lit(name).alias("license"), F.lit(part).alias("segment"), F.lit(kind).alias("kind"), template.alias("template"))
-        rows.append(spark.range(1).select(*head, F.inline(_minima(template, by_name[kind].bands))))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    rows = [
+        F.struct(F.lit(name).alias("license"), F.lit(part).alias("segment"), F.lit(kind).alias("kind"), F.array(*map(F.lit, own)).alias("template"))
+        for name, part, kind, own in segments(notices)
+    ]
+    templates = spark.range(1).select(F.inline(F.array(*rows)))
+    return templates.select("*", F.inline(_banded(F.col("template"))))
+
+
+def _banded(shingles: Column) -> Column:
+    """(band, minimum) pairs of the shingles of a row, as many as its ``kind`` asks for."""
+    minima = F.lit(None)
+    for c in CLASSES:
+        minima = F.when(F.col("kind") == c.name, _minima(shingles, c.bands)).otherwise(minima)
+    return minima
 
 
 def _text_words(text: Column) -> Column:
@@ -165,8 +193,10 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, id_col
     ``n_windows`` counts the windows that hold a segment, ``first_word`` is the
     first word of the first of them (words of letters and digits, from 0), and
     ``containment`` the mean over the notice's segments of the largest share of
-    shingles. Texts that are NULL, empty or of fewer than three words hold
-    nothing. Rows with the same id and text are reported once.
+    shingles, taken in whole millionths. Texts that are NULL, empty or of fewer
+    than three words hold nothing; very long ones are read whole, as an array of
+    words in their row. Rows with the same id and text are reported once. An
+    empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     notices = notices or NOTICES
@@ -176,15 +206,12 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, id_col
     wanted = list(spark.range(1).select(hashes).first()[0])  # of the notices alone
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     windows = materialise(_candidate_windows(rows, wanted), "license-windows").distinct()
-    minima = F.lit(None)
-    for c in CLASSES:
-        minima = F.when(F.col("kind") == c.name, _minima(F.col("shingles"), c.bands)).otherwise(minima)
-    banded = windows.select("doc_id", "th", "kind", "start", "shingles", F.inline(minima))
+    banded = windows.select("doc_id", "th", "kind", "start", "shingles", F.inline(_banded(F.col("shingles"))))
     met = banded.join(F.broadcast(_template_table(spark, notices)), ["kind", "band", "value"])
     share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
     held = met.groupBy("doc_id", "th", "license", "segment", "kind", "start").agg(F.max(share).alias("share"))
     by_segment = held.filter(F.col("share") >= CONTAINMENT).groupBy("doc_id", "th", "license", "segment").agg(
-        F.count("*").alias("n"), F.min("start").alias("start"), F.max("share").alias("share")
+        F.count("*").alias("n"), F.min("start").alias("start"), F.floor(F.max("share") * 1000000).alias("share")
     )
     of = {name: sum(p[0] == name for p in parts) for name in notices}
     n_segments = F.lit(1)
@@ -194,7 +221,7 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] | None = None, id_col
     found = by_segment.groupBy("doc_id", "th", "license").agg(
         F.sum("n").alias("n_windows"), F.min("start").alias("first_word"), F.sum("share").alias("s")
     )
-    return found.withColumn("containment", F.col("s") / n_segments).filter(F.col("containment") >= CONTAINMENT).select(
+    return found.withColumn("containment", F.col("s") / (n_segments * 1000000)).filter(F.col("containment") >= CONTAINMENT).select(
         "doc_id", "license", "n_windows", "first_word", "containment"
     )
 
@@ -204,22 +231,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_sql(notices: dict[str, str] | None = None) -> str:
-    """DuckDB SQL of the same result, without bands: every window's exact shares."""
-    by_name = {c.name: c for c in CLASSES}
-    parts = segments(notices or NOTICES)
-    values = ", ".join(
-        f"('{name}', {p}, {by_name[kind].stride}, {by_name[kind].shingles}, {len(own)}, '{s}')" for name, p, kind, own in parts for s in own
-    )
-    sizes = ", ".join(f"('{n}', {sum(p[0] == n for p in parts)})" for n in (notices or NOTICES))
+    """DuckDB SQL of the same result, from the notices' texts: their segments, and every window's exact shares, without bands."""
+    texts = ", ".join(f"('{name}', '{text}')" for name, text in (notices or NOTICES).items())
     return rf"""
-WITH t(license, segment, stride, width, size, s) AS (VALUES {values}), z(license, segments) AS (VALUES {sizes}),
+WITH notice(license, text) AS (VALUES {texts}),
+nw AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM notice),
+z AS (SELECT license, w, (len(w) + 11) // 12 AS segments FROM nw),
+sg AS (SELECT license, segment, w[((len(w) * segment) // segments + 1):((len(w) * (segment + 1)) // segments)] AS o
+  FROM (SELECT *, unnest(range(segments)) AS segment FROM z)),
+sh AS (SELECT DISTINCT license, segment, len(o) AS m, unnest(list_transform(range(1, len(o) - 1), lambda i: o[i] || ' ' || o[i + 1] || ' ' || o[i + 2])) AS s FROM sg),
+t AS (SELECT *, CASE WHEN m = 3 THEN 1 WHEN m <= 5 THEN 4 ELSE 5 END AS stride, CASE WHEN m = 3 THEN 1 WHEN m <= 5 THEN 6 ELSE 14 END AS width,
+  count(*) OVER (PARTITION BY license, segment) AS size FROM sh),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 h AS (SELECT g.doc_id, g.i, t.* FROM g JOIN t USING (s)),
 k AS (SELECT *, unnest(range(greatest(0, ceil((i - (width - 1)) / stride))::BIGINT, (i // stride)::BIGINT + 1)) * stride AS start FROM h),
 c AS (SELECT doc_id, license, segment, start, count(DISTINCT s) / any_value(size) AS share FROM k GROUP BY ALL),
-p AS (SELECT doc_id, license, segment, count(*) AS n, min(start) AS start, max(share) AS share FROM c WHERE share >= {CONTAINMENT} GROUP BY ALL),
-f AS (SELECT doc_id, license, sum(n)::BIGINT AS n_windows, min(start)::INTEGER AS first_word, sum(share) / any_value(segments) AS containment
+p AS (SELECT doc_id, license, segment, count(*) AS n, min(start) AS start, floor(max(share) * 1000000)::BIGINT AS share FROM c WHERE share >= 0.8 GROUP BY ALL),
+f AS (SELECT doc_id, license, sum(n)::BIGINT AS n_windows, min(start)::INTEGER AS first_word, sum(share)::BIGINT / (any_value(segments) * 1000000) AS containment
   FROM p JOIN z USING (license) GROUP BY doc_id, license)
-SELECT * FROM f WHERE containment >= {CONTAINMENT}
+SELECT * FROM f WHERE containment >= 0.8
 """

@@ -26,6 +26,25 @@ def test_every_license_line_is_found(spark):
     assert want <= found
 
 
+def test_whole_license_texts_in_long_documents(spark):
+    filler = " ".join(f"w{i % 977}" for i in range(40_000))
+    mit, words = licenses.NOTICES["MIT-full"], licenses.NOTICES["MIT-full"].split()
+    rows = [
+        (1, f"{filler} {mit} {filler}"),
+        (2, " ".join(words[: len(words) // 2])),  # half a text is not the text
+        (3, mit.upper().replace(" ", "\n * ")),
+        (4, " ".join(w if i != 60 else "changed" for i, w in enumerate(words))),  # one segment hurt
+        (5, licenses.NOTICES["Apache-2.0-header"]),
+        (5, licenses.NOTICES["Apache-2.0-header"]),  # a repeated row is reported once
+        (6, filler),
+    ]
+    found = [(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(i for i, k in found if k == "MIT-full") == [1, 3, 4]
+    assert [i for i, k in found if k == "Apache-2.0-header"] == [5]
+    assert {i for i, k in found if k == "MIT-text"} == {1, 2, 3, 4}
+    assert not [k for i, k in found if i == 6]
+
+
 def test_three_word_notice(spark):
     texts = ["All rights reserved.", "x y. ALL RIGHTS\nRESERVED", "rights all reserved", "all rights", "Copyright. All rights reserved worldwide"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
