@@ -18,7 +18,7 @@ from fraudscope.llm.quality_rules import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or a soft rule on a bad host, go."""
+    """Documents that fail the base rules, or a soft rule that is in force on their host, go."""
     return keep_good(docs)
 
 
@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Near-duplicate classes, raked sampling and packing have no SQL. No test compares run() as a whole yet.
+#: Near-duplicate classes, raked sampling and packing have no SQL; tests compare each stage, and run(), with plain Python.
 ORACLE_SQL = None
 
 
