@@ -31,6 +31,9 @@ CELL_PIECES = 8192
 #: A bin filled at least this far is done; the others go to the next round.
 DONE_FILL = CAPACITY
 
+#: Id 0, as it counts in the checksums.
+_ZERO = bytes(4)
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"rid long, {_PIECES}, sequence_id long, fill int, offset long"
 
@@ -207,33 +210,34 @@ def document_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     """
 
     def cut(batches):
+        import pyarrow as pa
+
         bpe = WordBpe(tokenizer)
         for batch in batches:
-            # missing ids arrive as floats; they are told apart by a flag
-            for ids_of in bpe.slices(batch["text"].tolist()):
-                first, ids, counts = ids_of
-                out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-                end = 0
-                for k, n in enumerate(counts):
-                    own = np.zeros(int(n) + 1, "<u4")
-                    own[:-1] = ids[end : end + n]
-                    end += n
-                    doc = None if batch["no_id"].iat[first + k] else int(batch["id"].iat[first + k])
-                    for p, at in enumerate(range(0, len(own), CAPACITY)):
-                        part = own[at : at + CAPACITY]
-                        for c, v in zip(out, (doc, p, at, len(part), zlib.crc32(part.tobytes()))):
-                            out[c].append(v)
-                frame = pd.DataFrame(out)
-                frame["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-                yield frame
-
-    ident = F.col(f"`{id_col}`").cast("long")
+            for first, ids, counts in bpe.slices(batch.column("text")):
+                # each text's ids and id 0
+                sizes = counts + 1
+                pieces = -(-sizes // CAPACITY)
+                doc = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * CAPACITY
+                length = np.minimum(sizes[doc] - start, CAPACITY)
+                at = (np.cumsum(counts) - counts)[doc] + start
+                last = start + length == sizes[doc]
+                raw = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length - last).tolist())]
+                crc = [zlib.crc32(_ZERO, c) if end else c for c, end in zip(crc, last.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(first + doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                     pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+
     rows = docs.select(
-        F.coalesce(ident, F.lit(0).cast("long")).alias("id"),
-        ident.isNull().alias("no_id"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    return rows.mapInPandas(cut, _PIECES)
+    return rows.mapInArrow(cut, _PIECES)
 
 
 def pack_pieces(pieces: DataFrame) -> DataFrame:

@@ -2,32 +2,28 @@
 
 The tokenizer drops white space and never lets a token or a contraction cross
 it, and its normaliser treats each character by itself (NFC does not compose
-across a space). So a text's ids are those of its chunks, in order, and a chunk
-seen before need not be encoded again.
+across a space). So a text's ids are those of its chunks between ASCII white
+space, in order, and a chunk seen before need not be encoded again. Arrow splits
+the texts and finds a slice's distinct chunks; only these pass through Python.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
-
-#: Chunks kept by a worker; the cache starts anew beyond that (about 400 bytes each).
-CACHE_CHUNKS = 1_200_000
-#: Characters encoded together: bounds the arrays of a slice of documents.
-SLICE_CHARS = 2_000_000
-#: Characters that str.split() takes for white space and the tokenizer's pattern may not (or the other
-#: way), and special tokens, in UTF-8. Texts that hold any are encoded whole.
-_ODD = tuple(x.encode() for x in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u1680", "\u180e", "\u200b", "\ufeff"))
-_ODD += (b"<|startoftext|>", b"<|endoftext|>")
-#: Chunks whose pre-tokens are found here: their characters have no compositions, and lower case one by one.
-_PLAIN = re.compile("[!-\u012f\u0131-\u017f]+")
-#: Ids of a pre-token that is kept.
-_LONGEST = 1023
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks kept by a worker, and ids of theirs; the cache starts anew beyond that (about 300 bytes a chunk).
+CACHE_CHUNKS, CACHE_IDS = 1_200_000, 12_000_000
+#: Bytes encoded together: bounds the arrays of a slice of documents (a longer text is a slice of its own).
+SLICE_BYTES = 8_000_000
+#: Found in chunks that the tokenizer encodes itself: characters that may be white space, have
+#: compositions or do not lower case one by one, and the start of a special token.
+_ODD = r"[^!-~\x{a1}-\x{12f}\x{131}-\x{17f}]|<\|"
 #: Fixed value: the tokenizer file's pattern of pre-tokens.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -45,6 +41,31 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _IdLists:
+    """Lists of ids by the string they belong to; strings are numbered as they come."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        """Number of each string, -1 where it is unknown."""
+        return np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new strings whose ids lie in a row."""
+        new = np.arange(len(self.number), len(self.number) + len(strings))
+        self.number.update(zip(strings, new.tolist()))
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+        return new
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings of these numbers in a row, where each string's begin, and the end)."""
+        taken = pa.LargeListArray.from_arrays(self.ends, self.ids).take(pa.array(numbers))
+        return taken.values.to_numpy(), taken.offsets.to_numpy()
+
+
 class WordBpe:
     def __init__(self, path: str):
         # threads of its own would outnumber the task's core, and can hang in a forked worker
@@ -54,72 +75,77 @@ class WordBpe:
         import regex
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pre_tokens = regex.compile(_PRE_TOKENS).findall
+        self.tokenize = self.tokenizer.model.tokenize
+        # a line break ends a chunk: no pre-token holds one
+        self.pre_tokens = regex.compile(f"{_PRE_TOKENS}|\n").findall
         self.letters = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
-        self.by_pre_token: dict[str, int] = {}  # where in ids, and how many (the low 10 bits)
-        self.number: dict[str, int] = {}  # of each chunk
-        self.ids = array("I")  # of all chunks, in a row
-        self.ends = array("q", [0])
+        self.by_pre_token, self.by_chunk = _IdLists(), _IdLists()
+        self.by_pre_token.add(["\n"], np.empty(0), np.zeros(1))
 
     def _pre_token_ids(self, token: str) -> list[int]:
         letters = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(letters)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        known = self.by_pre_token
-        for chunk in chunks:
-            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                for token in self.pre_tokens(chunk.lower()):
-                    at = known.get(token)
-                    if at is None:
-                        own = self._pre_token_ids(token)
-                        if len(own) <= _LONGEST:
-                            known[token] = len(self.ids) << 10 | len(own)
-                        self.ids.extend(own)
-                    else:
-                        self.ids.extend(self.ids[at >> 10 : (at >> 10) + (at & _LONGEST)])
-            else:
-                self.ids.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-            self.number[chunk] = len(self.ends) - 1
-            self.ends.append(len(self.ids))
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return [t.id for t in self.tokenize(letters)]
+
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of distinct new chunks."""
+        odd = pc.match_substring_regex(chunks, _ODD).to_numpy(zero_copy_only=False)
+        number = np.empty(len(chunks), np.int64)
+        for kind, encode in ((odd, self._encode_whole), (~odd, self._encode_plain)):
+            own = _strings(chunks.filter(pa.array(kind)))
+            if own:
+                number[kind] = self.by_chunk.add(own, *encode(own))
+        return number
+
+    def _encode_whole(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, ids of each), by the tokenizer."""
+        return _in_a_row([self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks])
+
+    def _encode_plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the pre-tokens of chunks that are not odd."""
+        tokens = pa.array(self.pre_tokens("\n".join([*chunks, ""]).lower()), pa.string()).dictionary_encode()
+        distinct = _strings(tokens.dictionary)
+        known = self.by_pre_token.numbers(distinct)
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown]
+            known[unknown] = self.by_pre_token.add(new, *_in_a_row([self._pre_token_ids(t) for t in new]))
+        number = known[tokens.indices.to_numpy()]
+        ids, starts = self.by_pre_token.take(number)
+        ends = starts[np.flatnonzero(number == 0)]
+        return ids, np.diff(ends, prepend=0)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each text)."""
-        chunks: list[str] = []
-        sizes = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            raw = t.encode()
-            own = [t] if any(x in raw for x in _ODD) else t.split()  # an odd text is one chunk
-            sizes[i] = len(own)
-            chunks += own
-        if len(self.number) > CACHE_CHUNKS:
+        if len(self.by_chunk.number) > CACHE_CHUNKS or len(self.by_chunk.ids) > CACHE_IDS:
             self._clear()
-        number = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
-        unknown = np.flatnonzero(number < 0)
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        known = self.by_chunk.numbers(_strings(chunks.dictionary))
+        unknown = np.flatnonzero(known < 0)
         if len(unknown):
-            new = [chunks[i] for i in unknown]
-            self._learn(list(dict.fromkeys(new)))
-            number[unknown] = [self.number[c] for c in new]
-        ends = np.frombuffer(self.ends, np.int64)
-        starts, lengths = ends[number], ends[number + 1] - ends[number]
-        total = np.cumsum(lengths)
-        n = int(total[-1]) if len(total) else 0
-        pick = np.repeat(starts - (total - lengths), lengths) + np.arange(n)
-        ids = np.frombuffer(self.ids, np.uint32)[pick] if n else np.empty(0, np.uint32)
-        before = np.concatenate([[0], total])
-        last = np.cumsum(sizes)
-        return ids, before[last] - before[last - sizes]
-
-    def slices(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first text, ids in a row, ids of each text) of slices of ``texts`` of bounded size."""
-        first, chars = 0, 0
-        for i, t in enumerate(texts):
-            if chars and chars + len(t) > SLICE_CHARS:
-                yield (first, *self._encode(texts[first:i]))
-                first, chars = i, 0
-            chars += len(t)
-        if first < len(texts):
-            yield (first, *self._encode(texts[first:]))
+            known[unknown] = self._learn(chunks.dictionary.take(pa.array(unknown)))
+        ids, starts = self.by_chunk.take(known[chunks.indices.to_numpy()])
+        return ids, np.diff(starts[split.offsets.to_numpy()])
+
+    def slices(self, texts: pa.Array | list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, ids in a row, ids of each text) of slices of ``texts`` (none missing) of bounded size."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        first, before = 0, 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield (first, *self._encode(texts.slice(first, last - first)))
+            first, before = last, ends[last - 1]
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all values in a row, length of each list)."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes

@@ -6,9 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from fraudscope.llm import chat, licenses, mixing, packing, quality_classifier, quality_rules, token_counts
+from fraudscope.llm import chat, licenses, mixing, packing, quality_classifier, quality_rules, token_counts, word_bpe
 from fraudscope.llm.common import table
 from fraudscope.llm.queries import ORACLES, QUERIES
 from fraudscope.llm.word_bpe import WordBpe, default_path
@@ -232,6 +233,28 @@ def test_word_bpe_equals_tokenizer():
             end += n
 
 
+def test_word_bpe_looks_up_a_chunk_once_a_slice(monkeypatch):
+    asked, numbers = [], word_bpe._IdLists.numbers
+    monkeypatch.setattr(word_bpe._IdLists, "numbers", lambda self, strings: asked.extend(strings) or numbers(self, strings))
+    texts = ["One\u00a0two, it's three\u3000é " * 500, "", " \t", "three <|endoftext|>x\x85y"] * 20
+    bpe = WordBpe(default_path())
+    ((first, ids, counts),) = bpe.slices(pa.array(texts))
+    want = [bpe.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:4]] * 20
+    assert first == 0 and counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(asked) < 30
+
+
+def test_word_bpe_starts_its_cache_anew(monkeypatch):
+    monkeypatch.setattr(word_bpe, "CACHE_CHUNKS", 2)
+    monkeypatch.setattr(word_bpe, "SLICE_BYTES", 12)
+    texts = ["a b c", "b c d e f", "", "one long text that is a slice of its own", "a", "b", "Ω c"]
+    bpe = WordBpe(default_path())
+    found = list(bpe.slices(pa.array(texts, pa.large_string())))
+    assert [f for f, _, _ in found] == [0, 1, 3, 4]
+    got = [part.tolist() for _, ids, counts in found for part in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [bpe.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = table(spark, sf, "labels")
