@@ -4,23 +4,23 @@ The tokenizer drops white space and never lets a token or a contraction cross
 it, and its normaliser treats each character by itself (NFC does not compose
 across a space). So a text's ids are those of its chunks between ASCII white
 space, in order, and a chunk seen before need not be encoded again. Arrow splits
-the texts and finds a slice's distinct chunks; only these pass through Python.
+the texts and finds the chunks that are new; only these pass through Python.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept by a worker, and ids of theirs; the cache starts anew beyond that (about 300 bytes a chunk).
-CACHE_CHUNKS, CACHE_IDS = 1_200_000, 12_000_000
+#: Chunks kept by a worker, and ids of theirs: the cache starts anew beyond either (about 30 bytes a chunk).
+CACHE_CHUNKS, CACHE_IDS = 600_000, 6_000_000
 #: Bytes encoded together: bounds the arrays of a slice of documents (a longer text is a slice of its own).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 #: Found in chunks that the tokenizer encodes itself: characters that may be white space, have
 #: compositions or do not lower case one by one, and the start of a special token.
 _ODD = r"[^!-~\x{a1}-\x{12f}\x{131}-\x{17f}]|<\|"
@@ -45,25 +45,24 @@ class _IdLists:
     """Lists of ids by the string they belong to; strings are numbered as they come."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.strings = pa.array([], pa.large_string())
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def numbers(self, strings: list[str]) -> np.ndarray:
-        """Number of each string, -1 where it is unknown."""
-        return np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
+    def numbers(self, strings: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(number of each string, the new ones among them by number); the ids of the new ones are to be added."""
+        known = len(self.strings)
+        coded = pa.concat_arrays([self.strings, strings]).dictionary_encode()
+        self.strings = coded.dictionary
+        return coded.indices.slice(known), self.strings.slice(known)
 
-    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Numbers of new strings whose ids lie in a row."""
-        new = np.arange(len(self.number), len(self.number) + len(strings))
-        self.number.update(zip(strings, new.tolist()))
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-        return new
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the new strings, which lie in a row."""
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
-    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the strings of these numbers in a row, where each string's begin, and the end)."""
-        taken = pa.LargeListArray.from_arrays(self.ends, self.ids).take(pa.array(numbers))
-        return taken.values.to_numpy(), taken.offsets.to_numpy()
+        return _take(self.ids, self.ends, numbers)
 
 
 class WordBpe:
@@ -83,61 +82,54 @@ class WordBpe:
 
     def _clear(self) -> None:
         self.by_pre_token, self.by_chunk = _IdLists(), _IdLists()
-        self.by_pre_token.add(["\n"], np.empty(0), np.zeros(1))
+        self.by_pre_token.numbers(pa.array(["\n"], pa.large_string()))
+        self.by_pre_token.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
 
     def _pre_token_ids(self, token: str) -> list[int]:
         letters = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenize(letters)]
 
-    def _learn(self, chunks: pa.Array) -> np.ndarray:
-        """Numbers of distinct new chunks."""
-        odd = pc.match_substring_regex(chunks, _ODD).to_numpy(zero_copy_only=False)
-        number = np.empty(len(chunks), np.int64)
-        for kind, encode in ((odd, self._encode_whole), (~odd, self._encode_plain)):
-            own = _strings(chunks.filter(pa.array(kind)))
-            if own:
-                number[kind] = self.by_chunk.add(own, *encode(own))
-        return number
-
-    def _encode_whole(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks in a row, ids of each), by the tokenizer."""
-        return _in_a_row([self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks])
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, ids of each)."""
+        odd = pc.match_substring_regex(chunks, _ODD)
+        plain_ids, plain_sizes = self._encode_plain(_strings(chunks.filter(pc.invert(odd))))
+        odd_ids, odd_sizes = _in_a_row([self.tokenizer.encode(c, add_special_tokens=False).ids for c in _strings(chunks.filter(odd))])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([plain_sizes, odd_sizes]))])
+        # the plain ones lie before the odd ones
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+        ids, starts = _take(np.concatenate([plain_ids, odd_ids]), ends, pa.array(place))
+        return ids, np.diff(starts)
 
     def _encode_plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same by the pre-tokens of chunks that are not odd."""
-        tokens = pa.array(self.pre_tokens("\n".join([*chunks, ""]).lower()), pa.string()).dictionary_encode()
-        distinct = _strings(tokens.dictionary)
-        known = self.by_pre_token.numbers(distinct)
-        unknown = np.flatnonzero(known < 0)
-        if len(unknown):
-            new = [distinct[i] for i in unknown]
-            known[unknown] = self.by_pre_token.add(new, *_in_a_row([self._pre_token_ids(t) for t in new]))
-        number = known[tokens.indices.to_numpy()]
+        tokens = self.pre_tokens("\n".join([*chunks, ""]).lower())
+        number, new = self.by_pre_token.numbers(pa.array(tokens, pa.large_string()))
+        self.by_pre_token.add(*_in_a_row([self._pre_token_ids(t) for t in _strings(new)]))
         ids, starts = self.by_pre_token.take(number)
-        ends = starts[np.flatnonzero(number == 0)]
+        ends = starts[np.flatnonzero(number.to_numpy() == 0)]
         return ids, np.diff(ends, prepend=0)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each text)."""
-        if len(self.by_chunk.number) > CACHE_CHUNKS or len(self.by_chunk.ids) > CACHE_IDS:
+        if len(self.by_chunk.strings) > CACHE_CHUNKS or len(self.by_chunk.ids) > CACHE_IDS:
             self._clear()
         split = pc.ascii_split_whitespace(texts)
-        chunks = split.flatten().dictionary_encode()
-        known = self.by_chunk.numbers(_strings(chunks.dictionary))
-        unknown = np.flatnonzero(known < 0)
-        if len(unknown):
-            known[unknown] = self._learn(chunks.dictionary.take(pa.array(unknown)))
-        ids, starts = self.by_chunk.take(known[chunks.indices.to_numpy()])
+        number, new = self.by_chunk.numbers(split.flatten())
+        if len(new):
+            self.by_chunk.add(*self._learn(new))
+        ids, starts = self.by_chunk.take(number)
         return ids, np.diff(starts[split.offsets.to_numpy()])
 
     def slices(self, texts: pa.Array | list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids in a row, ids of each text) of slices of ``texts`` (none missing) of bounded size."""
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
         first, before = 0, 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
             yield (first, *self._encode(texts.slice(first, last - first)))
+            # Arrow's pool keeps what the slice has freed, in every worker
+            pa.default_memory_pool().release_unused()
             first, before = last, ends[last - 1]
 
 
@@ -145,6 +137,12 @@ def _strings(array: pa.Array) -> list[str]:
     return array.to_numpy(zero_copy_only=False).tolist()
 
 
+def _take(ids: np.ndarray, ends: np.ndarray, numbers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lists of these numbers in a row, where each begins, and the end), of lists that lie in a row."""
+    taken = pa.LargeListArray.from_arrays(ends, ids).take(numbers)
+    return taken.values.to_numpy(), taken.offsets.to_numpy()
+
+
 def _in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(all values in a row, length of each list)."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -233,15 +233,17 @@ def test_word_bpe_equals_tokenizer():
             end += n
 
 
-def test_word_bpe_looks_up_a_chunk_once_a_slice(monkeypatch):
-    asked, numbers = [], word_bpe._IdLists.numbers
-    monkeypatch.setattr(word_bpe._IdLists, "numbers", lambda self, strings: asked.extend(strings) or numbers(self, strings))
+def test_word_bpe_passes_new_chunks_only_through_python(monkeypatch):
+    seen, strings = [], word_bpe._strings
+    monkeypatch.setattr(word_bpe, "_strings", lambda array: seen.extend(strings(array)) or strings(array))
     texts = ["One\u00a0two, it's three\u3000é " * 500, "", " \t", "three <|endoftext|>x\x85y"] * 20
     bpe = WordBpe(default_path())
     ((first, ids, counts),) = bpe.slices(pa.array(texts))
     want = [bpe.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:4]] * 20
     assert first == 0 and counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
-    assert len(asked) < 30
+    assert 0 < len(seen) < 30
+    before = len(seen)
+    assert [len(i) for _, i, _ in bpe.slices(pa.array(texts))] == [len(ids)] and len(seen) == before
 
 
 def test_word_bpe_starts_its_cache_anew(monkeypatch):
