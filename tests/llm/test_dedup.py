@@ -259,6 +259,39 @@ def test_windows_of_one_hash_are_compared_by_bytes(monkeypatch):
     assert sd.repeated_windows(buf, np.array([0, 400, 800, 1200])).tolist() == [True, False, True, False]
 
 
+def test_rows_without_an_equal_neighbour_are_not_written(spark):
+    rows = [(i, i, 0, 1, 0, i // 2 if i < 20 else i, i // 2 if i < 10 else i, 0) for i in range(2000)]  # pairs of bodies, pairs of suffixes, others
+    marked = sd.mark_repeats(spark.createDataFrame(rows, sd._RECORD).repartition(3), sd._RECORD, "marked").collect()
+    assert sorted(r.doc_id for r in marked if r.prev_gram or r.next_gram) == list(range(20))
+    assert sorted(r.doc_id for r in marked if r.prev_body or r.next_body) == list(range(10))
+    assert len(marked) <= 20 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _peak_mb(run):
+    import tracemalloc
+
+    run()
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_little_at_a_time():
+    import pyarrow as pa
+
+    raw = np.random.default_rng(3).integers(97, 101, 4_000_000).astype(np.uint8)
+    texts = [raw[i : i + 4000].tobytes().decode() for i in range(0, len(raw), 4000)]
+    records = [[{"a": 100 * k, "n": 100, "gram": k, "single": True} for k in range(30)]] * len(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "th": range(len(texts)), "text": texts, "records": records})
+    assert _peak_mb(lambda: [None for _ in sd._records([batch])]) < 30
+    assert _peak_mb(lambda: [None for _ in sd._contexts([batch])]) < 5
+    twice = np.tile(raw[:60_000], 2)
+    assert _peak_mb(lambda: sd.repeated_windows(twice, np.arange(len(twice) - 400))) < 40
+
+
 def test_suffix_records_cover_all_windows():
     buf = np.random.default_rng(0).integers(97, 100, 5000).astype(np.uint8)
     offsets = np.array([0, 0, 399, 799, 5000])
